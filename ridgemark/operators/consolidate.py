@@ -1,18 +1,26 @@
 """Consolidations: local matches to one score per (template, probe).
 
-Local matches carry ``t_fpid, n_t, t_lsid, i_fpid, n_i, i_lsid, sl`` with
-``sl`` in millionths. Every sum and rank is over integers, so each merge is
-exact in any order and Spark's partial aggregation applies.
+Similarities are whole millionths, so every sum, rank and merge is exact in
+any order and Spark's partial aggregation applies. A pair without a positive
+match has no row.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgemark.functions.numeric import rounded
+from ridgemark.functions.numeric import array_sum, np_expr, rounded
+from ridgemark.operators.align import alignment_scores
+from ridgemark.operators.cylinder import cylinder_summaries, half
+from ridgemark.operators.jiang import jiang_matches
+from ridgemark.operators.relax import relaxation_scores
+from ridgemark.settings import IMPROVED_TOP, NP_MIN
 
 PAIR = ("t_fpid", "i_fpid")
+MILLION = 1e6
 
 
+# --- neighbourhood vectors ---------------------------------------------------
+
 def top_matches(matches: DataFrame, k: int | Column) -> DataFrame:
     """The k best local matches of each pair, by (sl, template id, probe id).
 
@@ -36,7 +44,90 @@ def assigned_matches(matches: DataFrame) -> DataFrame:
     return per_template.groupBy("t_fpid", "n_t", "i_fpid", "i_lsid").agg(F.max("sl").alias("sl"))
 
 
-def score_jiang_local(matches: DataFrame) -> DataFrame:
+def score_jiang_local(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
     """Sum of the assigned similarities over the template size."""
-    total = assigned_matches(matches).groupBy("t_fpid", "n_t", "i_fpid").agg(F.sum("sl").alias("total"))
-    return total.select(*PAIR, rounded(F.col("total") / (F.col("n_t") * F.lit(1e6))).alias("score"))
+    assigned = assigned_matches(jiang_matches(templates, inputs))
+    total = assigned.groupBy("t_fpid", "n_t", "i_fpid").agg(F.sum("sl").alias("total"))
+    return total.select(*PAIR, rounded(F.col("total") / (F.col("n_t") * F.lit(MILLION))).alias("score"))
+
+
+def score_jiang(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Best alignment over the five best local matches of each pair."""
+    return alignment_scores(templates, inputs)
+
+
+# --- cylinder codes ----------------------------------------------------------
+
+def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False) -> DataFrame:
+    """One summary per pair.
+
+    Almost every fingerprint is one row, so its summary is final without a
+    shuffle. Only fingerprints stored in several chunks are merged, by an
+    aggregate that sees at most ``top`` matches per chunk and pair.
+    """
+    columns = ("t_fpid", "i_fpid", "n_t", "n_i", "matched", "over_n", "over_sum", "top")
+    chunked = templates.filter("n_chunks > 1")
+    if not chunked.limit(1).count():
+        return cylinder_summaries(templates, inputs, top, distinct).select(*columns)
+    whole = cylinder_summaries(templates.filter("n_chunks = 1"), inputs, top, distinct)
+    parts = cylinder_summaries(chunked, inputs, top, distinct)
+    return whole.select(*columns).unionByName(merge_summaries(parts, top, distinct).select(*columns))
+
+
+def merge_summaries(parts: DataFrame, top, distinct: bool) -> DataFrame:
+    counts = parts.groupBy(*PAIR).agg(
+        F.max("n_t").alias("n_t"), F.max("n_i").alias("n_i"), F.sum("matched").alias("matched"),
+        F.sum("over_n").alias("over_n"), F.sum("over_sum").alias("over_sum"))
+    each = parts.select(*PAIR, "n_i", F.explode("top").alias("m")).select(*PAIR, "n_i", "m.*")
+    rank = Window.partitionBy(*PAIR)
+    if distinct:
+        repeat = Window.partitionBy(*PAIR, "sl").orderBy(F.desc("t_lsid"), F.desc("i_lsid"))
+        each = each.withColumn("copy", F.row_number().over(repeat)).filter("copy = 1").drop("copy")
+    order = rank.orderBy(F.desc("sl"), F.desc("t_lsid"), F.desc("i_lsid"))
+    limit = F.floor(F.col("n_i") / 2) if callable(top) else F.lit(top)
+    best = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    names = [c for c in each.columns if c not in (*PAIR, "n_i")]
+    lists = best.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(*names)), asc=False).alias("top"))
+    return counts.join(lists, list(PAIR), "left").withColumn(
+        "top", F.coalesce("top", F.array().cast(dict(parts.dtypes)["top"])))
+
+
+def _top_mean(df: DataFrame, n: Column) -> DataFrame:
+    total = array_sum(F.slice(F.transform("top", lambda m: m["sl"]), F.lit(1), n))
+    return df.select(*PAIR, rounded(total / (n * F.lit(MILLION))).alias("score"))
+
+
+def score_lss(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int = NP_MIN + 1, **_) -> DataFrame:
+    """Mean of the np best distinct similarities (missing ones count zero)."""
+    df = summaries(templates, inputs, np_max, distinct=True)
+    return _top_mean(df, np_expr(F.col("n_i"), F.col("matched"), np_fn))
+
+
+def score_lss_improved(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Sum of the ten best distinct similarities over ten."""
+    return _top_mean(summaries(templates, inputs, IMPROVED_TOP, distinct=True), F.lit(IMPROVED_TOP))
+
+
+def score_lss_threshold(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Mean of all similarities above one half."""
+    df = summaries(templates, inputs).filter("over_n > 0")
+    return df.select(*PAIR, rounded(F.col("over_sum") / (F.col("over_n") * F.lit(MILLION))).alias("score"))
+
+
+def score_nb(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int = NP_MIN + 1, **_) -> DataFrame:
+    """Mean of the n best similarities, repeats kept, n from both sizes."""
+    df = summaries(templates, inputs, np_max)
+    return _top_mean(df, np_expr(F.col("n_t"), F.col("n_i"), np_fn))
+
+
+def score_lssr(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Relaxation over half as many matches as the smaller side has."""
+    df = summaries(templates, inputs, half)
+    nr = F.floor(F.least("n_i", "matched", 2 * F.size("top")) / 2)
+    return relaxation_scores(df.withColumn("nr", nr.cast("int")))
+
+
+def score_lssr_improved(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Relaxation over as many matches as the smaller side has."""
+    df = summaries(templates, inputs, half)
+    return relaxation_scores(df.withColumn("nr", F.least("n_i", "matched", F.size("top")).cast("int")))

@@ -1,2 +1,328 @@
-def cylinder_features(prints, keep_invalid=False):
-    raise NotImplementedError
+"""Cylinder codes: features and the similarity of all cylinder pairs.
+
+A cylinder is 8×8 spatial cells × 6 directions around a minutia. Both steps
+are narrow Arrow maps: one fingerprint (or one chunk of a very large one) per
+row, numpy inside the task.
+"""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ridgemark.functions.numeric import direction_weights
+from ridgemark.operators.arrow import float_lists, matrix_lists, struct_fields, struct_lists
+from ridgemark.operators.probes import probe_blocks
+from ridgemark.settings import (CELL_MU, CELL_RADIUS, CELL_STEP, CELL_TAU, CELLS, CONTEXT_RADIUS,
+                                CYL_RADIUS, DEG_TO_RAD, GAUSS_RATE, GAUSS_SCALE, GRID, GRID_SHIFT,
+                                HULL_MARGIN, LEVEL_DIRECTIONS, LEVELS, LOCAL_THRESHOLD,
+                                MAX_BROADCAST_LS, MAX_INVALID_CELLS, MAX_TURN, MIN_COMMON_CELLS,
+                                MIN_CONTEXT)
+
+LS_SCHEMA = "ls array<struct<lsid:int, x:int, y:int, th:int, norm:double, cm:array<float>>>"
+_RELATIVE = np.array([(i - GRID_SHIFT, j - GRID_SHIFT) for i in range(1, GRID + 1)
+                      for j in range(1, GRID + 1)])
+# Cells whose centre lies within the cylinder radius, at any rotation.
+ACTIVE = np.nonzero((_RELATIVE ** 2).sum(axis=1) * CELL_STEP ** 2 <= CYL_RADIUS ** 2)[0]
+_WEIGHTS = np.array(direction_weights())
+_BLOCK_VALUES = 1 << 20
+
+
+def radians_of(th: np.ndarray) -> np.ndarray:
+    return ((th + 128) * 360 // 256) * DEG_TO_RAD
+
+
+def wrap(v: np.ndarray) -> np.ndarray:
+    return (v + 128) % 256 - 128
+
+
+def hull_vertices(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Convex hull of integer points, counter-clockwise."""
+    points = np.unique(np.stack([x, y], axis=1), axis=0).tolist()
+    if len(points) < 3:
+        return np.array(points)
+
+    def chain(ordered):
+        kept = []
+        for p in ordered:
+            while len(kept) > 1 and ((kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1])
+                                     <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0])):
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    return np.array(chain(points) + chain(points[::-1]))
+
+
+def near_hull(px: np.ndarray, py: np.ndarray, hull: np.ndarray) -> np.ndarray:
+    """Points inside the hull or at most the margin away from one of its edges."""
+    a, b = hull, np.roll(hull, -1, axis=0)
+    ux, uy = (b - a).T
+    length2 = ux ** 2 + uy ** 2
+    inside = np.ones(px.shape, dtype=bool)
+    close = np.zeros(px.shape, dtype=bool)
+    for k in range(len(a)):
+        vx, vy = px - a[k, 0], py - a[k, 1]
+        cross = vy * ux[k] - vx * uy[k]
+        inside &= cross >= 0
+        along = vx * ux[k] + vy * uy[k]
+        ends = np.minimum(vx ** 2 + vy ** 2, (px - b[k, 0]) ** 2 + (py - b[k, 1]) ** 2)
+        between = (along >= 0) & (along <= length2[k]) & (length2[k] > 0)
+        close |= np.where(between, np.abs(cross) / np.sqrt(max(length2[k], 1)), np.sqrt(ends)) <= HULL_MARGIN
+    return inside | close
+
+
+def cell_centres(x, y, th) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of the active cells, one row per cylinder."""
+    rad = radians_of(th)
+    cos, sin = np.cos(rad)[:, None], np.sin(rad)[:, None]
+    ri, rj = _RELATIVE[ACTIVE].T
+    return (CELL_STEP * (cos * ri + sin * rj) + x[:, None],
+            CELL_STEP * (cos * rj - sin * ri) + y[:, None])
+
+
+def encode_cells(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Cell sums (active cells × directions) to the stored float vector."""
+    cm = np.full((len(values), GRID * GRID, LEVELS), -1.0)
+    squashed = 1 / (1 + np.exp(CELL_TAU * (CELL_MU - values)))
+    cm[:, ACTIVE, :] = np.where(valid[:, :, None], squashed, -1.0)
+    return cm.reshape(len(values), CELLS).astype(np.float32)
+
+
+def norms(cm: np.ndarray, valid: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Norm of each cylinder, −1 for an invalid one."""
+    norm = np.sqrt(np.square(np.maximum(cm, 0), dtype=np.float64).sum(axis=1))
+    bad = (CELLS - LEVELS * valid.sum(axis=1) >= MAX_INVALID_CELLS) | (context < MIN_CONTEXT)
+    return np.where(bad, -1.0, norm)
+
+
+def cylinders(x, y, th) -> tuple[np.ndarray, np.ndarray]:
+    """(cell vectors, norms) of all minutiae of one fingerprint."""
+    n = len(x)
+    hull = hull_vertices(x, y)
+    step = max(1, _BLOCK_VALUES // (len(ACTIVE) * n))
+    cms, found = [], []
+    for lo in range(0, n, step):
+        own = np.arange(lo, min(lo + step, n))
+        px, py = cell_centres(x[own], y[own], th[own])
+        valid = near_hull(px, py, hull)
+        d2 = np.square(px[:, :, None] - x) + np.square(py[:, :, None] - y)
+        d2[own - lo, :, own] = np.inf
+        c, cell, m = np.nonzero(d2 <= CELL_RADIUS ** 2)
+        near = np.zeros(d2.shape)
+        near[c, cell, m] = GAUSS_SCALE / np.exp(d2[c, cell, m] * GAUSS_RATE)
+        turn = wrap(th[own, None] - th)[:, :, None] - np.array(LEVEL_DIRECTIONS)
+        cm = encode_cells(near @ _WEIGHTS[wrap(turn) + 128], valid)
+        context = (np.square(x[own, None] - x) + np.square(y[own, None] - y)
+                   <= CONTEXT_RADIUS ** 2).sum(axis=1)
+        cms.append(cm)
+        found.append(norms(cm, valid, context))
+    return np.concatenate(cms), np.concatenate(found)
+
+
+def _feature_batches(keep_invalid: bool):
+    def run(batches):
+        for batch in batches:
+            offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y", "th"))
+            m = {name: v.astype(np.int64) for name, v in m.items()}
+            for first in range(0, batch.num_rows, 256):
+                rows = range(first, min(first + 256, batch.num_rows))
+                parts = []
+                for r in rows:
+                    one = {name: v[offsets[r]:offsets[r + 1]] for name, v in m.items()}
+                    cm, norm = cylinders(one["x"], one["y"], one["th"])
+                    keep = slice(None) if keep_invalid else norm >= 0
+                    parts.append({**{n: one[n][keep].astype(np.int32) for n in one},
+                                  "norm": norm[keep], "cm": cm[keep]})
+                lengths = [len(p["norm"]) for p in parts]
+                cat = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+                fields = {"lsid": pa.array(cat["idx"])}
+                fields.update({n: pa.array(cat[n]) for n in ("x", "y", "th", "norm")})
+                fields["cm"] = matrix_lists(cat["cm"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["fpid"].slice(first, len(parts)), pa.array(lengths, pa.int64()),
+                     struct_lists(lengths, fields)], names=["fpid", "n_ls", "ls"])
+    return run
+
+
+def cylinder_features(prints: DataFrame, keep_invalid: bool = False) -> DataFrame:
+    """Rows ``fpid, chunk, n_chunks, n_ls, ls ARRAY<STRUCT<lsid, x, y, th, norm, cm>>``.
+
+    ``n_ls`` counts the structures of the whole fingerprint. Invalid cylinders
+    are dropped unless ``keep_invalid``.
+    """
+    features = prints.filter("n > 0").select("fpid", "minutiae").mapInArrow(
+        _feature_batches(keep_invalid), f"fpid string, n_ls bigint, {LS_SCHEMA}")
+    return features.filter("n_ls > 0").select("fpid", F.lit(0).alias("chunk"),
+                                              F.lit(1).alias("n_chunks"), "n_ls", "ls")
+
+
+def flat_cylinders(features: DataFrame) -> DataFrame:
+    return features.select("fpid", "n_ls", F.inline("ls"))
+
+
+# --- matching ----------------------------------------------------------------
+
+_MATCH = "sl:bigint, t_lsid:int, t_x:int, t_y:int, t_th:int, i_lsid:int, i_x:int, i_y:int, i_th:int"
+SUMMARY_SCHEMA = ("t_fpid string, n_chunks int, n_t bigint, i_fpid string, n_i bigint, matched bigint, "
+                  "over_n bigint, over_sum bigint, top array<struct<" + _MATCH + ">>")
+
+
+class Side:
+    """Valid cylinders of some fingerprints, prepared for matrix products."""
+
+    def __init__(self, column: pa.Array, owners: np.ndarray | None = None):
+        owners = np.arange(len(column)) if owners is None else owners
+        offsets, m = struct_fields(column, ("lsid", "x", "y", "th", "norm"))
+        cells = float_lists(column, "cm", CELLS) if offsets[-1] else np.empty((0, CELLS), np.float32)
+        good = m["norm"] >= 0
+        owner = np.repeat(owners, np.diff(offsets))[good]
+        order = np.lexsort((m["lsid"][good], owner))
+        self.row = owner[order]
+        self.m = {name: v[good][order] for name, v in m.items()}
+        self.th8 = self.m["th"].astype(np.int8)
+        cells = cells[good][order].reshape(-1, GRID * GRID, LEVELS)[:, ACTIVE, :].astype(np.float64)
+        self.valid = (cells[:, :, 0] >= 0).astype(np.float64)
+        cells = np.maximum(cells, 0)
+        self.squares = np.square(cells).sum(axis=2)
+        self.cells = cells.reshape(len(cells), -1)
+
+    def starts(self, rows: int) -> np.ndarray:
+        return np.searchsorted(self.row, np.arange(rows + 1))
+
+
+def similarities(t: Side, i: Side, lo: int, hi: int) -> np.ndarray:
+    """Similarities (millionths, 0 for no match) of t[lo:hi] × all of i.
+
+    The squared difference over common cells is three matrix products, two of
+    them over spatial cells only.
+    """
+    span = slice(lo, hi)
+    diff2 = (t.squares[span] @ i.valid.T + t.valid[span] @ i.squares.T
+             - 2 * (t.cells[span] @ i.cells.T))
+    total = t.m["norm"][span, None] + i.m["norm"]
+    sl = 1 - np.sqrt(np.maximum(diff2, 0)) / np.where(total > 0, total, 1)
+    match = ((t.valid[span] @ i.valid.T) * LEVELS >= MIN_COMMON_CELLS) & (total > 0)
+    match &= np.abs(t.th8[span, None] - i.th8).view(np.uint8) <= MAX_TURN
+    return np.where(match, np.floor((sl + 1e-9) * 1e6 + 0.5), 0).astype(np.int64).clip(min=0)
+
+
+def _best(keys: np.ndarray, k: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the k largest positive keys of each row, best first.
+
+    ``distinct`` keeps one key per similarity.
+    """
+    width = keys.shape[1]
+    take = min(width, 4 * k if distinct else k)
+    part = np.partition(keys, width - take, axis=1)[:, width - take:] if take < width else keys
+    part = -np.sort(-part, axis=1)
+    sl = part >> 40
+    keep = sl > 0
+    if distinct:
+        keep[:, 1:] &= sl[:, 1:] != sl[:, :-1]
+        if take < width:
+            short = np.nonzero((keep.sum(axis=1) < k) & (sl[:, -1] > 0))[0]
+            if len(short):
+                rows, rest = _best_of_all(keys[short], k)
+                full = np.zeros((len(short), part.shape[1]), dtype=np.int64)
+                full[rows, np.concatenate([np.arange(c) for c in np.bincount(rows)])] = rest
+                part[short] = full
+                keep[short] = full > 0
+    keep &= np.cumsum(keep, axis=1) <= k
+    row, at = np.nonzero(keep)
+    return row, part[row, at]
+
+
+def _best_of_all(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    rows, found = [], []
+    for r, line in enumerate(keys):
+        line = -np.sort(-line)
+        line = line[np.concatenate([[True], (line[1:] >> 40) != (line[:-1] >> 40)]) & (line >> 40 > 0)][:k]
+        rows.append(np.full(len(line), r))
+        found.append(line)
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _summary_batches(probes, top, distinct: bool):
+    """Map over template rows: one summary per (row, probe)."""
+    def run(batches):
+        i_fpid, i_n, i = probes.value
+        cols = i.starts(len(i_fpid))
+        for batch in batches:
+            t = Side(batch["ls"])
+            starts = t.starts(batch.num_rows)
+            goal = max(1, _BLOCK_VALUES // max(1, len(i.row)))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + goal, side="right")) - 1)
+                yield from _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct)
+                first = last
+    return run
+
+
+def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct):
+    lo, hi = starts[first], starts[last]
+    if lo == hi:
+        return
+    sl = similarities(t, i, lo, hi)
+    lengths = np.diff(starts[first:last + 1])
+    filled = np.nonzero(lengths)[0]
+    edges = (starts[first:last] - lo)[filled]
+    grid = np.arange(lengths.max())
+    rows = np.where(grid < lengths[filled, None], edges[:, None] + grid, hi - lo)
+    place = np.arange(hi - lo) - np.repeat(edges, lengths[filled])
+    keys = np.where(sl > 0, (sl << 40) | (place[:, None] << 20) | np.arange(sl.shape[1]), 0)
+    keys = np.vstack([keys, np.zeros((1, keys.shape[1]), dtype=np.int64)])
+    over = np.where(sl > LOCAL_THRESHOLD, sl, 0)
+    for p in range(len(i_fpid)):
+        span = slice(cols[p], cols[p + 1])
+        if cols[p] == cols[p + 1]:
+            continue
+        matched = np.add.reduceat((sl[:, span] > 0).any(axis=1).astype(np.int64), edges)
+        over_n = np.add.reduceat((over[:, span] > 0).sum(axis=1), edges)
+        over_sum = np.add.reduceat(over[:, span].sum(axis=1), edges)
+        k = top(i_n[p].as_py()) if callable(top) else top
+        line, key = _best(keys[:, span][rows].reshape(len(filled), -1), k, distinct) if k else (
+            np.empty(0, np.int64), np.empty(0, np.int64))
+        b = key & ((1 << 20) - 1)
+        a = lo + edges[line] + ((key >> 20) & ((1 << 20) - 1))
+        matches = {"sl": pa.array(key >> 40)}
+        matches.update({f"t_{n}": pa.array(t.m[n][a]) for n in ("lsid", "x", "y", "th")})
+        matches.update({f"i_{n}": pa.array(i.m[n][b]) for n in ("lsid", "x", "y", "th")})
+        any_match = pa.array(matched > 0)
+        at = pa.array(first + filled)
+        yield pa.RecordBatch.from_arrays(
+            [batch["fpid"].take(at), batch["n_chunks"].take(at), batch["n_ls"].take(at),
+             pa.repeat(i_fpid[p], len(filled)), pa.repeat(i_n[p], len(filled)),
+             pa.array(matched), pa.array(over_n), pa.array(over_sum),
+             struct_lists(np.bincount(line, minlength=len(filled)), matches)],
+            names=[f.split()[0] for f in SUMMARY_SCHEMA.split("<")[0].split(", ")]).filter(any_match)
+
+
+def half(n: int) -> int:
+    return n // 2
+
+
+def cylinder_summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False,
+                       bound: int = MAX_BROADCAST_LS["cylinder"]) -> DataFrame:
+    """What the consolidations need of all cylinder pairs, one row per
+    (template row, probe) with a match:
+
+    ``matched`` template structures with a match, count and sum of the
+    similarities above one half, and the ``top`` best matches in order
+    (``distinct``: one per similarity). Keeping only the best before any
+    shuffle is exact, because a best match of a pair is a best of its chunk.
+    ``top`` is a number or a function of the probe size.
+    """
+    spark = templates.sparkSession
+    found = None
+    for table in probe_blocks(inputs, bound):
+        probe, owners = np.unique(table["fpid"].to_numpy(), return_inverse=True)
+        sizes = np.zeros(len(probe), dtype=np.int64)
+        sizes[owners] = table["n_ls"].to_numpy()
+        probes = spark.sparkContext.broadcast(
+            (pa.array(probe, pa.string()), pa.array(sizes), Side(table["ls"].combine_chunks(), owners)))
+        part = (templates.select("fpid", "n_chunks", "n_ls", "ls")
+                .mapInArrow(_summary_batches(probes, top, distinct), SUMMARY_SCHEMA))
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import millionths
 from ridgemark.operators.arrow import struct_fields, struct_lists
-from ridgemark.operators.probes import join_probes
-from ridgemark.settings import (ANGLE_WEIGHT, BOX_TH, BOX_X, BOX_Y, MAX_DIST, MIN_DIST,
-                                NEIGHBOURS, SUM_BOUND)
+from ridgemark.operators.probes import probe_size, salted_join
+from ridgemark.settings import (ANGLE_WEIGHT, BOX_TH, BOX_X, BOX_Y, MAX_BROADCAST_LS, MAX_DIST,
+                                MIN_DIST, NEIGHBOURS, SUM_BOUND)
 
 K = range(1, NEIGHBOURS + 1)
 ANGLES = [f"r{k}" for k in K] + [f"v{k}" for k in K]
@@ -132,10 +132,103 @@ def _ring(prefix: str) -> Column:
     return F.floor(total / (SUM_BOUND / 2))
 
 
-def jiang_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Local matches ``t_*, i_*, sl`` of similarity above zero (millionths)."""
+MATCH_SCHEMA = ("t_fpid string, n_t bigint, t_lsid int, t_x int, t_y int, t_th int, "
+                "i_fpid string, n_i bigint, i_lsid int, i_x int, i_y int, i_th int, sl bigint")
+_NUMBERS = ("lsid", "x", "y", "th") + tuple(f"d{k}" for k in K) + tuple(ANGLES)
+_BLOCK_PAIRS = 1 << 20
+
+
+def _pairs(t: dict, i: dict, lo: int, hi: int):
+    """Structures lo..hi of ``t`` matching any of ``i``: positions and millionths.
+
+    Directions are signed bytes, whose subtraction wraps as the circle does.
+    The summed angle differences alone leave few pairs for the exact test.
+    """
+    turns = np.zeros((hi - lo, len(i["x"])), dtype=np.uint16)
+    for name in ANGLES:
+        turns += np.abs(t[name][lo:hi, None] - i[name]).view(np.uint8)
+    a, b = np.nonzero(turns <= int(SUM_BOUND / ANGLE_WEIGHT))
+    turns, a = turns[a, b], a + lo
+    box = _in_box(t, i, a, b)
+    a, b, turns = a[box], b[box], turns[box]
+    sl = _millionths(t, i, a, b, turns)
+    keep = sl > 0
+    return a[keep], b[keep], sl[keep]
+
+
+def _millionths(t: dict, i: dict, a, b, turns) -> np.ndarray:
+    total = np.abs(t["d1"][a] - i["d1"][b])
+    for k in K[1:]:
+        total += np.abs(t[f"d{k}"][a] - i[f"d{k}"][b])
+    total += turns * ANGLE_WEIGHT
+    sl = np.floor((1 - total / SUM_BOUND + 1e-9) * 1e6 + 0.5).astype(np.int64)
+    return np.where(total < SUM_BOUND, sl, 0)
+
+
+def _in_box(t: dict, i: dict, a, b) -> np.ndarray:
+    return ((np.abs(t["x"][a] - i["x"][b]) < BOX_X) & (np.abs(t["y"][a] - i["y"][b]) < BOX_Y)
+            & (np.abs(t["th8"][a] - i["th8"][b]).view(np.uint8) < BOX_TH))
+
+
+def similarity_of(t: dict, i: dict, a, b) -> np.ndarray:
+    """Similarities (millionths, 0 outside the box) of listed pairs."""
+    turns = np.zeros(len(a), dtype=np.uint16)
+    for name in ANGLES:
+        turns += np.abs(t[name][a] - i[name][b]).view(np.uint8)
+    return np.where(_in_box(t, i, a, b), _millionths(t, i, a, b, turns), 0)
+
+
+def _columns(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    offsets, m = struct_fields(column, _NUMBERS)
+    m.update({name: m[name].astype(np.int8) for name in ANGLES}, th8=m["th"].astype(np.int8))
+    return np.repeat(np.arange(len(column)), np.diff(offsets)), m
+
+
+def _match_batches(probes):
+    def run(batches):
+        i_fpid, i_n, i_row, i = probes.value
+        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+        for batch in batches:
+            t_row, t = _columns(batch["ls"])
+            for lo in range(0, len(t_row), step):
+                a, b, sl = _pairs(t, i, lo, min(lo + step, len(t_row)))
+                if not len(a):
+                    continue
+                rows, probe_rows = pa.array(t_row[a]), pa.array(i_row[b])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["fpid"].take(rows), batch["n_ls"].take(rows)]
+                    + [pa.array(t[n][a]) for n in ("lsid", "x", "y", "th")]
+                    + [i_fpid.take(probe_rows), i_n.take(probe_rows)]
+                    + [pa.array(i[n][b]) for n in ("lsid", "x", "y", "th")] + [pa.array(sl)],
+                    names=[f.split()[0] for f in MATCH_SCHEMA.split(", ")])
+    return run
+
+
+def jiang_matches(templates: DataFrame, inputs: DataFrame,
+                  bound: int = MAX_BROADCAST_LS["jiang"]) -> DataFrame:
+    """Local matches of similarity above zero (``sl`` in millionths).
+
+    A probe set within the checked bound is broadcast to a narrow map over
+    the template rows. A larger one is matched by a shuffled join.
+    """
+    if probe_size(inputs) > bound:
+        return joined_matches(templates, inputs)
+    probes = broadcast_probes(inputs)
+    return templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes), MATCH_SCHEMA)
+
+
+def broadcast_probes(inputs: DataFrame):
+    table = inputs.select("fpid", "n_ls", "ls").toArrow().combine_chunks()
+    rows, fields = _columns(table["ls"].combine_chunks())
+    return inputs.sparkSession.sparkContext.broadcast(
+        (table["fpid"].combine_chunks(), table["n_ls"].combine_chunks(), rows, fields))
+
+
+def joined_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The same matches by an equality join on salted distance buckets."""
     t = flat_structures(templates, "t_").withColumn("ring", _ring("t_"))
     i = (flat_structures(inputs, "i_").withColumn("ring", _ring("i_"))
          .withColumn("ring", F.explode(F.expr("sequence(ring - 2, ring + 2)"))))
     condition, sl = similarity("t_", "i_")
-    return join_probes(t, i, "ring", condition, "jiang").withColumn("sl", sl).drop("ring")
+    names = [f.split()[0] for f in MATCH_SCHEMA.split(", ")]
+    return salted_join(t, i, "ring", condition).withColumn("sl", sl).select(names)

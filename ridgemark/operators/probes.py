@@ -1,30 +1,42 @@
 """Ways to bring the probe side of a match to the templates."""
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.settings import MAX_BROADCAST_LS
-
 
 def probe_size(inputs: DataFrame) -> int:
     """Local structures in a probe set (one small aggregate)."""
     return inputs.agg(F.sum(F.size("ls"))).first()[0] or 0
 
 
-def join_probes(templates: DataFrame, probes: DataFrame, key: str, condition: Column,
-                kind: str) -> DataFrame:
-    """Equality join on ``key`` under ``condition``.
+def probe_blocks(inputs: DataFrame, bound: int) -> Iterator[pa.Table]:
+    """The probe set as tables of about ``bound`` local structures each.
+
+    Most probe sets are one block. A larger one is split by a hash of the
+    probe id, and each block is one more scan of the templates, so that no
+    broadcast ever grows with the probe set.
+    """
+    columns = inputs.select("fpid", "n_ls", "ls")
+    size = probe_size(inputs)
+    blocks = 1 if size <= bound else math.ceil(2 * size / bound)
+    for b in range(blocks):
+        part = columns if blocks == 1 else columns.filter(
+            F.pmod(F.xxhash64("fpid"), F.lit(blocks)) == b)
+        yield part.toArrow().combine_chunks()
+
+
+def salted_join(templates: DataFrame, probes: DataFrame, key: str, condition: Column) -> DataFrame:
+    """Shuffled equality join on ``key`` under ``condition``.
 
-    A probe side within the checked bound is broadcast. A larger one is joined
-    by shuffle, with its rows copied over as many salts as keep one bucket
-    spread over many tasks.
+    Few keys hold most rows, so template rows are salted over enough values to
+    occupy every shuffle task and the probe rows are copied once per salt.
     """
-    rows = probes.count()
-    if rows <= 5 * MAX_BROADCAST_LS[kind]:
-        return templates.join(F.broadcast(probes), [key]).filter(condition)
-    salts = max(8, math.ceil(math.sqrt(rows / MAX_BROADCAST_LS[kind])) * 8)
+    spark = templates.sparkSession
+    salts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = templates.withColumn("salt", F.pmod(F.xxhash64("t_fpid", "t_lsid"), F.lit(salts)).cast("int"))
     copied = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copied, [key, "salt"]).filter(condition).drop("salt")
