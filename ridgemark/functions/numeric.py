@@ -71,9 +71,9 @@ def rho_expr(ta, ia, tb, ib) -> Column:
     def turn(p, q):
         return A.wrapped_diff(A.radians(p["th"]), A.radians(q["th"]))
 
-    d1 = F.abs(dist(ta, ia) - dist(tb, ib))
-    d2 = F.abs(A.wrapped_diff(turn(ta, ia), turn(tb, ib)))
-    d3 = F.abs(A.wrapped_diff(direction(ta, ia), direction(tb, ib)))
+    d1 = F.abs(dist(ta, tb) - dist(ia, ib))
+    d2 = F.abs(A.wrapped_diff(turn(ta, tb), turn(ia, ib)))
+    d3 = F.abs(A.wrapped_diff(direction(ta, tb), direction(ia, ib)))
     return sigmoid(d1, *RHO_DIST) * sigmoid(d2, *RHO_ANGLE) * sigmoid(d3, *RHO_ANGLE)
 
 

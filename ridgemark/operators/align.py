@@ -7,13 +7,17 @@ best first, and the best seed gives the score.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import rounded
-from ridgemark.operators.jiang import _BLOCK_PAIRS, _columns, _pairs, broadcast_probes, similarity_of
-from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, SEEDS
+from ridgemark.operators.jiang import (_BLOCK_PAIRS, _columns, _pairs, broadcast_probes,
+                                       flat_structures, jiang_matches, similarity, similarity_of)
+from ridgemark.operators.probes import cut, probe_size
+from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, MAX_BROADCAST_LS, SEEDS
 
+PAIR = ("t_fpid", "i_fpid")
 _SCHEMA = "t_fpid string, i_fpid string, total bigint, size bigint"
 
 
@@ -83,8 +87,88 @@ def _batches(probes):
 
 
 def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Score rows of all pairs with a seed; a narrow map over template rows."""
-    probes = broadcast_probes(inputs)
-    totals = templates.select("fpid", "n_ls", "ls").mapInArrow(_batches(probes), _SCHEMA)
-    return totals.select("t_fpid", "i_fpid",
-                         rounded(F.col("total") / (F.col("size") * F.lit(2e6))).alias("score"))
+    """Score rows of all pairs with a seed.
+
+    A narrow map over whole fingerprints; those stored in several chunks, and
+    probe sets too large to broadcast, take the joins below.
+    """
+    whole = templates.filter(F.size("ls") == F.col("n_ls"))
+    chunked = templates.filter(F.size("ls") != F.col("n_ls"))
+    if probe_size(inputs) > MAX_BROADCAST_LS["jiang"]:
+        totals = assignment_totals(box_matches(templates, inputs))
+    else:
+        totals = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(broadcast_probes(inputs)), _SCHEMA)
+        if chunked.limit(1).count():
+            totals = totals.unionByName(assignment_totals(box_matches(chunked, inputs)))
+    return totals.select(*PAIR, rounded(F.col("total") / (F.col("size") * F.lit(2e6))).alias("score"))
+
+
+def top_matches(matches: DataFrame, k: int) -> DataFrame:
+    """The k best local matches of each pair, by (sl, template id, probe id).
+
+    The rank filter prunes before the shuffle.
+    """
+    order = Window.partitionBy(*PAIR).orderBy(F.desc("sl"), F.desc("t_lsid"), F.desc("i_lsid"))
+    return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _aligned(df: DataFrame, prefix: str) -> DataFrame:
+    """Add distance, bearing and direction of structure ``prefix*`` from its seed ``s_*``."""
+    dx, dy = F.col(prefix + "x") - F.col("s_x"), F.col(prefix + "y") - F.col("s_y")
+    ref = A.complement_radians(F.col("s_th"))
+    return (df.withColumn(prefix + "far", F.sqrt((dx * dx + dy * dy).cast("double")))
+            .withColumn(prefix + "bearing", A.folded_diff(F.atan2(dy.cast("double"), dx.cast("double")), ref))
+            .withColumn(prefix + "turn", A.folded_diff(A.complement_radians(F.col(prefix + "th")), ref))
+            .drop("s_x", "s_y", "s_th"))
+
+
+def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Aligned pairs ``t_lsid, i_lsid, weight`` of every seed (``rank``) of a pair.
+
+    Minutiae within the box lie in the same or adjacent distance rings around
+    their seeds, so this is an equality join per probe seed and ring.
+    """
+    seeds = top_matches(jiang_matches(templates, inputs), SEEDS)
+    key = [*PAIR, "n_t", "n_i", "rank", F.col("i_lsid").alias("seed")]
+    t_side = _aligned(
+        seeds.select(*key, *[F.col(f"t_{n}").alias(f"s_{n}") for n in ("x", "y", "th")])
+        .join(flat_structures(templates, "t_").drop("n_t"), "t_fpid"), "t_")
+    i_seeds = seeds.select("i_fpid", F.col("i_lsid").alias("seed"),
+                           *[F.col(f"i_{n}").alias(f"s_{n}") for n in ("x", "y", "th")]).distinct()
+    i_side = _aligned(i_seeds.join(flat_structures(inputs, "i_").drop("n_i"), "i_fpid"), "i_")
+    ring = F.floor(F.col("t_far") / ALIGN_DIST)
+    rings = F.floor(F.col("i_far") / ALIGN_DIST)
+    near = (t_side.withColumn("ring", ring)
+            .join(i_side.withColumn("ring", F.explode(F.sequence(rings - 1, rings + 1))), ["i_fpid", "seed", "ring"])
+            .filter((F.abs(F.col("t_far") - F.col("i_far")) < ALIGN_DIST)
+                    & (F.abs(F.col("t_bearing") - F.col("i_bearing")) < ALIGN_ANGLE)
+                    & (F.abs(F.col("t_turn") - F.col("i_turn")) < ALIGN_ANGLE)))
+    alike, sl = similarity("t_", "i_")
+    return near.select(*PAIR, "n_t", "n_i", "rank", "t_lsid", "i_lsid",
+                       (F.when(alike, sl).otherwise(0) + 1_000_000).alias("weight"))
+
+
+def assignment_totals(candidates: DataFrame) -> DataFrame:
+    """Greedy one-to-one totals by rounds over all groups at once.
+
+    Each round takes every pair that is the best of both its ends and drops
+    what touches them; this is the greedy order, without one task ever
+    holding a group. Rounds end when nothing is left.
+    """
+    group = [*PAIR, "rank"]
+    order = [F.desc("weight"), F.desc("t_lsid"), F.desc("i_lsid")]
+    best_t = F.row_number().over(Window.partitionBy(*group, "t_lsid").orderBy(*order))
+    best_i = F.row_number().over(Window.partitionBy(*group, "i_lsid").orderBy(*order))
+    left, taken = cut(candidates), []
+    while left.limit(1).count():
+        marked = left.withColumn("best", (best_t == 1) & (best_i == 1))
+        mine = cut(marked.filter("best").drop("best"))
+        taken.append(mine)
+        left = cut(left.join(mine.select(*group, "t_lsid"), [*group, "t_lsid"], "left_anti")
+                   .join(mine.select(*group, "i_lsid"), [*group, "i_lsid"], "left_anti"))
+    chosen = taken[0] if taken else left
+    for more in taken[1:]:
+        chosen = chosen.unionByName(more)
+    size = F.greatest("n_t", "n_i").alias("size")
+    totals = chosen.groupBy(*group, size).agg(F.sum("weight").alias("total"))
+    return totals.groupBy(*PAIR, "size").agg(F.max("total").alias("total")).select(*PAIR, "total", "size")

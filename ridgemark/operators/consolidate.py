@@ -9,27 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgemark.functions.numeric import array_sum, np_expr, rounded
-from ridgemark.operators.align import alignment_scores
+from ridgemark.operators.align import PAIR, alignment_scores
 from ridgemark.operators.cylinder import cylinder_summaries, half
 from ridgemark.operators.jiang import jiang_matches
 from ridgemark.operators.relax import relaxation_scores
 from ridgemark.settings import IMPROVED_TOP, NP_MIN
 
-PAIR = ("t_fpid", "i_fpid")
 MILLION = 1e6
+_COUNTS = ("matched", "matches", "sl_sum", "over_n", "over_sum")
 
 
 # --- neighbourhood vectors ---------------------------------------------------
 
-def top_matches(matches: DataFrame, k: int | Column) -> DataFrame:
-    """The k best local matches of each pair, by (sl, template id, probe id).
-
-    The rank filter prunes before the shuffle.
-    """
-    order = Window.partitionBy(*PAIR).orderBy(F.desc("sl"), F.desc("t_lsid"), F.desc("i_lsid"))
-    return matches.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def assigned_matches(matches: DataFrame) -> DataFrame:
     """Best match of each template structure, then best of each probe structure.
 
@@ -65,7 +56,7 @@ def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = F
     shuffle. Only fingerprints stored in several chunks are merged, by an
     aggregate that sees at most ``top`` matches per chunk and pair.
     """
-    columns = ("t_fpid", "i_fpid", "n_t", "n_i", "matched", "over_n", "over_sum", "top")
+    columns = ("t_fpid", "i_fpid", "n_t", "n_i", *_COUNTS, "top")
     chunked = templates.filter("n_chunks > 1")
     if not chunked.limit(1).count():
         return cylinder_summaries(templates, inputs, top, distinct).select(*columns)
@@ -76,8 +67,7 @@ def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = F
 
 def merge_summaries(parts: DataFrame, top, distinct: bool) -> DataFrame:
     counts = parts.groupBy(*PAIR).agg(
-        F.max("n_t").alias("n_t"), F.max("n_i").alias("n_i"), F.sum("matched").alias("matched"),
-        F.sum("over_n").alias("over_n"), F.sum("over_sum").alias("over_sum"))
+        F.max("n_t").alias("n_t"), F.max("n_i").alias("n_i"), *[F.sum(c).alias(c) for c in _COUNTS])
     each = parts.select(*PAIR, "n_i", F.explode("top").alias("m")).select(*PAIR, "n_i", "m.*")
     rank = Window.partitionBy(*PAIR)
     if distinct:

@@ -157,6 +157,24 @@ def cylinder_features(prints: DataFrame, keep_invalid: bool = False) -> DataFram
                                               F.lit(1).alias("n_chunks"), "n_ls", "ls")
 
 
+def hull_edges(prints: DataFrame) -> DataFrame:
+    """Rows ``fpid, x1, y1, x2, y2``: the hull edges, counter-clockwise."""
+    def run(batches):
+        for batch in batches:
+            offsets, m = struct_fields(batch["minutiae"], ("x", "y"))
+            found = [hull_vertices(m["x"][lo:hi], m["y"][lo:hi]) for lo, hi in zip(offsets[:-1], offsets[1:])]
+            if not found:
+                continue
+            edges = np.concatenate([np.hstack([h, np.roll(h, -1, axis=0)]) for h in found]).astype(np.int32)
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(h) for h in found]))
+            yield pa.RecordBatch.from_arrays(
+                [batch["fpid"].take(rows)] + [pa.array(np.ascontiguousarray(c)) for c in edges.T],
+                names=["fpid", "x1", "y1", "x2", "y2"])
+
+    return prints.filter("n > 0").select("fpid", "minutiae").mapInArrow(
+        run, "fpid string, x1 int, y1 int, x2 int, y2 int")
+
+
 def flat_cylinders(features: DataFrame) -> DataFrame:
     return features.select("fpid", "n_ls", F.inline("ls"))
 
@@ -165,7 +183,7 @@ def flat_cylinders(features: DataFrame) -> DataFrame:
 
 _MATCH = "sl:bigint, t_lsid:int, t_x:int, t_y:int, t_th:int, i_lsid:int, i_x:int, i_y:int, i_th:int"
 SUMMARY_SCHEMA = ("t_fpid string, n_chunks int, n_t bigint, i_fpid string, n_i bigint, matched bigint, "
-                  "over_n bigint, over_sum bigint, top array<struct<" + _MATCH + ">>")
+                  "matches bigint, sl_sum bigint, over_n bigint, over_sum bigint, top array<struct<" + _MATCH + ">>")
 
 
 class Side:
@@ -279,6 +297,8 @@ def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinc
         if cols[p] == cols[p + 1]:
             continue
         matched = np.add.reduceat((sl[:, span] > 0).any(axis=1).astype(np.int64), edges)
+        matches_n = np.add.reduceat((sl[:, span] > 0).sum(axis=1), edges)
+        sl_sum = np.add.reduceat(sl[:, span].sum(axis=1), edges)
         over_n = np.add.reduceat((over[:, span] > 0).sum(axis=1), edges)
         over_sum = np.add.reduceat(over[:, span].sum(axis=1), edges)
         k = top(i_n[p].as_py()) if callable(top) else top
@@ -294,7 +314,7 @@ def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinc
         yield pa.RecordBatch.from_arrays(
             [batch["fpid"].take(at), batch["n_chunks"].take(at), batch["n_ls"].take(at),
              pa.repeat(i_fpid[p], len(filled)), pa.repeat(i_n[p], len(filled)),
-             pa.array(matched), pa.array(over_n), pa.array(over_sum),
+             pa.array(matched), pa.array(matches_n), pa.array(sl_sum), pa.array(over_n), pa.array(over_sum),
              struct_lists(np.bincount(line, minlength=len(filled)), matches)],
             names=[f.split()[0] for f in SUMMARY_SCHEMA.split("<")[0].split(", ")]).filter(any_match)
 

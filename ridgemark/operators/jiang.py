@@ -42,6 +42,24 @@ def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return owner, near[owner, at], dist[owner, at]
 
 
+def neighbour_rows(prints: DataFrame) -> DataFrame:
+    """Rows ``fpid, idx, k, neighbour, d2`` of the nearest minutiae."""
+    def run(batches):
+        for batch in batches:
+            offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y"))
+            for r, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+                x, y = (m[n][lo:hi].astype(np.int64) for n in ("x", "y"))
+                owner, near, d2 = nearest(x, y)
+                idx = m["idx"][lo:hi]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch["fpid"][r], len(owner)), pa.array(idx[owner]),
+                     pa.array(np.tile(np.arange(1, NEIGHBOURS + 1, dtype=np.int32), len(owner) // NEIGHBOURS)),
+                     pa.array(idx[near]), pa.array(d2)], names=["fpid", "idx", "k", "neighbour", "d2"])
+
+    return prints.select("fpid", "minutiae").mapInArrow(
+        run, "fpid string, idx int, k int, neighbour int, d2 bigint")
+
+
 def vectors(m: dict[str, np.ndarray], owner, near, d2) -> dict[str, np.ndarray]:
     """Local-structure fields from neighbour rows, four in order per owner."""
     def wrap(v):

@@ -29,6 +29,15 @@ def probe_blocks(inputs: DataFrame, bound: int) -> Iterator[pa.Table]:
         yield part.toArrow().combine_chunks()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint, so that a loop keeps a short lineage and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or "spark-warehouse/checkpoints")
+    return df.checkpoint()
+
+
 def salted_join(templates: DataFrame, probes: DataFrame, key: str, condition: Column) -> DataFrame:
     """Shuffled equality join on ``key`` under ``condition``.
 

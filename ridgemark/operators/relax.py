@@ -23,19 +23,25 @@ def _sigmoid(v, mu, tau):
     return 1 / (1 + np.exp(tau * (mu - v)))
 
 
+def _relations(x, y, th) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, turn and direction from each minutia to each other one."""
+    rad = radians_of(th)
+    dx, dy = x[:, None, :] - x[:, :, None], y[:, :, None] - y[:, None, :]
+    return (np.sqrt((dx * dx + dy * dy).astype(float)), _turn(rad[:, :, None] - rad[:, None, :]),
+            _turn(rad[:, :, None] - np.arctan2(dy.astype(float), dx.astype(float))))
+
+
 def compatibility(m: dict[str, np.ndarray]) -> np.ndarray:
-    """ρ of all pairs of matches; arrays are (pairs, matches)."""
-    t_rad, i_rad = radians_of(m["t_th"]), radians_of(m["i_th"])
-    length = np.hypot(m["t_x"] - m["i_x"], m["t_y"] - m["i_y"])
-    turn = _turn(t_rad - i_rad)
-    bearing = np.arctan2((m["t_y"] - m["i_y"]).astype(float), (m["i_x"] - m["t_x"]).astype(float))
-    direction = _turn(t_rad - bearing)
-
-    def gap(v):
-        return v[:, :, None] - v[:, None, :]
-
-    return (_sigmoid(np.abs(gap(length)), *RHO_DIST) * _sigmoid(np.abs(_turn(gap(turn))), *RHO_ANGLE)
-            * _sigmoid(np.abs(_turn(gap(direction))), *RHO_ANGLE))
+    """ρ of all pairs of matches: do both sides relate the same way?
+
+    Arrays are (fingerprint pairs, matches).
+    """
+    length, turn, direction = (
+        t - i if n == 0 else _turn(t - i)
+        for n, (t, i) in enumerate(zip(_relations(m["t_x"], m["t_y"], m["t_th"]),
+                                       _relations(m["i_x"], m["i_y"], m["i_th"]))))
+    return (_sigmoid(np.abs(length), *RHO_DIST) * _sigmoid(np.abs(turn), *RHO_ANGLE)
+            * _sigmoid(np.abs(direction), *RHO_ANGLE))
 
 
 def relax(m: dict[str, np.ndarray], nr: np.ndarray, n_p: np.ndarray) -> np.ndarray:

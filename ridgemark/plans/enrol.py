@@ -1,24 +1,20 @@
 """Enrolment: minutiae to local-structure rows."""
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.operators import oversize
-from ridgemark.operators.cylinder import cylinder_features
-from ridgemark.operators.jiang import jiang_features
+from ridgemark.operators import cylinder, jiang, oversize
 from ridgemark.settings import MAX_ROW_MINUTIAE
 from ridgemark.sources.minutiae import flatten, group_minutiae
 
-_BUILDERS = {"jiang": (jiang_features, oversize.jiang_features),
-             "cylinder": (cylinder_features, oversize.cylinder_features)}
+_BUILDERS = {"jiang": (jiang.jiang_features, oversize.jiang_features),
+             "cylinder": (cylinder.cylinder_features, oversize.cylinder_features)}
 
 # Ids listed up to this count are broadcast when oversized prints are set apart.
 _BROADCAST_IDS = 100_000
-
-
 # Rows of one task: enough to amortise it, few enough to keep every core busy.
 _TASK_ROWS, _LEAST_TASK_ROWS = 200_000, 1_000
 
@@ -34,48 +30,64 @@ def spread(flat: DataFrame, rows: int) -> DataFrame:
     return flat.repartition(tasks, "fpid")
 
 
-def _split(rows: DataFrame, sizes: DataFrame, limit: int, found: int):
-    """Rows of ordinary and of oversized fingerprints (None when there are none)."""
+def by_size(flat: DataFrame, order_by: Sequence[str], ordinary: Callable, large: Callable,
+            limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """``ordinary(print rows)`` joined with ``large(flat minutiae)`` of oversized prints.
+
+    One aggregate over the id column comes first and decides the plan: the
+    number of tasks, and whether oversized fingerprints need their own path.
+    Without any, nothing is added to the plan.
+    """
+    sizes = flat.groupBy("fpid").agg(F.count("*").alias("n"))
+    rows, found = sizes.agg(F.sum("n"), F.count_if(F.col("n") > limit)).first()
     if not found:
-        return rows, None
+        return ordinary(group_minutiae(spread(flat, rows or 0), order_by))
     big = sizes.filter(F.col("n") > limit).select("fpid")
     big = F.broadcast(big) if found <= _BROADCAST_IDS else big
-    return rows.join(big, "fpid", "left_anti"), rows.join(big, "fpid", "left_semi")
+    small = flat.join(big, "fpid", "left_anti")
+    numbered = oversize.number_minutiae(flat.join(big, "fpid", "left_semi"), order_by)
+    return ordinary(group_minutiae(spread(small, rows), order_by)).unionByName(large(numbered))
 
 
-def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
-                           limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
-    """Local structures of print rows (``fpid, n, minutiae``).
+def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "template",
+          limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """Local structures of flat minutiae (``fpid, x, y, th, q`` and order columns).
 
     ``role`` is "template" (only valid structures are kept) or "input"
     (invalid cylinders stay, as they count toward the size of a probe).
     """
-    ordinary, large = _BUILDERS[kind]
+    ordinary, large = _builders(kind, role)
+    return by_size(flat, order_by, ordinary, large, limit)
+
+
+def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
+                           limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """Local structures of print rows (``fpid, n, minutiae``)."""
+    ordinary, large = _builders(kind, role)
     if not prints.filter(F.col("n") > limit).limit(1).count():
-        return ordinary(prints, **_role(kind, role))
-    return (ordinary(prints.filter(F.col("n") <= limit), **_role(kind, role))
-            .unionByName(large(flatten(prints.filter(F.col("n") > limit)), **_role(kind, role))))
+        return ordinary(prints)
+    return (ordinary(prints.filter(F.col("n") <= limit))
+            .unionByName(large(flatten(prints.filter(F.col("n") > limit)))))
 
 
-def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "template",
-          limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
-    """Local structures of flat minutiae (``fpid, x, y, th, q`` and order columns).
+def number(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """Flat minutiae with their index in the fingerprint."""
+    return by_size(flat, order_by, flatten, lambda f: f, limit)
 
-    One aggregate over the id column comes first and decides the plan: the
-    number of tasks, and whether oversized fingerprints need their own path.
-    """
-    ordinary, large = _BUILDERS[kind]
-    sizes = flat.groupBy("fpid").agg(F.count("*").alias("n"))
-    found = sizes.agg(F.sum("n"), F.count_if(F.col("n") > limit)).first()
-    small, big = _split(flat, sizes, limit, found[1])
-    features = ordinary(group_minutiae(spread(small, found[0] or 0), order_by), **_role(kind, role))
-    if big is None:
-        return features
-    numbered = oversize.number_minutiae(big, order_by)
-    return features.unionByName(large(numbered, **_role(kind, role)))
+
+def neighbours(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    return by_size(flat, order_by, jiang.neighbour_rows, oversize.neighbour_rows, limit)
 
 
-def _role(kind: str, role: str) -> dict:
+def hull_edges(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    return by_size(flat, order_by, cylinder.hull_edges, oversize.hull_edges, limit)
+
+
+def _builders(kind: str, role: str) -> tuple[Callable, Callable]:
     if role not in ("template", "input"):
         raise ValueError(f"role must be 'template' or 'input', not {role!r}")
-    return {"keep_invalid": role == "input"} if kind == "cylinder" else {}
+    ordinary, large = _BUILDERS[kind]
+    if kind == "jiang":
+        return ordinary, large
+    keep = role == "input"
+    return lambda p: ordinary(p, keep_invalid=keep), lambda f: large(f, keep_invalid=keep)
