@@ -2,23 +2,12 @@
 
 from oracles.base import deg, folded, rad, rounded, sigmoid, wrap8, wrapped
 from ridgemark.catalog import KEYS, MINUTIAE_LINE, PATHS
+from ridgemark.functions.names import TYPE_PATTERNS
 
 _TH = "cast(trunc(({a} * 512 - 46080) / 360e0) as int)"
 
-# The same path patterns as the library, in the same order.
-_TYPES = (
-    ("nist", r"\/[f|s|F|S][0-9]*(\.xyt)?$"),
-    ("sfinge", r"\/(Sfinge)?[A-Z][a-z]+[0-9]+_[0-9]+(\.xyt)?$"),
-    ("fvc", r"\/[0-9]+_[0-9]+(\.xyt)?$"),
-    ("mcyt", r"\/(pb|dp)+_[0-9]{4}_[0-9]_[0-9]+(\.xyt)?$"),
-    ("casiav5", r"\/[0-9]{3}\/[LR]\/[0-9]{3}_[LR][0-3]_[0-9]+(\.xyt)?$"),
-    ("fingerpass", r"\/[A-Za-z0-9]+_[0-9]{4}_[0-9]{2}(\.xyt)?$"),
-    ("spain", r"\/[0-9]{5}[A-Z]{4}(RE|V[1-3])[0-9]{3}(_1[12])?(\.xyt)?$"),
-)
-
-
 def _type(f: str) -> str:
-    return "case " + " ".join(f"when regexp_matches({f}, '{p}') then '{n}'" for n, p in _TYPES) + " else 'unknown' end"
+    return "case " + " ".join(f"when regexp_matches({f}, '{p}') then '{n}'" for n, p in TYPE_PATTERNS) + " else 'unknown' end"
 
 
 def _genuine(t1: str, t2: str, f1: str, f2: str) -> str:

@@ -75,17 +75,18 @@ def _flat_cylinders(spark, sf_dir):
     return Y.flat_cylinders(enrol(X.template_minutiae(spark, sf_dir), X.ORDER, "cylinder", role="input"))
 
 
-_VALID_CELLS = F.floor(F.size(F.filter("cm", lambda c: c >= 0)) / F.lit(6)).alias("valid_cells")
+def _valid_cells():
+    return F.floor(F.size(F.filter("cm", lambda c: c >= 0)) / F.lit(6)).alias("valid_cells")
 
 
 def cylinder_cells(spark, sf_dir):
-    return _flat_cylinders(spark, sf_dir).select("fpid", "lsid", _VALID_CELLS)
+    return _flat_cylinders(spark, sf_dir).select("fpid", "lsid", _valid_cells())
 
 
 def cylinder_features(spark, sf_dir):
     positive = F.aggregate(F.filter("cm", lambda c: c > 0), F.lit(0.0), lambda acc, c: acc + c.cast("double"))
     return _flat_cylinders(spark, sf_dir).select(
-        "fpid", "lsid", "x", "y", "th", _VALID_CELLS, N.rounded(F.col("norm"), 4).alias("norm"),
+        "fpid", "lsid", "x", "y", "th", _valid_cells(), N.rounded(F.col("norm"), 4).alias("norm"),
         N.rounded(positive, 4).alias("total"))
 
 
@@ -162,7 +163,7 @@ def parse_scores_mr(spark, sf_dir):
 
 
 def parse_scores_tuple(spark, sf_dir):
-    line = ("concat('(LocalStructureCylinder;Finger', cast(l_partkey as string), '_1.xyt,(Finger', "
+    line = ("concat('(cylinder;Finger', cast(l_partkey as string), '_1.xyt,(Finger', "
             "cast(l_suppkey as string), '_2.xyt,', cast(l_discount as string), '))') as value")
     return parse_scores(_line_texts(spark, sf_dir, [line]), "rdd")[0]
 

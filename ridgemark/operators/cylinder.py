@@ -203,7 +203,7 @@ class Side:
         self.valid = (cells[:, :, 0] >= 0).astype(np.float64)
         cells = np.maximum(cells, 0)
         self.squares = np.square(cells).sum(axis=2)
-        self.cells = cells.reshape(len(cells), -1)
+        self.cells = cells.reshape(len(cells), len(ACTIVE) * LEVELS)
 
     def starts(self, rows: int) -> np.ndarray:
         return np.searchsorted(self.row, np.arange(rows + 1))

@@ -17,6 +17,7 @@ from ridgemark.functions import angles as A
 from ridgemark.functions import numeric as N
 from ridgemark.operators import jiang as J
 from ridgemark.operators.cylinder import ACTIVE, hull_vertices
+from ridgemark.operators.probes import cut
 from ridgemark.settings import (CELL_MU, CELL_RADIUS, CELL_STEP, CELL_TAU, CELLS, CONTEXT_RADIUS,
                                 GAUSS_RATE, GAUSS_SCALE, GRID, GRID_SHIFT, HULL_MARGIN,
                                 LEVEL_DIRECTIONS, LEVELS, MAX_INVALID_CELLS, MAX_ROW_MINUTIAE,
@@ -41,9 +42,10 @@ def number_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
     offsets = (ranged.groupBy("fpid", "range").agg(F.count("*").alias("n"))
                .select("fpid", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
     rank = F.row_number().over(Window.partitionBy("fpid", "range").orderBy(*order_by))
-    return (ranged.withColumn("rank", rank).join(offsets, ["fpid", "range"])
-            .select("fpid", (F.col("offset") + F.col("rank") - 1).cast("int").alias("idx"), "x", "y", "th",
-                    F.col("q").cast("int").alias("q")))
+    numbered = ranged.withColumn("rank", rank).join(offsets, ["fpid", "range"]).select(
+        "fpid", (F.col("offset") + F.col("rank") - 1).cast("int").alias("idx"), "x", "y", "th",
+        F.col("q").cast("int").alias("q"))
+    return cut(numbered)
 
 
 def _grid(df: DataFrame, x: str, y: str, size: int, spread: bool = False) -> DataFrame:
@@ -79,19 +81,19 @@ def neighbour_rows(flat: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("fpid", "idx").orderBy("d2"))
         ranked = each.withColumn("k", rank).filter(F.col("k") <= NEIGHBOURS)
         full = F.max("k").over(Window.partitionBy("fpid", "idx")) == NEIGHBOURS
-        done = ranked.withColumn("full", full).filter("full").select("fpid", "idx", "k", "neighbour", "d2")
+        done = cut(ranked.withColumn("full", full).filter("full").select("fpid", "idx", "k", "neighbour", "d2"))
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        open_rows = open_rows.join(done.filter("k = 1").select("fpid", "idx"), ["fpid", "idx"], "left_anti")
+        open_rows = cut(open_rows.join(done.filter("k = 1").select("fpid", "idx"), ["fpid", "idx"], "left_anti"))
         size *= 2
 
 
 def _chunked(rows: DataFrame, ls: Column) -> DataFrame:
     """Collect structures into rows ``fpid, chunk, n_chunks, n_ls, ls``."""
     chunk = F.floor(F.col("idx") / MAX_ROW_MINUTIAE).cast("int")
-    chunks = (rows.select("fpid", chunk.alias("chunk"), ls.alias("ls")).groupBy("fpid", "chunk")
-              .agg(F.sort_array(F.collect_list("ls")).alias("ls")))
+    chunks = cut(rows.select("fpid", chunk.alias("chunk"), ls.alias("ls")).groupBy("fpid", "chunk")
+                 .agg(F.sort_array(F.collect_list("ls")).alias("ls")))
     sizes = chunks.groupBy("fpid").agg(F.count("*").cast("int").alias("n_chunks"),
                                        F.sum(F.size("ls")).alias("n_ls"))
     return chunks.join(sizes, "fpid").select("fpid", "chunk", "n_chunks", "n_ls", "ls")
@@ -126,10 +128,12 @@ def hulls(flat: DataFrame) -> DataFrame:
     """
     ends = flat.groupBy("fpid", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
 
-    def hull(key, table: pa.Table) -> pa.Table:
+    def hull(key, table):
         x = table["x"].to_numpy()
         points = hull_vertices(np.tile(x, 2), np.concatenate([table["lo"].to_numpy(), table["hi"].to_numpy()]))
-        return pa.table({"fpid": [key[0].as_py()], "hull": [[{"x": int(a), "y": int(b)} for a, b in points]]})
+        listed = pa.array([[{"x": int(a), "y": int(b)} for a, b in points]],
+                          pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+        return pa.table({"fpid": [key[0].as_py()], "hull": listed})
 
     return ends.groupBy("fpid").applyInArrow(hull, "fpid string, hull array<struct<x:int, y:int>>")
 

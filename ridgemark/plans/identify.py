@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemark.operators import consolidate as C
+from ridgemark.settings import MAX_BROADCAST_IDS
 
 FEATURES = ("jiang", "cylinder")
 # Consolidation name → (feature kind it works on, function).
@@ -40,7 +41,15 @@ def identify(templates: DataFrame, inputs: DataFrame, feature: str, score: str,
 
 
 def _with_missing(scores: DataFrame, templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    probes = inputs.select(F.col("fpid").alias("i_fpid")).distinct()
-    pairs = templates.select(F.col("fpid").alias("t_fpid")).distinct().crossJoin(probes)
+    """All pairs: the probe ids ride along with each template as one array.
+
+    They are few by the same bound as a broadcast probe set.
+    """
+    ids = [r[0] for r in inputs.select("fpid").distinct().limit(MAX_BROADCAST_IDS + 1).collect()]
+    if len(ids) > MAX_BROADCAST_IDS:
+        raise ValueError(f"all_pairs takes at most {MAX_BROADCAST_IDS} probes")
+    every = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
+    pairs = templates.select(F.col("fpid").alias("t_fpid")).distinct().select(
+        "t_fpid", F.explode(every).alias("i_fpid"))
     return pairs.join(scores, ["t_fpid", "i_fpid"], "left").select(
         "t_fpid", "i_fpid", F.coalesce("score", F.lit(0.0)).alias("score"))
