@@ -25,13 +25,17 @@ def _folded(d: np.ndarray) -> np.ndarray:
     return np.where(d > np.pi, 2 * np.pi - d, np.where(d <= -np.pi, 2 * np.pi + d, d))
 
 
+def _turned(th) -> np.ndarray:
+    return (180 - (th + 128) * 360 // 256) * DEG_TO_RAD
+
+
 def aligned(m: dict, span: slice, ref: int) -> np.ndarray:
     """Minutiae relative to minutia ``ref``: distance, bearing, direction."""
     dx, dy = m["x"][span] - m["x"][ref], m["y"][span] - m["y"][ref]
-    turned = (180 - (m["th"] + 128) * 360 // 256) * DEG_TO_RAD
+    own = _turned(m["th"][ref])
     return np.stack([np.sqrt((dx * dx + dy * dy).astype(float)),
-                     _folded(np.arctan2(dy.astype(float), dx.astype(float)) - turned[ref]),
-                     _folded(turned[span] - turned[ref])])
+                     _folded(np.arctan2(dy.astype(float), dx.astype(float)) - own),
+                     _folded(_turned(m["th"][span]) - own)])
 
 
 def greedy_total(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
@@ -47,9 +51,9 @@ def greedy_total(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
 
 def _seed_total(t, i, t_span, i_span, seed_t, seed_i) -> int:
     ft, fi = aligned(t, t_span, seed_t), aligned(i, i_span, seed_i)
-    gap = np.abs(ft[:, :, None] - fi[:, None, :])
-    a, b = np.nonzero((gap[0] < ALIGN_DIST) & (gap[1] < ALIGN_ANGLE) & (gap[2] < ALIGN_ANGLE))
-    a, b = a + t_span.start, b + i_span.start
+    a, b = np.nonzero(np.abs(ft[0][:, None] - fi[0]) < ALIGN_DIST)
+    near = (np.abs(ft[1][a] - fi[1][b]) < ALIGN_ANGLE) & (np.abs(ft[2][a] - fi[2][b]) < ALIGN_ANGLE)
+    a, b = a[near] + t_span.start, b[near] + i_span.start
     return greedy_total(t["lsid"][a], i["lsid"][b], 1_000_000 + similarity_of(t, i, a, b))
 
 

@@ -216,13 +216,24 @@ def similarities(t: Side, i: Side, lo: int, hi: int) -> np.ndarray:
     them over spatial cells only.
     """
     span = slice(lo, hi)
-    diff2 = (t.squares[span] @ i.valid.T + t.valid[span] @ i.squares.T
-             - 2 * (t.cells[span] @ i.cells.T))
+    value = t.cells[span] @ i.cells.T
+    value *= -2
+    value += t.squares[span] @ i.valid.T
+    value += t.valid[span] @ i.squares.T
+    np.maximum(value, 0, out=value)
+    np.sqrt(value, out=value)
     total = t.m["norm"][span, None] + i.m["norm"]
-    sl = 1 - np.sqrt(np.maximum(diff2, 0)) / np.where(total > 0, total, 1)
-    match = ((t.valid[span] @ i.valid.T) * LEVELS >= MIN_COMMON_CELLS) & (total > 0)
+    match = (t.valid[span] @ i.valid.T) * LEVELS >= MIN_COMMON_CELLS
     match &= np.abs(t.th8[span, None] - i.th8).view(np.uint8) <= MAX_TURN
-    return np.where(match, np.floor((sl + 1e-9) * 1e6 + 0.5), 0).astype(np.int64).clip(min=0)
+    match &= total > 0
+    np.divide(value, total, out=value, where=match)
+    np.subtract(1, value, out=value)
+    value += 1e-9
+    value *= 1e6
+    value += 0.5
+    value *= match
+    np.maximum(value, 0, out=value)
+    return value.astype(np.int64)
 
 
 def _best(keys: np.ndarray, k: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -280,43 +291,48 @@ def _summary_batches(probes, top, distinct: bool):
 
 def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct):
     lo, hi = starts[first], starts[last]
-    if lo == hi:
+    probes = np.nonzero(np.diff(cols))[0]
+    if lo == hi or not len(probes):
         return
     sl = similarities(t, i, lo, hi)
     lengths = np.diff(starts[first:last + 1])
     filled = np.nonzero(lengths)[0]
     edges = (starts[first:last] - lo)[filled]
-    grid = np.arange(lengths.max())
-    rows = np.where(grid < lengths[filled, None], edges[:, None] + grid, hi - lo)
-    place = np.arange(hi - lo) - np.repeat(edges, lengths[filled])
-    keys = np.where(sl > 0, (sl << 40) | (place[:, None] << 20) | np.arange(sl.shape[1]), 0)
-    keys = np.vstack([keys, np.zeros((1, keys.shape[1]), dtype=np.int64)])
-    over = np.where(sl > LOCAL_THRESHOLD, sl, 0)
-    for p in range(len(i_fpid)):
-        span = slice(cols[p], cols[p + 1])
-        if cols[p] == cols[p + 1]:
-            continue
-        matched = np.add.reduceat((sl[:, span] > 0).any(axis=1).astype(np.int64), edges)
-        matches_n = np.add.reduceat((sl[:, span] > 0).sum(axis=1), edges)
-        sl_sum = np.add.reduceat(sl[:, span].sum(axis=1), edges)
-        over_n = np.add.reduceat((over[:, span] > 0).sum(axis=1), edges)
-        over_sum = np.add.reduceat(over[:, span].sum(axis=1), edges)
+
+    def per_pair(values):
+        return np.add.reduceat(values, edges, axis=0)
+
+    def per_probe(values):
+        return np.add.reduceat(values, cols[probes], axis=1, dtype=np.int64)
+
+    counts = per_probe(sl > 0)
+    over = sl > LOCAL_THRESHOLD
+    tallies = [per_pair(v) for v in ((counts > 0).astype(np.int64), counts, per_probe(sl), per_probe(over),
+                                     per_probe(sl * over))]
+    if top:
+        grid = np.arange(lengths.max())
+        rows = np.where(grid < lengths[filled, None], edges[:, None] + grid, hi - lo)
+        place = np.arange(hi - lo) - np.repeat(edges, lengths[filled])
+        keys = np.zeros((hi - lo + 1, sl.shape[1]), dtype=np.int64)
+        np.bitwise_or(sl << 40, (place[:, None] << 20) | np.arange(sl.shape[1]), out=keys[:-1])
+    for n, p in enumerate(probes):
         k = top(i_n[p].as_py()) if callable(top) else top
-        line, key = _best(keys[:, span][rows].reshape(len(filled), -1), k, distinct) if k else (
-            np.empty(0, np.int64), np.empty(0, np.int64))
+        line = key = np.empty(0, dtype=np.int64)
+        if k:
+            line, key = _best(keys[:, cols[p]:cols[p + 1]][rows].reshape(len(filled), -1), k, distinct)
         b = key & ((1 << 20) - 1)
         a = lo + edges[line] + ((key >> 20) & ((1 << 20) - 1))
         matches = {"sl": pa.array(key >> 40)}
-        matches.update({f"t_{n}": pa.array(t.m[n][a]) for n in ("lsid", "x", "y", "th")})
-        matches.update({f"i_{n}": pa.array(i.m[n][b]) for n in ("lsid", "x", "y", "th")})
-        any_match = pa.array(matched > 0)
+        matches.update({f"t_{name}": pa.array(t.m[name][a]) for name in ("lsid", "x", "y", "th")})
+        matches.update({f"i_{name}": pa.array(i.m[name][b]) for name in ("lsid", "x", "y", "th")})
         at = pa.array(first + filled)
         yield pa.RecordBatch.from_arrays(
             [batch["fpid"].take(at), batch["n_chunks"].take(at), batch["n_ls"].take(at),
-             pa.repeat(i_fpid[p], len(filled)), pa.repeat(i_n[p], len(filled)),
-             pa.array(matched), pa.array(matches_n), pa.array(sl_sum), pa.array(over_n), pa.array(over_sum),
-             struct_lists(np.bincount(line, minlength=len(filled)), matches)],
-            names=[f.split()[0] for f in SUMMARY_SCHEMA.split("<")[0].split(", ")]).filter(any_match)
+             pa.repeat(i_fpid[p], len(filled)), pa.repeat(i_n[p], len(filled))]
+            + [pa.array(v[:, n]) for v in tallies]
+            + [struct_lists(np.bincount(line, minlength=len(filled)), matches)],
+            names=[f.split()[0] for f in SUMMARY_SCHEMA.split("<")[0].split(", ")]
+        ).filter(pa.array(tallies[0][:, n] > 0))
 
 
 def half(n: int) -> int:
