@@ -96,8 +96,8 @@ def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     A narrow map over whole fingerprints; those stored in several chunks, and
     probe sets too large to broadcast, take the joins below.
     """
-    whole = templates.filter(F.size("ls") == F.col("n_ls"))
-    chunked = templates.filter(F.size("ls") != F.col("n_ls"))
+    whole = templates.filter("n_chunks = 1")
+    chunked = templates.filter("n_chunks > 1")
     if probe_size(inputs) > MAX_BROADCAST_LS["jiang"]:
         totals = assignment_totals(box_matches(templates, inputs))
     else:

@@ -97,7 +97,7 @@ def _feature_batches(batches):
 
 
 def jiang_features(prints: DataFrame) -> DataFrame:
-    """Rows ``fpid, n_ls, ls ARRAY<STRUCT<lsid, x, y, th, d1-4, r1-4, v1-4>>``.
+    """Rows ``fpid, chunk, n_chunks, n_ls, ls ARRAY<STRUCT<lsid, x, y, th, d1-4, r1-4, v1-4>>``.
 
     A narrow map over print rows. A minutia with fewer than four distinct
     neighbour distances has no local structure; a fingerprint without any
@@ -116,7 +116,8 @@ def keep_valid(features: DataFrame) -> DataFrame:
         return test
 
     kept = features.select("fpid", F.filter("ls", valid).alias("ls"))
-    return kept.select("fpid", F.size("ls").cast("bigint").alias("n_ls"), "ls").filter("n_ls > 0")
+    return (kept.select("fpid", F.size("ls").cast("bigint").alias("n_ls"), "ls").filter("n_ls > 0")
+            .select("fpid", F.lit(0).alias("chunk"), F.lit(1).alias("n_chunks"), "n_ls", "ls"))
 
 
 def flat_structures(features: DataFrame, prefix: str = "") -> DataFrame:
@@ -236,10 +237,19 @@ def jiang_matches(templates: DataFrame, inputs: DataFrame,
 
 
 def broadcast_probes(inputs: DataFrame):
+    """The probe set as (ids, sizes, owner per structure, fields), by (id, structure).
+
+    Chunks of one large probe come together again here.
+    """
     table = inputs.select("fpid", "n_ls", "ls").toArrow().combine_chunks()
+    ids, owners = np.unique(table["fpid"].to_numpy(), return_inverse=True)
+    sizes = np.zeros(len(ids), dtype=np.int64)
+    sizes[owners] = table["n_ls"].to_numpy()
     rows, fields = _columns(table["ls"].combine_chunks())
+    order = np.lexsort((fields["lsid"], owners[rows]))
     return inputs.sparkSession.sparkContext.broadcast(
-        (table["fpid"].combine_chunks(), table["n_ls"].combine_chunks(), rows, fields))
+        (pa.array(ids, pa.string()), pa.array(sizes), owners[rows][order],
+         {name: v[order] for name, v in fields.items()}))
 
 
 def joined_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def jiang_features(flat: DataFrame) -> DataFrame:
     fields += [F.sqrt(at[k]["d2"].cast("double")).alias(f"d{k}") for k in J.K]
     fields += [A.wrap8(bearing(k) + F.col("th")).alias(f"r{k}") for k in J.K]
     fields += [A.wrap8(at[k]["n"]["th"] - F.col("th")).alias(f"v{k}") for k in J.K]
-    return _chunked(rows, F.struct(*fields)).select("fpid", "n_ls", "ls")
+    return _chunked(rows, F.struct(*fields))
 
 
 def hulls(flat: DataFrame) -> DataFrame:

@@ -94,10 +94,11 @@ def test_chunked_templates_and_probes_score_the_same(cylinder_sides, score):
 @pytest.mark.parametrize("score", ["jiang", "jiang_local"])
 def test_chunked_neighbourhood_templates_score_the_same(sides, score, monkeypatch):
     t, q = sides
-    probes = P.enrol(q, X.ORDER, "jiang", "input")
-    whole = rows(identify(P.enrol(t, X.ORDER, "jiang"), probes, "jiang", score))
+    whole = rows(identify(P.enrol(t, X.ORDER, "jiang"), P.enrol(q, X.ORDER, "jiang", "input"), "jiang", score))
     monkeypatch.setattr(oversize, "MAX_ROW_MINUTIAE", 8)
-    assert rows(identify(P.enrol(t, X.ORDER, "jiang", limit=20), probes, "jiang", score)) == whole
+    parts = [P.enrol(side, X.ORDER, "jiang", limit=20).cache() for side in (t, q)]
+    assert all(p.filter("n_chunks > 1").count() for p in parts)
+    assert rows(identify(*parts, "jiang", score)) == whole
 
 
 def test_large_probe_sets(sides, monkeypatch):
