@@ -21,23 +21,14 @@ _COUNTS = ("matched", "matches", "sl_sum", "over_n", "over_sum")
 
 # --- neighbourhood vectors ---------------------------------------------------
 
-def assigned_matches(matches: DataFrame) -> DataFrame:
-    """Best match of each template structure, then best of each probe structure.
+def score_jiang_local(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+    """Sum of one-sided best similarities over the template size.
 
-    Similarity and probe id are packed into one number so that both steps are
-    hash aggregates. Equal similarities prefer the higher probe id.
+    Each template structure keeps its best match, inside the match map; then
+    each probe structure keeps its best of those.
     """
-    packed = F.col("sl") * F.lit(1 << 32) + F.col("i_lsid")
-    per_template = (matches.groupBy("t_fpid", "n_t", "i_fpid", "t_lsid").agg(F.max(packed).alias("best"))
-                    .select("t_fpid", "n_t", "i_fpid",
-                            F.shiftright("best", 32).alias("sl"),
-                            F.col("best").bitwiseAND(F.lit((1 << 32) - 1)).alias("i_lsid")))
-    return per_template.groupBy("t_fpid", "n_t", "i_fpid", "i_lsid").agg(F.max("sl").alias("sl"))
-
-
-def score_jiang_local(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
-    """Sum of the assigned similarities over the template size."""
-    assigned = assigned_matches(jiang_matches(templates, inputs))
+    best = jiang_matches(templates, inputs, best=True)
+    assigned = best.groupBy("t_fpid", "n_t", "i_fpid", "i_lsid").agg(F.max("sl").alias("sl"))
     total = assigned.groupBy("t_fpid", "n_t", "i_fpid").agg(F.sum("sl").alias("total"))
     return total.select(*PAIR, rounded(F.col("total") / (F.col("n_t") * F.lit(MILLION))).alias("score"))
 

@@ -236,6 +236,12 @@ def similarities(t: Side, i: Side, lo: int, hi: int) -> np.ndarray:
     return value.astype(np.int64)
 
 
+# A match as one sortable number: similarity, place in the template row, place
+# in the probe block, 20 + 20 + 23 bits.
+_SL_SHIFT, _PLACE_SHIFT = 43, 23
+_PLACE_MASK, _PROBE_MASK = (1 << 20) - 1, (1 << 23) - 1
+
+
 def _best(keys: np.ndarray, k: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the k largest positive keys of each row, best first.
 
@@ -245,7 +251,7 @@ def _best(keys: np.ndarray, k: int, distinct: bool) -> tuple[np.ndarray, np.ndar
     take = min(width, 4 * k if distinct else k)
     part = np.partition(keys, width - take, axis=1)[:, width - take:] if take < width else keys
     part = -np.sort(-part, axis=1)
-    sl = part >> 40
+    sl = part >> _SL_SHIFT
     keep = sl > 0
     if distinct:
         keep[:, 1:] &= sl[:, 1:] != sl[:, :-1]
@@ -266,7 +272,8 @@ def _best_of_all(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rows, found = [], []
     for r, line in enumerate(keys):
         line = -np.sort(-line)
-        line = line[np.concatenate([[True], (line[1:] >> 40) != (line[:-1] >> 40)]) & (line >> 40 > 0)][:k]
+        line = line[np.concatenate([[True], (line[1:] >> _SL_SHIFT) != (line[:-1] >> _SL_SHIFT)])
+                    & (line >> _SL_SHIFT > 0)][:k]
         rows.append(np.full(len(line), r))
         found.append(line)
     return np.concatenate(rows), np.concatenate(found)
@@ -314,15 +321,15 @@ def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinc
         rows = np.where(grid < lengths[filled, None], edges[:, None] + grid, hi - lo)
         place = np.arange(hi - lo) - np.repeat(edges, lengths[filled])
         keys = np.zeros((hi - lo + 1, sl.shape[1]), dtype=np.int64)
-        np.bitwise_or(sl << 40, (place[:, None] << 20) | np.arange(sl.shape[1]), out=keys[:-1])
+        np.bitwise_or(sl << _SL_SHIFT, (place[:, None] << _PLACE_SHIFT) | np.arange(sl.shape[1]), out=keys[:-1])
     for n, p in enumerate(probes):
         k = top(i_n[p].as_py()) if callable(top) else top
         line = key = np.empty(0, dtype=np.int64)
         if k:
             line, key = _best(keys[:, cols[p]:cols[p + 1]][rows].reshape(len(filled), -1), k, distinct)
-        b = key & ((1 << 20) - 1)
-        a = lo + edges[line] + ((key >> 20) & ((1 << 20) - 1))
-        matches = {"sl": pa.array(key >> 40)}
+        b = key & _PROBE_MASK
+        a = lo + edges[line] + ((key >> _PLACE_SHIFT) & _PLACE_MASK)
+        matches = {"sl": pa.array(key >> _SL_SHIFT)}
         matches.update({f"t_{name}": pa.array(t.m[name][a]) for name in ("lsid", "x", "y", "th")})
         matches.update({f"i_{name}": pa.array(i.m[name][b]) for name in ("lsid", "x", "y", "th")})
         at = pa.array(first + filled)

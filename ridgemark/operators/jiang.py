@@ -203,7 +203,14 @@ def _columns(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.repeat(np.arange(len(column)), np.diff(offsets)), m
 
 
-def _match_batches(probes):
+def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
+    """Positions of the best match of each (template structure, probe)."""
+    order = np.lexsort((lsid[b], sl, owner[b], a))
+    last = np.append((np.diff(a[order]) != 0) | (np.diff(owner[b[order]]) != 0), True)
+    return order[last]
+
+
+def _match_batches(probes, best: bool):
     def run(batches):
         i_fpid, i_n, i_row, i = probes.value
         step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
@@ -213,6 +220,9 @@ def _match_batches(probes):
                 a, b, sl = _pairs(t, i, lo, min(lo + step, len(t_row)))
                 if not len(a):
                     continue
+                if best:
+                    keep = _best_per_template(a, b, sl, i_row, i["lsid"])
+                    a, b, sl = a[keep], b[keep], sl[keep]
                 rows, probe_rows = pa.array(t_row[a]), pa.array(i_row[b])
                 yield pa.RecordBatch.from_arrays(
                     [batch["fpid"].take(rows), batch["n_ls"].take(rows)]
@@ -223,17 +233,21 @@ def _match_batches(probes):
     return run
 
 
-def jiang_matches(templates: DataFrame, inputs: DataFrame,
+def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False,
                   bound: int = MAX_BROADCAST_LS["jiang"]) -> DataFrame:
     """Local matches of similarity above zero (``sl`` in millionths).
 
+    ``best`` keeps one match per template structure and probe: the highest
+    similarity, then the highest probe structure.
+
     A probe set within the checked bound is broadcast to a narrow map over
     the template rows. A larger one is matched by a shuffled join.
     """
     if probe_size(inputs) > bound:
-        return joined_matches(templates, inputs)
+        matches = joined_matches(templates, inputs)
+        return best_per_template(matches) if best else matches
     probes = broadcast_probes(inputs)
-    return templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes), MATCH_SCHEMA)
+    return templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
 
 
 def broadcast_probes(inputs: DataFrame):
@@ -260,3 +274,15 @@ def joined_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     condition, sl = similarity("t_", "i_")
     names = [f.split()[0] for f in MATCH_SCHEMA.split(", ")]
     return salted_join(t, i, "ring", condition).withColumn("sl", sl).select(names)
+
+
+def best_per_template(matches: DataFrame) -> DataFrame:
+    """The ``best`` matches of a joined set.
+
+    Similarity and probe structure are packed into one number, which keeps
+    the step a hash aggregate.
+    """
+    packed = F.col("sl") * F.lit(1 << 32) + F.col("i_lsid")
+    return (matches.groupBy("t_fpid", "n_t", "i_fpid", "t_lsid").agg(F.max(packed).alias("best"))
+            .select("t_fpid", "n_t", "i_fpid", "t_lsid", F.shiftright("best", 32).alias("sl"),
+                    F.col("best").bitwiseAND(F.lit((1 << 32) - 1)).alias("i_lsid")))

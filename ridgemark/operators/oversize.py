@@ -23,7 +23,7 @@ from ridgemark.settings import (CELL_MU, CELL_RADIUS, CELL_STEP, CELL_TAU, CELLS
                                 LEVEL_DIRECTIONS, LEVELS, MAX_INVALID_CELLS, MAX_ROW_MINUTIAE,
                                 MIN_CONTEXT, NEIGHBOURS)
 
-_FIRST_CELL = 8
+_FIRST_CELL, _CELL_GROWTH = 16, 4
 
 
 def number_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def _grid(df: DataFrame, x: str, y: str, size: int, spread: bool = False) -> Dat
 def neighbour_rows(flat: DataFrame) -> DataFrame:
     """Rows ``fpid, idx, k, neighbour, d2`` of the nearest minutiae.
 
-    Grid cells double until every minutia has four distances known to be its
+    Grid cells grow until every minutia has four distances known to be its
     smallest. Of equal positions only the two highest indexes can be
     neighbours, so a crowded position is two rows.
     """
@@ -85,8 +85,8 @@ def neighbour_rows(flat: DataFrame) -> DataFrame:
         found = done if found is None else found.unionByName(done)
         if last:
             return found
-        open_rows = cut(open_rows.join(done.filter("k = 1").select("fpid", "idx"), ["fpid", "idx"], "left_anti"))
-        size *= 2
+        open_rows = open_rows.join(done.filter("k = 1").select("fpid", "idx"), ["fpid", "idx"], "left_anti")
+        size *= _CELL_GROWTH
 
 
 def _chunked(rows: DataFrame, ls: Column) -> DataFrame:

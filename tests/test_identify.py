@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ridgemark.catalog import QUERIES
-from ridgemark.operators.jiang import jiang_matches, joined_matches
+from ridgemark.operators.jiang import best_per_template, jiang_matches, joined_matches
 from ridgemark.operators.relax import relax
 from ridgemark.plans import evaluate as E
 from ridgemark.plans import store
@@ -119,7 +119,10 @@ def test_relaxation_by_loop():
 
 
 def test_joined_matches_equal_the_map(data):
-    assert rows(joined_matches(*data["jiang"])) == rows(jiang_matches(*data["jiang"]))
+    joined = joined_matches(*data["jiang"])
+    assert rows(joined) == rows(jiang_matches(*data["jiang"]))
+    best = best_per_template(joined)
+    assert rows(best) == rows(jiang_matches(*data["jiang"], best=True).select(best.columns))
 
 
 def test_scores_do_not_depend_on_partitioning(data, scores):
