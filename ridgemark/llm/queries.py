@@ -3,14 +3,24 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgemark.llm import bpe
+from ridgemark.llm import bpe, rules, urls
 from ridgemark.llm.common import table
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and robust outlier verdicts of every whole text of ``documents``."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every whole text of ``documents``."""
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_transducer,)}
-SQL: dict[str, str] = {}
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every URL of ``pages``."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.NAMED + urls.PATTERNS)
+
+
+QUERIES = {f.__name__: f for f in (op4_robust_outliers, op5_bpe_transducer, op7_url_rules)}
+SQL: dict[str, str] = {"op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}
