@@ -3,10 +3,15 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgemark.llm import bpe, rules, urls
+from ridgemark.llm import bpe, chat, langid, rules, urls
 from ridgemark.llm.common import table
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the formatted preference pairs of ``conversations``."""
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and robust outlier verdicts of every whole text of ``documents``."""
     return rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -17,10 +22,17 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``."""
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every URL of ``pages``."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.NAMED + urls.PATTERNS)
 
 
-QUERIES = {f.__name__: f for f in (op4_robust_outliers, op5_bpe_transducer, op7_url_rules)}
-SQL: dict[str, str] = {"op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}
+QUERIES = {f.__name__: f for f in (
+    op1_preference_format, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules)}
+SQL: dict[str, str] = {"op1_preference_format": chat.oracle(),
+                       "op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}

@@ -24,7 +24,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8                      # words
 MIN_WORDS, MAX_REPEATED = 20, 30
 # Transformed statistics and the smallest standard deviation that each may have.
-FEATURES = {"word_length": 0.15, "symbols": 0.4, "dup_lines": 0.6, "repeats": 0.6}
+FEATURES = {"word_length": 0.15, "symbols": 0.4, "dup_lines": 0.8, "repeats": 0.9}
 SUBSET = 0.75
 STEPS = 4
 
