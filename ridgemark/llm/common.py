@@ -5,6 +5,8 @@ offsets. Word and substring hashes come from prefix sums of a polynomial modulo
 2**64, so that a hash of any span costs three array operations.
 """
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD1342543DE82EF95 | 1
 _ODD = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -45,17 +48,30 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one if unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session, read from ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
+    """Checkpoint into the shared folder, so that a loop keeps a short lineage and survives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table of the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -118,7 +134,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), row + SLICE_ROWS, n)
         yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgemark.llm import bpe, chat, decontaminate, langid, licenses, rules, urls
+from ridgemark.llm import bpe, chat, decontaminate, jaccard, langid, licenses, rules, urls
 from ridgemark.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.NAMED + urls.PATTERNS)
 
 
+def op8_metric_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of every whole text of ``documents``."""
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 def op9_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every whole text of ``documents``."""
     return licenses.digest(table(spark, sf_dir, "documents"))
@@ -44,6 +49,6 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_preference_format, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules,
-    op9_license_positions, op10_spaced_seeds)}
+    op8_metric_jaccard, op9_license_positions, op10_spaced_seeds)}
 SQL: dict[str, str] = {"op1_preference_format": chat.oracle(),
                        "op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}
