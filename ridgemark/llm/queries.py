@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgemark.llm import bpe, chat, decontaminate, jaccard, langid, licenses, rules, suffixes, urls
+from ridgemark.llm import bpe, chat, decontaminate, jaccard, langid, licenses, quality, rules, suffixes, urls
 from ridgemark.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
 
+def op2_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every whole text of ``documents`` without repeated bytes."""
     return suffixes.digest(table(spark, sf_dir, "documents"))
@@ -53,7 +58,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_preference_format, op3_suffix_levels, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules,
+    op1_preference_format, op2_byte_convolution, op3_suffix_levels, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules,
     op8_metric_jaccard, op9_license_positions, op10_spaced_seeds)}
 SQL: dict[str, str] = {"op1_preference_format": chat.oracle(),
                        "op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}
