@@ -174,22 +174,24 @@ def learn(docs: DataFrame) -> DataFrame:
                                  .alias("vector")))
 
 
-def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str]) -> DataFrame:
-    """The given columns with lang_pred and score; one small vector per language is broadcast."""
+def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str],
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns with the predicted language and its cosine; one small vector per language is broadcast."""
+    chosen, cosine_name = names
     known = sorted((r["lang"], r["vector"]) for r in prototypes.collect())
-    names = [lang for lang, _ in known] + [UNKNOWN]
+    langs = [lang for lang, _ in known] + [UNKNOWN]
     matrix = np.array([v for _, v in known], np.float64).reshape(len(known), DIMENSIONS)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix))
+    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
     def run(batches):
-        names, matrix = shared.value
+        langs, matrix = shared.value
         for batch in batches:
             which, scores = [], []
             for text in pc.fill_null(batch.column(0), ""):
                 keys, n = counted(text.as_py())
                 if not len(keys) or not len(matrix):
-                    which.append(len(names) - 1)
+                    which.append(len(langs) - 1)
                     scores.append(0.0)
                     continue
                 v = bundle(keys, n)
@@ -198,11 +200,11 @@ def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str]) -> DataF
                 scores.append(float(min(max(cosine.max(), 0.0), 1.0)))
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
-                rest + [pa.array(names, pa.string()).take(pa.array(which, pa.int32())), pa.array(scores, pa.float64())],
-                batch.schema.names[1:] + ["lang_pred", "score"])
+                rest + [pa.array(langs, pa.string()).take(pa.array(which, pa.int32())), pa.array(scores, pa.float64())],
+                batch.schema.names[1:] + [chosen, cosine_name])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([f"`{c}` {fields[c]}" for c in columns] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in columns] + [f"{chosen} string", f"{cosine_name} double"])
     return docs.select(F.col("text").cast("string").alias("_text_"), *columns).mapInArrow(run, schema)
 
 
