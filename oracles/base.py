@@ -62,11 +62,11 @@ placed as (
   select 'Q', 'Finger' || lpad(cast(pk as varchar), 12, '0') || '_2', ok, sk, ln, pc, q,
     20 + u + 12 + (ln % 3) - 1, 20 + v - 9 + (sk % 3) - 1,
     (((u + v) // 4 + (pc*13 + ok*101 + ln*37) % 24) % 180 + ln % 2) % 180
-  from finger join nation on pk = n_nationkey where q >= 6 and n_regionkey <= 2
+  from finger join nation on pk = n_nationkey where n_regionkey <= 2
   union all
   select 'Q', 'Finger' || lpad(cast(pk as varchar), 12, '0') || '_2', ok, sk, ln, pc, q,
     20 + u, 20 + v, ((u + v) // 4 + (pc*7 + ok*53 + ln*11) % 24) % 180
-  from stranger join nation on pk = n_nationkey where q >= 6 and n_regionkey > 2),
+  from stranger join nation on pk = n_nationkey where n_regionkey > 2),
 minutiae as materialized (
   select role, fpid,
     cast(row_number() over (partition by role, fpid order by ok, ln, sk, pc, q) - 1 as int) as idx,

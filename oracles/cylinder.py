@@ -1,11 +1,17 @@
 """Oracle statements over cylinder codes."""
 
+import math
+
 from oracles.base import MINUTIAE, deg, millionths, rad, rounded, sigmoid, wrap8, wrapped
-from ridgemark.functions.numeric import direction_weights
 
-_LUT = ", ".join(repr(w) for w in direction_weights())
+# The share of a unit normal distribution (in steps of the direction scale) around each byte difference.
+# The scale, and the root of one half in nine digits.
+_AT = [[math.erf((b * 1.43239448783 * math.pi / 128 + side) * 0.707106781) for side in (-0.5, 0.5)]
+       for b in range(-128, 128)]
+_LUT = ", ".join(repr((1 + hi) / 2 - (1 + lo) / 2) for lo, hi in _AT)
 _DIRECTIONS = (-106, -64, -21, 21, 64, 106)
 _LEVELS = range(1, 7)
+_WIDE = "cast(4 + floor(8 * (1 / (1 + exp(0.4e0 * (20 - {m})))) + 0.5e0) as int)"
 _NP = "case when {m} < 20 then 4 else 5 end"
 
 HULL = f"""{MINUTIAE},
@@ -187,6 +193,11 @@ select t_fpid, i_fpid, count(*) as matches, count(distinct t_ls) as matched,
     "np_pairs": f"""with {MATCH} select t_fpid, i_fpid, n_t, n_i, matched,
   {_NP.format(m='least(n_i, matched)')} as np_matched, {_NP.format(m='least(n_i, n_t)')} as np_all from sizes""",
     "score_lss": f"with {_DISTINCT} {_LSS}",
+    "score_lss_wide": f"with {_DISTINCT} {_LSS.replace(_NP.format(m='least(n_i, matched)'), _WIDE.format(m='least(n_i, matched)'))}",
+    "score_nb_wide": f"""with {_NB}
+select t_fpid, i_fpid, {rounded("sum(sl) / (any_value(np) * 1e6)")} as score
+from (select *, {_WIDE.format(m='least(n_i, n_t)')} as np from sizes) join ranked using (t_fpid, i_fpid)
+where r <= np group by t_fpid, i_fpid""",
     "score_lss_improved": f"""with {_DISTINCT}
 select t_fpid, i_fpid, {rounded("sum(sl) / 1e7")} as score from ranked where r <= 10 group by t_fpid, i_fpid""",
     "score_lss_threshold": f"""with {MATCH}

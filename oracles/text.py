@@ -2,7 +2,17 @@
 
 from oracles.base import deg, folded, rad, rounded, sigmoid, wrap8, wrapped
 from ridgemark.catalog import KEYS, MINUTIAE_LINE, PATHS
-from ridgemark.functions.names import TYPE_PATTERNS
+
+# The path pattern of each database type, first match wins.
+TYPE_PATTERNS = (
+    ("nist", r"\/[f|s|F|S][0-9]*(\.xyt)?$"),
+    ("sfinge", r"\/(Sfinge)?[A-Z][a-z]+[0-9]+_[0-9]+(\.xyt)?$"),
+    ("fvc", r"\/[0-9]+_[0-9]+(\.xyt)?$"),
+    ("mcyt", r"\/(pb|dp)+_[0-9]{4}_[0-9]_[0-9]+(\.xyt)?$"),
+    ("casiav5", r"\/[0-9]{3}\/[LR]\/[0-9]{3}_[LR][0-3]_[0-9]+(\.xyt)?$"),
+    ("fingerpass", r"\/[A-Za-z0-9]+_[0-9]{4}_[0-9]{2}(\.xyt)?$"),
+    ("spain", r"\/[0-9]{5}[A-Z]{4}(RE|V[1-3])[0-9]{3}(_1[12])?(\.xyt)?$"),
+)
 
 _TH = "cast(trunc(({a} * 512 - 46080) / 360e0) as int)"
 
@@ -34,7 +44,7 @@ _PATH_ROWS = " union all ".join(
 
 _CRN = {n: f"((180 - {deg(n)}) * 0.017453293e0)" for n in ("th", "ot")}
 _D2 = "((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))"
-_REJECT = "l_returnflag = 'A' and l_linestatus = 'F'"
+_REJECT = "(l_returnflag = 'A' and l_linestatus = 'F') or (l_returnflag <> 'R' and l_linenumber in (6, 7))"
 _FPID = "'L' || cast(l_orderkey as varchar) || '_' || cast(l_linenumber as varchar)"
 
 SQL = {

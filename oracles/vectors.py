@@ -80,9 +80,9 @@ best as (
 _SAME = "contains(t_fpid, regexp_extract(i_fpid, '^(.*_)', 1))"
 
 
-def _threshold(far: float) -> str:
+def _threshold(far: float, fold: str = "max") -> str:
     return f"""impostors as (
-  select i_fpid, max(score) as score from kept where i_fpid not in (select i_fpid from genuines) group by i_fpid),
+  select i_fpid, {fold}(score) as score from kept where i_fpid not in (select i_fpid from genuines) group by i_fpid),
 far_places as (
   select score, row_number() over (order by score) as p, count(*) over () as n from impostors),
 far_limit as (
@@ -112,6 +112,20 @@ group by t_fpid, i_fpid having max(total) > 0""",
     "genuine_impostor_split": f"""with {_KEPT}, {_LISTS}
 select t_fpid, i_fpid, score, case when i_fpid in (select i_fpid from genuines) then 'genuine' else 'impostor' end as side
 from kept""",
+    "far_threshold_min": f"with {_EVAL}, {_threshold(0.2, 'min')} select threshold from far_limit",
+    "score_from_text": f"with {_KEPT} select * from kept",
+    "evaluate_from_text": f"""with {_EVAL}, {_threshold(0.2)},
+hits as (
+  select i_fpid, t_fpid from kept, far_limit
+  where score > threshold and i_fpid in (select i_fpid from genuines)
+  qualify row_number() over (partition by i_fpid order by score desc, t_fpid desc) = 1),
+tally as (select count(*) filter ({_SAME}) as tp from hits),
+size as (select count(*) as g from genuines)
+select threshold, tp, g - tp as fn, (g - tp) / g as fnr from far_limit, tally, size""",
+    "fnr_no_impostors": f"""with {_EVAL}, {_LISTS.replace('genuines', 'all_genuines')},
+size as (select count(*) as g from all_genuines),
+tally as (select count(*) filter ({_SAME}) as tp from best where i_fpid in (select i_fpid from all_genuines))
+select 0e0 as threshold, tp, g - tp as fn, (g - tp) / g as fnr from tally, size""",
     "far_threshold": f"with {_EVAL}, {_threshold(0.2)} select threshold from far_limit",
     "fnr_at_far": f"""with {_EVAL}, {_threshold(0.0)},
 hits as (

@@ -12,10 +12,10 @@ from ridgemark.operators import jiang as J
 from ridgemark.operators.align import box_matches, top_matches
 from ridgemark.plans import enrol as P
 from ridgemark.plans import evaluate as E
-from ridgemark.plans.enrol import enrol
+from ridgemark.plans.enrol import build_local_structures, enrol
 from ridgemark.plans.identify import SCORES, identify
 from ridgemark.sources import fixture as X
-from ridgemark.sources.minutiae import parse_minutiae
+from ridgemark.sources.minutiae import parse_minutiae, parse_prints
 from ridgemark.sources.scores import id_list, parse_scores
 
 
@@ -25,10 +25,10 @@ def sides(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataF
             enrol(X.probe_minutiae(spark, sf_dir), X.ORDER, kind, role="input"))
 
 
-def score_query(name: str):
+def score_query(name: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = SCORES[name][0]
-        return identify(*sides(spark, sf_dir, kind), kind, name)
+        return identify(*sides(spark, sf_dir, kind), kind, name, **options)
     return run
 
 
@@ -125,6 +125,40 @@ def detailed_results(spark, sf_dir):
     return E.detailed(local_scores(spark, sf_dir), "sfinge")
 
 
+def _printed(minutiae):
+    """Encoded lines of the fixture's fingerprints, one line each, minutiae in order."""
+    order = [F.col(c) for c in X.ORDER]
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x", "y", "a", "q")])
+    listed = F.array_sort(F.collect_list(F.struct(*order, text.alias("text"))))
+    return minutiae.groupBy("fpid").agg(listed.alias("m")).select(F.concat(
+        "fpid", F.lit(":"), F.array_join(F.transform("m", lambda m: m["text"]), ";")).alias("value"))
+
+
+def score_from_text(spark, sf_dir):
+    """Text lines to fingerprints to local structures to scores."""
+    t, i = (build_local_structures(parse_prints(_printed(m))[0], "jiang", role)
+            for m, role in ((X.template_minutiae(spark, sf_dir), "template"), (X.probe_minutiae(spark, sf_dir), "input")))
+    return identify(t, i, "jiang", "jiang_local")
+
+
+def evaluate_from_text(spark, sf_dir):
+    """Evaluation of scores and id lists that went through their text forms."""
+    lines = local_scores(spark, sf_dir).select(F.concat(
+        F.col("score").cast("string"), F.lit("\t"), "t_fpid", F.lit(".xyt;"), "i_fpid", F.lit(".xyt")).alias("value"))
+    genuines = id_list(X.probe_lists(spark, sf_dir)[0].select(F.concat(F.lit("/data/"), "i_fpid", F.lit(".xyt")).alias("value")))
+    return E.evaluate(parse_scores(lines, "mapreduce")[0], genuines.withColumnRenamed("fpid", "i_fpid"), "sfinge", far=0.2)
+
+
+def far_threshold_min(spark, sf_dir):
+    scores, genuines = local_scores(spark, sf_dir), X.probe_lists(spark, sf_dir)[0]
+    return E.threshold_at_far(scores, genuines, far=0.2, agg="min")
+
+
+def fnr_no_impostors(spark, sf_dir):
+    scores, genuines = local_scores(spark, sf_dir), X.probe_lists(spark, sf_dir)[0]
+    return E.evaluate(scores, genuines, "sfinge", far=None)
+
+
 def far_threshold(spark, sf_dir):
     scores, genuines = local_scores(spark, sf_dir), X.probe_lists(spark, sf_dir)[0]
     return E.threshold_at_far(scores, genuines, far=0.2)
@@ -145,6 +179,7 @@ MINUTIAE_LINE = """concat('L', cast(l_orderkey as string), '_', cast(l_linenumbe
   cast(l_suppkey as string), ' ', cast(l_partkey as string), ' ', cast(cast(l_quantity as int) * 3 as string), ' ',
   cast(cast(l_quantity as int) as string), ';',
   case when l_returnflag = 'R' then '7 8 9' when l_returnflag = 'A' and l_linestatus = 'F' then 'x 1 2 3'
+       when l_linenumber = 6 then '1 2 1e30 4' when l_linenumber = 7 then '1 2 NaN 4'
        else concat(cast(l_linenumber as string), ' ', cast(l_suppkey as string), ' 45 60') end, ';;9 9 179 127')"""
 
 
@@ -247,6 +282,9 @@ QUERIES = {f.__name__: f for f in (
     fixture_minutiae, fingerprint_counts, knn_neighbours, jiang_features, jiang_local_matches, jiang_seeds,
     jiang_box_join, convex_hull_edges, cylinder_cells, cylinder_features, cylinder_local_matches, np_pairs,
     lssr_top_matches, genuine_impostor_split, rank1_identification, tp_count, detailed_results, far_threshold,
-    fnr_at_far, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
+    far_threshold_min, fnr_at_far, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
     genuine_rules, angle_functions, geometry_functions, array_functions)}
 QUERIES.update({f"score_{name}": score_query(name) for name in SCORES})
+# The wider averages of the published method: 4 to 12 matches, by the smaller size.
+WIDE = {"np_fn": lambda n: 4 + F.floor(8 * N.sigmoid(n, 20.0, 0.4) + 0.5), "np_max": 12}
+QUERIES.update({f"score_{name}_wide": score_query(name, **WIDE) for name in ("lss", "nb")})

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ridgemark.functions.numeric import array_sum, np_expr, rounded
 from ridgemark.operators.align import PAIR, alignment_scores
 from ridgemark.operators.cylinder import cylinder_summaries, half
-from ridgemark.operators.jiang import jiang_matches
+from ridgemark.operators.jiang import jiang_matches, local_totals
+from ridgemark.operators.probes import probe_size
 from ridgemark.operators.relax import relaxation_scores
-from ridgemark.settings import IMPROVED_TOP, NP_MIN
+from ridgemark.settings import IMPROVED_TOP, MAX_BROADCAST_LS, NP_MIN
 
 MILLION = 1e6
 _COUNTS = ("matched", "matches", "sl_sum", "over_n", "over_sum")
@@ -21,19 +22,33 @@ _COUNTS = ("matched", "matches", "sl_sum", "over_n", "over_sum")
 
 # --- neighbourhood vectors ---------------------------------------------------
 
-def score_jiang_local(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_jiang_local(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Sum of one-sided best similarities over the template size.
 
-    Each template structure keeps its best match, inside the match map; then
-    each probe structure keeps its best of those.
+    Each template structure keeps its best match, then each probe structure
+    its best of those: inside the match map where a template is one row, and by
+    aggregates for templates in chunks and for large probe sets.
     """
+    chunked = templates.filter("n_chunks > 1")
+    if probe_size(inputs) <= MAX_BROADCAST_LS["jiang"]:
+        whole = local_totals(templates.filter("n_chunks = 1"), inputs)
+        if not chunked.limit(1).count():
+            return _local_score(whole)
+        return _local_score(whole).unionByName(_local_score(_joined_totals(chunked, inputs)))
+    return _local_score(_joined_totals(templates, inputs))
+
+
+def _joined_totals(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     best = jiang_matches(templates, inputs, best=True)
     assigned = best.groupBy("t_fpid", "n_t", "i_fpid", "i_lsid").agg(F.max("sl").alias("sl"))
-    total = assigned.groupBy("t_fpid", "n_t", "i_fpid").agg(F.sum("sl").alias("total"))
+    return assigned.groupBy("t_fpid", "n_t", "i_fpid").agg(F.sum("sl").alias("total"))
+
+
+def _local_score(total: DataFrame) -> DataFrame:
     return total.select(*PAIR, rounded(F.col("total") / (F.col("n_t") * F.lit(MILLION))).alias("score"))
 
 
-def score_jiang(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_jiang(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Best alignment over the five best local matches of each pair."""
     return alignment_scores(templates, inputs)
 
@@ -78,37 +93,52 @@ def _top_mean(df: DataFrame, n: Column) -> DataFrame:
     return df.select(*PAIR, rounded(total / (n * F.lit(MILLION))).alias("score"))
 
 
-def score_lss(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int = NP_MIN + 1, **_) -> DataFrame:
+def _most(np_fn, np_max: int | None) -> int:
+    """Matches that a pair must keep: the largest number that is averaged."""
+    if np_fn is None:
+        return NP_MIN + 1
+    if np_max is None:
+        raise ValueError("np_fn needs np_max, the largest number that it gives")
+    return np_max
+
+
+def _checked(n: Column, most: int) -> Column:
+    return F.when(n > most, F.raise_error(F.lit(f"np_fn gives more than np_max = {most}"))).otherwise(n).cast("int")
+
+
+def score_lss(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int | None = None) -> DataFrame:
     """Mean of the np best distinct similarities (missing ones count zero)."""
-    df = summaries(templates, inputs, np_max, distinct=True)
-    return _top_mean(df, np_expr(F.col("n_i"), F.col("matched"), np_fn))
+    most = _most(np_fn, np_max)
+    df = summaries(templates, inputs, most, distinct=True)
+    return _top_mean(df, _checked(np_expr(F.col("n_i"), F.col("matched"), np_fn), most))
 
 
-def score_lss_improved(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_lss_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Sum of the ten best distinct similarities over ten."""
     return _top_mean(summaries(templates, inputs, IMPROVED_TOP, distinct=True), F.lit(IMPROVED_TOP))
 
 
-def score_lss_threshold(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_lss_threshold(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Mean of all similarities above one half."""
     df = summaries(templates, inputs).filter("over_n > 0")
     return df.select(*PAIR, rounded(F.col("over_sum") / (F.col("over_n") * F.lit(MILLION))).alias("score"))
 
 
-def score_nb(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int = NP_MIN + 1, **_) -> DataFrame:
+def score_nb(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int | None = None) -> DataFrame:
     """Mean of the n best similarities, repeats kept, n from both sizes."""
-    df = summaries(templates, inputs, np_max)
-    return _top_mean(df, np_expr(F.col("n_t"), F.col("n_i"), np_fn))
+    most = _most(np_fn, np_max)
+    df = summaries(templates, inputs, most)
+    return _top_mean(df, _checked(np_expr(F.col("n_t"), F.col("n_i"), np_fn), most))
 
 
-def score_lssr(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_lssr(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over half as many matches as the smaller side has."""
     df = summaries(templates, inputs, half)
     nr = F.floor(F.least("n_i", "matched", 2 * F.size("top")) / 2)
     return relaxation_scores(df.withColumn("nr", nr.cast("int")))
 
 
-def score_lssr_improved(templates: DataFrame, inputs: DataFrame, **_) -> DataFrame:
+def score_lssr_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over as many matches as the smaller side has."""
     df = summaries(templates, inputs, half)
     return relaxation_scores(df.withColumn("nr", F.least("n_i", "matched", F.size("top")).cast("int")))

@@ -236,10 +236,18 @@ def similarities(t: Side, i: Side, lo: int, hi: int) -> np.ndarray:
     return value.astype(np.int64)
 
 
-# A match as one sortable number: similarity, place in the template row, place
-# in the probe block, 20 + 20 + 23 bits.
-_SL_SHIFT, _PLACE_SHIFT = 43, 23
-_PLACE_MASK, _PROBE_MASK = (1 << 20) - 1, (1 << 23) - 1
+# A match as one sortable number: similarity in the upper 20 bits, then place in
+# the template row and place in the probe block, as many bits as each needs.
+_SL_SHIFT = 43
+
+
+def _place_bits(longest_row: int, probes: int) -> int:
+    """Bits of the place in the probe block; the rest is for the template row."""
+    bits = max(1, int(probes - 1).bit_length())
+    if bits + max(1, int(longest_row - 1).bit_length()) > _SL_SHIFT:
+        raise ValueError(f"{longest_row} template structures against {probes} of a probe block: use smaller blocks")
+    return bits
+
 
 
 def _best(keys: np.ndarray, k: int, distinct: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -316,19 +324,22 @@ def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinc
     over = sl > LOCAL_THRESHOLD
     tallies = [per_pair(v) for v in ((counts > 0).astype(np.int64), counts, per_probe(sl), per_probe(over),
                                      per_probe(sl * over))]
+    bits = 1
     if top:
         grid = np.arange(lengths.max())
         rows = np.where(grid < lengths[filled, None], edges[:, None] + grid, hi - lo)
         place = np.arange(hi - lo) - np.repeat(edges, lengths[filled])
         keys = np.zeros((hi - lo + 1, sl.shape[1]), dtype=np.int64)
-        np.bitwise_or(sl << _SL_SHIFT, (place[:, None] << _PLACE_SHIFT) | np.arange(sl.shape[1]), out=keys[:-1])
+        bits = _place_bits(int(lengths.max()), sl.shape[1])
+        np.bitwise_or(sl << _SL_SHIFT, (place[:, None] << bits) | np.arange(sl.shape[1]), out=keys[:-1])
     for n, p in enumerate(probes):
         k = top(i_n[p].as_py()) if callable(top) else top
         line = key = np.empty(0, dtype=np.int64)
         if k:
             line, key = _best(keys[:, cols[p]:cols[p + 1]][rows].reshape(len(filled), -1), k, distinct)
-        b = key & _PROBE_MASK
-        a = lo + edges[line] + ((key >> _PLACE_SHIFT) & _PLACE_MASK)
+        own = key & ((1 << _SL_SHIFT) - 1)
+        b = own & ((1 << bits) - 1)
+        a = lo + edges[line] + (own >> bits)
         matches = {"sl": pa.array(key >> _SL_SHIFT)}
         matches.update({f"t_{name}": pa.array(t.m[name][a]) for name in ("lsid", "x", "y", "th")})
         matches.update({f"i_{name}": pa.array(i.m[name][b]) for name in ("lsid", "x", "y", "th")})

@@ -233,6 +233,49 @@ def _match_batches(probes, best: bool):
     return run
 
 
+def _row_blocks(starts: np.ndarray, goal: int):
+    """(first, last) runs of template rows of about ``goal`` structures; a row is never cut."""
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + goal, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def local_totals(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``t_fpid, n_t, i_fpid, total`` of whole templates: summed best matches, without a shuffle."""
+    probes = broadcast_probes(inputs)
+
+    def run(batches):
+        i_fpid, _, i_row, i = probes.value
+        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+        for batch in batches:
+            t_row, t = _columns(batch["ls"])
+            starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
+            for first, last in _row_blocks(starts, step):
+                found = []
+                for lo in range(starts[first], starts[last], step):
+                    a, b, sl = _pairs(t, i, lo, min(lo + step, starts[last]))
+                    keep = _best_per_template(a, b, sl, i_row, i["lsid"])
+                    found.append((a[keep], b[keep], sl[keep]))
+                if not found:
+                    continue
+                a, b, sl = (np.concatenate(v) for v in zip(*found))
+                row = t_row[a]
+                order = np.lexsort((sl, b, row))
+                top = np.append((np.diff(row[order]) != 0) | (np.diff(b[order]) != 0), True)[:len(order)]
+                row, b, sl = row[order][top], b[order][top], sl[order][top]
+                pair, which = np.unique(row.astype(np.int64) * len(i_fpid) + i_row[b], return_inverse=True)
+                total = np.zeros(len(pair), np.int64)
+                np.add.at(total, which, sl)
+                rows = pa.array(pair // len(i_fpid))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["fpid"].take(rows), batch["n_ls"].take(rows), i_fpid.take(pa.array(pair % len(i_fpid))),
+                     pa.array(total)], names=["t_fpid", "n_t", "i_fpid", "total"])
+
+    return templates.select("fpid", "n_ls", "ls").mapInArrow(run, "t_fpid string, n_t bigint, i_fpid string, total bigint")
+
+
 def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False,
                   bound: int = MAX_BROADCAST_LS["jiang"]) -> DataFrame:
     """Local matches of similarity above zero (``sl`` in millionths).

@@ -27,17 +27,14 @@ _FIRST_CELL, _CELL_GROWTH = 16, 4
 
 
 def number_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Number the minutiae of each fingerprint by ``order_by`` in two levels.
+    """Number the minutiae of each fingerprint by ``order_by``, of any sortable types, in two levels.
 
-    Ranges of the first order column are ranked apart and shifted by the
-    count of the ranges before them, so no task sorts a whole fingerprint.
+    Rows are dealt out by ranges of (fingerprint, order columns), so no task
+    sorts a whole fingerprint, and equal first columns do not matter. Each
+    range is ranked apart and shifted by the count of the ranges before it. A
+    checkpoint holds the ranges fixed between the two steps.
     """
-    first = order_by[0]
-    sizes = flat.groupBy("fpid").agg(F.min(first).alias("lo"), F.max(first).alias("hi"),
-                                     F.count("*").alias("n"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) * MAX_ROW_MINUTIAE / F.col("n")), F.lit(1))
-    ranged = (flat.join(sizes, "fpid")
-              .withColumn("range", F.floor((F.col(first) - F.col("lo")) / width)).drop("lo", "hi", "n"))
+    ranged = cut(flat.repartitionByRange("fpid", *order_by).withColumn("range", F.spark_partition_id()))
     before = Window.partitionBy("fpid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy("fpid", "range").agg(F.count("*").alias("n"))
                .select("fpid", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))

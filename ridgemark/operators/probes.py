@@ -34,7 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "spark-warehouse/checkpoints")
+        if folder is None:
+            raise ValueError("large fingerprints need spark.checkpoint.dir, a folder that all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -1,6 +1,5 @@
 """Enrolment: minutiae to local-structure rows."""
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -8,45 +7,32 @@ from pyspark.sql import functions as F
 
 from ridgemark.operators import cylinder, jiang, oversize
 from ridgemark.settings import MAX_ROW_MINUTIAE
-from ridgemark.sources.minutiae import flatten, group_minutiae
+from ridgemark.sources.minutiae import flatten, group_minutiae, merge_records
 
 _BUILDERS = {"jiang": (jiang.jiang_features, oversize.jiang_features),
              "cylinder": (cylinder.cylinder_features, oversize.cylinder_features)}
 
 # Ids listed up to this count are broadcast when oversized prints are set apart.
 _BROADCAST_IDS = 100_000
-# Rows of one task: enough to amortise it, few enough to keep every core busy.
-_TASK_ROWS, _LEAST_TASK_ROWS = 200_000, 1_000
-
-
-def spread(flat: DataFrame, rows: int) -> DataFrame:
-    """Partition flat minutiae by fingerprint, sized by the work they cause.
-
-    Matching costs far more per byte than a scan, so the partition count
-    follows the row count and the cores, not the shuffled bytes.
-    """
-    cores = flat.sparkSession.sparkContext.defaultParallelism
-    tasks = max(math.ceil(rows / _TASK_ROWS), min(3 * cores, math.ceil(rows / _LEAST_TASK_ROWS)), 1)
-    return flat.repartition(tasks, "fpid")
 
 
 def by_size(flat: DataFrame, order_by: Sequence[str], ordinary: Callable, large: Callable,
             limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
     """``ordinary(print rows)`` joined with ``large(flat minutiae)`` of oversized prints.
 
-    One aggregate over the id column comes first and decides the plan: the
-    number of tasks, and whether oversized fingerprints need their own path.
-    Without any, nothing is added to the plan.
+    One aggregate over the id column comes first and decides whether oversized
+    fingerprints need their own path. Without any, nothing is added to the
+    plan: minutiae meet in one exchange, whose partitions Spark sizes by bytes.
     """
     sizes = flat.groupBy("fpid").agg(F.count("*").alias("n"))
-    rows, found = sizes.agg(F.sum("n"), F.count_if(F.col("n") > limit)).first()
+    found = sizes.agg(F.count_if(F.col("n") > limit)).first()[0]
     if not found:
-        return ordinary(group_minutiae(spread(flat, rows or 0), order_by))
+        return ordinary(group_minutiae(flat, order_by))
     big = sizes.filter(F.col("n") > limit).select("fpid")
     big = F.broadcast(big) if found <= _BROADCAST_IDS else big
     small = flat.join(big, "fpid", "left_anti")
     numbered = oversize.number_minutiae(flat.join(big, "fpid", "left_semi"), order_by)
-    return ordinary(group_minutiae(spread(small, rows), order_by)).unionByName(large(numbered))
+    return ordinary(group_minutiae(small, order_by)).unionByName(large(numbered))
 
 
 def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "template",
@@ -62,8 +48,9 @@ def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "temp
 
 def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
                            limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
-    """Local structures of print rows (``fpid, n, minutiae``)."""
+    """Local structures of print rows (``fpid, n, minutiae``); records of one id are merged."""
     ordinary, large = _builders(kind, role)
+    prints = merge_records(prints)
     if not prints.filter(F.col("n") > limit).limit(1).count():
         return ordinary(prints)
     return (ordinary(prints.filter(F.col("n") <= limit))

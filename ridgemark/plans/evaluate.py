@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions.names import genuine
 
+BUCKETS = 4096
+
 
 def rank1(scores: DataFrame) -> DataFrame:
     """Best template of each probe: highest score, then greatest template id."""
@@ -17,22 +19,44 @@ def split_scores(scores: DataFrame, genuines: DataFrame) -> tuple[DataFrame, Dat
     return scores.join(genuines, "i_fpid", "left_semi"), scores.join(genuines, "i_fpid", "left_anti")
 
 
+def _per_probe(scores: DataFrame, genuines: DataFrame) -> DataFrame:
+    """One pass over the scores: each probe's best pair, lowest score, and whether it is a genuine one."""
+    flags = genuines.select("i_fpid", F.lit(True).alias("own")).distinct()
+    return (scores.join(flags, "i_fpid", "left").groupBy("i_fpid", "own")
+            .agg(F.max(F.struct("score", "t_fpid")).alias("best"), F.min("score").alias("low")))
+
+
+def _threshold(impostors: DataFrame, far: float) -> DataFrame:
+    """The entry at position floor((1 - far) n) - 1 of ``score`` in ascending order, 0 when there is none.
+
+    Positions come from counts per score in BUCKETS equal ranges; only the one
+    range that holds the position is ordered.
+    """
+    span = impostors.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("total"))
+    bucket = F.coalesce(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(0))
+    counts = (impostors.join(F.broadcast(span)).groupBy(bucket.alias("bucket"), "score", "total")
+              .agg(F.count("*").alias("n")))
+    upto = F.sum("n").over(Window.orderBy("bucket"))           # BUCKETS + 1 rows at most
+    ranges = (counts.groupBy("bucket", "total").agg(F.sum("n").alias("n"))
+              .select("bucket", upto.alias("end"), "n", F.floor((1 - F.lit(far)) * F.col("total")).alias("position"))
+              .filter("position >= 1 and end >= position and end - n < position")
+              .select("bucket", (F.col("position") - F.col("end") + F.col("n")).alias("place")))
+    inside = counts.join(F.broadcast(ranges), "bucket").select(
+        "score", "place", F.sum("n").over(Window.partitionBy("bucket").orderBy("score")).alias("upto"))
+    return inside.filter("upto >= place").agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("threshold"))
+
+
+def _impostors(probes: DataFrame, agg: str) -> DataFrame:
+    score = {"max": F.col("best.score"), "min": F.col("low")}[agg]
+    return probes.filter("own is null").select(score.alias("score"))
+
+
 def threshold_at_far(scores: DataFrame, genuines: DataFrame, far: float = 0.0, agg: str = "max") -> DataFrame:
     """One row ``threshold``: the score that admits a share ``far`` of impostors.
 
-    Each impostor probe counts with its highest (or, with agg="min", lowest)
-    score; the threshold is the entry at position floor((1 − far)·n) − 1 in
-    ascending order, 0 when there is none. Positions come from counts per
-    score, and rounded scores have few values, so no sort sees all probes.
+    Each impostor probe counts with its highest (or, with agg="min", lowest) score.
     """
-    fold = {"max": F.max, "min": F.min}[agg]
-    each = split_scores(scores, genuines)[1].groupBy("i_fpid").agg(fold("score").alias("score"))
-    counts = each.groupBy("score").agg(F.count("*").alias("n"))
-    upto = counts.select("score", F.sum("n").over(Window.orderBy("score")).alias("upto"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    position = F.floor((1 - F.lit(far)) * F.col("total"))
-    at = upto.join(F.broadcast(total)).filter((position >= 1) & (F.col("upto") >= position))
-    return at.agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("threshold"))
+    return _threshold(_impostors(_per_probe(scores, genuines), agg), far)
 
 
 def detailed(scores: DataFrame, db: str = "unknown") -> DataFrame:
@@ -52,14 +76,15 @@ def evaluate(scores: DataFrame, genuines: DataFrame, db: str = "sfinge", far: fl
 
     ``far`` None evaluates without an impostor threshold.
     """
-    own, _ = split_scores(scores, genuines)
+    probes = _per_probe(scores, genuines)
     size = genuines.agg(F.count("*").alias("size"))
     if far is None:
         limit = genuines.sparkSession.range(1).select(F.lit(0.0).alias("threshold"))
+        own = probes.filter("own")
     else:
-        limit = threshold_at_far(scores, genuines, far, agg)
-        own = own.join(F.broadcast(limit)).filter(F.col("score") > F.col("threshold"))
-    tp = true_positives(own.select("i_fpid", "t_fpid", "score"), db)
+        limit = _threshold(_impostors(probes, agg), far)
+        own = probes.filter("own").join(F.broadcast(limit)).filter(F.col("best.score") > F.col("threshold"))
+    tp = own.agg(F.count_if(genuine(F.col("i_fpid"), F.col("best.t_fpid"), db)).alias("tp"))
     return limit.join(tp).join(size).select(
         "threshold", "tp", (F.col("size") - F.col("tp")).alias("fn"),
         ((F.col("size") - F.col("tp")) / F.col("size")).alias("fnr"))

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemark.operators import consolidate as C
-from ridgemark.settings import MAX_BROADCAST_IDS
 
 FEATURES = ("jiang", "cylinder")
 # Consolidation name → (feature kind it works on, function).
@@ -21,11 +20,12 @@ SCORES = {
 
 
 def identify(templates: DataFrame, inputs: DataFrame, feature: str, score: str,
-             threshold: float | None = 0.0, all_pairs: bool = False, **options) -> DataFrame:
+             threshold: float | None = 0.0, **options) -> DataFrame:
     """Scores ``t_fpid, i_fpid, score`` of the local-structure tables.
 
-    Rows with a score above ``threshold`` are returned. ``all_pairs`` also
-    returns the pairs without a local match, with score zero.
+    Rows with a score above ``threshold`` are returned. A pair without a local
+    match has no row. Other options go to the consolidation, which raises on
+    names that it does not know.
     """
     if feature not in FEATURES:
         raise ValueError(f"unknown feature {feature!r}; one of {FEATURES}")
@@ -35,21 +35,4 @@ def identify(templates: DataFrame, inputs: DataFrame, feature: str, score: str,
     if kind != feature:
         raise ValueError(f"{score!r} consolidates {kind!r} features, not {feature!r}")
     scores = consolidation(templates, inputs, **options)
-    if all_pairs:
-        return _with_missing(scores, templates, inputs)
     return scores if threshold is None else scores.filter(F.col("score") > threshold)
-
-
-def _with_missing(scores: DataFrame, templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """All pairs: the probe ids ride along with each template as one array.
-
-    They are few by the same bound as a broadcast probe set.
-    """
-    ids = [r[0] for r in inputs.select("fpid").distinct().limit(MAX_BROADCAST_IDS + 1).collect()]
-    if len(ids) > MAX_BROADCAST_IDS:
-        raise ValueError(f"all_pairs takes at most {MAX_BROADCAST_IDS} probes")
-    every = F.array(*[F.lit(i) for i in ids]).cast("array<string>")
-    pairs = templates.select(F.col("fpid").alias("t_fpid")).distinct().select(
-        "t_fpid", F.explode(every).alias("i_fpid"))
-    return pairs.join(scores, ["t_fpid", "i_fpid"], "left").select(
-        "t_fpid", "i_fpid", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -42,5 +42,3 @@ DEG_TO_RAD = 0.017453293
 MAX_ROW_MINUTIAE = 1024
 # Probe sets are broadcast in blocks of at most this many local structures.
 MAX_BROADCAST_LS = {"jiang": 200_000, "cylinder": 20_000}
-# Ids that may ride along with every template row when all pairs are wanted.
-MAX_BROADCAST_IDS = 10_000

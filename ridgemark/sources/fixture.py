@@ -2,8 +2,8 @@
 
 Every part is an enrolled finger and each of its line items one minutia. The
 probe list is the ``nation`` table: nation n asks for finger n. Nations of the
-regions 0-2 send a second impression of that finger (shifted, jittered, without
-its low-quality minutiae); the others send a finger that is not enrolled.
+regions 0-2 send a second impression of that finger (shifted and jittered); the
+others send a finger that is not enrolled.
 Integer arithmetic only, so that any SQL engine derives the same rows.
 """
 
@@ -57,8 +57,7 @@ def template_minutiae(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe_minutiae(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat minutiae of the probes."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    df = (_lines(spark, sf_dir).filter("q >= 6")
-          .join(nation, F.col("pk") == F.col("n_nationkey")))
+    df = _lines(spark, sf_dir).join(nation, F.col("pk") == F.col("n_nationkey"))
     exprs = {n: F.when(F.col("n_regionkey") <= 2, F.expr(_SECOND[n])).otherwise(F.expr(_STRANGER[n]))
              for n in _SECOND}
     return _placed(df, finger_name("pk", 2), exprs)

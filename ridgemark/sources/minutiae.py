@@ -13,6 +13,7 @@ from ridgemark.functions.angles import encode
 from ridgemark.functions.names import base_name
 
 INTEGER = r"^[+-]?[0-9]+$"
+MAX_ANGLE = 360.0               # an angle beyond a full circle, infinite or not a number rejects its record
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -35,12 +36,16 @@ def _parsed(df: DataFrame) -> DataFrame:
     keep = F.when(F.col("bad") == 0, F.col("parts")).otherwise(
         F.slice("parts", 1, F.greatest(F.col("bad") - 1, F.lit(0)).cast("int")))
 
+    def angle(token):
+        value = token.try_cast("double")
+        return F.when(F.abs(value) <= MAX_ANGLE, value)
+
     def whole(p, i, kind):
         return F.when(p[i].rlike(INTEGER), p[i].try_cast(kind))
 
     minutiae = F.transform("parts", lambda p, i: F.struct(
         i.alias("idx"), whole(p, 0, "int").alias("x"), whole(p, 1, "int").alias("y"),
-        encode(p[2].try_cast("double")).alias("th"), whole(p, 3, "tinyint").cast("int").alias("q")))
+        encode(angle(p[2])).alias("th"), whole(p, 3, "tinyint").cast("int").alias("q")))
     return (df.withColumn("parts", parts).withColumn("bad", first_bad).withColumn("parts", keep)
             .withColumn("minutiae", minutiae).drop("parts", "records", "bad"))
 
@@ -90,6 +95,15 @@ def find_fingerprint(prints: DataFrame, fpid: str) -> DataFrame:
     return prints.filter(F.col("fpid") == fpid)
 
 
+def merge_records(prints: DataFrame) -> DataFrame:
+    """One print row per fingerprint: records of one id are one finger, numbered anew in the order of their content."""
+    listed = F.flatten(F.array_sort(F.collect_list("minutiae")))
+    numbered = F.transform("m", lambda m, i: F.struct(i.alias("idx"), m["x"].alias("x"), m["y"].alias("y"),
+                                                      m["th"].alias("th"), m["q"].alias("q")))
+    return (prints.groupBy("fpid").agg(listed.alias("m"))
+            .select("fpid", F.size("m").alias("n"), numbered.alias("minutiae")))
+
+
 def union_prints(*sets: DataFrame) -> DataFrame:
     first, *rest = sets
     for other in rest:

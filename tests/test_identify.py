@@ -1,6 +1,9 @@
 """Consolidations against brute force, and the flow enrol → match → evaluate."""
 
 import itertools
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -8,6 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ridgemark.catalog import QUERIES
+from ridgemark.operators import consolidate
 from ridgemark.operators.jiang import best_per_template, jiang_matches, joined_matches
 from ridgemark.operators.relax import relax
 from ridgemark.plans import evaluate as E
@@ -15,7 +19,7 @@ from ridgemark.plans import store
 from ridgemark.plans.enrol import build_local_structures, enrol
 from ridgemark.plans.identify import SCORES, identify
 from ridgemark.sources import fixture as X
-from ridgemark.sources.minutiae import group_minutiae
+from ridgemark.sources.minutiae import group_minutiae, merge_records, parse_minutiae, union_prints
 from ridgemark.sources.scores import parse_scores
 
 
@@ -141,14 +145,46 @@ def test_a_fingerprint_matches_itself(data):
     assert identify(c, c, "cylinder", "nb").first()["score"] == 1.0
 
 
-def test_all_pairs_and_validation(data):
+def test_validation_of_names_and_options(data):
     t, i = data["jiang"]
-    full = identify(t, i, "jiang", "jiang_local", all_pairs=True)
-    assert full.count() == 200 * 25 and full.filter("score = 0").count() > 0
     with pytest.raises(ValueError):
         identify(t, i, "jiang", "lss")
     with pytest.raises(ValueError):
         identify(t, i, "jiang", "none")
+    with pytest.raises(TypeError):
+        identify(t, i, "jiang", "jiang_local", np_mx=3)
+    with pytest.raises(ValueError):
+        identify(*data["cylinder"], "cylinder", "lss", np_fn=lambda n: n)
+
+
+def test_wide_averages_use_all_their_matches(data):
+    """Averaging up to 12 matches gives what the listed matches say."""
+    t, i = data["cylinder"]
+    wide = {"np_fn": lambda n: F.least(n, F.lit(12)), "np_max": 12}
+    got = {r[:2]: r["score"] for r in identify(t, i, "cylinder", "nb", **wide).select("t_fpid", "i_fpid", "score").collect()}
+    for r in consolidate.summaries(t, i, 12).select("t_fpid", "i_fpid", "n_t", "n_i", "top").collect():
+        n = min(r["n_t"], r["n_i"], 12)
+        want = sum(m["sl"] for m in r["top"][:n]) / n / 1e6
+        assert abs(got.get((r["t_fpid"], r["i_fpid"]), 0) - want) < 2e-6
+
+
+def test_repeated_ids_are_one_finger(spark, sf_dir):
+    prints = group_minutiae(X.template_minutiae(spark, sf_dir), X.ORDER).filter("fpid < 'Finger000000000004'")
+    halves = [prints.withColumn("minutiae", F.filter("minutiae", lambda m: m["idx"] % 2 == k)) for k in (0, 1)]
+    merged = merge_records(union_prints(*halves))
+    assert [r["n"] for r in merged.orderBy("fpid").collect()] == [r["n"] for r in prints.orderBy("fpid").collect()]
+    assert rows(merged.select(F.expr("array_sort(transform(minutiae, m -> m.idx)) as i"))) == rows(
+        prints.select(F.expr("array_sort(transform(minutiae, m -> m.idx)) as i")))
+    for kind in ("jiang", "cylinder"):
+        built = build_local_structures(union_prints(*halves), kind)
+        assert built.groupBy("fpid").count().filter("count > 1").count() == 0
+
+
+def test_bad_angles_reject_their_fingerprint_only(spark):
+    lines = spark.createDataFrame([(f"F{k}:1 2 {a} 4",) for k, a in enumerate(
+        ("1e30", "Infinity", "-Infinity", "NaN", "400", "90"))], "value string")
+    good, bad = parse_minutiae(lines)
+    assert [r["fpid"] for r in good.collect()] == ["F5"] and bad.count() == 5
 
 
 def test_print_rows_enrol_like_flat_minutiae(spark, sf_dir, data):
@@ -198,5 +234,26 @@ def test_evaluation(spark):
     assert E.rank1(tied).first()["t_fpid"] == "b"
 
 
-def test_registered_queries_have_unique_columns():
+def test_registered_queries_have_unique_columns(spark, sf_dir):
     assert len(QUERIES) >= 36
+    for name in ("knn_neighbours", "score_nb_wide", "evaluate_from_text", "angle_functions", "fnr_at_far"):
+        columns = QUERIES[name](spark, sf_dir).columns
+        assert len(columns) == len(set(columns)), name
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers get the package from the session, not from the folder of the driver."""
+    code = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as entry
+print("rows", entry.entry(spark).count(), entry.queries()["cylinder_cells"](spark, {data!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code.format(root=root, data="/root/testdata/sf0.001")], cwd=tmp_path,
+                          env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 25 6000" in done.stdout, done.stderr[-2000:]
