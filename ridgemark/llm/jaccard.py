@@ -21,8 +21,9 @@ with nothing. Repeated rows are linked; a null doc_id joins a component but
 never names it. Other columns are not read.
 """
 
-import pyarrow as pa
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ SIZE = 4                        # words of a shingle
 LINK = (85, 100)                # least intersection over union
 SKETCH_BITS = 18
 FILTER_BITS = 24
+KEY_BITS = 26
 REGION = 2_000_000              # shingles that one task finishes
 ROUNDS = 4
 
@@ -51,14 +53,19 @@ class Sets:
         self.first = np.searchsorted(self.docs, np.arange(n + 1))
         self.counts = np.diff(self.first)
 
-    def ids(self) -> pa.Array:
-        """128 bits for each set; null for an empty one."""
+    def numbers(self) -> np.ndarray:
+        """Two 64-bit numbers for each set."""
         out = np.zeros((len(self.counts), 2), np.uint64)
         full = np.flatnonzero(self.counts)
         if len(full):
             for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
                 out[full, k] = mix(np.add.reduceat(mix(self.hashes ^ np.uint64(salt)), self.first[full])
                                    + self.counts[full].astype(np.uint64))
+        return out
+
+    def ids(self) -> pa.Array:
+        """128 bits for each set; null for an empty one."""
+        out = self.numbers()
         values = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(out), [None, pa.py_buffer(out.tobytes())])
         return pa.array(values.cast(pa.binary()).to_pylist(), pa.binary(), mask=self.counts == 0)
 
@@ -68,6 +75,11 @@ def _least_common(n: int | np.ndarray, link: tuple[int, int]):
     return (link[0] * n + link[1] - 1) // link[1]
 
 
+def _spare(n: int | np.ndarray):
+    """Shingles listed beyond the least number; linked sets share one more for each of them."""
+    return n // 16
+
+
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Document frequencies of all shingles, by hash bucket: a table of fixed size."""
     blocks, width = 16, (1 << SKETCH_BITS) // 16
@@ -99,19 +111,29 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, sketch: np.ndarray, size: int, link: tuple[int, int]) -> DataFrame:
-    """doc_id, set id, set size and the shingles on which the set must meet any set linked to it."""
+    """doc_id, set id, set size and the shingles on which the set must meet any set linked to it.
+
+    A task lists the shingles of a set once, so copies cost little more than their ids.
+    """
     ranks = np.minimum(np.log2(sketch + 1) * 1024, 65535).astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
+        known = np.zeros(0, np.uint64)          # sets that this task has filed
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(1)):
                 sets = Sets(data, offsets, size)
+                own = sets.numbers()[:, 0]
+                fresh = np.zeros(len(own), bool)
+                fresh[np.unique(own, return_index=True)[1]] = True
+                fresh &= ~np.isin(own, known)
+                known = np.union1d(known, own)
                 rank = shared.value[(sets.hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.argsort((sets.docs.astype(np.uint64) << np.uint64(48)) | (rank << np.uint64(32))
                                    | (sets.hashes & np.uint64(0xFFFFFFFF)), kind="stable")
                 place = np.arange(len(order)) - sets.first[sets.docs]
-                prefix = np.where(sets.counts > 0, sets.counts - _least_common(sets.counts, link) + 1, 0)
+                prefix = np.where(fresh & (sets.counts > 0), sets.counts - _least_common(sets.counts, link) + 1 + _spare(sets.counts), 0)
+                prefix = np.minimum(prefix, sets.counts)
                 keep = place < prefix[sets.docs]
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]), pa.int32()),
                                                 pa.array(signed(sets.hashes[order][keep])))
@@ -148,34 +170,91 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        bits = shared.value
+        bits, known = shared.value, set()
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
                 sets = Sets(data, offsets, size)
-                ids = sets.ids()
+                ids = sets.ids().to_pylist()
                 full = np.flatnonzero(sets.counts)
                 if not len(full):
                     continue
-                at = _filter_bits(ids.take(pa.array(full)).to_pylist())
-                good = full[((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)]
-                if len(good):
+                at = _filter_bits([ids[d] for d in full])
+                good = []
+                for d in full[((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)].tolist():
+                    if ids[d] not in known:
+                        known.add(ids[d])
+                        good.append(d)
+                if good:
                     values = [sets.hashes[sets.first[d]:sets.first[d + 1]].tobytes() for d in good]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.array(values, pa.binary())], ["sid", "set"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[d] for d in good], pa.binary()), pa.array(values, pa.binary())], ["sid", "set"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "sid binary, set binary")
-    return found.groupBy("sid").agg(F.first("set").alias("set")).join(wanted, "sid", "left_semi")
+    return found.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("set").alias("set"))
+
+
+def _key_place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def meeting_rows(profile: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """(sid, n, key) of the shingles on which sets can meet a linked set.
+
+    Most shingles are listed once. Those listed twice set bits in a filter of
+    fixed size, which is broadcast; what it lets pass in vain costs a row only.
+    A set is left out if too few of its listed shingles are met: linked sets
+    share as many as the smaller of them lists beyond the least number, and one.
+    """
+    twice = profile.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
+
+    def mark(batches):
+        bits = np.zeros(1 << KEY_BITS, bool)
+        for batch in batches:
+            bits[_key_place(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(1 << KEY_BITS >> 3, np.uint8)
+    for r in twice.coalesce(6).mapInArrow(mark, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    shared = profile.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            lists, n = batch.column(2), batch.column(1).to_numpy()
+            keys = lists.flatten().to_numpy()
+            owner = pa.compute.list_parent_indices(lists).to_numpy()
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            at = _key_place(keys)
+            met = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            enough = np.bincount(owner[met], minlength=len(n)) > _spare(_least_common(n, link))
+            good = np.flatnonzero(met & enough[owner])
+            first = place[good] <= (n - _least_common(n, link))[owner[good]]
+            own = pa.array(owner[good])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(own), batch.column(1).take(own), pa.array(keys[good]), pa.array(first, pa.bool_())],
+                ["sid", "n", "key", "first"])
+
+    listed = profile.select("sid", "n", "keys").filter("n > 0 and size(keys) > 0").mapInArrow(
+        run, "sid binary, n long, key long, first boolean")
+    rows = stored(listed.distinct())
+    # The same once more among the sets that are left, now exactly.
+    twice = rows.groupBy("key").count().filter("count > 1").select("key")
+    rows = rows.join(twice, "key", "left_semi")
+    spare = F.floor(F.floor((link[0] * F.col("n") + link[1] - 1) / link[1]) / 16)
+    enough = rows.groupBy("sid", "n").agg(F.count("*").alias("c")).filter(F.col("c") > spare).select("sid")
+    return rows.filter("first").join(enough, "sid", "left_semi").select("sid", "n", "key")
 
 
 def regions(profile: DataFrame, link: tuple[int, int]) -> DataFrame:
     """(sid, region) of the sets that meet others: region is its pivot's id with a size class."""
-    rows = profile.select("sid", "n", F.explode("keys").alias("key"))
-    met = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     width = float(np.log(link[1] / link[0]))
     # Sizes of linked sets lie in one class or in neighbours: each set enters its own and the next.
     level = F.floor(F.log("n") / width + 1e-9).cast("int")
-    classed = rows.join(met, "key").select("sid", "key", F.explode(F.array(level, level + 1)).alias("level"))
-    pivots = classed.groupBy("key", "level").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).filter("c > 1")
-    return (classed.join(pivots.drop("c"), ["key", "level"])
+    classed = stored(meeting_rows(profile, link).select("sid", "key", F.explode(F.array(level, level + 1)).alias("level")))
+    pivots = (classed.groupBy("key", "level").agg(F.min("sid").alias("pivot"), F.count("*").alias("c"))
+              .filter("c > 1").drop("c"))
+    return (classed.join(pivots, ["key", "level"])
             .select("sid", F.concat("pivot", F.encode(F.col("level").cast("string"), "utf-8")).alias("region")).distinct())
 
 
@@ -322,8 +401,7 @@ def links(docs: DataFrame, profile: DataFrame, size: int = SIZE, link: tuple[int
 def components_of(docs: DataFrame, size: int = SIZE, link: tuple[int, int] = LINK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     everything = stored(profiles(docs, frequency_sketch(docs, size), size, link))
-    sets = everything.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    roots = components(links(docs, sets, size, link))
+    roots = components(links(docs, everything, size, link))
     rooted = everything.select("doc_id", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "sid").alias("root"))
     names = rooted.filter("root is not null").groupBy(F.col("root").alias("named")).agg(F.min("doc_id").alias("smallest"))
