@@ -72,6 +72,42 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_table(rows: DataFrame, place, bits: int) -> np.ndarray:
+    """Packed table of 2**bits bits; those at ``place(batch)`` of the rows are set.
+
+    Each part of the table is made by a task of its own, and the table has a
+    fixed size, whatever the rows.
+    """
+    parts = 64
+    width = (1 << bits) // parts
+
+    def deal(batches):
+        for batch in batches:
+            at = np.unique(place(batch))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))],
+                                             ["part", "at"])
+
+    def mark(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                found.setdefault(p, np.zeros(width, bool))[at[part == p]] = True
+        for p, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())],
+                                             ["part", "bits"])
+
+    out = np.zeros((parts, width // 8), np.uint8)
+    dealt = rows.mapInArrow(deal, "part int, at int").repartition(parts, "part")
+    for r in dealt.mapInArrow(mark, "part int, bits binary").collect():       # the parts of the table, once each
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def bits_at(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

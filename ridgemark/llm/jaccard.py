@@ -27,7 +27,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.llm.common import NOT_SPACE, Words, binaries, mix, shingles, signed, stored, text_slices
+from ridgemark.llm.common import (NOT_SPACE, Words, binaries, bit_table, bits_at, mix, shingles, signed, stored,
+                                  text_slices)
 from ridgemark.llm.components import components
 
 SIZE = 4                        # words of a shingle
@@ -157,16 +158,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     A filter of fixed size over the wanted ids, which lets some others pass, is
     broadcast, so few sets are shuffled for the join that decides.
     """
-    def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            if batch.num_rows:
-                bits[_filter_bits(batch.column(0).to_pylist()).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for r in wanted.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
+    bits = bit_table(wanted, lambda batch: _filter_bits(batch.column(0).to_pylist()).ravel(), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -180,7 +172,7 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     continue
                 at = _filter_bits([ids[d] for d in full])
                 good = []
-                for d in full[((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)].tolist():
+                for d in full[bits_at(bits, at).all(1)].tolist():
                     if ids[d] not in known:
                         known.add(ids[d])
                         good.append(d)
@@ -207,15 +199,7 @@ def meeting_rows(profile: DataFrame, link: tuple[int, int]) -> DataFrame:
     """
     twice = profile.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
 
-    def mark(batches):
-        bits = np.zeros(1 << KEY_BITS, bool)
-        for batch in batches:
-            bits[_key_place(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(1 << KEY_BITS >> 3, np.uint8)
-    for r in twice.coalesce(6).mapInArrow(mark, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
+    bits = bit_table(twice, lambda batch: _key_place(batch.column(0).to_numpy()), KEY_BITS)
     shared = profile.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -226,7 +210,7 @@ def meeting_rows(profile: DataFrame, link: tuple[int, int]) -> DataFrame:
             owner = pa.compute.list_parent_indices(lists).to_numpy()
             place = np.arange(len(owner)) - np.searchsorted(owner, owner)
             at = _key_place(keys)
-            met = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+            met = bits_at(bits, at)
             enough = np.bincount(owner[met], minlength=len(n)) > _spare(_least_common(n, link))
             good = np.flatnonzero(met & enough[owner])
             first = place[good] <= (n - _least_common(n, link))[owner[good]]

@@ -23,7 +23,7 @@ from ridgemark.llm.common import held_out, learnable, text_slices
 WIDTH, STEP, FILTERS, HIDDEN = 8, 2, 32, 16
 CHUNK, STRIDE = 256, 224         # positions
 SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
-EPOCHS, RATE, BATCH = 8, 0.004, 48
+STEPS, RATE, BATCH = 600, 0.004, 48
 KEEP = 0.3
 SLICE = 1 << 18
 
@@ -118,22 +118,22 @@ class Network:
                     np.add.at(g["table"][w], (raw[best + w], live), dz[c, live])
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> "Network":
-        r, step = np.random.default_rng(seed), 0
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> "Network":
+        """Steps over batches that hold as many texts of either label."""
+        r = np.random.default_rng(seed)
+        sides = [side for side in (np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)) if len(side)]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for epoch in range(epochs):
-            order = r.permutation(len(texts))
-            rate = RATE * (1 - epoch / epochs)
-            for k in range(0, len(order), BATCH):
-                part = order[k:k + BATCH]
-                offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
-                g = self.gradients(np.frombuffer(b"".join(texts[i] for i in part), np.uint8), offsets, labels[part])
-                step += 1
-                for name, x in g.items():
-                    m[name] += 0.1 * (x - m[name])
-                    v[name] += 0.001 * (x * x - v[name])
-                    self.p[name] -= (rate * (m[name] / (1 - 0.9 ** step)) / (np.sqrt(v[name] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
+        for step in range(1, steps + 1) if sides else ():
+            part = np.concatenate([r.choice(side, BATCH // len(sides)) for side in sides])
+            offsets = np.concatenate([[0], np.cumsum([len(texts[i]) for i in part])])
+            g = self.gradients(np.frombuffer(b"".join(texts[i] for i in part), np.uint8), offsets, labels[part])
+            rate = RATE * (1 - (step - 1) / steps)
+            for name, x in g.items():
+                m[name] += 0.1 * (x - m[name])
+                v[name] += 0.001 * (x * x - v[name])
+                first, second = m[name] / (1 - 0.9 ** step), v[name] / (1 - 0.999 ** step)
+                self.p[name] -= (rate * first / (np.sqrt(second) + 1e-8)).astype(np.float32)
         return self
 
 

@@ -1,32 +1,57 @@
 """The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the next documents."""
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemark.llm import bpe, decontaminate, jaccard, langid, suffixes
-from ridgemark.llm.common import learnable, stored, table
+from ridgemark.llm.common import bit_table, bits_at, learnable, mix, stored, table
 
-MIN_COSINE = 0.05
+FILTER_BITS = 26
+
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts without letters, or like no language, go."""
+    """Documents with a language: null texts and texts without letters go."""
     prototypes = langid.learn(docs.filter(learnable(F.col("doc_id"))))
     judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"))
-    return judged.filter((F.col("_lang_pred_") != langid.UNKNOWN) & (F.col("_score_") >= MIN_COSINE)).select(*docs.columns)
+    return judged.filter(F.col("_lang_pred_") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the smallest doc_id, and one row of repeated ids."""
-    numbered = stored(docs.withColumn("_row_", F.monotonically_increasing_id()))
-    found = jaccard.components_of(numbered.select(F.col("_row_").alias("doc_id"), "text"))
-    grouped = found.join(numbered.select(F.col("_row_").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
-    first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("first")
-    crowds = grouped.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1")
-    gone = (grouped.join(crowds, "component_id").filter(F.col("doc_id") != F.col("first.doc_id"))
-            .select(F.col("doc_id").alias("_row_")))
-    return numbered.join(gone, "_row_", "left_anti").select(*docs.columns)
+    """One document of each component of near copies: the smallest doc_id, and one row of repeated ones.
+
+    Rows are known by a 64-bit hash of id and text. A filter of fixed size lets
+    documents that nothing was decided about pass without a shuffle; only the
+    others meet the table of decisions.
+    """
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
+    keyed = docs.withColumn("_key_", key)
+    known = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                                  F.col("_key_").alias("key")).alias("doc_id"), "text")
+    found = jaccard.components_of(known).filter("n_shingles > 0")
+    decided = stored(found.groupBy(F.col("doc_id.key").alias("_known_"), (F.col("doc_id") != F.col("component_id")).alias("_gone_"))
+                     .count().filter("_gone_ or count > 1").drop("count"))
+    bits = bit_table(decided.select("_known_"), lambda batch: _place(batch.column(0).to_numpy()), FILTER_BITS)
+    shared = spark.sparkContext.broadcast(bits)
+    names = keyed.columns
+
+    def among(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                own = bits_at(shared.value, _place(batch.column(names.index("_key_")).to_numpy()))
+                yield batch.filter(pa.array(own == wanted))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    met = among(True).join(decided, F.col("_key_") == F.col("_known_"), "left")
+    rest = among(False).unionByName(met.filter("_gone_ is null").select(*names))
+    once = met.filter("not _gone_").dropDuplicates(["_key_"]).select(*names)
+    return rest.unionByName(once).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
