@@ -209,6 +209,9 @@ from (select *, {_NP.format(m='least(n_i, n_t)')} as np from sizes) join ranked
 where r <= np group by t_fpid, i_fpid""",
     "lssr_top_matches": f"""with {_HALF}
 select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, sl, r as rank from half""",
+    "lssr_rho": f"""with {_relaxed('least(any_value(n_i), any_value(matched), 2 * count(*)) / 2')}
+select t_fpid, i_fpid, any_value(nr) as nr, {rounded("sum(rho)", 3)} as rho_sum
+from rho join nrs using (t_fpid, i_fpid) group by t_fpid, i_fpid""",
     "score_lssr": f"with {_relaxed('least(any_value(n_i), any_value(matched), 2 * count(*)) / 2')} {_RELAXED_SCORE}",
     "score_lssr_improved": f"with {_relaxed('least(any_value(n_i), any_value(matched), count(*))')} {_RELAXED_SCORE}",
 }

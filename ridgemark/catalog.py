@@ -10,6 +10,7 @@ from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
 from ridgemark.operators import jiang as J
 from ridgemark.operators.align import box_matches, top_matches
+from ridgemark.operators.relax import rho_sums
 from ridgemark.plans import enrol as P
 from ridgemark.plans import evaluate as E
 from ridgemark.plans.enrol import build_local_structures, enrol
@@ -108,6 +109,10 @@ def lssr_top_matches(spark, sf_dir):
         "t_fpid", "i_fpid", "m.t_lsid", "m.i_lsid", "m.sl", (F.col("rank") + 1).alias("rank"))
 
 
+def lssr_rho(spark, sf_dir):
+    return rho_sums(C.lssr_pairs(*sides(spark, sf_dir, "cylinder")))
+
+
 def genuine_impostor_split(spark, sf_dir):
     own, other = E.split_scores(local_scores(spark, sf_dir), X.probe_lists(spark, sf_dir)[0])
     return own.withColumn("side", F.lit("genuine")).unionByName(other.withColumn("side", F.lit("impostor")))
@@ -281,7 +286,7 @@ def array_functions(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     fixture_minutiae, fingerprint_counts, knn_neighbours, jiang_features, jiang_local_matches, jiang_seeds,
     jiang_box_join, convex_hull_edges, cylinder_cells, cylinder_features, cylinder_local_matches, np_pairs,
-    lssr_top_matches, genuine_impostor_split, rank1_identification, tp_count, detailed_results, far_threshold,
+    lssr_top_matches, lssr_rho, genuine_impostor_split, rank1_identification, tp_count, detailed_results, far_threshold,
     far_threshold_min, fnr_at_far, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
     genuine_rules, angle_functions, geometry_functions, array_functions)}
 QUERIES.update({f"score_{name}": score_query(name) for name in SCORES})

@@ -14,10 +14,11 @@ from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import rounded
 from ridgemark.operators.jiang import (_BLOCK_PAIRS, _columns, _pairs, broadcast_probes,
                                        flat_structures, jiang_matches, similarity, similarity_of)
-from ridgemark.operators.probes import cut, probe_size
+from ridgemark.operators.probes import cut, probe_blocks, probe_shape
 from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, MAX_BROADCAST_LS, SEEDS
 
 PAIR = ("t_fpid", "i_fpid")
+SALTS = 16
 _SCHEMA = "t_fpid string, i_fpid string, total bigint, size bigint"
 
 
@@ -49,9 +50,20 @@ def greedy_total(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
     return total
 
 
+def _within(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of distances that differ by less than the bound, from a sorted side."""
+    order = np.argsort(q, kind="stable")
+    low = np.searchsorted(q[order], p - ALIGN_DIST - 1e-6)
+    n = np.searchsorted(q[order], p + ALIGN_DIST + 1e-6) - low
+    a = np.repeat(np.arange(len(p)), n)
+    b = order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    near = np.abs(p[a] - q[b]) < ALIGN_DIST
+    return a[near], b[near]
+
+
 def _seed_total(t, i, t_span, i_span, seed_t, seed_i) -> int:
     ft, fi = aligned(t, t_span, seed_t), aligned(i, i_span, seed_i)
-    a, b = np.nonzero(np.abs(ft[0][:, None] - fi[0]) < ALIGN_DIST)
+    a, b = _within(ft[0], fi[0])
     near = (np.abs(ft[1][a] - fi[1][b]) < ALIGN_ANGLE) & (np.abs(ft[2][a] - fi[2][b]) < ALIGN_ANGLE)
     a, b = a[near] + t_span.start, b[near] + i_span.start
     return greedy_total(t["lsid"][a], i["lsid"][b], 1_000_000 + similarity_of(t, i, a, b))
@@ -93,17 +105,21 @@ def _batches(probes):
 def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Score rows of all pairs with a seed.
 
-    A narrow map over whole fingerprints; those stored in several chunks, and
-    probe sets too large to broadcast, take the joins below.
+    A narrow map over whole fingerprints and bounded blocks of probes; templates
+    stored in several chunks, and sets with a probe beyond the bound, take the
+    joins below.
     """
     whole = templates.filter("n_chunks = 1")
     chunked = templates.filter("n_chunks > 1")
-    if probe_size(inputs) > MAX_BROADCAST_LS["jiang"]:
+    size, largest = probe_shape(inputs)
+    if largest > MAX_BROADCAST_LS["jiang"]:
         totals = assignment_totals(box_matches(templates, inputs))
     else:
-        totals = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(broadcast_probes(inputs)), _SCHEMA)
-        if chunked.limit(1).count():
-            totals = totals.unionByName(assignment_totals(box_matches(chunked, inputs)))
+        totals = assignment_totals(box_matches(chunked, inputs)) if chunked.limit(1).count() else None
+        for table in probe_blocks(inputs, MAX_BROADCAST_LS["jiang"], size):
+            probes = broadcast_probes(inputs.sparkSession, table)
+            part = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(probes), _SCHEMA)
+            totals = part if totals is None else totals.unionByName(part)
     return totals.select(*PAIR, rounded(F.col("total") / (F.col("size") * F.lit(2e6))).alias("score"))
 
 
@@ -130,7 +146,8 @@ def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Aligned pairs ``t_lsid, i_lsid, weight`` of every seed (``rank``) of a pair.
 
     Minutiae within the box lie in the same or adjacent distance rings around
-    their seeds, so this is an equality join per probe seed and ring.
+    their seeds, so this is an equality join per probe seed and ring. A seed
+    that many templates share is salted by template.
     """
     seeds = top_matches(jiang_matches(templates, inputs), SEEDS)
     key = [*PAIR, "n_t", "n_i", "rank", F.col("i_lsid").alias("seed")]
@@ -142,8 +159,9 @@ def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     i_side = _aligned(i_seeds.join(flat_structures(inputs, "i_").drop("n_i"), "i_fpid"), "i_")
     ring = F.floor(F.col("t_far") / ALIGN_DIST)
     rings = F.floor(F.col("i_far") / ALIGN_DIST)
-    near = (t_side.withColumn("ring", ring)
-            .join(i_side.withColumn("ring", F.explode(F.sequence(rings - 1, rings + 1))), ["i_fpid", "seed", "ring"])
+    salted = i_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = (t_side.withColumn("ring", ring).withColumn("salt", F.pmod(F.xxhash64("t_fpid"), F.lit(SALTS)).cast("int"))
+            .join(salted.withColumn("ring", F.explode(F.sequence(rings - 1, rings + 1))), ["i_fpid", "seed", "ring", "salt"])
             .filter((F.abs(F.col("t_far") - F.col("i_far")) < ALIGN_DIST)
                     & (F.abs(F.col("t_bearing") - F.col("i_bearing")) < ALIGN_ANGLE)
                     & (F.abs(F.col("t_turn") - F.col("i_turn")) < ALIGN_ANGLE)))

@@ -12,7 +12,7 @@ from ridgemark.functions.numeric import array_sum, np_expr, rounded
 from ridgemark.operators.align import PAIR, alignment_scores
 from ridgemark.operators.cylinder import cylinder_summaries, half
 from ridgemark.operators.jiang import jiang_matches, local_totals
-from ridgemark.operators.probes import probe_size
+from ridgemark.operators.probes import probe_blocks, probe_shape
 from ridgemark.operators.relax import relaxation_scores
 from ridgemark.settings import IMPROVED_TOP, MAX_BROADCAST_LS, NP_MIN
 
@@ -30,12 +30,17 @@ def score_jiang_local(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     aggregates for templates in chunks and for large probe sets.
     """
     chunked = templates.filter("n_chunks > 1")
-    if probe_size(inputs) <= MAX_BROADCAST_LS["jiang"]:
-        whole = local_totals(templates.filter("n_chunks = 1"), inputs)
-        if not chunked.limit(1).count():
-            return _local_score(whole)
-        return _local_score(whole).unionByName(_local_score(_joined_totals(chunked, inputs)))
-    return _local_score(_joined_totals(templates, inputs))
+    bound = MAX_BROADCAST_LS["jiang"]
+    size, largest = probe_shape(inputs)
+    if largest > bound:
+        return _local_score(_joined_totals(templates, inputs))
+    some = bool(chunked.limit(1).count())
+    whole = templates.filter("n_chunks = 1") if some else templates
+    out = _joined_totals(chunked, inputs) if some else None
+    for table in probe_blocks(inputs, bound, size):
+        part = local_totals(whole, table)
+        out = part if out is None else out.unionByName(part)
+    return _local_score(out)
 
 
 def _joined_totals(templates: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -131,11 +136,16 @@ def score_nb(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int |
     return _top_mean(df, _checked(np_expr(F.col("n_t"), F.col("n_i"), np_fn), most))
 
 
-def score_lssr(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Relaxation over half as many matches as the smaller side has."""
+def lssr_pairs(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Summaries with the matches that relaxation retains."""
     df = summaries(templates, inputs, half)
     nr = F.floor(F.least("n_i", "matched", 2 * F.size("top")) / 2)
-    return relaxation_scores(df.withColumn("nr", nr.cast("int")))
+    return df.withColumn("nr", nr.cast("int"))
+
+
+def score_lssr(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Relaxation over half as many matches as the smaller side has."""
+    return relaxation_scores(lssr_pairs(templates, inputs))
 
 
 def score_lssr_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:

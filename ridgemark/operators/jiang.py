@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import millionths
 from ridgemark.operators.arrow import struct_fields, struct_lists
-from ridgemark.operators.probes import probe_size, salted_join
+from ridgemark.operators.probes import probe_blocks
 from ridgemark.settings import (ANGLE_WEIGHT, BOX_TH, BOX_X, BOX_Y, MAX_BROADCAST_LS, MAX_DIST,
                                 MIN_DIST, NEIGHBOURS, SUM_BOUND)
 
@@ -141,16 +141,6 @@ def similarity(a: str, b: str) -> tuple[Column, Column]:
     return (total < SUM_BOUND * (1 - 4.99e-7)) & box, millionths(1 - total / SUM_BOUND)
 
 
-def _ring(prefix: str) -> Column:
-    """Bucket of the summed neighbour distances, half the similarity bound wide.
-
-    Two structures within the bound lie at most two buckets apart, so the
-    similarity join is an equality join on this bucket.
-    """
-    total = sum((F.col(f"{prefix}d{k}") for k in K), F.lit(0.0))
-    return F.floor(total / (SUM_BOUND / 2))
-
-
 MATCH_SCHEMA = ("t_fpid string, n_t bigint, t_lsid int, t_x int, t_y int, t_th int, "
                 "i_fpid string, n_i bigint, i_lsid int, i_x int, i_y int, i_th int, sl bigint")
 _NUMBERS = ("lsid", "x", "y", "th") + tuple(f"d{k}" for k in K) + tuple(ANGLES)
@@ -207,7 +197,7 @@ def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
     """Positions of the best match of each (template structure, probe)."""
     order = np.lexsort((lsid[b], sl, owner[b], a))
     last = np.append((np.diff(a[order]) != 0) | (np.diff(owner[b[order]]) != 0), True)
-    return order[last]
+    return order[last[:len(order)]]
 
 
 def _match_batches(probes, best: bool):
@@ -242,9 +232,9 @@ def _row_blocks(starts: np.ndarray, goal: int):
         first = last
 
 
-def local_totals(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """``t_fpid, n_t, i_fpid, total`` of whole templates: summed best matches, without a shuffle."""
-    probes = broadcast_probes(inputs)
+def local_totals(templates: DataFrame, table: pa.Table) -> DataFrame:
+    """``t_fpid, n_t, i_fpid, total`` of whole templates and a block of whole probes, without a shuffle."""
+    probes = broadcast_probes(templates.sparkSession, table)
 
     def run(batches):
         i_fpid, _, i_row, i = probes.value
@@ -284,41 +274,31 @@ def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False,
     similarity, then the highest probe structure.
 
     A probe set within the checked bound is broadcast to a narrow map over
-    the template rows. A larger one is matched by a shuffled join.
+    the template rows. A larger one goes in blocks, and so does a large probe.
     """
-    if probe_size(inputs) > bound:
-        matches = joined_matches(templates, inputs)
-        return best_per_template(matches) if best else matches
-    probes = broadcast_probes(inputs)
-    return templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
+    found, blocks = None, 0
+    for table in probe_blocks(inputs, bound, keys=("fpid", "chunk")):
+        probes = broadcast_probes(inputs.sparkSession, table)
+        part = templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
+        found, blocks = part if found is None else found.unionByName(part), blocks + 1
+    return best_per_template(found) if best and blocks > 1 else found
 
 
-def broadcast_probes(inputs: DataFrame):
-    """The probe set as (ids, sizes, owner per structure, fields), by (id, structure).
+def broadcast_probes(spark, table: pa.Table):
+    """A block of probes as (ids, sizes, owner per structure, fields), by (id, structure).
 
     Chunks of one large probe come together again here.
     """
-    table = inputs.select("fpid", "n_ls", "ls").toArrow().combine_chunks()
     ids, owners = np.unique(table["fpid"].to_numpy(), return_inverse=True)
     sizes = np.zeros(len(ids), dtype=np.int64)
     sizes[owners] = table["n_ls"].to_numpy()
     rows, fields = _columns(table["ls"].combine_chunks())
     order = np.lexsort((fields["lsid"], owners[rows]))
-    return inputs.sparkSession.sparkContext.broadcast(
+    return spark.sparkContext.broadcast(
         (pa.array(ids, pa.string()), pa.array(sizes), owners[rows][order],
          {name: v[order] for name, v in fields.items()}))
 
 
-def joined_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """The same matches by an equality join on salted distance buckets."""
-    t = flat_structures(templates, "t_").withColumn("ring", _ring("t_"))
-    i = (flat_structures(inputs, "i_").withColumn("ring", _ring("i_"))
-         .withColumn("ring", F.explode(F.expr("sequence(ring - 2, ring + 2)"))))
-    condition, sl = similarity("t_", "i_")
-    names = [f.split()[0] for f in MATCH_SCHEMA.split(", ")]
-    return salted_join(t, i, "ring", condition).withColumn("sl", sl).select(names)
-
-
 def best_per_template(matches: DataFrame) -> DataFrame:
     """The ``best`` matches of a joined set.
 

@@ -4,29 +4,34 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def probe_size(inputs: DataFrame) -> int:
-    """Local structures in a probe set (one small aggregate)."""
-    return inputs.agg(F.sum(F.size("ls"))).first()[0] or 0
+def probe_shape(inputs: DataFrame) -> tuple[int, int]:
+    """Local structures in a probe set and in its largest probe (one small aggregate)."""
+    sizes = inputs.groupBy("fpid").agg(F.sum(F.size("ls")).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    return total or 0, largest or 0
 
 
-def probe_blocks(inputs: DataFrame, bound: int) -> Iterator[pa.Table]:
+def probe_blocks(inputs: DataFrame, bound: int, size: int | None = None, keys: tuple[str, ...] = ("fpid",)) -> Iterator[pa.Table]:
     """The probe set as tables of about ``bound`` local structures each.
 
     Most probe sets are one block. A larger one is split by a hash of the
-    probe id, and each block is one more scan of the templates, so that no
-    broadcast ever grows with the probe set.
+    probe id (with ``keys`` fpid and chunk, large probes are split too), and
+    each block is one more scan of the templates, so that no broadcast ever
+    grows with the probe set.
     """
-    columns = inputs.select("fpid", "n_ls", "ls")
-    size = probe_size(inputs)
+    columns = inputs.select("fpid", "n_ls", "ls", *[k for k in keys if k != "fpid"])
+    size = probe_shape(inputs)[0] if size is None else size
     blocks = 1 if size <= bound else math.ceil(2 * size / bound)
     for b in range(blocks):
         part = columns if blocks == 1 else columns.filter(
-            F.pmod(F.xxhash64("fpid"), F.lit(blocks)) == b)
-        yield part.toArrow().combine_chunks()
+            F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
+        table = part.toArrow().combine_chunks()
+        if table.num_rows or blocks == 1:
+            yield table
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,16 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("large fingerprints need spark.checkpoint.dir, a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def salted_join(templates: DataFrame, probes: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Shuffled equality join on ``key`` under ``condition``.
-
-    Few keys hold most rows, so template rows are salted over enough values to
-    occupy every shuffle task and the probe rows are copied once per salt.
-    """
-    spark = templates.sparkSession
-    salts = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = templates.withColumn("salt", F.pmod(F.xxhash64("t_fpid", "t_lsid"), F.lit(salts)).cast("int"))
-    copied = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copied, [key, "salt"]).filter(condition).drop("salt")

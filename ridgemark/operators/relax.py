@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.functions.numeric import np_expr, rounded
+from ridgemark.functions.numeric import np_expr, rho_expr, rounded
 from ridgemark.operators.arrow import struct_fields
 from ridgemark.operators.cylinder import radians_of
 from ridgemark.settings import RELAX_ROUNDS, RELAX_WEIGHT, RHO_ANGLE, RHO_DIST
@@ -23,23 +23,23 @@ def _sigmoid(v, mu, tau):
     return 1 / (1 + np.exp(tau * (mu - v)))
 
 
-def _relations(x, y, th) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance, turn and direction from each minutia to each other one."""
+def _relations(x, y, th, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, turn and direction from the minutiae of ``rows`` to each other one."""
     rad = radians_of(th)
-    dx, dy = x[:, None, :] - x[:, :, None], y[:, :, None] - y[:, None, :]
-    return (np.sqrt((dx * dx + dy * dy).astype(float)), _turn(rad[:, :, None] - rad[:, None, :]),
-            _turn(rad[:, :, None] - np.arctan2(dy.astype(float), dx.astype(float))))
+    dx, dy = x[:, None, :] - x[:, rows, None], y[:, rows, None] - y[:, None, :]
+    return (np.sqrt((dx * dx + dy * dy).astype(float)), _turn(rad[:, rows, None] - rad[:, None, :]),
+            _turn(rad[:, rows, None] - np.arctan2(dy.astype(float), dx.astype(float))))
 
 
-def compatibility(m: dict[str, np.ndarray]) -> np.ndarray:
-    """ρ of all pairs of matches: do both sides relate the same way?
+def compatibility(m: dict[str, np.ndarray], rows: slice = slice(None)) -> np.ndarray:
+    """ρ of the matches of ``rows`` with all matches: do both sides relate the same way?
 
     Arrays are (fingerprint pairs, matches).
     """
     length, turn, direction = (
         t - i if n == 0 else _turn(t - i)
-        for n, (t, i) in enumerate(zip(_relations(m["t_x"], m["t_y"], m["t_th"]),
-                                       _relations(m["i_x"], m["i_y"], m["i_th"]))))
+        for n, (t, i) in enumerate(zip(_relations(m["t_x"], m["t_y"], m["t_th"], rows),
+                                       _relations(m["i_x"], m["i_y"], m["i_th"], rows))))
     return (_sigmoid(np.abs(length), *RHO_DIST) * _sigmoid(np.abs(turn), *RHO_ANGLE)
             * _sigmoid(np.abs(direction), *RHO_ANGLE))
 
@@ -64,6 +64,22 @@ def relax(m: dict[str, np.ndarray], nr: np.ndarray, n_p: np.ndarray) -> np.ndarr
     return np.where(np.arange(width) < n_p[:, None], best, 0).sum(axis=1) / n_p
 
 
+def _relax_rows(m: dict[str, np.ndarray], nr: int, n_p: int) -> float:
+    """``relax`` of one pair with many matches: ρ is made anew in blocks of rows, and never held whole."""
+    own = {n: v[None, :nr] for n, v in m.items()}
+    start = m["sl"][:nr] / 1e6
+    value, step = start, max(1, _BLOCK_VALUES // nr)
+    for _ in range(RELAX_ROUNDS):
+        sums = np.empty(nr)
+        for lo in range(0, nr, step):
+            rho = compatibility(own, slice(lo, lo + step))[0]
+            rho[np.arange(len(rho)), lo + np.arange(len(rho))] = 0
+            sums[lo:lo + step] = rho @ value
+        value = RELAX_WEIGHT * value + (1 - RELAX_WEIGHT) / (nr - 1) * sums
+    order = np.argsort(value / start, kind="stable")[::-1][:min(n_p, nr)]
+    return float(value[order].sum() / len(order))
+
+
 def _batches(batches):
     for batch in batches:
         offsets, m = struct_fields(batch["top"], _FIELDS)
@@ -72,6 +88,11 @@ def _batches(batches):
         order = np.argsort(nr, kind="stable")
         lo = 0
         while lo < len(order):
+            if int(nr[order[lo]]) ** 2 > _BLOCK_VALUES:
+                r = order[lo]
+                scores[r] = _relax_rows({n: v[offsets[r]:offsets[r + 1]] for n, v in m.items()}, int(nr[r]), int(n_p[r]))
+                lo += 1
+                continue
             # Rows of similar width together, so that padding stays small.
             hi = lo + 1
             while hi < len(order) and (hi - lo + 1) * int(nr[order[hi]]) ** 2 <= _BLOCK_VALUES:
@@ -85,6 +106,20 @@ def _batches(batches):
                                          names=["t_fpid", "i_fpid", "score"])
 
 
+def rho_sums(pairs: DataFrame) -> DataFrame:
+    """``t_fpid, i_fpid, nr, rho_sum``: summed ρ over the ordered pairs of different retained matches."""
+    used = pairs.filter("nr > 1").select("t_fpid", "i_fpid", "nr", F.slice("top", 1, F.col("nr")).alias("m"))
+    first = used.select("t_fpid", "i_fpid", "nr", "m", F.posexplode("m").alias("ra", "a"))
+    both = first.select("t_fpid", "i_fpid", "nr", "ra", "a", F.posexplode("m").alias("rb", "b")).filter("ra != rb")
+
+    def side(c, s):
+        return F.struct(*[F.col(f"{c}.{s}_{n}").alias(n) for n in ("x", "y", "th")])
+
+    rho = rho_expr(side("a", "t"), side("a", "i"), side("b", "t"), side("b", "i"))
+    return both.groupBy("t_fpid", "i_fpid", "nr").agg(F.sum(rho).alias("s")).select(
+        "t_fpid", "i_fpid", "nr", rounded(F.col("s"), 3).alias("rho_sum"))
+
+
 def relaxation_scores(pairs: DataFrame) -> DataFrame:
     """Scores of rows ``t_fpid, i_fpid, n_i, matched, nr, top``; nr = 0 gives none."""
     ready = pairs.filter("nr > 0").select(

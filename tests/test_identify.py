@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ridgemark.catalog import QUERIES
 from ridgemark.operators import consolidate
-from ridgemark.operators.jiang import best_per_template, jiang_matches, joined_matches
+from ridgemark.operators.jiang import best_per_template, jiang_matches
+from ridgemark.operators import relax as relax_module
 from ridgemark.operators.relax import relax
 from ridgemark.plans import evaluate as E
 from ridgemark.plans import store
 from ridgemark.plans.enrol import build_local_structures, enrol
 from ridgemark.plans.identify import SCORES, identify
+from ridgemark.settings import MAX_BROADCAST_LS
 from ridgemark.sources import fixture as X
 from ridgemark.sources.minutiae import group_minutiae, merge_records, parse_minutiae, union_prints
 from ridgemark.sources.scores import parse_scores
@@ -122,11 +124,44 @@ def test_relaxation_by_loop():
         assert got[p] == pytest.approx(np.mean([value[j] for j in best]))
 
 
-def test_joined_matches_equal_the_map(data):
-    joined = joined_matches(*data["jiang"])
-    assert rows(joined) == rows(jiang_matches(*data["jiang"]))
-    best = best_per_template(joined)
-    assert rows(best) == rows(jiang_matches(*data["jiang"], best=True).select(best.columns))
+def test_probe_blocks_equal_the_whole_set(data):
+    """Small bounds split the probe set, and large probes, over several blocks."""
+    t, i = data["jiang"]
+    whole = jiang_matches(t, i)
+    assert rows(jiang_matches(t, i, bound=100)) == rows(whole)
+    best = best_per_template(whole)
+    for bound in (100, 10**6):
+        assert rows(jiang_matches(t, i, best=True, bound=bound).select(best.columns)) == rows(best)
+
+
+def test_scores_of_probe_blocks(data, scores, monkeypatch):
+    monkeypatch.setitem(MAX_BROADCAST_LS, "jiang", 100)
+    for name in ("jiang", "jiang_local"):
+        assert rows(identify(*data["jiang"], "jiang", name)) == rows(scores[name])
+
+
+def test_relaxation_of_large_pairs_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 40
+    m = {k: rng.integers(0, 300, n) for k in ("t_x", "t_y", "i_x", "i_y")}
+    m.update({k: rng.integers(-128, 128, n) for k in ("t_th", "i_th")}, sl=rng.integers(1, 10**6, n))
+    want = relax({k: v[None] for k, v in m.items()}, np.array([n]), np.array([5]))[0]
+    monkeypatch.setattr(relax_module, "_BLOCK_VALUES", 200)
+    assert relax_module._relax_rows(m, n, 5) == pytest.approx(want, rel=1e-9)
+
+
+def test_relaxation_of_twenty_thousand_matches_is_bounded():
+    """One block of rows at a time: the largest array stays near the block size."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    n = 10_000                      # half of 20,000 minutiae are relaxed
+    m = {k: rng.integers(0, 5000, n) for k in ("t_x", "t_y", "i_x", "i_y")}
+    m.update({k: rng.integers(-128, 128, n) for k in ("t_th", "i_th")}, sl=rng.integers(1, 10**6, n))
+    own = {k: v[None] for k, v in m.items()}
+    tracemalloc.start()
+    relax_module.compatibility(own, slice(0, relax_module._BLOCK_VALUES // n))
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
 
 
 def test_scores_do_not_depend_on_partitioning(data, scores):
