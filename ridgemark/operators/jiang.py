@@ -23,23 +23,42 @@ _LS_FIELDS = (["lsid int", "x int", "y int", "th int"] + [f"d{k} double" for k i
 SCHEMA = f"fpid string, n_ls bigint, ls array<struct<{', '.join(f.replace(' ', ':') for f in _LS_FIELDS)}>>"
 
 
-def nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, neighbour, squared distance) of the nearest minutiae of one print.
+def nearest(x: np.ndarray, y: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, neighbour, squared distance) of the nearest minutiae inside each print.
 
-    Neighbours at one distance collapse to the last of them. Owners without
-    four distinct distances are left out; the others have four rows each.
+    Owner and neighbour are places in ``x``. Neighbours at one distance collapse
+    to the last of them. Owners without four distinct distances are left out;
+    the others have four rows each. Prints of similar size are padded into one block.
     """
-    n = len(x)
-    d2 = np.square(x[:, None] - x) + np.square(y[:, None] - y)
-    np.fill_diagonal(d2, np.iinfo(np.int64).max // (2 * n))
-    order = np.sort(d2 * n + np.arange(n - 1, -1, -1), axis=1)[:, :-1]
-    dist, near = order // n, n - 1 - order % n
-    first = np.ones(dist.shape, dtype=bool)
-    first[:, 1:] = dist[:, 1:] != dist[:, :-1]
-    rank = np.cumsum(first, axis=1)
-    pick = first & (rank <= NEIGHBOURS) & (rank[:, -1:] >= NEIGHBOURS)
-    owner, at = np.nonzero(pick)
-    return owner, near[owner, at], dist[owner, at]
+    sizes, found, lo = np.diff(offsets), [], 0
+    by_size = np.argsort(sizes, kind="stable")
+    by_size = by_size[sizes[by_size] > 0]
+    while lo < len(by_size):
+        hi = lo + 1
+        while hi < len(by_size) and (hi - lo + 1) * int(sizes[by_size[hi]]) ** 2 <= _BLOCK_PAIRS:
+            hi += 1
+        rows, width = by_size[lo:hi], int(sizes[by_size[hi - 1]])
+        lo = hi
+        place = np.arange(width)
+        used = place < sizes[rows][:, None]
+        at = offsets[rows][:, None] + np.minimum(place, sizes[rows][:, None] - 1)
+        bx, by = x[at], y[at]
+        none = np.iinfo(np.int64).max // (2 * width)
+        d2 = np.square(bx[:, :, None] - bx[:, None, :]) + np.square(by[:, :, None] - by[:, None, :])
+        d2[~(used[:, :, None] & used[:, None, :])] = none
+        d2[:, place, place] = none
+        order = np.sort(d2 * width + place[::-1], axis=2)
+        dist, near = order // width, width - 1 - order % width
+        first = dist < none
+        first[:, :, 1:] &= dist[:, :, 1:] != dist[:, :, :-1]
+        rank = np.cumsum(first, axis=2)
+        f, owner, k = np.nonzero(first & (rank <= NEIGHBOURS) & (rank[:, :, -1:] >= NEIGHBOURS))
+        found.append((at[f, owner], at[f, near[f, owner, k]], dist[f, owner, k]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    owner, near, d2 = (np.concatenate(c) for c in zip(*found))
+    back = np.argsort(owner, kind="stable")
+    return owner[back], near[back], d2[back]
 
 
 def neighbour_rows(prints: DataFrame) -> DataFrame:
@@ -47,14 +66,12 @@ def neighbour_rows(prints: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y"))
-            for r, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
-                x, y = (m[n][lo:hi].astype(np.int64) for n in ("x", "y"))
-                owner, near, d2 = nearest(x, y)
-                idx = m["idx"][lo:hi]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch["fpid"][r], len(owner)), pa.array(idx[owner]),
-                     pa.array(np.tile(np.arange(1, NEIGHBOURS + 1, dtype=np.int32), len(owner) // NEIGHBOURS)),
-                     pa.array(idx[near]), pa.array(d2)], names=["fpid", "idx", "k", "neighbour", "d2"])
+            owner, near, d2 = nearest(m["x"].astype(np.int64), m["y"].astype(np.int64), offsets)
+            prints_of = pa.array(np.searchsorted(offsets, owner, "right") - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch["fpid"].take(prints_of), pa.array(m["idx"][owner]),
+                 pa.array(np.tile(np.arange(1, NEIGHBOURS + 1, dtype=np.int32), len(owner) // NEIGHBOURS)),
+                 pa.array(m["idx"][near]), pa.array(d2)], names=["fpid", "idx", "k", "neighbour", "d2"])
 
     return prints.select("fpid", "minutiae").mapInArrow(
         run, "fpid string, idx int, k int, neighbour int, d2 bigint")
@@ -82,15 +99,9 @@ def _feature_batches(batches):
     for batch in batches:
         offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y", "th"))
         m = {name: v.astype(np.int64) for name, v in m.items()}
-        parts, lengths = [], []
-        for lo, hi in zip(offsets[:-1], offsets[1:]):
-            one = {name: v[lo:hi] for name, v in m.items()}
-            found = vectors(one, *nearest(one["x"], one["y"]))
-            parts.append(found)
-            lengths.append(len(found["lsid"]))
-        if not parts:
-            continue
-        fields = {name: pa.array(np.concatenate([p[name] for p in parts])) for name in parts[0]}
+        owner, near, d2 = nearest(m["x"], m["y"], offsets)
+        lengths = np.diff(np.searchsorted(owner[::NEIGHBOURS], offsets))
+        fields = {name: pa.array(v) for name, v in vectors(m, owner, near, d2).items()}
         yield pa.RecordBatch.from_arrays(
             [batch["fpid"], pa.array(lengths, pa.int64()), struct_lists(lengths, fields)],
             names=["fpid", "n_ls", "ls"])
