@@ -25,13 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgemark.llm.common import worker_cache
+
 SUFFIX = "</w>"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 SPACE = regex.compile(r"\p{White_Space}+")
 # Characters that str.split() takes for white space and the tokenizer does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 WINDOW = 256
-CACHE = 300_000
+CACHE = 150_000
 BITS = 20
 MASK = (1 << BITS) - 1
 NEVER = 1 << 62
@@ -230,16 +232,14 @@ class TokenMachine:
         return out
 
 
-_loaded: dict = {}
-
-
 def _worker(shared):
     """Encoder and token strings of this Python worker, built once."""
-    if "encoder" not in _loaded:
+    kept = worker_cache("bpe")
+    if "encoder" not in kept:
         merges = Merges(*shared.value)
-        _loaded["encoder"] = Encoder(merges)
-        _loaded["shown"] = {i: t.encode() for i, t in merges.text.items()}
-    return _loaded["encoder"], _loaded["shown"]
+        kept["encoder"] = Encoder(merges)
+        kept["shown"] = {i: t.encode() for i, t in merges.text.items()}
+    return kept["encoder"], kept["shown"]
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

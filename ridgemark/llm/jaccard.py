@@ -36,7 +36,7 @@ LINK = (85, 100)                # least intersection over union
 SKETCH_BITS = 18
 FILTER_BITS = 24
 KEY_BITS = 26
-REGION = 2_000_000              # shingles that one task finishes
+REGION = 500_000              # shingles that one task finishes
 ROUNDS = 4
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.llm.common import held_out, learnable, mix
+from ridgemark.llm.common import held_out, learnable, mix, worker_cache
 
 DIMENSIONS = 512
 N = 3
@@ -41,13 +41,11 @@ def _letter_table() -> np.ndarray:
     return points
 
 
-_cache: dict = {}
-
-
 def letters() -> np.ndarray:
-    if "letters" not in _cache:
-        _cache["letters"] = _letter_table()
-    return _cache["letters"]
+    kept = worker_cache("langid")
+    if "letters" not in kept:
+        kept["letters"] = _letter_table()
+    return kept["letters"]
 
 
 def letter_vector(code: int) -> np.ndarray:
@@ -60,7 +58,7 @@ def letter_vector(code: int) -> np.ndarray:
 class Vectors:
     """Vectors of n-grams, made when first met; the memory is bounded and starts anew when full."""
 
-    def __init__(self, bound: int = 40_000):
+    def __init__(self, bound: int = 16_000):
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.bound = bound
@@ -124,9 +122,10 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors() -> Vectors:
-    if "vectors" not in _cache:
-        _cache["vectors"] = Vectors()
-    return _cache["vectors"]
+    kept = worker_cache("langid")
+    if "vectors" not in kept:
+        kept["vectors"] = Vectors()
+    return kept["vectors"]
 
 
 def bundle(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -1,10 +1,12 @@
 """The registered queries of the text operators and their SQL."""
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgemark.llm import bpe, chat, decontaminate, jaccard, langid, licenses, quality, rules, suffixes, urls
-from ridgemark.llm.common import table
+from ridgemark.llm.common import small_batches, table
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,15 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (
+def _bounded(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (
     op1_preference_format, op2_byte_convolution, op3_suffix_levels, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules,
     op8_metric_jaccard, op9_license_positions, op10_spaced_seeds)}
 SQL: dict[str, str] = {"op1_preference_format": chat.oracle(),

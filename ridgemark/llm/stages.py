@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemark.llm import bpe, decontaminate, jaccard, langid, suffixes
-from ridgemark.llm.common import bit_table, bits_at, learnable, mix, stored, table
+from ridgemark.llm.common import bit_table, bits_at, learnable, mix, small_batches, stored, table
 
 FILTER_BITS = 26
 
@@ -18,6 +18,7 @@ def _place(keys: np.ndarray) -> np.ndarray:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: null texts and texts without letters go."""
+    small_batches(spark)
     prototypes = langid.learn(docs.filter(learnable(F.col("doc_id"))))
     judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"))
     return judged.filter(F.col("_lang_pred_") != langid.UNKNOWN).select(*docs.columns)
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     documents that nothing was decided about pass without a shuffle; only the
     others meet the table of decisions.
     """
+    small_batches(spark)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
     keyed = docs.withColumn("_key_", key)
     known = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
@@ -56,14 +58,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that other places of the corpus repeat."""
+    small_batches(spark)
     return suffixes.cut_texts(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents left."""
+    small_batches(spark)
     return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))

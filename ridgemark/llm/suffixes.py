@@ -26,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.llm.common import Spans, mix, signed, stored, text_slices
+from ridgemark.llm.common import Spans, bit_table, bits_at, mix, signed, stored, text_slices
 
 LENGTH = 200
 GRAM = 32
 BATCHES = 4
 FILTER_BITS = 24
+GATHER = 200_000               # entries that a task looks through for repeats
 GROUP = 20_000                 # blocks of one anchor that one task resolves
-ENTRY = "key long, block long, tid long, start int, windows int"
-FOUND = "kind int, " + ENTRY
-MATCH, MEETING, LEVEL = 0, 1, 2
+FOUND = "kind int, key long, block long, tid long, start int, windows int"
+MATCH, MEETING, LEVEL, ENTRY_ROW = 0, 1, 2, 3
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,35 +76,60 @@ class Blocks:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """The suffix entries of texts given as (tid, text)."""
+    """The suffix entries of texts given as (tid, text).
+
+    Blocks that occur twice among GATHER entries of a task are matches already: they
+    are told at once, and one entry of each goes on. So a passage that a large
+    part of the corpus holds sends few entries to the task that scans its
+    anchor. Told entries are dealt out by their own place.
+    """
     def run(batches):
-        for batch in batches:
-            tids = batch.column(0).to_numpy()
-            for row, data, offsets in text_slices(batch.column(1)):
+        parts, held = [], 0
+        for batch in _with_end(batches):
+            tids = batch.column(0).to_numpy() if batch is not None else None
+            for row, data, offsets in text_slices(batch.column(1)) if batch is not None else ():
                 b = Blocks(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(b.key)), pa.array(signed(b.block)), pa.array(tids[row + b.text]),
-                     pa.array((b.start - offsets[b.text]).astype(np.int32)), pa.array((b.end - b.start + 1).astype(np.int32))],
-                    ["key", "block", "tid", "start", "windows"])
+                parts.append((b.key, b.block, tids[row + b.text], (b.start - offsets[b.text]).astype(np.int32),
+                              (b.end - b.start + 1).astype(np.int32)))
+                held += len(b.key)
+            if not parts or batch is not None and held < GATHER:
+                continue
+            key, block, tid, start, windows = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((block, key))
+            k, b = key[order], block[order]
+            same = np.zeros(len(order) + 1, bool)
+            same[1:-1] = (k[1:] == k[:-1]) & (b[1:] == b[:-1])
+            first, told = order[~same[:-1]], order[same[:-1] | same[1:]]
+            parts, held = [], 0
+            away = mix(tid[told].view(np.uint64) * np.uint64(3) + start[told].astype(np.uint64))
+            at = np.concatenate([first, told])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array([ENTRY_ROW, MATCH], np.int32), [len(first), len(told)])),
+                 pa.array(signed(np.concatenate([key[first], away]))), pa.array(signed(block[at])), pa.array(tid[at]),
+                 pa.array(start[at]), pa.array(windows[at])], ["kind", "key", "block", "tid", "start", "windows"])
 
-    return docs.select("tid", "text").mapInArrow(run, ENTRY)
+    return docs.select("tid", "text").mapInArrow(run, FOUND)
 
 
 def _scan(batches):
     """Walks a sorted run of entries; holds one entry and one block of the last anchor."""
-    names = ["key", "block", "tid", "start", "windows", "joins"]
+    names = ["key", "block", "tid", "start", "windows"]
     held = None                 # the last row, and whether it equals the one before
     met = None                  # the last distinct block, and whether its anchor had one before
 
     def rows(kind, columns):
         n = len(columns[0])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), *[pa.array(c) for c in columns]], ["kind", *names[:5]])
+            [pa.array(np.full(n, kind, np.int32)), *[pa.array(c) for c in columns]], ["kind", *names])
 
     for batch in batches:
-        if not batch.num_rows:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        told = cols.pop(0) == MATCH
+        if told.any():
+            yield rows(MATCH, [c[told] for c in cols[:5]])
+            cols = [c[~told] for c in cols]
+        if not len(cols[0]):
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if held is not None:
             cols = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held[0], cols)]
         key, block, joins = cols[0], cols[1], cols[5]
@@ -158,7 +183,7 @@ def index_scans(texts: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
         for _, level in levels:
             run = run.unionByName(level.withColumn("joins", F.lit(False)))
         out = stored(run.repartition("key").sortWithinPartitions("key", "block", "joins").mapInArrow(_scan, FOUND))
-        levels.append((size, out.filter(F.col("kind") == LEVEL).drop("kind")))
+        levels.append((size, out.filter(F.col("kind") == LEVEL)))
         found.append(out)
     return found
 
@@ -173,15 +198,8 @@ def met_blocks(texts: DataFrame, meetings: DataFrame) -> DataFrame:
     A filter of fixed size over the meetings is broadcast. It may let other
     blocks pass; those are real blocks too, and change nothing.
     """
-    def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_place(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for r in meetings.select("key", "block").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
+    bits = bit_table(meetings.select("key", "block"), lambda batch: _filter_place(
+        batch.column(0).to_numpy(), batch.column(1).to_numpy()), FILTER_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -191,7 +209,7 @@ def met_blocks(texts: DataFrame, meetings: DataFrame) -> DataFrame:
             for row, data, offsets in text_slices(batch.column(1)):
                 b = Blocks(data, offsets)
                 at = _filter_place(b.key, b.block)
-                good = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                good = np.flatnonzero(bits_at(bits, at))
                 good = good[np.unique(b.block[good], return_index=True)[1]]
                 if not len(good):
                     continue
