@@ -8,11 +8,13 @@
 3. Where sets meet, one of them is the pivot of a region, and the others belong
    to it; sizes cut a region further, as linked sets have similar sizes.
 4. The distance of each member from its pivot is computed. Members within the
-   bound are linked to it. Two other members can only be linked if their
-   distances from the pivot differ by the bound at most, so only members near
-   those outside the bound are replicated into the next round: a region of the
-   rest, with a new pivot. Regions of a bounded size are finished in one task;
-   those which stay large after ROUNDS are finished in pairs of blocks.
+   bound are linked to it: they, and the cells that any of them came from, are
+   one cell, known to be connected. A member that no pivot reached is a cell of
+   its own. Only pairs of different cells are open, and they can only be linked
+   if their distances from the pivot differ by the bound at most, so only members
+   with such a distance from another cell are replicated into the next round: a
+   region of the rest, with a new pivot. Regions of a bounded size are finished
+   in one task; those which stay large after ROUNDS are finished in pairs of blocks.
 5. Links make components. Distances are compared as whole numbers.
 
 Words are runs of bytes other than blanks and tabs to carriage returns, A-Z in
@@ -249,7 +251,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _measure(rows: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """Adds to each (region, sid, set, pivot, pivot_set): linked, and the distance in millionths."""
+    """Adds to each (region, sid, set, pivot, pivot_set, cell): linked, and the distance in millionths."""
     def run(batches):
         for batch in batches:
             linked, far = [], []
@@ -261,17 +263,38 @@ def _measure(rows: DataFrame, link: tuple[int, int]) -> DataFrame:
                 far.append((union - both) * 1_000_000 // union)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(linked, pa.bool_()), pa.array(far, pa.int64()),
-                 batch.column(5)], ["region", "sid", "pivot", "linked", "far", "outer"])
+                 batch.column(5)], ["region", "sid", "pivot", "linked", "far", "cell"])
 
-    return rows.select("region", "sid", "set", "pivot", "pivot_set", "outer").mapInArrow(
-        run, "region binary, sid binary, pivot binary, linked boolean, far long, outer boolean")
+    return rows.select("region", "sid", "set", "pivot", "pivot_set", "cell").mapInArrow(
+        run, "region binary, sid binary, pivot binary, linked boolean, far long, cell int")
 
 
-def finish(ids: list[bytes], sets: list[np.ndarray], outer: np.ndarray, link: tuple[int, int]) -> list[tuple[bytes, bytes]]:
-    """Links that join the sets of one bounded region, recursively by pivots.
+def _open(measured: DataFrame, step: int, bound: int) -> DataFrame:
+    """(region, sid, cell) of the members that may be linked with one of another cell after round ``step``.
 
-    Pairs of two sets that are not ``outer`` are linked already. A set whose
-    shingles mostly occur in no other set of the region is linked with none.
+    What the pivot is linked with, and the cells which that came from, become
+    the cell ``step``; a null cell is one of its own. The pivot itself has met all.
+    """
+    at, new = F.col("cell"), F.col("linked") & (F.col("sid") != F.col("pivot"))
+    groups = [(at == k, F.when(F.bool_or(F.col("linked") & (at == k)), step).otherwise(k)) for k in range(step)]
+    groups += [(at.isNull() & new, F.lit(step)), (at.isNull() & ~F.col("linked"), F.lit(None).cast("int"))]
+    spans = [F.struct(label.cast("int").alias("label"), F.min(F.when(own, F.col("far"))).alias("low"),
+                      F.max(F.when(own, F.col("far"))).alias("high")) for own, label in groups]
+    known = measured.join(measured.groupBy("region").agg(F.array(*spans).alias("spans")), "region")
+    cell = F.when(F.col("linked"), F.lit(step)).otherwise(F.get("spans", at)["label"])
+    near = F.exists("spans", lambda s: (s["label"].isNull() | (s["label"] != F.col("now")))
+                    & (s["low"] <= F.col("far") + bound) & (s["high"] >= F.col("far") - bound))
+    return (known.filter("sid != pivot").withColumn("now", cell).filter(F.col("now").isNull() | near)
+            .select("region", "sid", F.col("now").alias("cell")))
+
+
+def finish(ids: list[bytes], sets: list[np.ndarray], cells: list[int | None], link: tuple[int, int]) -> list[tuple[bytes, bytes]]:
+    """Links that join the sets of one bounded region.
+
+    Sets of one cell are connected already, and so are those that links found
+    here connect; all other pairs of possible sizes are compared. A set without
+    a cell is one of its own. A set whose shingles mostly occur in no other set
+    of the region is linked with none.
     """
     links: list[tuple[bytes, bytes]] = []
     alive = np.arange(len(sets))
@@ -285,59 +308,38 @@ def finish(ids: list[bytes], sets: list[np.ndarray], outer: np.ndarray, link: tu
         alive = alive[keep]
         if keep.all() or not len(alive):
             break
-    if not len(alive) or not outer[alive].any():
-        return links
-    # Sets are taken in the order of size, so a pivot's possible partners are one run.
+    # Sets are taken in the order of size, so the possible partners of one among those after it are one run.
     order = np.argsort([len(sets[i]) for i in alive], kind="stable")
     alive = alive[order]
     sizes = np.array([len(sets[i]) for i in alive])
-    flat, first = np.concatenate([sets[i] for i in alive]), np.concatenate([[0], np.cumsum(sizes)])
-    out = outer[alive].copy()
+    label = np.array([-1 - i if cells[i] is None else cells[i] for i in alive])
     for p in range(len(alive)):
-        if not out[p]:
-            continue
-        low = np.searchsorted(sizes, _least_common(int(sizes[p]), link))
         high = np.searchsorted(sizes, sizes[p] * link[1] // link[0], "right")
-        part = flat[first[low]:first[high]]
+        others = np.flatnonzero(label[p + 1:high] != label[p]) + p + 1
+        if not len(others):
+            continue
+        part = np.concatenate([sets[alive[q]] for q in others])
         mine = sets[alive[p]]
         k = np.searchsorted(mine, part)
         k[k == len(mine)] = 0
-        both = np.add.reduceat((mine[k] == part).astype(np.int64), first[low:high] - first[low])
-        union = sizes[low:high] + sizes[p] - both
-        for q in np.flatnonzero(link[1] * both >= link[0] * union) + low:
-            if q != p:
+        both = np.add.reduceat((mine[k] == part).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        union = sizes[others] + sizes[p] - both
+        for q in others[link[1] * both >= link[0] * union]:
+            if label[q] != label[p]:
                 links.append((ids[alive[p]], ids[alive[q]]))
+                label[label == label[q]] = label[p]
     return links
 
 
-def _spanning(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
-    """A forest with the same components."""
-    root: dict[bytes, bytes] = {}
-
-    def top(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    kept = []
-    for u, v in links:
-        a, b = top(u), top(v)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            kept.append((u, v))
-    return kept
-
-
 def _finished(rows: DataFrame, keys: list[str], link: tuple[int, int]) -> DataFrame:
-    """Links inside groups of (…, sid, outer, set) of a bounded size."""
+    """Links inside groups of (…, sid, cell, set) of a bounded size."""
     def run(group: pa.Table) -> pa.Table:
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("set")]
         ids = group.column("sid").to_pylist()
-        found = _spanning(finish(ids, sets, np.array(group.column("outer").to_pylist(), bool), link))
+        found = finish(ids, sets, group.column("cell").to_pylist(), link)
         return pa.table([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["u", "v"])
 
-    return rows.select(*keys, "sid", "outer", "set").groupBy(*keys).applyInArrow(run, "u binary, v binary")
+    return rows.select(*keys, "sid", "cell", "set").groupBy(*keys).applyInArrow(run, "u binary, v binary")
 
 
 def links(docs: DataFrame, profile: DataFrame, size: int = SIZE, link: tuple[int, int] = LINK) -> DataFrame:
@@ -347,20 +349,17 @@ def links(docs: DataFrame, profile: DataFrame, size: int = SIZE, link: tuple[int
     sets = stored(wanted_sets(docs, wanted, size).withColumn("n", F.octet_length("set") / F.lit(8)))
     bound = 1_000_000 * (link[1] - link[0]) // link[1] + 1
     found = []
-    left = members.withColumn("outer", F.lit(True))
+    left = members.withColumn("cell", F.lit(None).cast("int"))
     for step in range(ROUNDS):
-        pivots = left.filter("outer").groupBy("region").agg(F.min("sid").alias("pivot"))
+        free = F.min(F.when(F.col("cell").isNull(), F.col("sid")))      # of no cell, as long as there are such
+        pivots = left.groupBy("region").agg(F.coalesce(free, F.min("sid")).alias("pivot"))
         measured = stored(_measure(
             left.join(sets.select("sid", "set"), "sid").join(
                 pivots.join(sets.select(F.col("sid").alias("pivot"), F.col("set").alias("pivot_set")), "pivot"), "region"), link))
         found.append(measured.filter("linked and sid != pivot").select(F.col("sid").alias("u"), F.col("pivot").alias("v")))
-        # Members outside the bound stay outer; others follow only where one of those can reach them.
-        outer = F.col("outer") & ~F.col("linked")
-        marked = measured.withColumn("still", outer)
-        edge = marked.filter("still").groupBy("region").agg(F.min("far").alias("near"))
-        left = marked.join(edge, "region").filter(F.col("still") | (F.col("far") + bound >= F.col("near"))).select(
-            "region", "sid", F.col("still").alias("outer"))
-        weight = left.join(sets.select("sid", "n"), "sid").groupBy("region").agg(F.sum("n").alias("w"), F.count("*").alias("c"))
+        left = _open(measured, step, bound)
+        cells = F.count_if(F.col("cell").isNull()) + F.coalesce(F.bit_count(F.bit_or(F.expr("shiftleft(1, cell)"))), F.lit(0))
+        weight = left.join(sets.select("sid", "n"), "sid").groupBy("region").agg(F.sum("n").alias("w"), cells.alias("c"))
         weight = stored(weight.filter("c > 1"))
         left = stored(left.join(weight.select("region"), "region"))
         small = weight.filter(F.col("w") <= REGION).select("region")
@@ -373,8 +372,8 @@ def links(docs: DataFrame, profile: DataFrame, size: int = SIZE, link: tuple[int
         blocks = F.ceil(F.col("w") * 2 / REGION).cast("int")
         cut_up = left.join(large, "region").withColumn("blocks", blocks).withColumn(
             "own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        paired = cut_up.select("region", "sid", "outer", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        paired = paired.select("region", "sid", "outer", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+        paired = cut_up.select("region", "sid", "cell", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        paired = paired.select("region", "sid", "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
         found.append(_finished(paired.join(sets.select("sid", "set"), "sid"), ["region", "a", "b"], link))
     out = found[0]
     for more in found[1:]:

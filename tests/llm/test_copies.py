@@ -16,6 +16,37 @@ def test_jaccard_components(docs, texts, monkeypatch, region):
     assert got == jaccard_components(texts)
 
 
+def chains(lengths, seed=5):
+    """Groups of texts of which only neighbours in a chain of edits are linked, and whose rarest shingles are common to the group."""
+    r = np.random.default_rng(seed)
+    edits = [[" ".join(f"{side}{k}x{i}" for i in range(9)) for k in range(16)] for side in "st"]
+    texts = [" ".join(edits[0] + edits[1])] * 30         # makes the edited passages the most frequent ones
+    for g, n in enumerate(lengths):
+        own = " ".join(f"g{g}w{i}" for i in range(160 - 9 * (n - 1)))
+        texts += [" ".join([own, *(edits[k < j][k] for k in range(n - 1))]) for j in range(n)]
+    return [texts[i] for i in r.permutation(len(texts))]
+
+
+@pytest.mark.parametrize("region", [500_000, 700, 100])
+def test_jaccard_of_chains_in_rounds(spark, monkeypatch, region):
+    """Sets linked to different pivots are still compared, in later rounds, in one task and in blocks."""
+    monkeypatch.setattr(jaccard, "REGION", region)
+    texts = chains([4] * 16 + [7, 8, 9, 10] * 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components_of(frame(spark, texts)).collect()}
+    want = jaccard_components(texts)
+    assert len({root for _, root in want.values()}) == 25
+    assert got == want
+
+
+def test_finish_compares_different_cells():
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.concatenate([base[:100 - 7 * k], 1000 + base[:7 * k]]) for k in range(4)]
+    ids = [b"a", b"x", b"y", b"b"]
+    assert jaccard.finish(ids, sets, [0, 0, 1, 1], (85, 100)) == [(b"x", b"y")]
+    assert jaccard.finish(ids, sets, [0, 0, 0, 0], (85, 100)) == []
+    assert len(jaccard.finish(ids, sets, [None, 0, 1, None], (85, 100))) == 3
+
+
 def test_jaccard_of_awkward_tables(spark, nothing):
     assert jaccard.components_of(nothing).count() == 0
     rows = [(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (9, None), (9, ""), (None, "z")]
