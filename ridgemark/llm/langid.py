@@ -174,11 +174,15 @@ def learn(docs: DataFrame) -> DataFrame:
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str],
-            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The given columns with the predicted language and its cosine; one small vector per language is broadcast."""
+            names: tuple[str, str] = ("lang_pred", "score"),
+            unknown: tuple[str | None, str | None] = (UNKNOWN, UNKNOWN)) -> DataFrame:
+    """The given columns with the predicted language and its cosine; one small vector per language is broadcast.
+
+    ``unknown`` names the language of texts without letters, and that of others when there is no prototype.
+    """
     chosen, cosine_name = names
     known = sorted((r["lang"], r["vector"]) for r in prototypes.collect())
-    langs = [lang for lang, _ in known] + [UNKNOWN]
+    langs = [*[lang for lang, _ in known], *unknown]
     matrix = np.array([v for _, v in known], np.float64).reshape(len(known), DIMENSIONS)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
@@ -190,7 +194,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str],
             for text in pc.fill_null(batch.column(0), ""):
                 keys, n = counted(text.as_py())
                 if not len(keys) or not len(matrix):
-                    which.append(len(langs) - 1)
+                    which.append(len(langs) - (1 if len(keys) else 2))
                     scores.append(0.0)
                     continue
                 v = bundle(keys, n)

@@ -17,11 +17,14 @@ def _place(keys: np.ndarray) -> np.ndarray:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without letters go."""
+    """Documents with a language: null texts and texts without letters go.
+
+    Without any prototype (no learnable row has a language) all others stay.
+    """
     small_batches(spark)
     prototypes = langid.learn(docs.filter(learnable(F.col("doc_id"))))
-    judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"))
-    return judged.filter(F.col("_lang_pred_") != langid.UNKNOWN).select(*docs.columns)
+    judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"), (None, ""))
+    return judged.filter(F.col("_lang_pred_").isNotNull()).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,13 @@ def test_pipeline_stages_against_brute_force(spark, texts):
         assert stage(spark, docs.limit(0), data).count() == 0
 
 
+def test_language_stage_without_prototypes(spark):
+    rows = [(0, "plain words", None), (1, "more words", None), (2, "12 34", None), (3, None, None), (4, "", None)]
+    for langs in (None, "und"):                  # no language at all; a language with the name of none
+        docs = spark.createDataFrame([(i, t, langs) for i, t, _ in rows], "doc_id long, text string, lang string")
+        assert {r["doc_id"] for r in stages.language(spark, docs, "").collect()} == {0, 1}
+
+
 def test_near_duplicates_of_repeated_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u"), (2, None), (7, None)]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
