@@ -30,10 +30,10 @@ def _threshold(impostors: DataFrame, far: float) -> DataFrame:
     """The entry at position floor((1 - far) n) - 1 of ``score`` in ascending order, 0 when there is none.
 
     Positions come from counts per score in BUCKETS equal ranges; only the one
-    range that holds the position is ordered.
+    range that holds the position is ordered. Equal scores are one range.
     """
     span = impostors.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("total"))
-    bucket = F.coalesce(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(0))
+    bucket = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * BUCKETS), F.lit(0))
     counts = (impostors.join(F.broadcast(span)).groupBy(bucket.alias("bucket"), "score", "total")
               .agg(F.count("*").alias("n")))
     upto = F.sum("n").over(Window.orderBy("bucket"))           # BUCKETS + 1 rows at most

@@ -269,6 +269,15 @@ def test_evaluation(spark):
     assert E.rank1(tied).first()["t_fpid"] == "b"
 
 
+@pytest.mark.parametrize("impostors", [["5"], ["5", "15", "25"]])
+def test_threshold_of_equal_impostor_scores(spark, impostors):
+    scores = spark.createDataFrame([("0", "0", 0.9), *[(i, "0", 0.5) for i in impostors]], "i_fpid string, t_fpid string, score double")
+    genuines = spark.createDataFrame([("0",)], "i_fpid string")
+    for agg in ("max", "min"):
+        assert E.threshold_at_far(scores, genuines, 0.0, agg).first()[0] == 0.5
+    assert E.threshold_at_far(scores, genuines, 1.0).first()[0] == 0.0
+
+
 def test_registered_queries_have_unique_columns(spark, sf_dir):
     assert len(QUERIES) >= 36
     for name in ("knn_neighbours", "score_nb_wide", "evaluate_from_text", "angle_functions", "fnr_at_far"):
