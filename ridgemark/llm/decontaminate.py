@@ -7,8 +7,9 @@ each other, and the longest stretch in which at least four fifths of the words
 agree is the overlap. A document is contaminated by an item if that stretch has
 MIN_OVERLAP words, or all the words of a shorter item.
 
-Words are runs of letters and digits, A-Z in lower case. Null and empty texts
-have no words. An item of fewer words than a seed picks (five) is not testable
+An item of five to seven words also has seeds of four words, so that it is
+found with any word changed that leaves four fifths. Words are runs of letters
+and digits, A-Z in lower case. Null and empty texts have no words. An item of fewer words than a seed picks (five) is not testable
 and matches nothing. Repeated items are compared once and reported each;
 repeated documents are reported each. Documents are read once per block of test
 items and never shuffled before a match; a block has a bounded size.
@@ -27,6 +28,9 @@ from ridgemark.llm.common import LETTERS, Words, sequence_hash, text_slices
 # Kept word positions of each mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 6, 7), (0, 1, 4, 6, 9), (0, 3, 4, 5, 8))
 WEIGHT = 5
+# Masks of four words for items of at most SHORT words, which may lack any seed of five when a word is changed.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4))
+SHORT = 7
 MIN_OVERLAP = 13
 SIMILARITY = (4, 5)            # at least 4 of 5 words agree
 BLOCK_BYTES = 8 << 20          # of test texts that travel to the executors at once
@@ -38,7 +42,7 @@ class Seeds:
     """Seeds of a block of test items, looked up by hash."""
 
     def __init__(self, texts: list[str]):
-        self.words, self.of, pos, item, key = [], {}, [], [], []
+        self.words, self.of, self.masks, pos, item, key = [], {}, MASKS, [], [], []
         for row, text in enumerate(texts):
             raw = np.frombuffer(text.encode(), np.uint8)
             words = Words(raw, np.array([0, len(raw)]), LETTERS).hash
@@ -47,7 +51,10 @@ class Seeds:
                 known[1].append(row)
                 continue
             self.of[words.tobytes()] = (len(self.words), [row])
-            for m, mask in enumerate(MASKS):
+            short = WEIGHT <= len(words) <= SHORT
+            if short:
+                self.masks = MASKS + SHORT_MASKS
+            for m, mask in enumerate(MASKS + SHORT_MASKS if short else MASKS):
                 h = sequence_hash(words, list(mask)) + np.uint64(m)
                 key.append(h)
                 pos.append(np.arange(len(h)))
@@ -66,7 +73,7 @@ class Seeds:
     def meetings(self, words: Words) -> np.ndarray:
         """Distinct (document, item, word of the document at which the item would start)."""
         doc, found = words.doc(), []
-        for m, mask in enumerate(MASKS):
+        for m, mask in enumerate(self.masks):
             h = sequence_hash(words.hash, list(mask)) + np.uint64(m)
             at = np.flatnonzero(self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             at = at[doc[at] == doc[at + mask[-1]]]

@@ -1,12 +1,15 @@
 """Near copies, repeated bytes and benchmark passages against brute force."""
 
 import hashlib
+import itertools
 
 import numpy as np
 import pytest
 from helpers import LETTERS, frame, jaccard_components, repeated_spans, without, words
 
 from ridgemark.llm import components, decontaminate, jaccard, suffixes
+from ridgemark.llm.common import LETTERS as WORD_BYTES
+from ridgemark.llm.common import Words
 
 
 @pytest.mark.parametrize("region", [500_000, 300])
@@ -106,6 +109,19 @@ def test_decontamination(spark, docs, texts, nothing):
     assert decontaminate.matches(docs, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(4, 17))
+def test_short_items_with_changed_words(n):
+    """Every way to change as many words as four fifths allow is found; four words are not testable."""
+    item = [f"k{i}" for i in range(n)]
+    seeds = decontaminate.Seeds([" ".join(item)])
+    for gone in itertools.combinations(range(n), n // 5 if n < 13 else 2):
+        text = " ".join(["pre", "fix", *("other" if i in gone else w for i, w in enumerate(item)), "tail"]).encode()
+        raw = np.frombuffer(text, np.uint8)
+        found = list(decontaminate.overlaps(seeds, Words(raw, np.array([0, len(raw)]), WORD_BYTES)))
+        assert bool(found) == (n >= 5), gone
+    assert (decontaminate.SHORT_MASKS[0] in seeds.masks) == (5 <= n <= 7)
+
+
 def test_overlap_in_small_blocks(spark, monkeypatch):
     """Test items in several blocks give the same pairs."""
     rows = [(i, " ".join(f"k{i}w{j}" for j in range(20))) for i in range(30)]
