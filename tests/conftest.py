@@ -27,9 +27,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return SMALL
-
-
-def rows(df, *order):
-    """Rows as sorted tuples, columns by name."""
-    columns = sorted(df.columns)
-    return sorted(map(tuple, df.select(columns).collect()))

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from ridgemark.functions import angles as A

@@ -7,7 +7,7 @@ import sys
 
 import numpy as np
 import pytest
-from conftest import rows
+from results import rows
 from pyspark.sql import functions as F
 
 from ridgemark.catalog import QUERIES
