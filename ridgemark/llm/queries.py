@@ -5,7 +5,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgemark.llm import bpe, chat, decontaminate, jaccard, langid, licenses, quality, rules, suffixes, urls
+from ridgemark.llm import (alignment, bpe, chat, decontaminate, jaccard, langid, licenses, mixing, quality, rules, suffixes,
+                           urls, whitening)
 from ridgemark.llm.common import small_batches, table
 
 
@@ -59,6 +60,22 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector of ``embeddings``."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers on every whole text of ``documents``."""
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                      public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hash_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document of ``documents``."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def _bounded(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +86,8 @@ def _bounded(query):
 
 QUERIES = {f.__name__: _bounded(f) for f in (
     op1_preference_format, op2_byte_convolution, op3_suffix_levels, op4_robust_outliers, op5_bpe_transducer, op6_hyperdimensional_language, op7_url_rules,
-    op8_metric_jaccard, op9_license_positions, op10_spaced_seeds)}
+    op8_metric_jaccard, op9_license_positions, op10_spaced_seeds, op11_block_whitening, op12_galloping_alignment,
+    op13_hash_thresholds)}
 SQL: dict[str, str] = {"op1_preference_format": chat.oracle(),
-                       "op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS)}
+                       "op7_url_rules": urls.oracle(urls.NAMED + urls.PATTERNS),
+                       "op13_hash_thresholds": mixing.oracle()}
