@@ -61,7 +61,11 @@ def repeated_words(placed: str) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base counts of every whole text."""
+    """doc_id, lang, source and the base counts of every whole text.
+
+    The counts are cut off from their plan: a filter pushed below it would copy
+    the repeated-window expressions into every use of them.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     trimmed = F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
@@ -82,8 +86,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     placed = hashed.select(*kept, F.when(~unique, F.sort_array(F.transform(
         "windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("placed"))
     repeated = F.when(F.col("placed").isNull(), 0).otherwise(repeated_words("placed"))
-    return placed.select(*kept[:3], *[F.col(c).cast("long").alias(c) for c in kept[3:]],
-                         repeated.cast("long").alias("n_repeat_words"))
+    return cut(placed.select(*kept[:3], *[F.col(c).cast("long").alias(c) for c in kept[3:]],
+                             repeated.cast("long").alias("n_repeat_words")))
 
 
 def features(counts: DataFrame) -> DataFrame:
@@ -153,7 +157,7 @@ def estimates(rows: DataFrame, floors: dict[str, float] = FEATURES, steps: int =
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base counts, base verdict, distance and final verdict of every document."""
-    rows = cut(features(base_counts(docs)))
+    rows = features(base_counts(docs))
     known = estimates(rows.filter("not base_failed"))
     judged = _joined(rows, known).withColumn("distance", F.when(~F.col("base_failed"), distance(list(FEATURES))))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
