@@ -109,6 +109,8 @@ group by t_fpid, i_fpid having max(total) > 0""",
     "rank1_identification": f"with {_EVAL} select * from best",
     "tp_count": f"with {_EVAL} select count(*) as tp from best where {_SAME}",
     "detailed_results": f"with {_KEPT} select i_fpid, t_fpid, score, {_SAME} as genuine from kept",
+    "score_positions": f"""with {_KEPT}
+select t_fpid, i_fpid, score, row_number() over (order by score, i_fpid, t_fpid) - 1 as position from kept""",
     "genuine_impostor_split": f"""with {_KEPT}, {_LISTS}
 select t_fpid, i_fpid, score, case when i_fpid in (select i_fpid from genuines) then 'genuine' else 'impostor' end as side
 from kept""",

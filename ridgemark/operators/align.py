@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import rounded
-from ridgemark.operators.jiang import (_BLOCK_PAIRS, _columns, _pairs, broadcast_probes,
-                                       flat_structures, jiang_matches, similarity, similarity_of)
-from ridgemark.operators.probes import cut, probe_blocks, probe_shape
+from ridgemark.operators.jiang import (_BLOCK_PAIRS, _columns, _pairs, flat_structures, jiang_matches,
+                                       prepared, similarity, similarity_of)
+from ridgemark.operators.probes import ProbeSide, cut, probe_shape
 from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, MAX_BROADCAST_LS, SEEDS
 
 PAIR = ("t_fpid", "i_fpid")
-SALTS = 16
+HEAVY_SEED = 4096               # templates that align on one probe seed; more are dealt over salts
 _SCHEMA = "t_fpid string, i_fpid string, total bigint, size bigint"
 
 
@@ -30,75 +30,105 @@ def _turned(th) -> np.ndarray:
     return (180 - (th + 128) * 360 // 256) * DEG_TO_RAD
 
 
-def aligned(m: dict, span: slice, ref: int) -> np.ndarray:
-    """Minutiae relative to minutia ``ref``: distance, bearing, direction."""
-    dx, dy = m["x"][span] - m["x"][ref], m["y"][span] - m["y"][ref]
-    own = _turned(m["th"][ref])
-    return np.stack([np.sqrt((dx * dx + dy * dy).astype(float)),
-                     _folded(np.arctan2(dy.astype(float), dx.astype(float)) - own),
-                     _folded(_turned(m["th"][span]) - own)])
+def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each first one on, ``counts`` of each."""
+    return np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def greedy_total(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
-    """Sum of the greedy one-to-one matching by (weight, a, b), largest first."""
-    used_a, used_b, total = set(), set(), 0
-    for k in np.lexsort((b, a, weight))[::-1]:
-        if a[k] not in used_a and b[k] not in used_b:
-            used_a.add(a[k])
-            used_b.add(b[k])
-            total += int(weight[k])
-    return total
-
+def aligned(m: dict, first: np.ndarray, counts: np.ndarray, ref: np.ndarray):
+    """(group, place, distance, bearing, direction) of the minutiae of every group from its minutia ``ref``."""
+    group, at = np.repeat(np.arange(len(first)), counts), spread(first, counts)
+    seed = ref[group]
+    dx, dy = m["x"][at] - m["x"][seed], m["y"][at] - m["y"][seed]
+    own = _turned(m["th"][seed])
+    return (group, at, np.sqrt((dx * dx + dy * dy).astype(float)),
+            _folded(np.arctan2(dy.astype(float), dx.astype(float)) - own), _folded(_turned(m["th"][at]) - own))
 
-def _within(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of distances that differ by less than the bound, from a sorted side."""
-    order = np.argsort(q, kind="stable")
-    low = np.searchsorted(q[order], p - ALIGN_DIST - 1e-6)
-    n = np.searchsorted(q[order], p + ALIGN_DIST + 1e-6) - low
-    a = np.repeat(np.arange(len(p)), n)
-    b = order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-    near = np.abs(p[a] - q[b]) < ALIGN_DIST
-    return a[near], b[near]
 
+def one_to_one(group: np.ndarray, a: np.ndarray, b: np.ndarray, priority: tuple, weight: np.ndarray, groups: int) -> np.ndarray:
+    """Summed weight of the greedy one-to-one matching of each group.
 
-def _seed_total(t, i, t_span, i_span, seed_t, seed_i) -> int:
-    ft, fi = aligned(t, t_span, seed_t), aligned(i, i_span, seed_i)
-    a, b = _within(ft[0], fi[0])
-    near = (np.abs(ft[1][a] - fi[1][b]) < ALIGN_ANGLE) & (np.abs(ft[2][a] - fi[2][b]) < ALIGN_ANGLE)
-    a, b = a[near] + t_span.start, b[near] + i_span.start
-    return greedy_total(t["lsid"][a], i["lsid"][b], 1_000_000 + similarity_of(t, i, a, b))
+    ``a`` and ``b`` are ends, different in different groups. Greedy takes the
+    candidate of highest priority and drops those that share an end. The same
+    ones are found in rounds over all groups: a candidate that is the best of
+    both its ends is taken.
+    """
+    order = np.lexsort((*priority, weight))
+    group, a, b, weight = group[order], a[order], b[order], weight[order]
+    total = np.zeros(groups, np.int64)
+    best = [np.zeros(int(e.max(initial=-1)) + 1, np.int64) for e in (a, b)]
+    used = [np.zeros(len(x), bool) for x in best]
+    while len(a):
+        rank = np.arange(len(a))
+        best[0][a], best[1][b] = rank, rank                # of a repeated end the last, which is the highest, stays
+        taken = (best[0][a] == rank) & (best[1][b] == rank)
+        np.add.at(total, group[taken], weight[taken])
+        used[0][a[taken]] = used[1][b[taken]] = True
+        left = ~(used[0][a] | used[1][b])
+        group, a, b, weight = group[left], a[left], b[left], weight[left]
+    return total
 
 
-def _batches(probes):
+def seed_totals(t: dict, i: dict, t_first, t_n, i_first, i_n, seed_t, seed_i) -> np.ndarray:
+    """Total of each seed: minutiae that fall together once both fingerprints are aligned, matched one to one."""
+    tg, ta, *tf = aligned(t, t_first, t_n, seed_t)
+    ig, ia, *jf = aligned(i, i_first, i_n, seed_i)
+    # Group and distance in one number, so that one sorted search finds the distances near enough in all groups.
+    width = max(tf[0].max(initial=0), jf[0].max(initial=0)) + 4 * ALIGN_DIST
+    key = ig * width + jf[0]
+    order = np.argsort(key, kind="stable")
+    low = np.searchsorted(key[order], tg * width + tf[0] - ALIGN_DIST - 1e-3)
+    n = np.searchsorted(key[order], tg * width + tf[0] + ALIGN_DIST + 1e-3) - low
+    a = np.repeat(np.arange(len(tg)), n)
+    b = order[spread(low, n)]
+    for limit, own, other in zip((ALIGN_DIST, ALIGN_ANGLE, ALIGN_ANGLE), tf, jf):
+        near = np.abs(own[a] - other[b]) < limit
+        a, b = a[near], b[near]
+    weight = 1_000_000 + similarity_of(t, i, ta[a], ia[b])
+    return one_to_one(tg[a], a, b, (i["lsid"][ia[b]], t["lsid"][ta[a]]), weight, len(t_first))
+
+
+def _best_seeds(t, i, t_starts, i_starts, row, probe, a, b) -> np.ndarray:
+    """Total of every seed (template row, probe, their structures), in blocks of bounded candidates."""
+    t_n, i_n = np.diff(t_starts), np.diff(i_starts)
+    upto = np.cumsum(t_n[row] * i_n[probe])
+    totals, lo = [], 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 4 * _BLOCK_PAIRS, "right")))
+        r, p = row[lo:hi], probe[lo:hi]
+        totals.append(seed_totals(t, i, t_starts[r], t_n[r], i_starts[p], i_n[p], a[lo:hi], b[lo:hi]))
+        lo = hi
+    return np.concatenate(totals)
+
+
+def _batches(probes: ProbeSide):
     def run(batches):
-        i_fpid, i_n, i_row, i = probes.value
-        i_starts = np.searchsorted(i_row, np.arange(len(i_fpid) + 1))
-        names, sizes = i_fpid.to_pylist(), i_n.to_pylist()
         for batch in batches:
             t_row, t = _columns(batch["ls"])
             t_starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
-            step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
-            found = [_pairs(t, i, lo, min(lo + step, len(t_row))) for lo in range(0, len(t_row), step)]
-            if not found:
-                continue
-            a, b, sl = (np.concatenate(v) for v in zip(*found))
-            order = np.lexsort((-i["lsid"][b], -t["lsid"][a], -sl, i_row[b], t_row[a]))
-            a, b = a[order], b[order]
-            pair = t_row[a].astype(np.int64) * len(names) + i_row[b]
-            cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
-            out = []
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(pair))):
-                r, p = t_row[a[lo]], i_row[b[lo]]
-                spans = (slice(t_starts[r], t_starts[r + 1]), slice(i_starts[p], i_starts[p + 1]))
-                best = max(_seed_total(t, i, *spans, a[k], b[k]) for k in range(lo, min(hi, lo + SEEDS)))
-                out.append((r, names[p], best, sizes[p]))
-            if out:
-                rows, probe, total, size = zip(*out)
-                rows = pa.array(np.array(rows))
-                larger = np.maximum(batch["n_ls"].take(rows).to_numpy(), np.array(size))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["fpid"].take(rows), pa.array(probe), pa.array(total), pa.array(larger)],
-                    names=["t_fpid", "i_fpid", "total", "size"])
+            for block in probes.blocks():
+                yield from scored(batch, t_row, t, t_starts, *block)
+
+    def scored(batch, t_row, t, t_starts, i_fpid, i_n, i_row, i):
+        i_starts = np.searchsorted(i_row, np.arange(len(i_fpid) + 1))
+        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+        found = [_pairs(t, i, lo, min(lo + step, len(t_row))) for lo in range(0, len(t_row), step)]
+        if not sum(len(f[0]) for f in found):
+            return
+        a, b, sl = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((-i["lsid"][b], -t["lsid"][a], -sl, i_row[b], t_row[a]))
+        a, b = a[order], b[order]
+        pair = t_row[a].astype(np.int64) * len(i_fpid) + i_row[b]
+        cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
+        seed = np.arange(len(pair)) - np.repeat(cuts, np.diff(np.append(cuts, len(pair)))) < SEEDS
+        a, b, pair = a[seed], b[seed], pair[seed]
+        totals = _best_seeds(t, i, t_starts, i_starts, t_row[a], i_row[b], a, b)
+        cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
+        rows, probe = pa.array(pair[cuts] // len(i_fpid)), pa.array(pair[cuts] % len(i_fpid))
+        larger = np.maximum(batch["n_ls"].take(rows).to_numpy(), i_n.take(probe).to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [batch["fpid"].take(rows), i_fpid.take(probe), pa.array(np.maximum.reduceat(totals, cuts)), pa.array(larger)],
+            names=["t_fpid", "i_fpid", "total", "size"])
     return run
 
 
@@ -109,17 +139,17 @@ def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     stored in several chunks, and sets with a probe beyond the bound, take the
     joins below.
     """
-    whole = templates.filter("n_chunks = 1")
-    chunked = templates.filter("n_chunks > 1")
-    size, largest = probe_shape(inputs)
-    if largest > MAX_BROADCAST_LS["jiang"]:
+    shape = probe_shape(inputs)
+    if shape[1] > MAX_BROADCAST_LS["jiang"]:
         totals = assignment_totals(box_matches(templates, inputs))
     else:
-        totals = assignment_totals(box_matches(chunked, inputs)) if chunked.limit(1).count() else None
-        for table in probe_blocks(inputs, MAX_BROADCAST_LS["jiang"], size):
-            probes = broadcast_probes(inputs.sparkSession, table)
-            part = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(probes), _SCHEMA)
-            totals = part if totals is None else totals.unionByName(part)
+        probes = ProbeSide(inputs, MAX_BROADCAST_LS["jiang"], prepared, shape)
+        chunked = templates.filter("n_chunks > 1")
+        some = bool(chunked.limit(1).count())
+        whole = templates.filter("n_chunks = 1") if some else templates
+        totals = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(probes), _SCHEMA)
+        if some:
+            totals = totals.unionByName(assignment_totals(box_matches(chunked, inputs)))
     return totals.select(*PAIR, rounded(F.col("total") / (F.col("size") * F.lit(2e6))).alias("score"))
 
 
@@ -145,26 +175,32 @@ def _aligned(df: DataFrame, prefix: str) -> DataFrame:
 def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Aligned pairs ``t_lsid, i_lsid, weight`` of every seed (``rank``) of a pair.
 
-    Minutiae within the box lie in the same or adjacent distance rings around
-    their seeds, so this is an equality join per probe seed and ring. A seed
-    that many templates share is salted by template.
+    Minutiae within the box lie in the same or adjacent cells of distance,
+    bearing and turn around their seeds, so this is an equality join per probe
+    seed and cell. Seeds are found once and cut off; a seed that many templates
+    share is salted by template.
     """
-    seeds = top_matches(jiang_matches(templates, inputs), SEEDS)
-    key = [*PAIR, "n_t", "n_i", "rank", F.col("i_lsid").alias("seed")]
+    seeds = cut(top_matches(jiang_matches(templates, inputs), SEEDS))
+    own = ["i_fpid", "i_lsid"]
+    heavy = seeds.groupBy(*own).agg(F.ceil(F.count("*") / HEAVY_SEED).cast("int").alias("salts")).filter("salts > 1")
+    seeds = seeds.join(heavy, own, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    seeds = seeds.withColumn("salt", F.pmod(F.xxhash64("t_fpid"), F.col("salts")).cast("int"))
+    key = [*PAIR, "n_t", "n_i", "rank", F.col("i_lsid").alias("seed"), "salt"]
     t_side = _aligned(
         seeds.select(*key, *[F.col(f"t_{n}").alias(f"s_{n}") for n in ("x", "y", "th")])
         .join(flat_structures(templates, "t_").drop("n_t"), "t_fpid"), "t_")
-    i_seeds = seeds.select("i_fpid", F.col("i_lsid").alias("seed"),
+    i_seeds = seeds.select("i_fpid", F.col("i_lsid").alias("seed"), "salts",
                            *[F.col(f"i_{n}").alias(f"s_{n}") for n in ("x", "y", "th")]).distinct()
-    i_side = _aligned(i_seeds.join(flat_structures(inputs, "i_").drop("n_i"), "i_fpid"), "i_")
-    ring = F.floor(F.col("t_far") / ALIGN_DIST)
-    rings = F.floor(F.col("i_far") / ALIGN_DIST)
-    salted = i_side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    near = (t_side.withColumn("ring", ring).withColumn("salt", F.pmod(F.xxhash64("t_fpid"), F.lit(SALTS)).cast("int"))
-            .join(salted.withColumn("ring", F.explode(F.sequence(rings - 1, rings + 1))), ["i_fpid", "seed", "ring", "salt"])
-            .filter((F.abs(F.col("t_far") - F.col("i_far")) < ALIGN_DIST)
-                    & (F.abs(F.col("t_bearing") - F.col("i_bearing")) < ALIGN_ANGLE)
-                    & (F.abs(F.col("t_turn") - F.col("i_turn")) < ALIGN_ANGLE)))
+    salted = i_seeds.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    i_side = _aligned(salted.join(flat_structures(inputs, "i_").drop("n_i"), "i_fpid"), "i_")
+    cells = {"far": ALIGN_DIST, "bearing": ALIGN_ANGLE, "turn": ALIGN_ANGLE}
+    for name, size in cells.items():
+        t_side = t_side.withColumn(f"{name}_cell", F.floor(F.col(f"t_{name}") / size))
+        at = F.floor(F.col(f"i_{name}") / size)
+        i_side = i_side.withColumn(f"{name}_cell", F.explode(F.sequence(at - 1, at + 1)))
+    near = t_side.join(i_side, ["i_fpid", "seed", "salt", *[f"{name}_cell" for name in cells]])
+    for name, size in cells.items():
+        near = near.filter(F.abs(F.col(f"t_{name}") - F.col(f"i_{name}")) < size)
     alike, sl = similarity("t_", "i_")
     return near.select(*PAIR, "n_t", "n_i", "rank", "t_lsid", "i_lsid",
                        (F.when(alike, sl).otherwise(0) + 1_000_000).alias("weight"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ridgemark.functions.numeric import array_sum, np_expr, rounded
 from ridgemark.operators.align import PAIR, alignment_scores
 from ridgemark.operators.cylinder import cylinder_summaries, half
-from ridgemark.operators.jiang import jiang_matches, local_totals
-from ridgemark.operators.probes import probe_blocks, probe_shape
+from ridgemark.operators.jiang import jiang_matches, local_totals, prepared
+from ridgemark.operators.probes import ProbeSide, probe_shape
 from ridgemark.operators.relax import relaxation_scores
 from ridgemark.settings import IMPROVED_TOP, MAX_BROADCAST_LS, NP_MIN
 
@@ -31,16 +31,12 @@ def score_jiang_local(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """
     chunked = templates.filter("n_chunks > 1")
     bound = MAX_BROADCAST_LS["jiang"]
-    size, largest = probe_shape(inputs)
-    if largest > bound:
+    shape = probe_shape(inputs)
+    if shape[1] > bound:
         return _local_score(_joined_totals(templates, inputs))
     some = bool(chunked.limit(1).count())
-    whole = templates.filter("n_chunks = 1") if some else templates
-    out = _joined_totals(chunked, inputs) if some else None
-    for table in probe_blocks(inputs, bound, size):
-        part = local_totals(whole, table)
-        out = part if out is None else out.unionByName(part)
-    return _local_score(out)
+    out = local_totals(templates.filter("n_chunks = 1") if some else templates, ProbeSide(inputs, bound, prepared, shape))
+    return _local_score(_joined_totals(chunked, inputs).unionByName(out) if some else out)
 
 
 def _joined_totals(templates: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -64,21 +60,30 @@ def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = F
     """One summary per pair.
 
     Almost every fingerprint is one row, so its summary is final without a
-    shuffle. Only fingerprints stored in several chunks are merged, by an
-    aggregate that sees at most ``top`` matches per chunk and pair.
+    shuffle. Only fingerprints stored in several chunks, and sets with a probe
+    beyond the bound, are merged, by an aggregate that sees at most ``top``
+    matches per chunk and pair.
     """
     columns = ("t_fpid", "i_fpid", "n_t", "n_i", *_COUNTS, "top")
+    shape = probe_shape(inputs)
+    if shape[1] > MAX_BROADCAST_LS["cylinder"]:
+        parts = cylinder_summaries(templates, inputs, top, distinct, shape=shape)
+        return merge_summaries(parts, top, distinct, split=True).select(*columns)
     chunked = templates.filter("n_chunks > 1")
     if not chunked.limit(1).count():
-        return cylinder_summaries(templates, inputs, top, distinct).select(*columns)
-    whole = cylinder_summaries(templates.filter("n_chunks = 1"), inputs, top, distinct)
-    parts = cylinder_summaries(chunked, inputs, top, distinct)
+        return cylinder_summaries(templates, inputs, top, distinct, shape=shape).select(*columns)
+    whole = cylinder_summaries(templates.filter("n_chunks = 1"), inputs, top, distinct, shape=shape)
+    parts = cylinder_summaries(chunked, inputs, top, distinct, shape=shape)
     return whole.select(*columns).unionByName(merge_summaries(parts, top, distinct).select(*columns))
 
 
-def merge_summaries(parts: DataFrame, top, distinct: bool) -> DataFrame:
+def merge_summaries(parts: DataFrame, top, distinct: bool, split: bool = False) -> DataFrame:
+    """One summary per pair from those of template chunks and, if ``split``, of parts of a probe."""
     counts = parts.groupBy(*PAIR).agg(
         F.max("n_t").alias("n_t"), F.max("n_i").alias("n_i"), *[F.sum(c).alias(c) for c in _COUNTS])
+    if split:
+        hit = parts.select(*PAIR, F.explode("hits").alias("hit")).groupBy(*PAIR).agg(F.count_distinct("hit").alias("matched"))
+        counts = counts.drop("matched").join(hit, list(PAIR))
     each = parts.select(*PAIR, "n_i", F.explode("top").alias("m")).select(*PAIR, "n_i", "m.*")
     rank = Window.partitionBy(*PAIR)
     if distinct:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions.numeric import direction_weights
 from ridgemark.operators.arrow import float_lists, matrix_lists, struct_fields, struct_lists
-from ridgemark.operators.probes import probe_blocks
+from ridgemark.operators.probes import ProbeSide
 from ridgemark.settings import (CELL_MU, CELL_RADIUS, CELL_STEP, CELL_TAU, CELLS, CONTEXT_RADIUS,
                                 CYL_RADIUS, DEG_TO_RAD, GAUSS_RATE, GAUSS_SCALE, GRID, GRID_SHIFT,
                                 HULL_MARGIN, LEVEL_DIRECTIONS, LEVELS, LOCAL_THRESHOLD,
@@ -183,7 +183,11 @@ def flat_cylinders(features: DataFrame) -> DataFrame:
 
 _MATCH = "sl:bigint, t_lsid:int, t_x:int, t_y:int, t_th:int, i_lsid:int, i_x:int, i_y:int, i_th:int"
 SUMMARY_SCHEMA = ("t_fpid string, n_chunks int, n_t bigint, i_fpid string, n_i bigint, matched bigint, "
-                  "matches bigint, sl_sum bigint, over_n bigint, over_sum bigint, top array<struct<" + _MATCH + ">>")
+                  "matches bigint, sl_sum bigint, over_n bigint, over_sum bigint, hits array<int>, "
+                  "top array<struct<" + _MATCH + ">>")
+
+
+_SUMMARY_NAMES = ("t_fpid", "n_chunks", "n_t", "i_fpid", "n_i", "matched", "matches", "sl_sum", "over_n", "over_sum", "hits", "top")
 
 
 class Side:
@@ -287,24 +291,24 @@ def _best_of_all(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _summary_batches(probes, top, distinct: bool):
+def _summary_batches(probes: ProbeSide, top, distinct: bool):
     """Map over template rows: one summary per (row, probe)."""
     def run(batches):
-        i_fpid, i_n, i = probes.value
-        cols = i.starts(len(i_fpid))
         for batch in batches:
             t = Side(batch["ls"])
             starts = t.starts(batch.num_rows)
-            goal = max(1, _BLOCK_VALUES // max(1, len(i.row)))
-            first = 0
-            while first < batch.num_rows:
-                last = max(first + 1, int(np.searchsorted(starts, starts[first] + goal, side="right")) - 1)
-                yield from _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct)
-                first = last
+            for i_fpid, i_n, i in probes.blocks():
+                cols = i.starts(len(i_fpid))
+                goal = max(1, _BLOCK_VALUES // max(1, len(i.row)))
+                first = 0
+                while first < batch.num_rows:
+                    last = max(first + 1, int(np.searchsorted(starts, starts[first] + goal, side="right")) - 1)
+                    yield from _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct, probes.split)
+                    first = last
     return run
 
 
-def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct):
+def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinct, split):
     lo, hi = starts[first], starts[last]
     probes = np.nonzero(np.diff(cols))[0]
     if lo == hi or not len(probes):
@@ -344,12 +348,15 @@ def _summaries(batch, t, i, i_fpid, i_n, starts, cols, first, last, top, distinc
         matches.update({f"t_{name}": pa.array(t.m[name][a]) for name in ("lsid", "x", "y", "th")})
         matches.update({f"i_{name}": pa.array(i.m[name][b]) for name in ("lsid", "x", "y", "th")})
         at = pa.array(first + filled)
+        hits = np.flatnonzero(counts[:, n] > 0) if split else np.zeros(0, np.int64)
+        within = np.append(np.searchsorted(hits, edges), len(hits)).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(within), pa.array(t.m["lsid"][lo + hits].astype(np.int32)))
         yield pa.RecordBatch.from_arrays(
             [batch["fpid"].take(at), batch["n_chunks"].take(at), batch["n_ls"].take(at),
              pa.repeat(i_fpid[p], len(filled)), pa.repeat(i_n[p], len(filled))]
-            + [pa.array(v[:, n]) for v in tallies]
+            + [pa.array(v[:, n]) for v in tallies] + [listed]
             + [struct_lists(np.bincount(line, minlength=len(filled)), matches)],
-            names=[f.split()[0] for f in SUMMARY_SCHEMA.split("<")[0].split(", ")]
+            names=_SUMMARY_NAMES
         ).filter(pa.array(tallies[0][:, n] > 0))
 
 
@@ -357,8 +364,16 @@ def half(n: int) -> int:
     return n // 2
 
 
+def prepared(table: pa.Table):
+    """A block of probes as (ids, sizes, cylinders)."""
+    probe, owners = np.unique(table["fpid"].to_numpy(), return_inverse=True)
+    sizes = np.zeros(len(probe), dtype=np.int64)
+    sizes[owners] = table["n_ls"].to_numpy()
+    return pa.array(probe, pa.string()), pa.array(sizes), Side(table["ls"].combine_chunks(), owners)
+
+
 def cylinder_summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False,
-                       bound: int = MAX_BROADCAST_LS["cylinder"]) -> DataFrame:
+                       bound: int | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """What the consolidations need of all cylinder pairs, one row per
     (template row, probe) with a match:
 
@@ -367,16 +382,11 @@ def cylinder_summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct:
     (``distinct``: one per similarity). Keeping only the best before any
     shuffle is exact, because a best match of a pair is a best of its chunk.
     ``top`` is a number or a function of the probe size.
+
+    A probe beyond the bound has a row per block that holds a part of it;
+    ``hits`` then lists the template structures with a match, since one may
+    match in several blocks.
     """
-    spark = templates.sparkSession
-    found = None
-    for table in probe_blocks(inputs, bound):
-        probe, owners = np.unique(table["fpid"].to_numpy(), return_inverse=True)
-        sizes = np.zeros(len(probe), dtype=np.int64)
-        sizes[owners] = table["n_ls"].to_numpy()
-        probes = spark.sparkContext.broadcast(
-            (pa.array(probe, pa.string()), pa.array(sizes), Side(table["ls"].combine_chunks(), owners)))
-        part = (templates.select("fpid", "n_chunks", "n_ls", "ls")
-                .mapInArrow(_summary_batches(probes, top, distinct), SUMMARY_SCHEMA))
-        found = part if found is None else found.unionByName(part)
-    return found
+    probes = ProbeSide(inputs, MAX_BROADCAST_LS["cylinder"] if bound is None else bound, prepared, shape)
+    return templates.select("fpid", "n_chunks", "n_ls", "ls").mapInArrow(
+        _summary_batches(probes, top, distinct), SUMMARY_SCHEMA)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import millionths
 from ridgemark.operators.arrow import struct_fields, struct_lists
-from ridgemark.operators.probes import probe_blocks
+from ridgemark.operators.probes import ProbeSide
 from ridgemark.settings import (ANGLE_WEIGHT, BOX_TH, BOX_X, BOX_Y, MAX_BROADCAST_LS, MAX_DIST,
                                 MIN_DIST, NEIGHBOURS, SUM_BOUND)
 
@@ -211,26 +211,26 @@ def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
     return order[last[:len(order)]]
 
 
-def _match_batches(probes, best: bool):
+def _match_batches(probes: ProbeSide, best: bool):
     def run(batches):
-        i_fpid, i_n, i_row, i = probes.value
-        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
         for batch in batches:
             t_row, t = _columns(batch["ls"])
-            for lo in range(0, len(t_row), step):
-                a, b, sl = _pairs(t, i, lo, min(lo + step, len(t_row)))
-                if not len(a):
-                    continue
-                if best:
-                    keep = _best_per_template(a, b, sl, i_row, i["lsid"])
-                    a, b, sl = a[keep], b[keep], sl[keep]
-                rows, probe_rows = pa.array(t_row[a]), pa.array(i_row[b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch["fpid"].take(rows), batch["n_ls"].take(rows)]
-                    + [pa.array(t[n][a]) for n in ("lsid", "x", "y", "th")]
-                    + [i_fpid.take(probe_rows), i_n.take(probe_rows)]
-                    + [pa.array(i[n][b]) for n in ("lsid", "x", "y", "th")] + [pa.array(sl)],
-                    names=[f.split()[0] for f in MATCH_SCHEMA.split(", ")])
+            for i_fpid, i_n, i_row, i in probes.blocks():
+                step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+                for lo in range(0, len(t_row), step):
+                    a, b, sl = _pairs(t, i, lo, min(lo + step, len(t_row)))
+                    if not len(a):
+                        continue
+                    if best:
+                        keep = _best_per_template(a, b, sl, i_row, i["lsid"])
+                        a, b, sl = a[keep], b[keep], sl[keep]
+                    rows, probe_rows = pa.array(t_row[a]), pa.array(i_row[b])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["fpid"].take(rows), batch["n_ls"].take(rows)]
+                        + [pa.array(t[n][a]) for n in ("lsid", "x", "y", "th")]
+                        + [i_fpid.take(probe_rows), i_n.take(probe_rows)]
+                        + [pa.array(i[n][b]) for n in ("lsid", "x", "y", "th")] + [pa.array(sl)],
+                        names=[f.split()[0] for f in MATCH_SCHEMA.split(", ")])
     return run
 
 
@@ -243,59 +243,56 @@ def _row_blocks(starts: np.ndarray, goal: int):
         first = last
 
 
-def local_totals(templates: DataFrame, table: pa.Table) -> DataFrame:
-    """``t_fpid, n_t, i_fpid, total`` of whole templates and a block of whole probes, without a shuffle."""
-    probes = broadcast_probes(templates.sparkSession, table)
-
+def local_totals(templates: DataFrame, probes: ProbeSide) -> DataFrame:
+    """``t_fpid, n_t, i_fpid, total`` of whole templates and blocks of whole probes, without a shuffle."""
     def run(batches):
-        i_fpid, _, i_row, i = probes.value
-        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
         for batch in batches:
             t_row, t = _columns(batch["ls"])
             starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
-            for first, last in _row_blocks(starts, step):
-                found = []
-                for lo in range(starts[first], starts[last], step):
-                    a, b, sl = _pairs(t, i, lo, min(lo + step, starts[last]))
-                    keep = _best_per_template(a, b, sl, i_row, i["lsid"])
-                    found.append((a[keep], b[keep], sl[keep]))
-                if not found:
-                    continue
-                a, b, sl = (np.concatenate(v) for v in zip(*found))
-                row = t_row[a]
-                order = np.lexsort((sl, b, row))
-                top = np.append((np.diff(row[order]) != 0) | (np.diff(b[order]) != 0), True)[:len(order)]
-                row, b, sl = row[order][top], b[order][top], sl[order][top]
-                pair, which = np.unique(row.astype(np.int64) * len(i_fpid) + i_row[b], return_inverse=True)
-                total = np.zeros(len(pair), np.int64)
-                np.add.at(total, which, sl)
-                rows = pa.array(pair // len(i_fpid))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["fpid"].take(rows), batch["n_ls"].take(rows), i_fpid.take(pa.array(pair % len(i_fpid))),
-                     pa.array(total)], names=["t_fpid", "n_t", "i_fpid", "total"])
+            for block in probes.blocks():
+                yield from totals(batch, t_row, t, starts, *block)
+
+    def totals(batch, t_row, t, starts, i_fpid, _, i_row, i):
+        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+        for first, last in _row_blocks(starts, step):
+            found = []
+            for lo in range(starts[first], starts[last], step):
+                a, b, sl = _pairs(t, i, lo, min(lo + step, starts[last]))
+                keep = _best_per_template(a, b, sl, i_row, i["lsid"])
+                found.append((a[keep], b[keep], sl[keep]))
+            if not found:
+                continue
+            a, b, sl = (np.concatenate(v) for v in zip(*found))
+            row = t_row[a]
+            order = np.lexsort((sl, b, row))
+            top = np.append((np.diff(row[order]) != 0) | (np.diff(b[order]) != 0), True)[:len(order)]
+            row, b, sl = row[order][top], b[order][top], sl[order][top]
+            pair, which = np.unique(row.astype(np.int64) * len(i_fpid) + i_row[b], return_inverse=True)
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, which, sl)
+            rows = pa.array(pair // len(i_fpid))
+            yield pa.RecordBatch.from_arrays(
+                [batch["fpid"].take(rows), batch["n_ls"].take(rows), i_fpid.take(pa.array(pair % len(i_fpid))),
+                 pa.array(total)], names=["t_fpid", "n_t", "i_fpid", "total"])
 
     return templates.select("fpid", "n_ls", "ls").mapInArrow(run, "t_fpid string, n_t bigint, i_fpid string, total bigint")
 
 
-def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False,
-                  bound: int = MAX_BROADCAST_LS["jiang"]) -> DataFrame:
+def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False, bound: int | None = None) -> DataFrame:
     """Local matches of similarity above zero (``sl`` in millionths).
 
     ``best`` keeps one match per template structure and probe: the highest
     similarity, then the highest probe structure.
 
-    A probe set within the checked bound is broadcast to a narrow map over
-    the template rows. A larger one goes in blocks, and so does a large probe.
+    A narrow map over the template rows, which walks the blocks of the probe
+    set; only the best matches of a probe beyond the bound need an aggregate.
     """
-    found, blocks = None, 0
-    for table in probe_blocks(inputs, bound, keys=("fpid", "chunk")):
-        probes = broadcast_probes(inputs.sparkSession, table)
-        part = templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
-        found, blocks = part if found is None else found.unionByName(part), blocks + 1
-    return best_per_template(found) if best and blocks > 1 else found
+    probes = ProbeSide(inputs, MAX_BROADCAST_LS["jiang"] if bound is None else bound, prepared)
+    found = templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
+    return best_per_template(found) if best and probes.split else found
 
 
-def broadcast_probes(spark, table: pa.Table):
+def prepared(table: pa.Table):
     """A block of probes as (ids, sizes, owner per structure, fields), by (id, structure).
 
     Chunks of one large probe come together again here.
@@ -305,9 +302,7 @@ def broadcast_probes(spark, table: pa.Table):
     sizes[owners] = table["n_ls"].to_numpy()
     rows, fields = _columns(table["ls"].combine_chunks())
     order = np.lexsort((fields["lsid"], owners[rows]))
-    return spark.sparkContext.broadcast(
-        (pa.array(ids, pa.string()), pa.array(sizes), owners[rows][order],
-         {name: v[order] for name, v in fields.items()}))
+    return pa.array(ids, pa.string()), pa.array(sizes), owners[rows][order], {name: v[order] for name, v in fields.items()}
 
 
 def best_per_template(matches: DataFrame) -> DataFrame:

@@ -26,23 +26,29 @@ from ridgemark.settings import (CELL_MU, CELL_RADIUS, CELL_STEP, CELL_TAU, CELLS
 _FIRST_CELL, _CELL_GROWTH = 16, 4
 
 
-def number_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Number the minutiae of each fingerprint by ``order_by``, of any sortable types, in two levels.
+def numbered(rows: DataFrame, order_by: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds the place of each row from 0 on by ``order_by``, of any sortable types, in each group of ``within``.
 
-    Rows are dealt out by ranges of (fingerprint, order columns), so no task
-    sorts a whole fingerprint, and equal first columns do not matter. Each
-    range is ranked apart and shifted by the count of the ranges before it. A
-    checkpoint holds the ranges fixed between the two steps.
+    Rows are dealt out by ranges of (group, order columns), so no task sorts a
+    whole group, and equal first columns do not matter. Each range is ranked
+    apart and shifted by the count of the ranges before it. A checkpoint holds
+    the ranges fixed between the two steps.
     """
-    ranged = cut(flat.repartitionByRange("fpid", *order_by).withColumn("range", F.spark_partition_id()))
-    before = Window.partitionBy("fpid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy("fpid", "range").agg(F.count("*").alias("n"))
-               .select("fpid", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    rank = F.row_number().over(Window.partitionBy("fpid", "range").orderBy(*order_by))
-    numbered = ranged.withColumn("rank", rank).join(offsets, ["fpid", "range"]).select(
-        "fpid", (F.col("offset") + F.col("rank") - 1).cast("int").alias("idx"), "x", "y", "th",
-        F.col("q").cast("int").alias("q"))
-    return cut(numbered)
+    ranged = cut(rows.repartitionByRange(*within, *order_by).withColumn("_range_", F.spark_partition_id()))
+    keys = [*within, "_range_"]
+    before = Window.partitionBy(*within).orderBy("_range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*keys).agg(F.count("*").alias("n"))
+               .select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before_")))
+    offsets = offsets if within else F.broadcast(offsets)      # without groups a row per partition
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    return (ranged.withColumn("_rank_", rank).join(offsets, keys)
+            .withColumn(name, F.col("_before_") + F.col("_rank_") - 1).drop("_range_", "_rank_", "_before_"))
+
+
+def number_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Number the minutiae of each fingerprint by ``order_by``, in two levels."""
+    return cut(numbered(flat, order_by, "idx", ["fpid"]).select(
+        "fpid", F.col("idx").cast("int").alias("idx"), "x", "y", "th", F.col("q").cast("int").alias("q")))
 
 
 def _grid(df: DataFrame, x: str, y: str, size: int, spread: bool = False) -> DataFrame:

@@ -1,12 +1,20 @@
 """Ways to bring the probe side of a match to the templates."""
 
 import math
-from collections.abc import Iterator
+import os
+import re
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROWS = 256                     # of the store, read at once
+
 
 def probe_shape(inputs: DataFrame) -> tuple[int, int]:
     """Local structures in a probe set and in its largest probe (one small aggregate)."""
@@ -15,31 +23,86 @@ def probe_shape(inputs: DataFrame) -> tuple[int, int]:
     return total or 0, largest or 0
 
 
-def probe_blocks(inputs: DataFrame, bound: int, size: int | None = None, keys: tuple[str, ...] = ("fpid",)) -> Iterator[pa.Table]:
-    """The probe set as tables of about ``bound`` local structures each.
+def probe_tables(batches: Iterable[pa.RecordBatch], bound: int) -> Iterator[pa.Table]:
+    """Rows in the order of (fpid, chunk) as tables of at most ``bound`` structures.
+
+    A probe is whole in one table unless it alone exceeds the bound; then its
+    rows are split over tables of its own and the next.
+    """
+    held, size, last = [], 0, None
+    for batch in batches:
+        names, wholes = batch["fpid"].to_pylist(), batch["n_ls"].to_pylist()
+        sizes = batch["ls"].value_lengths().to_pylist()
+        first = 0
+        for k, (name, whole, own) in enumerate(zip(names, wholes, sizes)):
+            if size and size + (own if name == last else max(own, whole)) > bound:
+                held.append(batch.slice(first, k - first))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, first = [], 0, k
+            size, last = size + own, name
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class ProbeSide:
+    """The probe side of a match: blocks of at most ``bound`` local structures.
 
-    Most probe sets are one block. A larger one is split by a hash of the
-    probe id (with ``keys`` fpid and chunk, large probes are split too), and
-    each block is one more scan of the templates, so that no broadcast ever
-    grows with the probe set.
+    A set within the bound is one broadcast block. A larger one is written once
+    to the shared folder, ordered by id, and Spark brings its files to the
+    executors; each task reads them block by block for its template rows, so
+    that any number of blocks is one scan of the templates and neither driver
+    nor broadcasts grow with the probe set. ``prepare`` makes a table ready to
+    match. ``split`` says whether a probe exceeds the bound and may come in
+    several blocks.
     """
-    columns = inputs.select("fpid", "n_ls", "ls", *[k for k in keys if k != "fpid"])
-    size = probe_shape(inputs)[0] if size is None else size
-    blocks = 1 if size <= bound else math.ceil(2 * size / bound)
-    for b in range(blocks):
-        part = columns if blocks == 1 else columns.filter(
-            F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b)
-        table = part.toArrow().combine_chunks()
-        if table.num_rows or blocks == 1:
-            yield table
+
+    def __init__(self, inputs: DataFrame, bound: int, prepare: Callable, shape: tuple[int, int] | None = None):
+        size, largest = shape or probe_shape(inputs)
+        columns = inputs.select("fpid", "chunk", "n_ls", "ls")
+        self.bound, self.prepare, self.split = bound, prepare, largest > bound
+        if size <= bound:
+            self.files = None
+            self.one = inputs.sparkSession.sparkContext.broadcast(prepare(columns.toArrow().combine_chunks()))
+        else:
+            self.files = _stored(columns, math.ceil(size / bound))
+
+    def blocks(self) -> Iterator:
+        """The blocks, inside a task."""
+        if self.files is None:
+            yield self.one.value
+            return
+        batches = (b for name in self.files for b in pq.ParquetFile(SparkFiles.get(name)).iter_batches(_ROWS))
+        for table in probe_tables(batches, self.bound):
+            yield self.prepare(table)
+
+
+def _stored(columns: DataFrame, parts: int) -> list[str]:
+    """Writes probe rows in ranges of ids; the names of the files, in order, known to all executors."""
+    spark = columns.sparkSession
+    path = f"{shared_folder(spark)}/probes-{uuid.uuid4().hex}"
+    order = ("fpid", "chunk")
+    columns.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
+    files = sorted(spark.read.parquet(path).inputFiles(), key=os.path.basename)
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return [os.path.basename(file) for file in files]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; local sessions get one of their own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir, a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint, so that a loop keeps a short lineage and survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            raise ValueError("large fingerprints need spark.checkpoint.dir, a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

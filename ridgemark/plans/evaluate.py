@@ -1,11 +1,12 @@
 """Evaluation of a score table against known genuine and impostor probes."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgemark.functions.names import genuine
+from ridgemark.operators.oversize import numbered
 
-BUCKETS = 4096
+RANGES = 256
 
 
 def rank1(scores: DataFrame) -> DataFrame:
@@ -26,17 +27,27 @@ def _per_probe(scores: DataFrame, genuines: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("score", "t_fpid")).alias("best"), F.min("score").alias("low")))
 
 
+def _range() -> Column:
+    """Range of a score among RANGES of about equal counts, from a column ``cuts`` of sorted scores."""
+    return F.size(F.filter("cuts", lambda c: c < F.col("score")))
+
+
+def _cuts(scores: DataFrame) -> DataFrame:
+    """One row ``cuts, total``: scores that divide the others into ranges, from a mergeable sketch."""
+    shares = [k / RANGES for k in range(1, RANGES)]
+    return scores.agg(F.array_distinct(F.percentile_approx("score", shares, 4 * RANGES)).alias("cuts"), F.count("score").alias("total"))
+
+
 def _threshold(impostors: DataFrame, far: float) -> DataFrame:
     """The entry at position floor((1 - far) n) - 1 of ``score`` in ascending order, 0 when there is none.
 
-    Positions come from counts per score in BUCKETS equal ranges; only the one
-    range that holds the position is ordered. Equal scores are one range.
+    Positions come from counts per score in ranges of about equal counts,
+    whatever the distribution; only the one range that holds the position is
+    ordered. The ranges are approximate, the position is exact.
     """
-    span = impostors.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("total"))
-    bucket = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * BUCKETS), F.lit(0))
-    counts = (impostors.join(F.broadcast(span)).groupBy(bucket.alias("bucket"), "score", "total")
+    counts = (impostors.join(F.broadcast(_cuts(impostors))).groupBy(_range().alias("bucket"), "score", "total")
               .agg(F.count("*").alias("n")))
-    upto = F.sum("n").over(Window.orderBy("bucket"))           # BUCKETS + 1 rows at most
+    upto = F.sum("n").over(Window.orderBy("bucket"))           # RANGES rows at most
     ranges = (counts.groupBy("bucket", "total").agg(F.sum("n").alias("n"))
               .select("bucket", upto.alias("end"), "n", F.floor((1 - F.lit(far)) * F.col("total")).alias("position"))
               .filter("position >= 1 and end >= position and end - n < position")
@@ -46,6 +57,16 @@ def _threshold(impostors: DataFrame, far: float) -> DataFrame:
     return inside.filter("upto >= place").agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("threshold"))
 
 
+def positions(scores: DataFrame) -> DataFrame:
+    """Adds ``position``, the place of every score from 0 on, by (score, i_fpid, t_fpid).
+
+    Rows are dealt out by ranges of that order, so equal scores do not meet in
+    one task; each range is numbered apart and shifted by the counts of the
+    ranges before it.
+    """
+    return numbered(scores, ["score", "i_fpid", "t_fpid"], "position")
+
+
 def _impostors(probes: DataFrame, agg: str) -> DataFrame:
     score = {"max": F.col("best.score"), "min": F.col("low")}[agg]
     return probes.filter("own is null").select(score.alias("score"))
