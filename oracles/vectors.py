@@ -101,6 +101,8 @@ from jls join jn using (role, fpid) where role = 'T'""",
 select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, t.n as n_t, i.n as n_i, sl
 from jm join jn t on t.role = 'T' and t.fpid = t_fpid join jn i on i.role = 'Q' and i.fpid = i_fpid""",
     "score_jiang_local": f"with {_KEPT} select * from kept",
+    "score_registered": f"""with {JMATCH}
+select t_fpid, i_fpid, {rounded("(sum(sl) / count(*) + max(sl)) / 2e6")} as score from jm group by t_fpid, i_fpid""",
     "jiang_seeds": f"with {_SEEDS} select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, sl, rank from seeds",
     "jiang_box_join": f"with {_BOX} select * from box",
     "score_jiang": f"""with recursive {_GREEDY}

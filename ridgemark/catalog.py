@@ -36,6 +36,11 @@ def score_query(name: str, **options):
 local_scores = score_query("jiang_local")
 
 
+def score_registered(spark, sf_dir):
+    """A consolidation that is registered as init, update, merge and finish."""
+    return identify(*sides(spark, sf_dir, "jiang"), "jiang", "mean_best")
+
+
 def fixture_minutiae(spark, sf_dir):
     return P.number(X.template_minutiae(spark, sf_dir), X.ORDER)
 
@@ -291,7 +296,7 @@ QUERIES = {f.__name__: f for f in (
     fixture_minutiae, fingerprint_counts, knn_neighbours, jiang_features, jiang_local_matches, jiang_seeds,
     jiang_box_join, convex_hull_edges, cylinder_cells, cylinder_features, cylinder_local_matches, np_pairs,
     lssr_top_matches, lssr_rho, genuine_impostor_split, rank1_identification, tp_count, detailed_results, far_threshold,
-    far_threshold_min, fnr_at_far, score_positions, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
+    far_threshold_min, fnr_at_far, score_positions, score_registered, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
     genuine_rules, angle_functions, geometry_functions, array_functions)}
 QUERIES.update({f"score_{name}": score_query(name) for name in SCORES})
 # The wider averages of the published method: 4 to 12 matches, by the smaller size.

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemark.operators import cylinder, jiang, oversize
+from ridgemark.plans.registry import FEATURES
 from ridgemark.settings import MAX_ROW_MINUTIAE
 from ridgemark.sources.minutiae import flatten, group_minutiae, merge_records
 
-_BUILDERS = {"jiang": (jiang.jiang_features, oversize.jiang_features),
-             "cylinder": (cylinder.cylinder_features, oversize.cylinder_features)}
-
 # Ids listed up to this count are broadcast when oversized prints are set apart.
 _BROADCAST_IDS = 100_000
 
@@ -73,8 +71,13 @@ def hull_edges(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MI
 def _builders(kind: str, role: str) -> tuple[Callable, Callable]:
     if role not in ("template", "input"):
         raise ValueError(f"role must be 'template' or 'input', not {role!r}")
-    ordinary, large = _BUILDERS[kind]
-    if kind == "jiang":
+    if kind not in FEATURES:
+        raise ValueError(f"unknown feature {kind!r}; one of {sorted(FEATURES)}")
+    ordinary, large = FEATURES[kind].build, FEATURES[kind].large
+    if large is None:
+        def large(flat):
+            raise ValueError(f"feature {kind!r} has no way for fingerprints of more than {MAX_ROW_MINUTIAE} minutiae")
+    if kind != "cylinder":
         return ordinary, large
     keep = role == "input"
     return lambda p: ordinary(p, keep_invalid=keep), lambda f: large(f, keep_invalid=keep)
