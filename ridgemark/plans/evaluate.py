@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions.names import genuine
 from ridgemark.operators.oversize import numbered
+from ridgemark.operators.probes import cut
 
 RANGES = 256
 
@@ -21,10 +22,13 @@ def split_scores(scores: DataFrame, genuines: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _per_probe(scores: DataFrame, genuines: DataFrame) -> DataFrame:
-    """One pass over the scores: each probe's best pair, lowest score, and whether it is a genuine one."""
+    """One pass over the scores: each probe's best pair, lowest score, and whether it is a genuine one.
+
+    The rows, one per probe, are cut off, so what is asked of them does not read the scores again.
+    """
     flags = genuines.select("i_fpid", F.lit(True).alias("own")).distinct()
-    return (scores.join(flags, "i_fpid", "left").groupBy("i_fpid", "own")
-            .agg(F.max(F.struct("score", "t_fpid")).alias("best"), F.min("score").alias("low")))
+    best = scores.groupBy("i_fpid").agg(F.max(F.struct("score", "t_fpid")).alias("best"), F.min("score").alias("low"))
+    return cut(best.join(flags, "i_fpid", "left"))
 
 
 def _range() -> Column:
