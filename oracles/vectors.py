@@ -101,6 +101,14 @@ from jls join jn using (role, fpid) where role = 'T'""",
 select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, t.n as n_t, i.n as n_i, sl
 from jm join jn t on t.role = 'T' and t.fpid = t_fpid join jn i on i.role = 'Q' and i.fpid = i_fpid""",
     "score_jiang_local": f"with {_KEPT} select * from kept",
+    "structures_round_trip": f"""with {JIANG} select fpid, lsid, x, y, th,
+  {", ".join(f"r{k}, v{k}, {rounded(f'd{k}')} as d{k}" for k in range(1, 5))}
+from jls where role = 'T' and lsid % 7 <> 3""",
+    "minutiae_round_trip": f"with {MINUTIAE} select fpid, idx, x, y, th, q from minutiae where role = 'T'",
+    "lookup_fingerprints": f"""with {JIANG} select fpid, n as n_ls, lsid, x, y, th from jls join jn using (role, fpid)
+where role = 'T' and fpid in (select 'Finger' || lpad(cast(n_nationkey * 3 as varchar), 12, '0') || '_1' from nation)""",
+    "scores_round_trip": f"""with {_KEPT} select t_fpid, i_fpid, score, form
+from kept, (values ('parquet'), ('mapreduce'), ('rdd'), ('details')) as forms(form)""",
     "score_registered": f"""with {JMATCH}
 select t_fpid, i_fpid, {rounded("(sum(sl) / count(*) + max(sl)) / 2e6")} as score from jm group by t_fpid, i_fpid""",
     "jiang_seeds": f"with {_SEEDS} select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, sl, rank from seeds",

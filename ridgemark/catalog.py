@@ -1,18 +1,23 @@
 """The registered queries: each runs over the whole given tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemark.functions import angles as A
+from ridgemark.functions import codec
 from ridgemark.functions import numeric as N
 from ridgemark.functions.names import db_type, genuine
 from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
 from ridgemark.operators import jiang as J
 from ridgemark.operators.align import box_matches, top_matches
+from ridgemark.operators.probes import shared_folder
 from ridgemark.operators.relax import rho_sums
 from ridgemark.plans import enrol as P
 from ridgemark.plans import evaluate as E
+from ridgemark.plans import store
 from ridgemark.plans.enrol import build_local_structures, enrol
 from ridgemark.plans.identify import SCORES, identify
 from ridgemark.sources import fixture as X
@@ -144,6 +149,42 @@ def _printed(minutiae):
         "fpid", F.lit(":"), F.array_join(F.transform("m", lambda m: m["text"]), ";")).alias("value"))
 
 
+def structures_round_trip(spark, sf_dir):
+    """Vectors printed as lines and parsed back; lines that lost their last number are rejects."""
+    lines = codec.print_vectors(J.flat_structures(enrol(X.template_minutiae(spark, sf_dir), X.ORDER, "jiang")))
+    broken = F.regexp_extract("value", ";([0-9]+);", 1).cast("int") % 7 == 3
+    given = lines.select(F.when(broken, F.regexp_replace("value", " [^ ]*$", "")).otherwise(F.col("value")).alias("value"))
+    return codec.parse_vectors(given)[0].select(
+        "fpid", "lsid", "x", "y", "th", *J.ANGLES, *[N.rounded(F.col(f"d{k}")).alias(f"d{k}") for k in J.K])
+
+
+def minutiae_round_trip(spark, sf_dir):
+    return codec.parse_minutia_lines(codec.print_minutiae(fixture_minutiae(spark, sf_dir)))[0]
+
+
+def lookup_fingerprints(spark, sf_dir):
+    """Structures of one finger per nation, from a stored table that is searched by id."""
+    path = f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}"
+    store.write_lookup(enrol(X.template_minutiae(spark, sf_dir), X.ORDER, "jiang"), path)
+    ids = X.table(spark, sf_dir, "nation").selectExpr("concat('Finger', lpad(cast(n_nationkey * 3 as string), 12, '0'), '_1') as fpid")
+    return J.flat_structures(store.lookup(store.read_structures(spark, path), ids)).select("fpid", "n_ls", "lsid", "x", "y", "th")
+
+
+def scores_round_trip(spark, sf_dir):
+    """Scores written in every form of the sink and read back."""
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    store.write_scores(local_scores(spark, sf_dir), f"{path}/parquet")
+    stored = spark.read.parquet(f"{path}/parquet")
+    out = stored.withColumn("form", F.lit("parquet"))
+    for form in ("mapreduce", "rdd"):
+        store.write_scores(stored, f"{path}/{form}", form, ordered=form == "rdd")
+        out = out.unionByName(parse_scores(spark.read.text(f"{path}/{form}"), form)[0].select(
+            "t_fpid", "i_fpid", "score").withColumn("form", F.lit(form)))
+    store.write_details(E.detailed(stored, "sfinge"), f"{path}/details")
+    details = spark.read.csv(f"{path}/details", sep="\t", schema="i_fpid string, t_fpid string, score double, genuine boolean")
+    return out.unionByName(details.select("t_fpid", "i_fpid", "score", F.lit("details").alias("form")))
+
+
 def score_from_text(spark, sf_dir):
     """Text lines to fingerprints to local structures to scores."""
     t, i = (build_local_structures(parse_prints(_printed(m))[0], "jiang", role)
@@ -296,7 +337,8 @@ QUERIES = {f.__name__: f for f in (
     fixture_minutiae, fingerprint_counts, knn_neighbours, jiang_features, jiang_local_matches, jiang_seeds,
     jiang_box_join, convex_hull_edges, cylinder_cells, cylinder_features, cylinder_local_matches, np_pairs,
     lssr_top_matches, lssr_rho, genuine_impostor_split, rank1_identification, tp_count, detailed_results, far_threshold,
-    far_threshold_min, fnr_at_far, score_positions, score_registered, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
+    far_threshold_min, fnr_at_far, score_positions, score_registered, structures_round_trip,
+    minutiae_round_trip, lookup_fingerprints, scores_round_trip, score_from_text, evaluate_from_text, fnr_no_impostors, parse_minutiae_text, parse_minutiae_rejects, parse_scores_mr, parse_scores_tuple, probe_id_list,
     genuine_rules, angle_functions, geometry_functions, array_functions)}
 QUERIES.update({f"score_{name}": score_query(name) for name in SCORES})
 # The wider averages of the published method: 4 to 12 matches, by the smaller size.

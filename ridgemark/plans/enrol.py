@@ -46,13 +46,22 @@ def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "temp
 
 def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
                            limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
-    """Local structures of print rows (``fpid, n, minutiae``); records of one id are merged."""
+    """Local structures of print rows (``fpid, n, minutiae``); records of one id are merged.
+
+    Minutiae are counted per id first. Records of an id beyond the bound are
+    numbered by their content and merged as flat rows, never in one array.
+    """
     ordinary, large = _builders(kind, role)
-    prints = merge_records(prints)
-    if not prints.filter(F.col("n") > limit).limit(1).count():
-        return ordinary(prints)
-    return (ordinary(prints.filter(F.col("n") <= limit))
-            .unionByName(large(flatten(prints.filter(F.col("n") > limit)))))
+    sizes = prints.groupBy("fpid").agg(F.sum("n").alias("total"))
+    found = sizes.agg(F.count_if(F.col("total") > limit)).first()[0]
+    if not found:
+        return ordinary(merge_records(prints))
+    big = sizes.filter(F.col("total") > limit).select("fpid")
+    big = F.broadcast(big) if found <= _BROADCAST_IDS else big
+    records = oversize.numbered(prints.join(big, "fpid", "left_semi"), ["minutiae"], "record", ["fpid"])
+    flat = records.select("fpid", "record", F.inline("minutiae")).withColumnRenamed("idx", "place")
+    return (ordinary(merge_records(prints.join(big, "fpid", "left_anti")))
+            .unionByName(large(oversize.number_minutiae(flat, ["record", "place"]))))
 
 
 def number(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
