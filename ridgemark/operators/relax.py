@@ -5,13 +5,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.functions.numeric import np_expr, rho_expr, rounded
+from ridgemark.functions.numeric import np_expr, rounded
 from ridgemark.operators.arrow import struct_fields
 from ridgemark.operators.cylinder import radians_of
 from ridgemark.settings import RELAX_ROUNDS, RELAX_WEIGHT, RHO_ANGLE, RHO_DIST
 
 _FIELDS = ("sl", "t_x", "t_y", "t_th", "i_x", "i_y", "i_th")
 _BLOCK_VALUES = 1 << 20
+RHO_BLOCK = 512                 # matches; two blocks fill one square of _BLOCK_VALUES
 
 
 def _turn(d: np.ndarray) -> np.ndarray:
@@ -106,18 +107,50 @@ def _batches(batches):
                                          names=["t_fpid", "i_fpid", "score"])
 
 
-def rho_sums(pairs: DataFrame) -> DataFrame:
-    """``t_fpid, i_fpid, nr, rho_sum``: summed ρ over the ordered pairs of different retained matches."""
-    used = pairs.filter("nr > 1").select("t_fpid", "i_fpid", "nr", F.slice("top", 1, F.col("nr")).alias("m"))
-    first = used.select("t_fpid", "i_fpid", "nr", "m", F.posexplode("m").alias("ra", "a"))
-    both = first.select("t_fpid", "i_fpid", "nr", "ra", "a", F.posexplode("m").alias("rb", "b")).filter("ra != rb")
+def _rho_batches(batches):
+    """Summed ρ of rows ``m`` (matches), ``split``: of all ordered pairs of different matches or, with a split, of those across it."""
+    for batch in batches:
+        offsets, m = struct_fields(batch["m"], _FIELDS)
+        sizes, split = np.diff(offsets), batch["split"].to_numpy()
+        order, sums, lo = np.argsort(sizes, kind="stable"), np.zeros(batch.num_rows), 0
+        while lo < len(order):
+            # Rows of similar width together, so that padding stays small.
+            hi = lo + 1
+            while hi < len(order) and (hi - lo + 1) * int(sizes[order[hi]]) ** 2 <= _BLOCK_VALUES:
+                hi += 1
+            rows = order[lo:hi]
+            place = np.arange(int(sizes[rows].max()))
+            at = offsets[rows][:, None] + np.minimum(place, sizes[rows][:, None] - 1)
+            used = place < sizes[rows][:, None]
+            second = place >= split[rows][:, None]
+            across = second[:, :, None] != second[:, None, :]
+            wanted = used[:, :, None] & used[:, None, :] & np.where((split[rows] > 0)[:, None, None], across, place[:, None] != place)
+            sums[rows] = (compatibility({n: v[at] for n, v in m.items()}) * wanted).sum(axis=(1, 2))
+            lo = hi
+        yield pa.RecordBatch.from_arrays([batch["t_fpid"], batch["i_fpid"], batch["nr"], pa.array(sums)],
+                                         names=["t_fpid", "i_fpid", "nr", "s"])
 
-    def side(c, s):
-        return F.struct(*[F.col(f"{c}.{s}_{n}").alias(n) for n in ("x", "y", "th")])
 
-    rho = rho_expr(side("a", "t"), side("a", "i"), side("b", "t"), side("b", "i"))
-    return both.groupBy("t_fpid", "i_fpid", "nr").agg(F.sum(rho).alias("s")).select(
-        "t_fpid", "i_fpid", "nr", rounded(F.col("s"), 3).alias("rho_sum"))
+def rho_sums(pairs: DataFrame, largest: int | None = None, block: int = RHO_BLOCK) -> DataFrame:
+    """``t_fpid, i_fpid, nr, rho_sum``: summed ρ over the ordered pairs of different retained matches.
+
+    The matches of a pair go in blocks: each block meets itself and every later
+    one, and the partial sums are added. ``largest`` is a bound on ``nr``, if one
+    is known; beyond one block the blocks of a pair spread over tasks.
+    """
+    key = ["t_fpid", "i_fpid", "nr"]
+    blocks = F.ceil(F.col("nr") / block).cast("int")
+    used = pairs.filter("nr > 1").select(*key, F.slice("top", 1, F.col("nr")).alias("m"))
+    first = used.select(*key, "m", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("p"))
+    both = first.select(*key, "m", "p", F.explode(F.sequence("p", blocks - 1)).alias("q"))
+    a, b = (F.slice("m", F.col(c) * block + 1, F.lit(block)) for c in "pq")
+    parts = both.select(*key, "p", "q", F.when(F.col("p") == F.col("q"), a).otherwise(F.concat(a, b)).alias("m"),
+                        F.when(F.col("p") == F.col("q"), 0).otherwise(F.size(a)).alias("split"))
+    one = largest is not None and largest <= block
+    parts = parts if one else parts.repartition("t_fpid", "i_fpid", "p", "q")
+    sums = parts.select(*key, "m", "split").mapInArrow(_rho_batches, "t_fpid string, i_fpid string, nr int, s double")
+    sums = sums if one else sums.groupBy(*key).agg(F.sum("s").alias("s"))
+    return sums.select(*key, rounded(F.col("s"), 3).alias("rho_sum"))
 
 
 def relaxation_scores(pairs: DataFrame) -> DataFrame:
