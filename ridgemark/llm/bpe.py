@@ -242,34 +242,39 @@ def _worker(shared):
     return kept["encoder"], kept["shown"]
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
+def digest(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, and on demand its ids.
 
     The tokenizer file has a fixed size and is broadcast; texts are neither
     shuffled nor collected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(path))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
 
     def run(batches):
         encoder, shown = _worker(shared)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, listed = [], [], [], []
             for text in batch.column(1):
                 n, a, b, machine = 0, hashlib.sha256(), hashlib.sha256(), TokenMachine(shown)
                 for run_ in encoder.encode(text.as_py() or ""):
                     n += len(run_) // 4
                     a.update(run_)
                     b.update(machine.push(np.frombuffer(run_, "<u4").tolist()))
+                    if ids:
+                        listed.append(run_)
                 counts.append(n)
                 ids_sha.append(a.hexdigest())
                 text_sha.append(b.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
-                 pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)),
+                                                        pa.array(np.frombuffer(b"".join(listed), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:

@@ -94,31 +94,54 @@ class Vectors:
         return np.array(rows, np.int64)
 
 
-def grams(text: str) -> np.ndarray:
-    """Letter n-grams of a text in order, as numbers of 21 bits a letter."""
+def _run(text: str, before: np.ndarray) -> np.ndarray:
+    """Letters ``before`` and those of a text, each run of blanks as one."""
     low = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = low == BLANK
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]                     # the first blank of a run stays
-    low = np.concatenate([[np.uint32(BLANK)], low[keep], [np.uint32(BLANK)] * (N - 1)]).astype(np.uint64)
-    if len(low) and not (low != BLANK).any():
-        return np.zeros(0, np.uint64)
-    code = np.zeros(len(low) - N + 1, np.uint64)
+    follows = np.append(before[-1:] == BLANK, blank)[:len(low)]
+    return np.concatenate([before, low[~(blank & follows)]])
+
+
+def _codes(run: np.ndarray) -> np.ndarray:
+    low = run.astype(np.uint64)
+    code = np.zeros(max(len(low) - N + 1, 0), np.uint64)
     for k in range(N):
         code = (code << np.uint64(21)) | low[k:k + len(code)]
     return code
 
 
+_EDGE = np.array([BLANK], np.uint32)
+_END = np.repeat(_EDGE, N - 1)
+
+
+def grams(text: str) -> np.ndarray:
+    """Letter n-grams of a text in order, as numbers of 21 bits a letter."""
+    run = _run(text, _EDGE)
+    return _codes(np.concatenate([run, _END])) if (run != BLANK).any() else np.zeros(0, np.uint64)
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text and their counts; long texts go in pieces."""
+    """Distinct n-grams of a whole text and their counts.
+
+    Long texts go in pieces, each behind the last letters of the one before, so
+    the n-grams are those of the whole text.
+    """
     if len(text) <= SLICE_CHARS:
         return np.unique(grams(text), return_counts=True)
     total: dict[int, int] = {}
-    for at in range(0, len(text), SLICE_CHARS):
-        for g, n in zip(*(a.tolist() for a in np.unique(grams(text[at:at + SLICE_CHARS]), return_counts=True))):
+
+    def add(run):
+        for g, n in zip(*(a.tolist() for a in np.unique(_codes(run), return_counts=True))):
             total[g] = total.get(g, 0) + n
-    keys = np.array(sorted(total), np.uint64)
-    return keys, np.array([total[int(k)] for k in keys])
+
+    run, found = _EDGE, False
+    for at in range(0, len(text), SLICE_CHARS):
+        run = _run(text[at:at + SLICE_CHARS], run[-(N - 1):])
+        found = found or bool((run != BLANK).any())
+        add(run)
+    add(np.concatenate([run[-(N - 1):], _END]))
+    keys = np.array(sorted(total) if found else [], np.uint64)
+    return keys, np.array([total[int(k)] for k in keys], np.int64)
 
 
 def _vectors() -> Vectors:

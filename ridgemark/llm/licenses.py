@@ -2,12 +2,12 @@
 
 Each template is a word sequence with a label and a mandatory phrase. Corpus
 document frequencies rank the templates' words; each template is filed under
-its rarest words with their positions. An occurrence of such a word in a file
-proposes a place for the template; the postings of its other words must then
-stand at the same relative positions in at least a given share (weighted by
-IDF), and the mandatory phrase must stand there word by word. A base phrase is
-a template that is mandatory as a whole, so every place of it is found: each
-holds its rarest word.
+the rarest word of its mandatory phrase with its position. An occurrence of that
+word in a file proposes a place for the template; the postings of its other words
+must then stand at the same relative positions in at least a given share (weighted
+by IDF), and the mandatory phrase must stand there word by word. Every place that
+may count holds the phrase, so this one word finds all of them. A base phrase is a
+template that is mandatory as a whole.
 
 Words are runs of letters and digits, A-Z in lower case. Null and empty texts
 have no words, no labels and score 0. Repeated rows are judged each. The index
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from ridgemark.llm.common import LETTERS, Words, text_slices
 
 SHARE = 0.8
-ANCHORS = 3
 
 
 @dataclass(frozen=True)
@@ -61,7 +60,7 @@ def hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Postings of the templates' rarest words, given the document frequency of each word."""
+    """Postings of the rarest words of the templates' phrases, given the document frequency of each word."""
 
     def __init__(self, templates: list[Template], frequency: dict[int, int], n_docs: int):
         self.templates = templates
@@ -72,8 +71,8 @@ class Index:
             p = hashes(t.phrase)
             k = next(i for i in range(len(w) - len(p) + 1) if (w[i:i + len(p)] == p).all())
             self.phrase.append(np.arange(k, k + len(p)))
-        postings = sorted((int(w[q]), i, int(q)) for i, (t, w) in enumerate(zip(templates, self.words))
-                          for q in np.argsort(-self.idf[i], kind="stable")[:1 if t.base else ANCHORS])
+        rarest = [int(p[np.argmax(idf[p])]) for idf, p in zip(self.idf, self.phrase)]
+        postings = sorted((int(w[q]), i, q) for i, (w, q) in enumerate(zip(self.words, rarest)))
         self.key = np.array([p[0] for p in postings], np.uint64)
         self.template = np.array([p[1] for p in postings], np.int64)
         self.place = np.array([p[2] for p in postings], np.int64)

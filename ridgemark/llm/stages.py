@@ -16,15 +16,20 @@ def _place(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without letters go.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Documents with a language: null texts and texts without letters go, the others get a lang where it is null.
 
-    Without any prototype (no learnable row has a language) all others stay.
+    With ``languages`` only documents predicted as one of them stay. Without any
+    prototype (no learnable row has a language) nothing can be predicted: all
+    documents with letters stay, and null langs stay null.
     """
     small_batches(spark)
     prototypes = langid.learn(docs.filter(learnable(F.col("doc_id"))))
     judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"), (None, ""))
-    return judged.filter(F.col("_lang_pred_").isNotNull()).select(*docs.columns)
+    known = judged.filter(F.col("_lang_pred_").isNotNull())
+    kept = known if languages is None else known.filter(F.col("_lang_pred_").isin(*languages) | (F.col("_lang_pred_") == ""))
+    lang = F.coalesce("lang", F.nullif("_lang_pred_", F.lit("")))
+    return kept.select(*[lang.alias(c) if c == "lang" else c for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import frame, jaccard_components, repeated_spans, without
 from pyspark.sql import functions as F
 
@@ -125,3 +126,59 @@ def test_pipeline_runs(spark):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     assert 0 < out.count() < n and [s for s, _ in corpus_pipeline.STAGES][0] == "language"
     assert out.columns == bpe.digest(spark.read.parquet(f"{data}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).columns
+
+
+def test_long_texts_have_the_n_grams_of_the_whole(monkeypatch):
+    r = np.random.default_rng(7)
+    texts = ["".join(r.choice(list("ab é1  \n"), n)) for n in (1, 2, 3, 7, 8, 9, 60, 301)] + ["a" * 600, " " * 50, "1 2 " * 30, " a" * 40]
+    want = [np.unique(langid.grams(t), return_counts=True) for t in texts]
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "SLICE_CHARS", size)
+        for t, (keys, n) in zip(texts, want):
+            got = langid.counted(t)
+            assert got[0].tolist() == keys.tolist() and got[1].tolist() == n.tolist()
+
+
+def test_predictions_against_loops(spark):
+    """Every n-gram bound letter by letter, every text and language bundled, all cosines compared."""
+    import random
+    import zlib
+    r = random.Random(1)
+    words_of = {"x": ["ba", "be", "bibo"], "y": ["kra", "kri", "krokru"], "z": ["ona", "uno", "ino"]}
+    langs = [r.choice("xyz") for _ in range(60)]
+    texts = [" ".join(r.choice(words_of[s if r.random() < 0.7 else r.choice("xyz")]) for _ in range(r.randint(1, 12))) for s in langs]
+
+    def vector(text):
+        out = np.zeros(langid.DIMENSIONS)
+        padded = " " + " ".join(text.split()) + "  "
+        for k in range(len(padded) - 2):
+            v = np.ones(langid.DIMENSIONS)
+            for j, ch in enumerate(reversed(padded[k:k + 3])):
+                v = v * np.roll(langid.letter_vector(ord(ch)), j)
+            out += v
+        return out
+
+    made = [vector(t) for t in texts]
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    prototypes = {s: sum(made[i] for i in learned if langs[i] == s) for s in "xyz"}
+    got = {d["doc_id"]: d for d in langid.identify_languages(frame(spark, texts, langs)).collect()}
+    for i, v in enumerate(made):
+        cosines = {s: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for s, p in prototypes.items()}
+        best = max(cosines.values())
+        assert got[i]["score"] == pytest.approx(best) and cosines[got[i]["lang_pred"]] == pytest.approx(best)
+        assert got[i]["held_out"] == (i not in learned)
+
+
+def test_language_stage_fills_and_chooses(spark):
+    texts, langs = ["the cat sat on the mat"] * 9 + ["le chat est sur la table"] * 9 + ["le chat", "the cat", "12", None], ["en"] * 9 + ["fr"] * 9 + [None] * 4
+    docs = frame(spark, texts, langs)
+    kept = {r["doc_id"]: r["lang"] for r in stages.language(spark, docs, "").collect()}
+    assert kept == {**dict(enumerate(langs[:18])), 18: "fr", 19: "en"}
+    assert {r["doc_id"] for r in stages.language(spark, docs, "", ("fr",)).collect()} == {*range(9, 19)}
+
+
+def test_encoded_ids_are_those_of_the_digest(spark):
+    import hashlib
+    docs = frame(spark, ["one two", None, "", "Ünïcode wörds " * 50])
+    for r in bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True).collect():
+        assert len(r["ids"]) == r["n_tokens"] and hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() == r["ids_sha256"]

@@ -1,5 +1,6 @@
 """Native quality rules, URL rules, chat formatting and licence scans."""
 
+import random
 import re
 
 import duckdb
@@ -127,3 +128,39 @@ def test_license_scans(spark, nothing):
     assert [got[i]["labels"] for i in (0, 4, 5, 6, 7, 12)] == ["cc-by,cc-by-nc", "mit", "mit", "mit", "", "gpl,gpl-3.0"]
     assert got[9]["score"] == 0 and got[5]["score"] == 1 and licenses.digest(nothing).count() == 0
     assert re.fullmatch(r"[a-z0-9.,-]*", got[0]["labels"])
+
+
+def test_templates_against_all_places(spark):
+    """Labels and shares by trying every template at every place; edited templates keep their phrase."""
+    r = random.Random(4)
+    texts = []
+    for t in licenses.TEMPLATES:
+        w, p = t.text.split(), t.phrase.split()
+        k = next(i for i in range(len(w)) if w[i:i + len(p)] == p)
+        loose = [i for i in range(len(w)) if not k <= i < k + len(p)]
+        for n in range(len(loose) + 1):
+            edited = list(w)
+            for i in r.sample(loose, n):
+                edited[i] = r.choice(["other", "words", w[0]])
+            texts.append(" ".join(["some", "prose", *edited, *edited[:r.randint(0, len(w))], "end"]))
+    mit = next(t for t in licenses.TEMPLATES if t.text.startswith("permission is hereby"))
+    rare = mit.text.replace("person", "one").replace("associated", "other").replace("obtaining", "getting")
+    texts += [rare, None, "", "permission " * 50]
+    docs = frame(spark, texts)
+    frequency, n_docs = licenses.frequencies(docs, licenses.BASE + licenses.TEMPLATES)
+    sets = [set(words(t, LETTERS)) for t in texts]
+    got = {d["doc_id"]: sorted((m["label"], m["start"], round(m["share"], 9)) for m in d["matches"] if not m["base"])
+           for d in licenses.scan(docs, licenses.BASE + licenses.TEMPLATES).collect()}
+    for i, t in enumerate(texts):
+        own, want = words(t, LETTERS), []
+        for template in licenses.TEMPLATES:
+            w, p = template.text.split(), template.phrase.split()
+            k = next(j for j in range(len(w)) if w[j:j + len(p)] == p)
+            weight = [max(np.log((n_docs + 1) / (sum(x in s for s in sets) + 0.5)), 1e-9) for x in w]
+            for start in range(-len(w), len(own)):
+                at = [own[start + j] if 0 <= start + j < len(own) else None for j in range(len(w))]
+                share = sum(v for v, x, y in zip(weight, at, w) if x == y) / sum(weight)
+                if at[k:k + len(p)] == p and share >= licenses.SHARE:
+                    want.append((template.label, start, round(share, 9)))
+        assert got[i] == sorted(want), t
+    assert any(m[2] < 1 for found in got.values() for m in found)
