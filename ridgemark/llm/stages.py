@@ -10,6 +10,7 @@ from ridgemark.llm import bpe, decontaminate, jaccard, langid, suffixes
 from ridgemark.llm.common import bit_table, bits_at, learnable, mix, small_batches, stored, table
 
 FILTER_BITS = 26
+WORDS, LINK = 5, (80, 100)       # near copies: shingles of five words, similarity of 0.8 or more
 
 
 def _place(keys: np.ndarray) -> np.ndarray:
@@ -32,9 +33,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple
     return kept.select(*[lang.alias(c) if c == "lang" else c for c in docs.columns])
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = WORDS,
+                    link: tuple[int, int] = LINK) -> DataFrame:
     """One document of each component of near copies: the smallest doc_id, and one row of repeated ones.
 
+    Two documents are near copies if their shingles of ``words`` words are at least
+    ``link`` (numerator, denominator) similar.
+
     Rows are known by a 64-bit hash of id and text. A filter of fixed size lets
     documents that nothing was decided about pass without a shuffle; only the
     others meet the table of decisions.
@@ -44,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("_key_", key)
     known = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
                                   F.col("_key_").alias("key")).alias("doc_id"), "text")
-    found = jaccard.components_of(known).filter("n_shingles > 0")
+    found = jaccard.components_of(known, words, link).filter("n_shingles > 0")
     decided = stored(found.groupBy(F.col("doc_id.key").alias("_known_"), (F.col("doc_id") != F.col("component_id")).alias("_gone_"))
                      .count().filter("_gone_ or count > 1").drop("count"))
     bits = bit_table(decided.select("_known_"), lambda batch: _place(batch.column(0).to_numpy()), FILTER_BITS)
@@ -77,6 +82,6 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the documents left."""
+    """Token ids of the documents left, with their counts and digests."""
     small_batches(spark)
-    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)

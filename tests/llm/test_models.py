@@ -92,7 +92,9 @@ def test_pipeline_stages_against_brute_force(spark, texts):
     kept = stages.language(spark, docs, data)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
     one = {r["doc_id"] for r in stages.near_duplicates(spark, docs, data).collect()}
-    assert one == {i for i, (n, c) in jaccard_components(texts).items() if i == c}
+    assert one == {i for i, (n, c) in jaccard_components(texts, 5, (80, 100)).items() if i == c}
+    four = {r["doc_id"] for r in stages.near_duplicates(spark, docs, data, 4, (85, 100)).collect()}
+    assert four == {i for i, (n, c) in jaccard_components(texts).items() if i == c}
     spans = repeated_spans(texts)
     cut = {r["doc_id"]: r for r in stages.repeated_passages(spark, docs, data).collect()}
     for i, r in cut.items():
@@ -125,7 +127,7 @@ def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, data)
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     assert 0 < out.count() < n and [s for s, _ in corpus_pipeline.STAGES][0] == "language"
-    assert out.columns == bpe.digest(spark.read.parquet(f"{data}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).columns
+    assert out.columns == bpe.digest(spark.read.parquet(f"{data}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), ids=True).columns
 
 
 def test_long_texts_have_the_n_grams_of_the_whole(monkeypatch):
