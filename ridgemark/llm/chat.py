@@ -8,6 +8,7 @@ over one row per pair, so formatting neither shuffles nor runs Python.
 
 A null conversation is an empty one. A null role or text renders as empty. Equal
 conversations have the whole conversation as the prompt and empty completions.
+Turns of a null conversation id belong to no conversation and are left out.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -75,9 +76,9 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     response to something else; it needs an assistant turn on both sides.
     """
     known = conversations(turns)
-    number = F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")
+    number = F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id")
     sides = known.groupBy(number).agg(
-        *[F.max(F.when(F.col("conv_id") % 2 == k, F.col("turns"))).alias(c) for k, c in enumerate(("chosen", "rejected"))]
+        *[F.max(F.when(F.pmod("conv_id", F.lit(2)) == k, F.col("turns"))).alias(c) for k, c in enumerate(("chosen", "rejected"))]
     ).filter("chosen is not null and rejected is not null")
 
     def last(c):

@@ -57,9 +57,11 @@ def learnable(doc_id: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one if unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one if unset in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -73,13 +75,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table of the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """Number of tables that this driver has stored so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *more: str) -> None:
+    """Deletes the tables stored after the first ``since`` ones, and other folders that nothing reads any more."""
+    for path in [*_written[since:], *more]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[since:]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until ``df`` has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def filter_bits(rows: int, least: int, most: int = 30) -> int:
+    """Size of a bit table in which ``rows`` keys set at most one bit in sixteen, as a power of two between the bounds."""
+    return min(most, max(least, (16 * max(rows, 1) - 1).bit_length()))
+
+
 def bit_table(rows: DataFrame, place, bits: int) -> np.ndarray:
     """Packed table of 2**bits bits; those at ``place(batch)`` of the rows are set.
 

@@ -35,6 +35,7 @@ MIN_OVERLAP = 13
 SIMILARITY = (4, 5)            # at least 4 of 5 words agree
 BLOCK_BYTES = 8 << 20          # of test texts that travel to the executors at once
 FILTER_BITS = 23
+PLACES = 1 << 19               # meetings, or words laid over each other, at once
 MATCH = "item_id {kind}, words long, matched long, doc_start long, item_start long"
 
 
@@ -61,6 +62,9 @@ class Seeds:
                 item.append(np.full(len(h), len(self.words)))
             self.words.append(words)
         self.rows = [rows for _, rows in self.of.values()]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
         key = np.concatenate(key) if key else np.zeros(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -68,49 +72,81 @@ class Seeds:
         self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[(self.key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        del self.of
+        del self.of, self.words
 
-    def meetings(self, words: Words) -> np.ndarray:
-        """Distinct (document, item, word of the document at which the item would start)."""
-        doc, found = words.doc(), []
+    def meetings(self, words: Words) -> Iterator[np.ndarray]:
+        """Distinct (document, item, word of the document at which the item would start), PLACES at a time."""
+        doc, at, low, n = words.doc(), [], [], []
         for m, mask in enumerate(self.masks):
             h = sequence_hash(words.hash, list(mask)) + np.uint64(m)
-            at = np.flatnonzero(self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            at = at[doc[at] == doc[at + mask[-1]]]
-            low, high = np.searchsorted(self.key, h[at]), np.searchsorted(self.key, h[at], "right")
-            n = high - low
-            at, low = np.repeat(at, n), np.repeat(low, n)
-            k = low + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([doc[at], self.item[k], at - self.pos[k]], 1))
-        return np.unique(np.concatenate(found), axis=0)
-
-
-def longest(equal: np.ndarray) -> tuple[int, int]:
-    """(start, end) of the longest stretch in which enough words agree; the first of equals."""
+            near = np.flatnonzero(self.seen[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            near = near[doc[near] == doc[near + mask[-1]]]
+            at.append(near)
+            low.append(np.searchsorted(self.key, h[near]))
+            n.append(np.searchsorted(self.key, h[near], "right") - low[-1])
+        at, low, n = (np.concatenate(c) for c in (at, low, n))
+        order = np.argsort(at, kind="stable")
+        order = order[n[order] > 0]
+        at, low, n = at[order], low[order], n[order]
+        for own in _runs(n):
+            size = n[own]
+            k = np.repeat(low[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            here = np.repeat(at[own], size)
+            yield np.unique(np.stack([doc[here], self.item[k], here - self.pos[k]], 1), axis=0)
+
+
+def _runs(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbours whose sizes sum to at most PLACES, or single ones."""
+    ends, row = np.cumsum(sizes), 0
+    while row < len(sizes):
+        end = int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PLACES, "right"))
+        yield slice(row, max(end, row + 1))
+        row = max(end, row + 1)
+
+
+def longest(equal: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, equal words) of the longest stretch of each run in which enough words agree; the first of equals."""
     a, b = SIMILARITY
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, b - a, -a))])
-    rest = np.maximum.accumulate(sums[::-1])[::-1]
-    ends = np.searchsorted(-rest, -sums, "right") - 1
-    k = int(np.argmax(ends - np.arange(len(sums))))
-    return k, int(ends[k])
-
-
-def overlaps(seeds: Seeds, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(document, item, words, matched, start in the document, start in the item): the best per pair."""
-    best: dict[tuple[int, int], tuple] = {}
-    for doc, item, start in seeds.meetings(words).tolist():
-        test = seeds.words[item]
-        low, high = words.first[doc], words.first[doc + 1]
-        a, b = max(0, low - start), min(len(test), high - start)
-        equal = words.hash[start + a:start + b] == test[a:b]
-        s, e = longest(equal)
-        if e - s < min(MIN_OVERLAP, len(test)):
-            continue
-        rank = (e - s, int(equal[s:e].sum()), -(start + a + s))
-        if (doc, item) not in best or rank > best[doc, item][0]:
-            best[doc, item] = (rank, int(start + a + s - low), int(a + s))
-    for (doc, item), (rank, at, own) in best.items():
-        yield doc, item, rank[0], rank[1], at, own
+    runs, ends = len(sizes), np.cumsum(sizes + 1)
+    first = ends - sizes - 1
+    steps = np.zeros(ends[-1] if runs else 0, np.int64)
+    steps[np.setdiff1d(np.arange(len(steps)), first, assume_unique=True)] = np.where(equal, b - a, -a)
+    sums = np.cumsum(steps)
+    sums -= np.repeat(sums[first], sizes + 1)
+    # Runs lie at heights that fall from one to the next, so one search serves all of them.
+    level = sums + np.repeat(np.arange(runs, 0, -1), sizes + 1) * (2 * b * (int(sizes.max(initial=0)) + 1))
+    rest = np.maximum.accumulate(level[::-1])[::-1]
+    last = np.searchsorted(-rest, -level, "right") - 1
+    length = last - np.arange(len(level))
+    top = np.flatnonzero(length == np.repeat(np.maximum.reduceat(length, first) if runs else length, sizes + 1))
+    start = top[np.searchsorted(top, first)]
+    end = last[start]
+    return start - first, end - first, (sums[end] - sums[start] + a * (end - start)) // b
+
+
+def overlaps(seeds: Seeds, words: Words) -> np.ndarray:
+    """Rows of document, item, words, matched, start in the document, start in the item: the best of each pair."""
+    best = np.zeros((0, 6), np.int64)
+    for met in seeds.meetings(words):
+        doc, item, start = met.T
+        low, high, own = words.first[doc], words.first[doc + 1], seeds.size[item]
+        a, b = np.maximum(0, low - start), np.minimum(own, high - start)
+        for rows in _runs(b - a):
+            n = (b - a)[rows]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = (words.hash[np.repeat(start[rows] + a[rows], n) + step]
+                     == seeds.flat[np.repeat(seeds.first[item[rows]] + a[rows], n) + step])
+            s, e, matched = longest(equal, n)
+            good = e - s >= np.minimum(MIN_OVERLAP, own[rows])
+            here = a[rows] + s
+            best = np.concatenate([best, np.stack(
+                [doc[rows], item[rows], e - s, matched, start[rows] + here - low[rows], here], 1)[good]])
+        order = np.lexsort((best[:, 4], -best[:, 3], -best[:, 2], best[:, 1], best[:, 0]))
+        best = best[order]
+        new = np.ones(len(best), bool)
+        new[1:] = (best[1:, :2] != best[:-1, :2]).any(1)
+        best = best[new]
+    return best
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -136,7 +172,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 for row, data, offsets in text_slices(batch.column(1)):
                     found = [(row + d, ids[r], n, m, at, own)
-                             for d, i, n, m, at, own in overlaps(seeds, Words(data, offsets, LETTERS)) for r in seeds.rows[i]]
+                             for d, i, n, m, at, own in overlaps(seeds, Words(data, offsets, LETTERS)).tolist() for r in seeds.rows[i]]
                     if found:
                         rows, *rest = zip(*found)
                         yield pa.RecordBatch.from_arrays(
@@ -159,8 +195,7 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for row, data, offsets in text_slices(batch.column(names.index("text"))):
-                    for d, *_ in overlaps(shared.value, Words(data, offsets, LETTERS)):
-                        keep[row + d] = False
+                    keep[row + overlaps(shared.value, Words(data, offsets, LETTERS))[:, 0]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.llm.common import held_out, learnable, mix, worker_cache
+from ridgemark.llm.common import free_names, held_out, learnable, mix, worker_cache
 
 DIMENSIONS = 512
 N = 3
@@ -231,7 +231,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, columns: list[str],
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([f"`{c}` {fields[c]}" for c in columns] + [f"{chosen} string", f"{cosine_name} double"])
-    return docs.select(F.col("text").cast("string").alias("_text_"), *columns).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string").alias(free_names(docs, "_text_")[0]), *columns).mapInArrow(run, schema)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

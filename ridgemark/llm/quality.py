@@ -26,6 +26,7 @@ SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
 STEPS, RATE, BATCH = 600, 0.004, 48
 KEEP = 0.3
 SLICE = 1 << 18
+TOGETHER = 128                   # chunks whose responses are held at once
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +91,14 @@ class Network:
         return f, h, h @ self.p["w2"] + self.p["b2"][0]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        *_, begin, _, z = self.pooled(data, offsets)
+        raw, at, first = padded(data, offsets)
+        start, end, begin = chunks(first)
+        z = np.zeros((len(start), FILTERS), np.float32)
+        for c in range(0, len(start), TOGETHER):         # a few chunks at a time, however long the text is
+            own = slice(c, c + TOGETHER)
+            low = start[c]
+            r = self.responses(raw, at[low:end[own][-1]])
+            z[own] = np.maximum(_over(r, start[own] - low, end[own] - low, np.maximum), 0)
         return 1 / (1 + np.exp(-np.clip(self.head(z, begin)[2].astype(np.float64), -30, 30)))
 
     def gradients(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgemark.llm import bpe, decontaminate, jaccard, langid, suffixes
-from ridgemark.llm.common import bit_table, bits_at, learnable, mix, small_batches, stored, table
+from ridgemark.llm.common import bit_table, bits_at, filter_bits, free_names, learnable, mix, small_batches, stored, table
 
-FILTER_BITS = 26
+FILTER_BITS = 26                 # at least; more for more decisions
 WORDS, LINK = 5, (80, 100)       # near copies: shingles of five words, similarity of 0.8 or more
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -26,10 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple
     """
     small_batches(spark)
     prototypes = langid.learn(docs.filter(learnable(F.col("doc_id"))))
-    judged = langid.predict(docs, prototypes, docs.columns, ("_lang_pred_", "_score_"), (None, ""))
-    known = judged.filter(F.col("_lang_pred_").isNotNull())
-    kept = known if languages is None else known.filter(F.col("_lang_pred_").isin(*languages) | (F.col("_lang_pred_") == ""))
-    lang = F.coalesce("lang", F.nullif("_lang_pred_", F.lit("")))
+    guess, score = free_names(docs, "_lang_pred_", "_score_")
+    judged = langid.predict(docs, prototypes, docs.columns, (guess, score), (None, ""))
+    known = judged.filter(F.col(guess).isNotNull())
+    kept = known if languages is None else known.filter(F.col(guess).isin(*languages) | (F.col(guess) == ""))
+    lang = F.coalesce("lang", F.nullif(guess, F.lit("")))
     return kept.select(*[lang.alias(c) if c == "lang" else c for c in docs.columns])
 
 
@@ -40,32 +41,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, words: in
     Two documents are near copies if their shingles of ``words`` words are at least
     ``link`` (numerator, denominator) similar.
 
-    Rows are known by a 64-bit hash of id and text. A filter of fixed size lets
-    documents that nothing was decided about pass without a shuffle; only the
-    others meet the table of decisions.
+    Rows are known by two 64-bit hashes of id and text. A filter sized by the number
+    of decisions lets documents that nothing was decided about pass without a
+    shuffle; only the others meet the table of decisions.
     """
     small_batches(spark)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string"))
-    keyed = docs.withColumn("_key_", key)
+    first, second, known_first, known_second, gone = free_names(docs, "_key_", "_key2_", "_known_", "_known2_", "_gone_")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text").cast("string")
+    keyed = docs.withColumns({first: F.xxhash64(*own), second: F.xxhash64(F.lit(1), *own)})
     known = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
-                                  F.col("_key_").alias("key")).alias("doc_id"), "text")
+                                  F.col(first).alias("key"), F.col(second).alias("key2")).alias("doc_id"), "text")
     found = jaccard.components_of(known, words, link).filter("n_shingles > 0")
-    decided = stored(found.groupBy(F.col("doc_id.key").alias("_known_"), (F.col("doc_id") != F.col("component_id")).alias("_gone_"))
-                     .count().filter("_gone_ or count > 1").drop("count"))
-    bits = bit_table(decided.select("_known_"), lambda batch: _place(batch.column(0).to_numpy()), FILTER_BITS)
-    shared = spark.sparkContext.broadcast(bits)
+    decided = stored(found.groupBy(F.col("doc_id.key").alias(known_first), F.col("doc_id.key2").alias(known_second),
+                                   (F.col("doc_id") != F.col("component_id")).alias(gone))
+                     .count().filter(F.col(gone) | (F.col("count") > 1)).drop("count"))
+    bits = filter_bits(decided.count(), FILTER_BITS)
+    shared = spark.sparkContext.broadcast(
+        bit_table(decided.select(known_first), lambda batch: _place(batch.column(0).to_numpy(), bits), bits))
     names = keyed.columns
 
     def among(wanted: bool):
         def run(batches):
             for batch in batches:
-                own = bits_at(shared.value, _place(batch.column(names.index("_key_")).to_numpy()))
-                yield batch.filter(pa.array(own == wanted))
+                at = bits_at(shared.value, _place(batch.column(names.index(first)).to_numpy(), bits))
+                yield batch.filter(pa.array(at == wanted))
         return keyed.mapInArrow(run, keyed.schema)
 
-    met = among(True).join(decided, F.col("_key_") == F.col("_known_"), "left")
-    rest = among(False).unionByName(met.filter("_gone_ is null").select(*names))
-    once = met.filter("not _gone_").dropDuplicates(["_key_"]).select(*names)
+    met = among(True).join(decided, (F.col(first) == F.col(known_first)) & (F.col(second) == F.col(known_second)), "left")
+    rest = among(False).unionByName(met.filter(F.col(gone).isNull()).select(*names))
+    once = met.filter(~F.col(gone)).dropDuplicates([first, second]).select(*names)
     return rest.unionByName(once).select(*docs.columns)
 
 

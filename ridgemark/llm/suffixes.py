@@ -15,7 +15,8 @@ level, and equal-sized levels are merged into one of twice the size. Blocks
 that meet others only at the anchor are resolved window by window.
 
 Texts are UTF-8 bytes, null is an empty text. Texts are known by a 64-bit hash,
-so exact copies share their results. Texts below LENGTH bytes lose nothing.
+so exact copies share their results; different texts that share one are found by
+a second hash and known by another. Texts below LENGTH bytes lose nothing.
 Other columns, and null or repeated ids, are carried along.
 """
 
@@ -23,15 +24,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.llm.common import Spans, bit_table, bits_at, mix, signed, stored, text_slices
+from ridgemark.llm.common import Spans, bit_table, bits_at, filter_bits, free_names, mix, signed, stored, text_slices
 
 LENGTH = 200
 GRAM = 32
 BATCHES = 4
-FILTER_BITS = 24
+FILTER_BITS = 24               # at least; more for more meetings
 GATHER = 200_000               # entries that a task looks through for repeats
 GROUP = 20_000                 # blocks of one anchor that one task resolves
 FOUND = "kind int, key long, block long, tid long, start int, windows int"
@@ -188,18 +189,19 @@ def index_scans(texts: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
     return found
 
 
-def _filter_place(key: np.ndarray, block: np.ndarray) -> np.ndarray:
-    return (mix(key.view(np.uint64) * np.uint64(3) + block.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_place(key: np.ndarray, block: np.ndarray, size: int) -> np.ndarray:
+    return (mix(key.view(np.uint64) * np.uint64(3) + block.view(np.uint64)) >> np.uint64(64 - size)).astype(np.int64)
 
 
 def met_blocks(texts: DataFrame, meetings: DataFrame) -> DataFrame:
     """Content and one place of each distinct block that meets others at its anchor.
 
-    A filter of fixed size over the meetings is broadcast. It may let other
-    blocks pass; those are real blocks too, and change nothing.
+    A filter over the meetings, sized by their number, is broadcast. It may let
+    other blocks pass; those are real blocks too, and change nothing.
     """
+    size = filter_bits(meetings.count(), FILTER_BITS)
     bits = bit_table(meetings.select("key", "block"), lambda batch: _filter_place(
-        batch.column(0).to_numpy(), batch.column(1).to_numpy()), FILTER_BITS)
+        batch.column(0).to_numpy(), batch.column(1).to_numpy(), size), size)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -208,7 +210,7 @@ def met_blocks(texts: DataFrame, meetings: DataFrame) -> DataFrame:
             tids = batch.column(0).to_numpy()
             for row, data, offsets in text_slices(batch.column(1)):
                 b = Blocks(data, offsets)
-                at = _filter_place(b.key, b.block)
+                at = _filter_place(b.key, b.block, size)
                 good = np.flatnonzero(bits_at(bits, at))
                 good = good[np.unique(b.block[good], return_index=True)[1]]
                 if not len(good):
@@ -332,18 +334,34 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """The texts with their hash, and the given columns."""
+def _hash(text) -> Column:
+    return F.xxhash64(text)
+
+
+def known_texts(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with the hash that their text is known by; different texts have different ones.
+
+    Texts that share their first hash show it by a second one, and take another.
+    About one in 10**9 does at 10**11 texts, so the table of such hashes is small.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*columns, text.alias("text")).withColumn("tid", F.xxhash64("text"))
+    both = docs.select(_hash(text).alias("h"), F.hash(F.lit(1), text).alias("second"))
+    shared = stored(both.groupBy("h").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a != b").select("h"))
+    if shared.isEmpty():
+        return docs.withColumn(name, _hash(text))
+    other = free_names(docs, "_shared_")[0]
+    marked = docs.withColumn(name, _hash(text)).join(shared.withColumnRenamed("h", other), F.col(name) == F.col(other), "left")
+    return marked.withColumn(name, F.when(F.col(other).isNull(), F.col(name)).otherwise(F.xxhash64(F.lit(1), text))).drop(other)
 
 
 def with_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The documents with the maximal removed runs as ``spans`` (array of start and end bytes)."""
+    """The documents with the maximal removed runs as a last column (array of start and end bytes)."""
     names = docs.columns
-    known = docs.withColumn("_tid_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    ranges = repeated_ranges(texts_of(docs), batches).select(F.col("tid").alias("_found_"), F.col("ranges").alias("_ranges_"))
-    return known.join(ranges, F.col("_tid_") == F.col("_found_"), "left").select(*names, "_ranges_")
+    tid, found, ranges = free_names(docs, "_tid_", "_found_", "_ranges_")
+    known = known_texts(docs, tid)
+    texts = known.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(tid).alias("tid"))
+    cut = repeated_ranges(texts, batches).select(F.col("tid").alias(found), F.col("ranges").alias(ranges))
+    return known.join(cut, F.col(tid) == F.col(found), "left").select(*names, ranges)
 
 
 def _spans(cell) -> list[tuple[int, int]]:

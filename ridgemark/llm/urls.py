@@ -5,7 +5,9 @@ or of one of its domains, ``*`` for anything and ``^`` for a separator or the
 end; everything else is literal. Rules are judged on ``host + path``. Each rule
 is filed under that one of its literal tokens which the fewest URLs contain;
 the tokens of a URL fetch candidate rules, and only their regular expressions
-run. All of it is one narrow pass after one small count.
+run. All of it is one narrow pass after one small count. Rules without a literal
+token run on every URL. A list of more than INLINE rules is a table instead,
+joined with the tokens of the distinct URLs.
 
 Null URLs and URLs without ``://`` have an empty host and path and are allowed.
 Repeated rows, null ids and other columns do not matter: each row is judged alone.
@@ -17,7 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 20_000        # the index travels with the plan, so the rule list has a bound
+INLINE = 2_000            # rules that travel within the plan; more are a table
+BROADCAST_BYTES = 64 << 20
+RULE = "struct<size:int,text:string,action:string,named:boolean,regex:string>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -68,33 +72,65 @@ def _known_tokens(subject: Column, known: list[str]) -> Column:
     return F.array_intersect(F.split(F.lower(subject), "[^0-9a-z]+"), F.array(*map(F.lit, known)))
 
 
+def _fields(rule: Rule) -> tuple:
+    return len(rule.text), rule.text.removeprefix("||"), rule.action, rule.named, rule.regex
+
+
+def _literals(rules: list[Rule]) -> Column:
+    """The rules as a constant array."""
+    names = ("size", "text", "action", "named", "regex")
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, _fields(r))]) for r in rules]).cast(f"array<{RULE}>")
+
+
+def _indexed(parts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds ``fit``: the rules that match the subject, from an index within the plan."""
+    filed, free = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]
+    index: dict[str, list[Rule]] = {}
+    if filed:
+        known = sorted({t for r in filed for t in r.tokens})
+        counted = (parts.select(F.explode(_known_tokens(F.col("subject"), known)).alias("token"))
+                   .groupBy("token").count())
+        seen = {r["token"]: r["count"] for r in counted.collect()}        # one row per rule token at most
+        for rule in filed:
+            index.setdefault(min(rule.tokens, key=lambda t: (seen.get(t, 0), t)), []).append(rule)
+    fetched = _literals(free)
+    if index:
+        lookup = F.create_map(*[c for t, found in index.items() for c in (F.lit(t), _literals(found))])
+        by_token = F.flatten(F.transform(_known_tokens(F.col("subject"), sorted(index)), lambda t: F.element_at(lookup, t)))
+        fetched = F.concat(by_token, fetched) if free else by_token
+    return parts.withColumn("fit", F.filter(fetched, lambda c: F.rlike(F.col("subject"), c["regex"])))
+
+
+def _joined(parts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Adds ``fit`` by a join of the distinct subjects' tokens with a table of the rules, each filed under its rarest token."""
+    free = [r for r in rules if not r.tokens]
+    rows = [(n, r.tokens, _fields(r)) for n, r in enumerate(rules) if r.tokens]
+    table = parts.sparkSession.createDataFrame(rows, f"number int, tokens array<string>, rule {RULE}")
+    small = sum(sum(map(len, r.tokens)) + 3 * len(r.regex) + 100 for r in rules) <= BROADCAST_BYTES
+
+    def side(df):
+        return F.broadcast(df) if small else df
+
+    subjects = parts.select("subject").distinct()
+    tokens = subjects.select("subject", F.explode(F.array_distinct(F.split(F.lower("subject"), "[^0-9a-z]+"))).alias("token"))
+    own = table.select("number", F.explode("tokens").alias("token")).distinct()
+    seen = tokens.join(side(own.select("token").distinct()), "token").groupBy("token").count()
+    rarest = own.join(seen, "token", "left").groupBy("number").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    filed = table.select("number", "rule").join(rarest, "number").select("token", "rule")
+    fit = tokens.join(side(filed), "token").filter(F.rlike("subject", F.col("rule.regex"))).select("subject", "rule")
+    by_subject = fit.groupBy(F.col("subject").alias("fitting")).agg(F.collect_list("rule").alias("found"))
+    everywhere = F.filter(_literals(free), lambda c: F.rlike(F.col("subject"), c["regex"]))
+    return parts.join(by_subject, F.col("subject") == F.col("fitting"), "left").select(
+        *parts.columns, F.concat(F.coalesce("found", F.array().cast(f"array<{RULE}>")), everywhere).alias("fit"))
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id") -> DataFrame:
     """id, url's host and path, the deciding named rule, the matching patterns and the verdict."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    if bad := [r.text for r in rules if not r.tokens]:
-        raise ValueError(f"rules without a literal token: {bad}")
     host, path = split_url(F.col("url").cast("string"))
     parts = pages.select(id_column, host.alias("host"), path.alias("path")).withColumn(
         "subject", F.concat("host", "path"))
-    known = sorted({t for r in rules for t in r.tokens})
-    if not known:
-        known = [""]
-    counted = (parts.select(F.explode(_known_tokens(F.col("subject"), known)).alias("token"))
-               .groupBy("token").count())
-    seen = {r["token"]: r["count"] for r in counted.collect()}        # one row per rule token at most
-    index: dict[str, list[Column]] = {}
-    for rule in rules:
-        rarest = min(rule.tokens, key=lambda t: (seen.get(t, 0), t))
-        index.setdefault(rarest, []).append(F.struct(
-            F.lit(len(rule.text)).alias("size"), F.lit(rule.text.removeprefix("||")).alias("text"),
-            F.lit(rule.action).alias("action"), F.lit(rule.named).alias("named"), F.lit(rule.regex).alias("regex")))
-    if not index:
-        return parts.select(id_column, "host", "path", F.lit(None).cast("string").alias("rule"),
-                            F.lit("allow").alias("verdict"), F.array().cast("array<string>").alias("patterns"))
-    lookup = F.create_map(*[c for t, found in index.items() for c in (F.lit(t), F.array(*found))])
-    fetched = F.flatten(F.transform(_known_tokens(F.col("subject"), sorted(index)), lambda t: F.element_at(lookup, t)))
-    fitting = parts.withColumn("fit", F.filter(fetched, lambda c: F.rlike(F.col("subject"), c["regex"])))
+    fitting = (_indexed if len(rules) <= INLINE else _joined)(parts, rules)
     named = F.array_max(F.filter("fit", lambda c: c["named"]))
     patterns = F.filter("fit", lambda c: ~c["named"])
     decided = fitting.withColumns({"top": named, "patterns": patterns})

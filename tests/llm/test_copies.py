@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pytest
 from helpers import LETTERS, frame, jaccard_components, repeated_spans, without, words
+from pyspark.sql import functions as F
 
 from ridgemark.llm import components, decontaminate, jaccard, suffixes
 from ridgemark.llm.common import LETTERS as WORD_BYTES
@@ -133,5 +134,57 @@ def test_overlap_in_small_blocks(spark, monkeypatch):
 
 def test_longest_stretch():
     equal = np.array([1, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 1], bool)
-    assert decontaminate.longest(equal) == (0, 10)
+    assert [int(x[0]) for x in decontaminate.longest(equal, np.array([13]))] == [0, 10, 8]
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 30, 300)
+    equal = r.random(sizes.sum()) < r.choice([0.1, 0.7, 0.95], 300).repeat(sizes)
+    for run, found in zip(np.split(equal, np.cumsum(sizes)[:-1]), zip(*decontaminate.longest(equal, sizes))):
+        ways = [(s - e, s, e) for s in range(len(run)) for e in range(s + 1, len(run) + 1) if 5 * run[s:e].sum() >= 4 * (e - s)]
+        _, s, e = min(ways, default=(0, 0, 0))
+        assert found == (s, e, run[s:e].sum())
     assert words("Cc-BY 4.0", LETTERS) == ["cc", "by", "4", "0"]
+
+
+def test_overlaps_against_all_offsets(monkeypatch):
+    """Every stretch of eight words and more that agrees in four fifths, at any offset, is found and the best of a pair told."""
+    r = np.random.default_rng(4)
+    vocabulary = [f"v{i}" for i in range(12)]
+    common = " ".join(r.choice(vocabulary, 9))
+    items = [" ".join([*r.choice(vocabulary, n), common]) for n in (3, 6, 11, 15)] + [" ".join(r.choice(vocabulary, n)) for n in (13, 20, 9)]
+    texts = []
+    for k in range(60):
+        w = items[k % len(items)].split()
+        for at in r.integers(0, len(w), k % 5):
+            w[at] = str(r.choice(vocabulary))
+        texts.append(" ".join([*r.choice(vocabulary, k % 7), *w, *r.choice(vocabulary, 5), common]))
+    texts += ["", "alone", common]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b, best = text.split(), item.split(), None
+            for start in range(1 - len(b), len(a)):
+                low, high = max(0, -start), min(len(b), len(a) - start)
+                equal = np.array([a[start + p] == b[p] for p in range(low, high)])
+                for s in range(len(equal)):
+                    for e in range(s + min(13, len(b)), len(equal) + 1):
+                        n = int(equal[s:e].sum())
+                        if 5 * n >= 4 * (e - s):
+                            best = min(best or (0,), (s - e, -n, start + low + s, low + s))
+            if best:
+                want.add((d, i, -best[0], -best[1], best[2], best[3]))
+    for places in (1 << 19, 40):
+        monkeypatch.setattr(decontaminate, "PLACES", places)
+        got = {tuple(x) for x in decontaminate.overlaps(decontaminate.Seeds(items), Words(raw, offsets, WORD_BYTES)).tolist()}
+        assert {x[:3] for x in got} == {x[:3] for x in want}, (got ^ want)
+    assert len(want) > 40
+
+
+def test_texts_with_equal_hashes(docs, texts, monkeypatch):
+    """Different texts that share their hash are told apart."""
+    monkeypatch.setattr(suffixes, "_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    spans = repeated_spans(texts)
+    got = {r["doc_id"]: r for r in suffixes.digest(docs).collect()}
+    assert {i: (got[i]["n_removed"], got[i]["n_spans"]) for i in got} == {
+        i: (sum(z - a for a, z in own), len(own)) for i, own in enumerate(spans)}

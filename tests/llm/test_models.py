@@ -1,5 +1,7 @@
 """Language profiles, the quality network and the pipeline."""
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -7,7 +9,7 @@ from helpers import frame, jaccard_components, repeated_spans, without
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ridgemark.llm import bpe, langid, quality, stages
+from ridgemark.llm import bpe, common, langid, quality, stages
 
 
 def _held_out(df):
@@ -53,6 +55,33 @@ def test_network_scores_do_not_depend_on_slices():
     np.testing.assert_allclose(together, alone, rtol=1e-5)
 
 
+def test_network_against_loops():
+    """The forward pass filter by filter and place by place, in small groups of chunks too."""
+    r = np.random.default_rng(1)
+    net = quality.Network()
+    p = net.p
+    texts = [bytes(r.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 9, 300, 1400)]
+    want = []
+    for t in texts:
+        raw = t + bytes(quality.WIDTH)
+        rows = [sum((p["table"][w, raw[at + w]] for w in range(quality.WIDTH)), p["bias"].astype(np.float64))
+                for at in range(0, len(t), quality.STEP)]
+        z, k = [], 0
+        while rows and (k == 0 or k + quality.CHUNK - quality.STRIDE < len(rows)):
+            z.append(np.maximum(np.max(rows[k:k + quality.CHUNK], axis=0), 0))
+            k += quality.STRIDE
+        f = np.concatenate([np.max(z, 0), np.mean(z, 0), np.min(z, 0)]) if z else np.zeros(3 * quality.FILTERS)
+        want.append(1 / (1 + np.exp(-(np.tanh(f @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0]))))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    np.testing.assert_allclose(net.score(data, offsets), want, rtol=1e-4)
+    whole = quality.TOGETHER
+    try:
+        quality.TOGETHER = 2
+        np.testing.assert_allclose(net.score(data, offsets), want, rtol=1e-4)
+    finally:
+        quality.TOGETHER = whole
+
+
 def test_network_gradients():
     """Against differences of the loss."""
     texts = [b"good words here and there", b"bad ### bad ### bad"]
@@ -122,6 +151,24 @@ def test_near_duplicates_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["text"] or "") for r in got) == [(2, ""), (2, "q r s t u"), (5, "a b c d e f"), (7, "")]
 
 
+def test_stages_with_clashing_columns(spark, texts):
+    """Columns named like inner ones come through every stage unchanged."""
+    extra = ("_key_", "_KEY2_", "_known_", "_gone_", "_tid_", "_ranges_", "_found_", "_lang_pred_", "_score_", "_text_")
+    docs = frame(spark, texts).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(c).alias(c) for c in extra])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.select(*extra).distinct().collect()] == [extra]
+
+
+def test_tables_of_a_stage_are_deleted(spark, tmp_path):
+    since = common.written()
+    path = common.stored(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.release(spark, since)
+    assert not os.path.exists(os.path.dirname(path)) and common.written() == since
+
+
 def test_pipeline_runs(spark):
     data = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, data)

@@ -120,7 +120,7 @@ def test_outliers_of_a_group(spark):
     assert not got[len(prose)] and all(got[i] for i in range(len(prose)))
 
 
-def test_url_rules(spark, sf_dir):
+def test_url_rules(spark, sf_dir, monkeypatch):
     cases = [None, "", "no scheme", "http://example.com/en/x", "http://WWW.Example.com/en/x", "http://a.www.example.com/en/",
              "http://example.com", "http://x.com/", "com://com/", "http://notexample.com/en/x", "http://a.net/fr/1?x#y",
              "http://a.net?/fr/", "http://m.x.org/de/1.html", "http://m.x.org/de/1.html?q", "http://docs.a.org/login/help/",
@@ -138,6 +138,16 @@ def test_url_rules(spark, sf_dir):
     assert by[3][3:5] == ("example.com/en/", "block") and by[5][3:5] == ("www.example.com/en/", "allow")
     assert by[6][3] is None and by[0][1:5] == ("", "", None, "allow") and by[15][4] == "block" and by[14][4] == "allow"
     assert urls.filter_urls(pages.limit(0), table).count() == 0
+    # Rules without a literal token, and a list too long for the plan.
+    table += [urls.Rule("/de*l^", "block"), urls.Rule("*x", "allow"), urls.Rule("||nothing.like.this^", "block")]
+    want = sorted(db.sql(urls.oracle(table)).fetchall())
+    assert sorted(map(tuple, urls.filter_urls(pages, table).collect())) == want and any("*x" in r[5] for r in want)
+    monkeypatch.setattr(urls, "INLINE", 3)
+    for size in (urls.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(urls, "BROADCAST_BYTES", size)
+        assert sorted(map(tuple, urls.filter_urls(pages, table).collect())) == want
+    assert urls.filter_urls(pages.limit(0), table).count() == 0
+    assert {r[4] for r in urls.filter_urls(pages, []).collect()} == {"allow"}
 
 
 def test_chat_formatting(spark):
@@ -158,7 +168,7 @@ def test_chat_formatting(spark):
 def test_chat_pairs_against_sql(spark):
     rows = [(c, t, r, x) for c in range(9) for t, (r, x) in enumerate(
         [("system", "s"), ("user", f"q{c // 4}"), ("assistant", f"a{c}"), ("user", None), ("assistant", "é")][:1 + c % 5])]
-    rows += [(3, 9, "assistant", "late"), (None, 0, "user", "x"), (7, None, "user", "n")]
+    rows += [(c, 0, "user", f"n{c // 2}") for c in (-4, -3, 1 << 60, (1 << 60) + 1)] + [(3, 9, "assistant", "late"), (None, 0, "user", "x"), (7, None, "user", "n")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     db = duckdb.connect()
     db.register("conversations", turns.toArrow())
