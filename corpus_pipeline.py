@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ridgemark.llm import stages
-from ridgemark.llm.common import shared_folder, table
+from ridgemark.llm.common import release, shared_folder, table, written
 
 STAGES = [
     ("language", stages.language),
@@ -20,12 +20,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; what earlier stages wrote is deleted once the next one's output stands."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
+        since = written()
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}-{name}")
+        release(spark, since, *([f"{folder}/{k - 1}-{STAGES[k - 1][0]}"] if k else []))
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
