@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import rounded
-from ridgemark.operators.jiang import (_BLOCK_PAIRS, _columns, _pairs, flat_structures, jiang_matches,
+from ridgemark.operators.arrow import pieces
+from ridgemark.operators.jiang import (_BLOCK_PAIRS, _ROW_LS, _columns, _pairs, flat_structures, jiang_matches,
                                        prepared, similarity, similarity_of)
 from ridgemark.operators.probes import ProbeSide, cut, probe_shape
 from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, MAX_BROADCAST_LS, SEEDS
@@ -20,6 +21,7 @@ from ridgemark.settings import ALIGN_ANGLE, ALIGN_DIST, DEG_TO_RAD, MAX_BROADCAS
 PAIR = ("t_fpid", "i_fpid")
 HEAVY_SEED = 4096               # templates that align on one probe seed; more are dealt over salts
 _SCHEMA = "t_fpid string, i_fpid string, total bigint, size bigint"
+_BOX_SCHEMA = "t_fpid string, i_fpid string, n_t bigint, n_i bigint, rank int, t_lsid int, i_lsid int, weight bigint"
 
 
 def _folded(d: np.ndarray) -> np.ndarray:
@@ -69,8 +71,8 @@ def one_to_one(group: np.ndarray, a: np.ndarray, b: np.ndarray, priority: tuple,
     return total
 
 
-def seed_totals(t: dict, i: dict, t_first, t_n, i_first, i_n, seed_t, seed_i) -> np.ndarray:
-    """Total of each seed: minutiae that fall together once both fingerprints are aligned, matched one to one."""
+def seed_candidates(t: dict, i: dict, t_first, t_n, i_first, i_n, seed_t, seed_i) -> tuple[np.ndarray, ...]:
+    """(seed, its minutia of either side, their places in ``t`` and ``i``, weight) of minutiae that fall together once both fingerprints are aligned."""
     tg, ta, *tf = aligned(t, t_first, t_n, seed_t)
     ig, ia, *jf = aligned(i, i_first, i_n, seed_i)
     # Group and distance in one number, so that one sorted search finds the distances near enough in all groups.
@@ -85,25 +87,51 @@ def seed_totals(t: dict, i: dict, t_first, t_n, i_first, i_n, seed_t, seed_i) ->
         near = np.abs(own[a] - other[b]) < limit
         a, b = a[near], b[near]
     weight = 1_000_000 + similarity_of(t, i, ta[a], ia[b])
-    return one_to_one(tg[a], a, b, (i["lsid"][ia[b]], t["lsid"][ta[a]]), weight, len(t_first))
+    return tg[a], a, b, ta[a], ia[b], weight
+
+
+def seed_totals(t: dict, i: dict, t_first, t_n, i_first, i_n, seed_t, seed_i) -> np.ndarray:
+    """Total of each seed: the candidates matched one to one."""
+    seed, a, b, at, other, weight = seed_candidates(t, i, t_first, t_n, i_first, i_n, seed_t, seed_i)
+    return one_to_one(seed, a, b, (i["lsid"][other], t["lsid"][at]), weight, len(t_first))
 
 
-def _best_seeds(t, i, t_starts, i_starts, row, probe, a, b) -> np.ndarray:
-    """Total of every seed (template row, probe, their structures), in blocks of bounded candidates."""
+def _seed_blocks(t_starts, i_starts, row, probe, a, b):
+    """Seeds (template row, probe, their structures) in blocks of bounded candidates: (first seed, arguments of the two functions above)."""
     t_n, i_n = np.diff(t_starts), np.diff(i_starts)
     upto = np.cumsum(t_n[row] * i_n[probe])
-    totals, lo = [], 0
+    lo = 0
     while lo < len(row):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 4 * _BLOCK_PAIRS, "right")))
         r, p = row[lo:hi], probe[lo:hi]
-        totals.append(seed_totals(t, i, t_starts[r], t_n[r], i_starts[p], i_n[p], a[lo:hi], b[lo:hi]))
+        yield lo, (t_starts[r], t_n[r], i_starts[p], i_n[p], a[lo:hi], b[lo:hi])
         lo = hi
-    return np.concatenate(totals)
+
+
+def _best_seeds(t, i, *seeds) -> np.ndarray:
+    """Total of every seed (template row, probe, their structures)."""
+    return np.concatenate([seed_totals(t, i, *block) for _, block in _seed_blocks(*seeds)])
+
+
+def _seeds(t_row, t, i_row, i, probes: int):
+    """(structures of either side, pair, rank from 1) of the best local matches of each pair, in order of pairs."""
+    step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
+    found = [_pairs(t, i, lo, min(lo + step, len(t_row))) for lo in range(0, len(t_row), step)]
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    a, b, sl = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((-i["lsid"][b], -t["lsid"][a], -sl, i_row[b], t_row[a]))
+    a, b = a[order], b[order]
+    pair = t_row[a].astype(np.int64) * probes + i_row[b]
+    cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
+    rank = 1 + np.arange(len(pair)) - np.repeat(cuts, np.diff(np.append(cuts, len(pair))))
+    seed = rank <= SEEDS
+    return a[seed], b[seed], pair[seed], rank[seed]
 
 
 def _batches(probes: ProbeSide):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, _ROW_LS):
             t_row, t = _columns(batch["ls"])
             t_starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
             for block in probes.blocks():
@@ -111,17 +139,9 @@ def _batches(probes: ProbeSide):
 
     def scored(batch, t_row, t, t_starts, i_fpid, i_n, i_row, i):
         i_starts = np.searchsorted(i_row, np.arange(len(i_fpid) + 1))
-        step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
-        found = [_pairs(t, i, lo, min(lo + step, len(t_row))) for lo in range(0, len(t_row), step)]
-        if not sum(len(f[0]) for f in found):
+        a, b, pair, _ = _seeds(t_row, t, i_row, i, len(i_fpid))
+        if not len(a):
             return
-        a, b, sl = (np.concatenate(v) for v in zip(*found))
-        order = np.lexsort((-i["lsid"][b], -t["lsid"][a], -sl, i_row[b], t_row[a]))
-        a, b = a[order], b[order]
-        pair = t_row[a].astype(np.int64) * len(i_fpid) + i_row[b]
-        cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
-        seed = np.arange(len(pair)) - np.repeat(cuts, np.diff(np.append(cuts, len(pair)))) < SEEDS
-        a, b, pair = a[seed], b[seed], pair[seed]
         totals = _best_seeds(t, i, t_starts, i_starts, t_row[a], i_row[b], a, b)
         cuts = np.nonzero(np.diff(pair, prepend=-1))[0]
         rows, probe = pa.array(pair[cuts] // len(i_fpid)), pa.array(pair[cuts] % len(i_fpid))
@@ -132,6 +152,44 @@ def _batches(probes: ProbeSide):
     return run
 
 
+def _box_batches(probes: ProbeSide):
+    def placed(batches):
+        for batch in pieces(batches, _ROW_LS):
+            t_row, t = _columns(batch["ls"])
+            t_starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
+            for block in probes.blocks():
+                yield from boxes(batch, t_row, t, t_starts, *block)
+
+    def boxes(batch, t_row, t, t_starts, i_fpid, i_n, i_row, i):
+        i_starts = np.searchsorted(i_row, np.arange(len(i_fpid) + 1))
+        a, b, _, rank = _seeds(t_row, t, i_row, i, len(i_fpid))
+        for lo, block in _seed_blocks(t_starts, i_starts, t_row[a], i_row[b], a, b):
+            seed, _, _, at, other, weight = seed_candidates(t, i, *block)
+            rows, probe = pa.array(t_row[at]), pa.array(i_row[other])
+            yield pa.RecordBatch.from_arrays(
+                [batch["fpid"].take(rows), i_fpid.take(probe), batch["n_ls"].take(rows), i_n.take(probe),
+                 pa.array(rank[lo + seed].astype(np.int32)), pa.array(t["lsid"][at]), pa.array(i["lsid"][other]), pa.array(weight)],
+                names=[f.split()[0] for f in _BOX_SCHEMA.split(", ")])
+    return placed
+
+
+def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Aligned pairs ``t_lsid, i_lsid, weight`` of every seed (``rank``) of a pair.
+
+    A narrow map over whole fingerprints, so that nothing but results leaves a task;
+    templates stored in several chunks, and sets with a probe beyond the bound, are joined.
+    """
+    shape = probe_shape(inputs)
+    if shape[1] > MAX_BROADCAST_LS["jiang"]:
+        return joined_boxes(templates, inputs)
+    probes = ProbeSide(inputs, MAX_BROADCAST_LS["jiang"], prepared, shape)
+    chunked = templates.filter("n_chunks > 1")
+    some = bool(chunked.limit(1).count())
+    whole = templates.filter("n_chunks = 1") if some else templates
+    found = whole.select("fpid", "n_ls", "ls").mapInArrow(_box_batches(probes), _BOX_SCHEMA)
+    return found.unionByName(joined_boxes(chunked, inputs)) if some else found
+
+
 def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Score rows of all pairs with a seed.
 
@@ -141,7 +199,7 @@ def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """
     shape = probe_shape(inputs)
     if shape[1] > MAX_BROADCAST_LS["jiang"]:
-        totals = assignment_totals(box_matches(templates, inputs))
+        totals = assignment_totals(joined_boxes(templates, inputs))
     else:
         probes = ProbeSide(inputs, MAX_BROADCAST_LS["jiang"], prepared, shape)
         chunked = templates.filter("n_chunks > 1")
@@ -149,7 +207,7 @@ def alignment_scores(templates: DataFrame, inputs: DataFrame) -> DataFrame:
         whole = templates.filter("n_chunks = 1") if some else templates
         totals = whole.select("fpid", "n_ls", "ls").mapInArrow(_batches(probes), _SCHEMA)
         if some:
-            totals = totals.unionByName(assignment_totals(box_matches(chunked, inputs)))
+            totals = totals.unionByName(assignment_totals(joined_boxes(chunked, inputs)))
     return totals.select(*PAIR, rounded(F.col("total") / (F.col("size") * F.lit(2e6))).alias("score"))
 
 
@@ -172,8 +230,8 @@ def _aligned(df: DataFrame, prefix: str) -> DataFrame:
             .drop("s_x", "s_y", "s_th"))
 
 
-def box_matches(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Aligned pairs ``t_lsid, i_lsid, weight`` of every seed (``rank``) of a pair.
+def joined_boxes(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``box_matches`` of fingerprints of any size.
 
     Minutiae within the box lie in the same or adjacent cells of distance,
     bearing and turn around their seeds, so this is an equality join per probe

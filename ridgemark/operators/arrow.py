@@ -34,6 +34,17 @@ def struct_lists(lengths, fields: dict[str, pa.Array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), structs)
 
 
+def pieces(batches, goal: int, column: str = "ls"):
+    """Batches cut to runs of rows with about ``goal`` entries of an array column; a row is never cut."""
+    for batch in batches:
+        offsets = offsets_of(batch[column])
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + goal, "right")) - 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def matrix_lists(matrix: np.ndarray) -> pa.ListArray:
     rows, width = matrix.shape
     offsets = np.arange(0, (rows + 1) * width, width, dtype=np.int32)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions import angles as A
 from ridgemark.functions.numeric import millionths
-from ridgemark.operators.arrow import struct_fields, struct_lists
+from ridgemark.operators.arrow import pieces, struct_fields, struct_lists
 from ridgemark.operators.probes import ProbeSide
 from ridgemark.settings import (ANGLE_WEIGHT, BOX_TH, BOX_X, BOX_Y, MAX_BROADCAST_LS, MAX_DIST,
                                 MIN_DIST, NEIGHBOURS, SUM_BOUND)
@@ -64,7 +64,7 @@ def nearest(x: np.ndarray, y: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 def neighbour_rows(prints: DataFrame) -> DataFrame:
     """Rows ``fpid, idx, k, neighbour, d2`` of the nearest minutiae."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, _ROW_LS, "minutiae"):
             offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y"))
             owner, near, d2 = nearest(m["x"].astype(np.int64), m["y"].astype(np.int64), offsets)
             prints_of = pa.array(np.searchsorted(offsets, owner, "right") - 1)
@@ -96,7 +96,7 @@ def vectors(m: dict[str, np.ndarray], owner, near, d2) -> dict[str, np.ndarray]:
 
 
 def _feature_batches(batches):
-    for batch in batches:
+    for batch in pieces(batches, _ROW_LS, "minutiae"):
         offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y", "th"))
         m = {name: v.astype(np.int64) for name, v in m.items()}
         owner, near, d2 = nearest(m["x"], m["y"], offsets)
@@ -156,6 +156,7 @@ MATCH_SCHEMA = ("t_fpid string, n_t bigint, t_lsid int, t_x int, t_y int, t_th i
                 "i_fpid string, n_i bigint, i_lsid int, i_x int, i_y int, i_th int, sl bigint")
 _NUMBERS = ("lsid", "x", "y", "th") + tuple(f"d{k}" for k in K) + tuple(ANGLES)
 _BLOCK_PAIRS = 1 << 20
+_ROW_LS = 1 << 14               # structures of the rows that a task holds as arrays at once
 
 
 def _pairs(t: dict, i: dict, lo: int, hi: int):
@@ -213,7 +214,7 @@ def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
 
 def _match_batches(probes: ProbeSide, best: bool):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, _ROW_LS):
             t_row, t = _columns(batch["ls"])
             for i_fpid, i_n, i_row, i in probes.blocks():
                 step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
@@ -246,7 +247,7 @@ def _row_blocks(starts: np.ndarray, goal: int):
 def local_totals(templates: DataFrame, probes: ProbeSide) -> DataFrame:
     """``t_fpid, n_t, i_fpid, total`` of whole templates and blocks of whole probes, without a shuffle."""
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, _ROW_LS):
             t_row, t = _columns(batch["ls"])
             starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
             for block in probes.blocks():

@@ -81,6 +81,15 @@ def test_matching_is_once_in_the_box_join(sides, monkeypatch):
     assert rows(align.box_matches(t, i)) == rows(found)
 
 
+@pytest.mark.parametrize("salts", [4096, 1])
+def test_box_matches_of_whole_fingerprints_meet_without_a_join(sides, salts, monkeypatch):
+    t, i = sides["jiang", "whole"]
+    found = align.box_matches(t, i)
+    assert "Join" not in _plan(found) and found.columns == align.joined_boxes(t, i).columns
+    monkeypatch.setattr(align, "HEAVY_SEED", salts)
+    assert rows(found) == rows(align.joined_boxes(t, i)) == rows(align.box_matches(sides["jiang", "parts"][0], i))
+
+
 def test_one_to_one_is_greedy():
     r = np.random.default_rng(8)
     for _ in range(50):
