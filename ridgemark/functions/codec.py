@@ -38,6 +38,15 @@ def _split(lines: DataFrame, parts: int) -> DataFrame:
         "p", F.when(F.size("p") == parts, F.col("p")))
 
 
+def _fields(split: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``value`` and the named fields, of columns that hold the split line.
+
+    A generated row keeps a filter on the fields above it, so no line is split,
+    and none is printed, once more for every field that is tested.
+    """
+    return split.select("value", F.inline(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))))
+
+
 def _rejects(parsed: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     sound = F.lit(True)
     for c in columns:
@@ -54,7 +63,7 @@ def parse_minutia_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat minutiae of such lines, and the lines that do not parse."""
     split = _split(lines, 2).withColumn("t", _tokens(F.get("p", F.lit(1))))
     fields = {n: F.when(F.size("t") == 5, c) for n, c in _minutia(F.col("t")).items()}
-    parsed = split.select("value", F.nullif(F.get("p", F.lit(0)), F.lit("")).alias("fpid"), *[c.alias(n) for n, c in fields.items()])
+    parsed = _fields(split, {"fpid": F.nullif(F.get("p", F.lit(0)), F.lit("")), **fields})
     return _rejects(parsed, ["fpid", *fields])
 
 
@@ -73,27 +82,29 @@ def print_cylinders(flat: DataFrame) -> DataFrame:
     return flat.select(_joined([*_head(), "norm", cells], ";").alias("value"))
 
 
-def _structure(lines: DataFrame, parts: int) -> DataFrame:
-    split = _split(lines, parts).withColumn("t", _tokens(F.get("p", F.lit(2))))
+def _structure(lines: DataFrame, parts: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Split lines with the tokens ``n`` of their last part, and the fields that all structures have."""
+    split = _split(lines, parts).withColumns({"t": _tokens(F.get("p", F.lit(2))), "n": _tokens(F.get("p", F.lit(parts - 1)))})
     minutia = {n: F.when(F.size("t") == 5, c) for n, c in _minutia(F.col("t")).items()}
-    own = [F.nullif(F.get("p", F.lit(0)), F.lit("")).alias("fpid"), _whole(F.get("p", F.lit(1)), "int").alias("lsid")]
-    return split.select("value", "p", *own, *[minutia[n].alias(n) for n in ("x", "y", "th", "q")])
+    own = {"fpid": F.nullif(F.get("p", F.lit(0)), F.lit("")), "lsid": _whole(F.get("p", F.lit(1)), "int")}
+    return split, {**own, **{n: minutia[n] for n in ("x", "y", "th", "q")}}
 
 
 def parse_vectors(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat neighbourhood vectors ``fpid, lsid, x, y, th, d*, r*, v*`` of lines, and the rejects."""
-    rows = _structure(lines, 4).withColumn("n", _tokens(F.get("p", F.lit(3))))
+    rows, own = _structure(lines, 4)
     at = {n: F.when(F.size("n") == len(_VECTOR), F.get("n", F.lit(k))) for k, n in enumerate(_VECTOR)}
-    fields = [at[n].try_cast("double") if n[0] == "d" else _whole(at[n], "tinyint").cast("int") for n in _VECTOR]
-    parsed = rows.select("*", *[c.alias(n) for c, n in zip(fields, _VECTOR)])
+    fields = {n: at[n].try_cast("double") if n[0] == "d" else _whole(at[n], "tinyint").cast("int") for n in _VECTOR}
+    parsed = _fields(rows, {**own, **fields})
     good, bad = _rejects(parsed, ["fpid", "lsid", "x", "y", "th", "q", *_VECTOR])
     return good.drop("q"), bad
 
 
 def parse_cylinders(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Flat cylinder codes ``fpid, lsid, x, y, th, norm, cm`` of lines, and the rejects."""
-    rows = _structure(lines, 5).withColumn("n", F.transform(_tokens(F.get("p", F.lit(4))), lambda t: t.try_cast("float")))
-    sound = (F.size("n") == CELLS) & F.forall("n", lambda v: v.isNotNull())
-    parsed = rows.select("*", F.get("p", F.lit(3)).try_cast("double").alias("norm"), F.when(sound, F.col("n")).alias("cm"))
+    rows, own = _structure(lines, 5)
+    rows = rows.withColumn("cells", F.transform("n", lambda t: t.try_cast("float")))
+    sound = (F.size("cells") == CELLS) & F.forall("cells", lambda v: v.isNotNull())
+    parsed = _fields(rows, {**own, "norm": F.get("p", F.lit(3)).try_cast("double"), "cm": F.when(sound, F.col("cells"))})
     good, bad = _rejects(parsed, ["fpid", "lsid", "x", "y", "th", "q", "norm", "cm"])
     return good.drop("q"), bad

@@ -80,6 +80,15 @@ def test_text_forms_round_trip(spark, sf_dir, vectors):
     assert rows(back.select(plain)) == rows(cylinders.select(plain)) and bad.count() == 0
 
 
+def test_a_line_is_split_once(spark):
+    """A filter on parsed fields does not repeat the split of the line, nor what the line was printed from."""
+    lines = spark.createDataFrame([("A;1",)], "value string").select(F.concat("value", F.lit(";x")).alias("value"))
+    for parse, splits in ((codec.parse_vectors, 3), (codec.parse_minutia_lines, 2), (codec.parse_cylinders, 3)):
+        for side in parse(lines):
+            plan = side._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("split(") <= splits and plan.count("concat(") <= 1
+
+
 def test_text_forms_reject_what_does_not_parse(spark):
     good = "f;3;3 1 2 -128 0;" + " ".join(["1.5 7 -8"] * 4)
     bad = [None, "", "f", good.replace("f;", ";", 1), good + " 1", good.replace("-128", "-129"), good.replace(";3;", ";x;"),
