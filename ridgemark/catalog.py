@@ -82,27 +82,21 @@ def convex_hull_edges(spark, sf_dir):
     return P.hull_edges(X.template_minutiae(spark, sf_dir), X.ORDER)
 
 
-def _flat_cylinders(spark, sf_dir):
-    return Y.flat_cylinders(enrol(X.template_minutiae(spark, sf_dir), X.ORDER, "cylinder", role="input"))
-
-
-def _valid_cells():
-    return F.floor(F.size(F.filter("cm", lambda c: c >= 0)) / F.lit(6)).alias("valid_cells")
+def _cylinder_digests(spark, sf_dir):
+    return P.cylinder_digests(X.template_minutiae(spark, sf_dir), X.ORDER)
 
 
 def cylinder_cells(spark, sf_dir):
-    return _flat_cylinders(spark, sf_dir).select("fpid", "lsid", _valid_cells())
+    return _cylinder_digests(spark, sf_dir).select("fpid", "lsid", "valid_cells")
 
 
 def cylinder_features(spark, sf_dir):
-    positive = F.aggregate(F.filter("cm", lambda c: c > 0), F.lit(0.0), lambda acc, c: acc + c.cast("double"))
-    return _flat_cylinders(spark, sf_dir).select(
-        "fpid", "lsid", "x", "y", "th", _valid_cells(), N.rounded(F.col("norm"), 4).alias("norm"),
-        N.rounded(positive, 4).alias("total"))
+    return _cylinder_digests(spark, sf_dir).select(
+        "fpid", "lsid", "x", "y", "th", "valid_cells", *[N.rounded(F.col(n), 4).alias(n) for n in ("norm", "total")])
 
 
 def cylinder_local_matches(spark, sf_dir):
-    return C.summaries(*sides(spark, sf_dir, "cylinder"), top=1).select(
+    return C.summaries(*sides(spark, sf_dir, "cylinder"), top=1, sums=True).select(
         "t_fpid", "i_fpid", "matches", "matched", "sl_sum", F.get("top", F.lit(0))["sl"].alias("sl_max"))
 
 

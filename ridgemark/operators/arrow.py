@@ -2,6 +2,17 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+
+MAX_BATCH_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets Python workers take at most MAX_BATCH_ROWS fingerprints at a time: with its cells, one may have a megabyte."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= MAX_BATCH_ROWS:
+        spark.conf.set(name, str(MAX_BATCH_ROWS))
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:

@@ -13,6 +13,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgemark.operators.arrow import bounded_batches
+
 _ROWS = 256                     # of the store, read at once
 
 
@@ -58,6 +60,7 @@ class ProbeSide:
     """
 
     def __init__(self, inputs: DataFrame, bound: int, prepare: Callable, shape: tuple[int, int] | None = None):
+        bounded_batches(inputs.sparkSession)
         size, largest = shape or probe_shape(inputs)
         columns = inputs.select("fpid", "chunk", "n_ls", "ls")
         self.bound, self.prepare, self.split = bound, prepare, largest > bound

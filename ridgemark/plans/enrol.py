@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgemark.operators import cylinder, jiang, oversize
+from ridgemark.operators.arrow import bounded_batches
 from ridgemark.plans.registry import FEATURES
 from ridgemark.settings import MAX_ROW_MINUTIAE
 from ridgemark.sources.minutiae import flatten, group_minutiae, merge_records
@@ -40,6 +41,7 @@ def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "temp
     ``role`` is "template" (only valid structures are kept) or "input"
     (invalid cylinders stay, as they count toward the size of a probe).
     """
+    bounded_batches(flat.sparkSession)
     ordinary, large = _builders(kind, role)
     return by_size(flat, order_by, ordinary, large, limit)
 
@@ -51,6 +53,7 @@ def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
     Minutiae are counted per id first. Records of an id beyond the bound are
     numbered by their content and merged as flat rows, never in one array.
     """
+    bounded_batches(prints.sparkSession)
     ordinary, large = _builders(kind, role)
     sizes = prints.groupBy("fpid").agg(F.sum("n").alias("total"))
     found = sizes.agg(F.count_if(F.col("total") > limit)).first()[0]
@@ -77,6 +80,13 @@ def hull_edges(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MI
     return by_size(flat, order_by, cylinder.hull_edges, oversize.hull_edges, limit)
 
 
+def cylinder_digests(flat: DataFrame, order_by: Sequence[str], limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """Counts and sums of the cells of all cylinders, invalid ones included."""
+    bounded_batches(flat.sparkSession)
+    return by_size(flat, order_by, cylinder.print_digests,
+                   lambda f: cylinder.digests(oversize.cylinder_features(f, keep_invalid=True)), limit)
+
+
 def _builders(kind: str, role: str) -> tuple[Callable, Callable]:
     if role not in ("template", "input"):
         raise ValueError(f"role must be 'template' or 'input', not {role!r}")
