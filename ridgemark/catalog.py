@@ -26,8 +26,8 @@ from ridgemark.sources.scores import id_list, parse_scores
 
 
 def sides(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Templates and probes of the given tables, enrolled."""
-    return (enrol(X.template_minutiae(spark, sf_dir), X.ORDER, kind),
+    """Templates and probes of the given tables, enrolled for one match."""
+    return (P.enrol_for_match(X.template_minutiae(spark, sf_dir), X.ORDER, kind),
             enrol(X.probe_minutiae(spark, sf_dir), X.ORDER, kind, role="input"))
 
 

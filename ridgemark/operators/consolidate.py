@@ -56,8 +56,8 @@ def score_jiang(templates: DataFrame, inputs: DataFrame) -> DataFrame:
 
 # --- cylinder codes ----------------------------------------------------------
 
-def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False, sums: bool = False) -> DataFrame:
-    """One summary per pair; counts and sums of similarities only with ``sums``.
+def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False, sums: bool | str = False) -> DataFrame:
+    """One summary per pair; counts and sums of similarities only with ``sums`` ("over": of those above one half).
 
     Almost every fingerprint is one row, so its summary is final without a
     shuffle. Only fingerprints stored in several chunks, and sets with a probe
@@ -69,8 +69,8 @@ def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = F
     if shape[1] > MAX_BROADCAST_LS["cylinder"]:
         parts = cylinder_summaries(templates, inputs, top, distinct, shape=shape, sums=sums)
         return merge_summaries(parts, top, distinct, split=True).select(*columns)
-    chunked = templates.filter("n_chunks > 1")
-    if not chunked.limit(1).count():
+    chunked = None if "minutiae" in templates.columns else templates.filter("n_chunks > 1")
+    if chunked is None or not chunked.limit(1).count():
         return cylinder_summaries(templates, inputs, top, distinct, shape=shape, sums=sums).select(*columns)
     whole = cylinder_summaries(templates.filter("n_chunks = 1"), inputs, top, distinct, shape=shape, sums=sums)
     parts = cylinder_summaries(chunked, inputs, top, distinct, shape=shape, sums=sums)
@@ -130,7 +130,7 @@ def score_lss_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
 
 def score_lss_threshold(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Mean of all similarities above one half."""
-    df = summaries(templates, inputs, sums=True).filter("over_n > 0")
+    df = summaries(templates, inputs, sums="over").filter("over_n > 0")
     return df.select(*PAIR, rounded(F.col("over_sum") / (F.col("over_n") * F.lit(MILLION))).alias("score"))
 
 

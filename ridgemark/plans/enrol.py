@@ -13,20 +13,25 @@ from ridgemark.sources.minutiae import flatten, group_minutiae, merge_records
 
 # Ids listed up to this count are broadcast when oversized prints are set apart.
 _BROADCAST_IDS = 100_000
+# Minutiae of a task that builds and matches cylinders: some seconds of work.
+_TASK_MINUTIAE = 1 << 16
 
 
 def by_size(flat: DataFrame, order_by: Sequence[str], ordinary: Callable, large: Callable,
-            limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+            limit: int = MAX_ROW_MINUTIAE, alone: Callable | None = None) -> DataFrame:
     """``ordinary(print rows)`` joined with ``large(flat minutiae)`` of oversized prints.
 
+    ``alone`` stands for ``ordinary`` where no print is oversized; its work is
+    long for its bytes, so partitions follow the number of minutiae.
+
     One aggregate over the id column comes first and decides whether oversized
     fingerprints need their own path. Without any, nothing is added to the
     plan: minutiae meet in one exchange, whose partitions Spark sizes by bytes.
     """
     sizes = flat.groupBy("fpid").agg(F.count("*").alias("n"))
-    found = sizes.agg(F.count_if(F.col("n") > limit)).first()[0]
+    found, total = sizes.agg(F.count_if(F.col("n") > limit), F.sum("n")).first()
     if not found:
-        return ordinary(group_minutiae(flat, order_by))
+        return alone(group_minutiae(flat, order_by, -(-(total or 1) // _TASK_MINUTIAE))) if alone else ordinary(group_minutiae(flat, order_by))
     big = sizes.filter(F.col("n") > limit).select("fpid")
     big = F.broadcast(big) if found <= _BROADCAST_IDS else big
     small = flat.join(big, "fpid", "left_anti")
@@ -46,6 +51,19 @@ def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "temp
     return by_size(flat, order_by, ordinary, large, limit)
 
 
+def enrol_for_match(flat: DataFrame, order_by: Sequence[str], kind: str, limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
+    """Templates that are matched once and not stored.
+
+    Cylinders stay unbuilt: the match takes print rows and builds them in its own
+    task, so that their cells, a hundred times the minutiae, never pass between
+    Python and Spark. With oversized fingerprints, and for other features, as ``enrol``.
+    """
+    bounded_batches(flat.sparkSession)
+    ordinary, large = _builders(kind, "template")
+    alone = (lambda prints: prints.filter("n > 0")) if kind == "cylinder" else None
+    return by_size(flat, order_by, ordinary, large, limit, alone)
+
+
 def build_local_structures(prints: DataFrame, kind: str, role: str = "template",
                            limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
     """Local structures of print rows (``fpid, n, minutiae``); records of one id are merged.

@@ -111,11 +111,13 @@ def union_prints(*sets: DataFrame) -> DataFrame:
     return first
 
 
-def group_minutiae(flat: DataFrame, order_by: Sequence[str]) -> DataFrame:
+def group_minutiae(flat: DataFrame, order_by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Print rows from flat minutiae, numbered by ``order_by``.
 
     Only for fingerprints that fit one row; ``plans.enrol`` checks that first.
+    ``parts`` is the number of partitions, by default as many as their bytes need.
     """
+    flat = flat if parts is None else flat.repartition(parts, "fpid")
     listed = F.array_sort(F.collect_list(F.struct(*order_by, "x", "y", "th", F.col("q").alias("quality"))))
     numbered = F.transform("m", lambda m, i: F.struct(
         i.alias("idx"), m["x"].alias("x"), m["y"].alias("y"), m["th"].alias("th"),
