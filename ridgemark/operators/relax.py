@@ -12,6 +12,7 @@ from ridgemark.settings import RELAX_ROUNDS, RELAX_WEIGHT, RHO_ANGLE, RHO_DIST
 
 _FIELDS = ("sl", "t_x", "t_y", "t_th", "i_x", "i_y", "i_th")
 _BLOCK_VALUES = 1 << 20
+_TOGETHER_VALUES = 1 << 16      # of pairs of fingerprints that are relaxed together
 RHO_BLOCK = 512                 # matches; two blocks fill one square of _BLOCK_VALUES
 
 
@@ -24,25 +25,48 @@ def _sigmoid(v, mu, tau):
     return 1 / (1 + np.exp(tau * (mu - v)))
 
 
-def _relations(x, y, th, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance, turn and direction from the minutiae of ``rows`` to each other one."""
-    rad = radians_of(th)
-    dx, dy = x[:, None, :] - x[:, rows, None], y[:, rows, None] - y[:, None, :]
-    return (np.sqrt((dx * dx + dy * dy).astype(float)), _turn(rad[:, rows, None] - rad[:, None, :]),
-            _turn(rad[:, rows, None] - np.arctan2(dy.astype(float), dx.astype(float))))
+# Beyond these differences of distance and of angle a factor of ρ is below 1e-17, less than double
+# precision can tell beside the diagonal of a sum; ρ is 0 there.
+_FAR = RHO_DIST[0] - np.log(1e17) / RHO_DIST[1]
+_WIDE = RHO_ANGLE[0] - np.log(1e17) / RHO_ANGLE[1]
+
+
+def _distances(x, y, rows: slice) -> np.ndarray:
+    dx, dy = (v[:, None, :] - v[:, rows, None] for v in (x, y))
+    return np.sqrt((dx * dx + dy * dy).astype(float))
+
+
+def _turned(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Absolute difference of a turn of the template and one of the probe."""
+    return np.abs(_turn(_turn(own) - _turn(other)))
 
 
 def compatibility(m: dict[str, np.ndarray], rows: slice = slice(None)) -> np.ndarray:
     """ρ of the matches of ``rows`` with all matches: do both sides relate the same way?
 
-    Arrays are (fingerprint pairs, matches).
+    Arrays are (fingerprint pairs, matches). Distances are compared first, then
+    turns and directions of what is left.
     """
-    length, turn, direction = (
-        t - i if n == 0 else _turn(t - i)
-        for n, (t, i) in enumerate(zip(_relations(m["t_x"], m["t_y"], m["t_th"], rows),
-                                       _relations(m["i_x"], m["i_y"], m["i_th"], rows))))
-    return (_sigmoid(np.abs(length), *RHO_DIST) * _sigmoid(np.abs(turn), *RHO_ANGLE)
-            * _sigmoid(np.abs(direction), *RHO_ANGLE))
+    length = np.abs(_distances(m["t_x"], m["t_y"], rows) - _distances(m["i_x"], m["i_y"], rows))
+    shape = length.shape
+    rho = np.zeros(length.size)
+    at = np.flatnonzero(length < _FAR)
+    rest, k = np.divmod(at, shape[2])
+    p, j = np.divmod(rest, shape[1])
+    first = rows.indices(shape[2])[0]
+    j += first
+    t_rad, i_rad = radians_of(m["t_th"]), radians_of(m["i_th"])
+    turn = _turned(t_rad[p, j] - t_rad[p, k], i_rad[p, j] - i_rad[p, k])
+    near = turn < _WIDE
+    at, p, j, k, turn = at[near], p[near], j[near], k[near], turn[near]
+    t_way, i_way = (rad[p, j] - np.arctan2((y[p, j] - y[p, k]).astype(float), (x[p, k] - x[p, j]).astype(float))
+                    for rad, x, y in ((t_rad, m["t_x"], m["t_y"]), (i_rad, m["i_x"], m["i_y"])))
+    way = _turned(t_way, i_way)
+    near = way < _WIDE
+    at = at[near]
+    rho[at] = (_sigmoid(length.ravel()[at], *RHO_DIST) * _sigmoid(turn[near], *RHO_ANGLE)
+               * _sigmoid(way[near], *RHO_ANGLE))
+    return rho.reshape(shape)
 
 
 def relax(m: dict[str, np.ndarray], nr: np.ndarray, n_p: np.ndarray) -> np.ndarray:
@@ -96,7 +120,7 @@ def _batches(batches):
                 continue
             # Rows of similar width together, so that padding stays small.
             hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * int(nr[order[hi]]) ** 2 <= _BLOCK_VALUES:
+            while hi < len(order) and (hi - lo + 1) * int(nr[order[hi]]) ** 2 <= _TOGETHER_VALUES:
                 hi += 1
             rows = order[lo:hi]
             width = int(nr[rows].max())
@@ -116,7 +140,7 @@ def _rho_batches(batches):
         while lo < len(order):
             # Rows of similar width together, so that padding stays small.
             hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * int(sizes[order[hi]]) ** 2 <= _BLOCK_VALUES:
+            while hi < len(order) and (hi - lo + 1) * int(sizes[order[hi]]) ** 2 <= _TOGETHER_VALUES:
                 hi += 1
             rows = order[lo:hi]
             place = np.arange(int(sizes[rows].max()))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
+from ridgemark.operators import relax
 from ridgemark.plans import enrol as P
-from ridgemark.settings import LOCAL_THRESHOLD
+from ridgemark.settings import LOCAL_THRESHOLD, RHO_ANGLE, RHO_DIST
 from ridgemark.sources import fixture as X
 from results import rows
 
@@ -86,3 +87,30 @@ def test_cells_of_templates_never_leave_the_match(spark, sf_dir, monkeypatch):
     for score in (C.score_nb, C.score_lss, C.score_lss_threshold):
         want = rows(score(early, i))
         assert rows(score(late, i)) == want and rows(score(large, i)) == want
+
+
+def _dense(m):
+    """ρ of all matches of a pair from the definition."""
+    def related(s):
+        x, y, rad = (np.asarray(v, float) for v in (m[f"{s}_x"], m[f"{s}_y"], Y.radians_of(m[f"{s}_th"])))
+        way = np.arctan2(y[:, :, None] - y[:, None, :], x[:, None, :] - x[:, :, None])
+        return (np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]),
+                relax._turn(rad[:, :, None] - rad[:, None, :]), relax._turn(rad[:, :, None] - way))
+    (td, tt, tw), (id_, it, iw) = related("t"), related("i")
+    parts = (np.abs(td - id_), RHO_DIST), (np.abs(relax._turn(tt - it)), RHO_ANGLE), (np.abs(relax._turn(tw - iw)), RHO_ANGLE)
+    return np.prod([relax._sigmoid(v, *how) for v, how in parts], axis=0)
+
+
+def test_far_matches_are_compatible_with_nothing(monkeypatch):
+    """Turns and directions are taken only where distances agree; the values are those of all pairs."""
+    r = np.random.default_rng(5)
+    m = {f"{s}_{c}": r.integers(lo, hi, (40, 9)) for s in "ti" for c, lo, hi in (("x", 0, 240), ("y", 0, 320), ("th", -128, 128))}
+    for c in ("x", "y", "th"):
+        m[f"i_{c}"][:10] = m[f"t_{c}"][:10]
+    want = _dense(m)
+    asked = []
+    monkeypatch.setattr(relax.np, "arctan2", lambda y, x, f=np.arctan2: asked.append(y.size) or f(y, x))
+    whole, part = relax.compatibility(m), relax.compatibility(m, slice(6, 20))
+    assert (want > 1e-3).sum() > 100 and np.abs(whole - want).max() < 1e-12
+    assert np.array_equal(part, whole[:, 6:])
+    assert max(asked) < want.size / 2
