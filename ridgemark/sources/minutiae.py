@@ -25,8 +25,14 @@ def _tokens(text, separator: str):
     return F.filter(F.split(text, separator), lambda t: t != "")
 
 
+def _once(df: DataFrame, **fields) -> DataFrame:
+    """``value, fpid`` and the named fields, as a generated row: what reads the fields does not compute them again."""
+    kept = [c for c in ("value", "fpid") if c not in fields]
+    return df.select(F.inline(F.array(F.struct(*kept, *[e.alias(n) for n, e in fields.items()]))))
+
+
 def _parsed(df: DataFrame) -> DataFrame:
-    """Add the parsed array to rows of ``fpid, records``.
+    """Add the parsed array to rows of ``value, fpid, records``.
 
     Records are read up to the first one without four tokens. A number that
     does not parse, or an empty prefix, rejects the whole fingerprint.
@@ -46,8 +52,8 @@ def _parsed(df: DataFrame) -> DataFrame:
     minutiae = F.transform("parts", lambda p, i: F.struct(
         i.alias("idx"), whole(p, 0, "int").alias("x"), whole(p, 1, "int").alias("y"),
         encode(angle(p[2])).alias("th"), whole(p, 3, "tinyint").cast("int").alias("q")))
-    return (df.withColumn("parts", parts).withColumn("bad", first_bad).withColumn("parts", keep)
-            .withColumn("minutiae", minutiae).drop("parts", "records", "bad"))
+    split = _once(df, parts=parts).withColumn("bad", first_bad)
+    return _once(_once(split, parts=keep), minutiae=minutiae)
 
 
 def _sound():
@@ -63,7 +69,7 @@ def _split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_prints(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split lines ``fpid:x y t q;x y t q;…`` into print rows and rejects."""
-    fields = lines.select("value", _tokens(F.col("value"), ":").alias("f"))
+    fields = lines.select(F.inline(F.array(F.struct("value", _tokens(F.col("value"), ":").alias("f")))))
     split = fields.select("value", F.get("f", F.lit(0)).alias("fpid"),
                           _tokens(F.get("f", F.lit(1)), ";").alias("records"))
     return _split_rejects(_parsed(split))

@@ -124,3 +124,11 @@ def test_records_of_a_large_id_are_merged_as_rows(spark, kind, monkeypatch):
     assert flat(got) == flat(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list(minutiae") == 1         # of the others only
+
+
+def test_a_line_of_minutiae_is_split_once(spark):
+    """Filters on parsed minutiae repeat neither the split of the line nor what the line was printed from."""
+    lines = spark.createDataFrame([("A:1 2 3",)], "value string").select(F.concat("value", F.lit(" 4")).alias("value"))
+    for side in parse_prints(lines):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 3 and plan.count("concat(") <= 1
