@@ -31,7 +31,7 @@ def by_size(flat: DataFrame, order_by: Sequence[str], ordinary: Callable, large:
     sizes = flat.groupBy("fpid").agg(F.count("*").alias("n"))
     found, total = sizes.agg(F.count_if(F.col("n") > limit), F.sum("n")).first()
     if not found:
-        return alone(group_minutiae(flat, order_by, -(-(total or 1) // _TASK_MINUTIAE))) if alone else ordinary(group_minutiae(flat, order_by))
+        return alone(group_minutiae(flat, order_by, _parts(flat, total or 1))) if alone else ordinary(group_minutiae(flat, order_by))
     big = sizes.filter(F.col("n") > limit).select("fpid")
     big = F.broadcast(big) if found <= _BROADCAST_IDS else big
     small = flat.join(big, "fpid", "left_anti")
@@ -39,6 +39,12 @@ def by_size(flat: DataFrame, order_by: Sequence[str], ordinary: Callable, large:
     return ordinary(group_minutiae(small, order_by)).unionByName(large(numbered))
 
 
+def _parts(flat: DataFrame, total: int) -> int:
+    """Partitions of bounded work; of less, if that leaves fewer than three for a core."""
+    few = min(-(-8 * total // _TASK_MINUTIAE), 3 * flat.sparkSession.sparkContext.defaultParallelism)
+    return max(-(-total // _TASK_MINUTIAE), few)
+
+
 def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "template",
           limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
     """Local structures of flat minutiae (``fpid, x, y, th, q`` and order columns).

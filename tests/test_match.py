@@ -80,7 +80,7 @@ def test_cells_of_templates_never_leave_the_match(spark, sf_dir, monkeypatch):
     i = P.enrol(X.probe_minutiae(spark, sf_dir), X.ORDER, "cylinder", "input").cache()
     monkeypatch.setattr(P, "_TASK_MINUTIAE", 100)
     late = P.enrol_for_match(flat, X.ORDER, "cylinder")
-    assert "minutiae" in late.columns and late.rdd.getNumPartitions() == -(-flat.count() // 100)
+    assert "minutiae" in late.columns and late.rdd.getNumPartitions() >= -(-flat.count() // 100) > 2
     early = P.enrol(flat, X.ORDER, "cylinder")
     large = P.enrol_for_match(flat, X.ORDER, "cylinder", limit=20)
     assert "ls" in large.columns
