@@ -25,16 +25,16 @@ from ridgemark.sources.minutiae import parse_minutiae, parse_prints
 from ridgemark.sources.scores import id_list, parse_scores
 
 
-def sides(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf_dir: str, kind: str, score: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Templates and probes of the given tables, enrolled for one match."""
-    return (P.enrol_for_match(X.template_minutiae(spark, sf_dir), X.ORDER, kind),
+    return (P.enrol_for_match(X.template_minutiae(spark, sf_dir), X.ORDER, kind, score=score),
             enrol(X.probe_minutiae(spark, sf_dir), X.ORDER, kind, role="input"))
 
 
 def score_query(name: str, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind = SCORES[name][0]
-        return identify(*sides(spark, sf_dir, kind), kind, name, **options)
+        return identify(*sides(spark, sf_dir, kind, name), kind, name, **options)
     return run
 
 

@@ -27,14 +27,15 @@ def score_jiang_local(templates: DataFrame, inputs: DataFrame) -> DataFrame:
 
     Each template structure keeps its best match, then each probe structure
     its best of those: inside the match map where a template is one row, and by
-    aggregates for templates in chunks and for large probe sets.
+    aggregates for templates in chunks and for large probe sets. Templates may be
+    print rows, whose structures the map builds.
     """
-    chunked = templates.filter("n_chunks > 1")
+    chunked = None if "minutiae" in templates.columns else templates.filter("n_chunks > 1")
     bound = MAX_BROADCAST_LS["jiang"]
     shape = probe_shape(inputs)
     if shape[1] > bound:
         return _local_score(_joined_totals(templates, inputs))
-    some = bool(chunked.limit(1).count())
+    some = chunked is not None and bool(chunked.limit(1).count())
     out = local_totals(templates.filter("n_chunks = 1") if some else templates, ProbeSide(inputs, bound, prepared, shape))
     return _local_score(_joined_totals(chunked, inputs).unionByName(out) if some else out)
 

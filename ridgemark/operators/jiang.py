@@ -35,7 +35,7 @@ def nearest(x: np.ndarray, y: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     by_size = by_size[sizes[by_size] > 0]
     while lo < len(by_size):
         hi = lo + 1
-        while hi < len(by_size) and (hi - lo + 1) * int(sizes[by_size[hi]]) ** 2 <= _BLOCK_PAIRS:
+        while hi < len(by_size) and (hi - lo + 1) * int(sizes[by_size[hi]]) ** 2 <= _NEAR_PAIRS:
             hi += 1
         rows, width = by_size[lo:hi], int(sizes[by_size[hi - 1]])
         lo = hi
@@ -95,13 +95,18 @@ def vectors(m: dict[str, np.ndarray], owner, near, d2) -> dict[str, np.ndarray]:
     return out
 
 
+def _built(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Structures of each print row: their number and their fields."""
+    offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y", "th"))
+    m = {name: v.astype(np.int64) for name, v in m.items()}
+    owner, near, d2 = nearest(m["x"], m["y"], offsets)
+    return np.diff(np.searchsorted(owner[::NEIGHBOURS], offsets)), vectors(m, owner, near, d2)
+
+
 def _feature_batches(batches):
     for batch in pieces(batches, _ROW_LS, "minutiae"):
-        offsets, m = struct_fields(batch["minutiae"], ("idx", "x", "y", "th"))
-        m = {name: v.astype(np.int64) for name, v in m.items()}
-        owner, near, d2 = nearest(m["x"], m["y"], offsets)
-        lengths = np.diff(np.searchsorted(owner[::NEIGHBOURS], offsets))
-        fields = {name: pa.array(v) for name, v in vectors(m, owner, near, d2).items()}
+        lengths, fields = _built(batch)
+        fields = {name: pa.array(v) for name, v in fields.items()}
         yield pa.RecordBatch.from_arrays(
             [batch["fpid"], pa.array(lengths, pa.int64()), struct_lists(lengths, fields)],
             names=["fpid", "n_ls", "ls"])
@@ -156,6 +161,7 @@ MATCH_SCHEMA = ("t_fpid string, n_t bigint, t_lsid int, t_x int, t_y int, t_th i
                 "i_fpid string, n_i bigint, i_lsid int, i_x int, i_y int, i_th int, sl bigint")
 _NUMBERS = ("lsid", "x", "y", "th") + tuple(f"d{k}" for k in K) + tuple(ANGLES)
 _BLOCK_PAIRS = 1 << 20
+_NEAR_PAIRS = 1 << 17           # pairs of minutiae whose distances are sorted at once, about a hundred bytes each
 _ROW_LS = 1 << 14               # structures of the rows that a task holds as arrays at once
 
 
@@ -201,8 +207,35 @@ def similarity_of(t: dict, i: dict, a, b) -> np.ndarray:
 
 def _columns(column) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     offsets, m = struct_fields(column, _NUMBERS)
-    m.update({name: m[name].astype(np.int8) for name in ANGLES}, th8=m["th"].astype(np.int8))
-    return np.repeat(np.arange(len(column)), np.diff(offsets)), m
+    return np.repeat(np.arange(len(column)), np.diff(offsets)), _signed(m)
+
+
+def _signed(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return m | {name: m[name].astype(np.int8) for name in ANGLES} | {"th8": m["th"].astype(np.int8)}
+
+
+def _stored_rows(batches):
+    """(template rows, owner per structure, fields) of rows with structures."""
+    for batch in pieces(batches, _ROW_LS):
+        yield batch, *_columns(batch["ls"])
+
+
+def _print_rows(batches):
+    """(template rows, owner per structure, fields) of print rows: valid structures are built where they are matched."""
+    for batch in pieces(batches, _ROW_LS, "minutiae"):
+        lengths, m = _built(batch)
+        valid = np.all([(m[f"d{k}"] >= MIN_DIST) & (m[f"d{k}"] <= MAX_DIST) for k in K], axis=0)
+        owner = np.repeat(np.arange(batch.num_rows), lengths)[valid]
+        sizes = np.bincount(owner, minlength=batch.num_rows)
+        rows = pa.RecordBatch.from_arrays([batch["fpid"], pa.array(sizes, pa.int64())], names=["fpid", "n_ls"])
+        yield rows, owner, _signed({name: v[valid] for name, v in m.items()})
+
+
+def _template_rows(templates: DataFrame):
+    """The columns that a match reads, and the way from their batches to structures."""
+    if "minutiae" in templates.columns:
+        return templates.select("fpid", "minutiae"), _print_rows
+    return templates.select("fpid", "n_ls", "ls"), _stored_rows
 
 
 def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
@@ -212,10 +245,9 @@ def _best_per_template(a, b, sl, owner, lsid) -> np.ndarray:
     return order[last[:len(order)]]
 
 
-def _match_batches(probes: ProbeSide, best: bool):
+def _match_batches(probes: ProbeSide, best: bool, rows_of):
     def run(batches):
-        for batch in pieces(batches, _ROW_LS):
-            t_row, t = _columns(batch["ls"])
+        for batch, t_row, t in rows_of(batches):
             for i_fpid, i_n, i_row, i in probes.blocks():
                 step = max(1, _BLOCK_PAIRS // max(1, len(i_row)))
                 for lo in range(0, len(t_row), step):
@@ -245,10 +277,15 @@ def _row_blocks(starts: np.ndarray, goal: int):
 
 
 def local_totals(templates: DataFrame, probes: ProbeSide) -> DataFrame:
-    """``t_fpid, n_t, i_fpid, total`` of whole templates and blocks of whole probes, without a shuffle."""
+    """``t_fpid, n_t, i_fpid, total`` of whole templates and blocks of whole probes, without a shuffle.
+
+    Templates are rows with structures, or print rows (``fpid, n, minutiae``)
+    whose structures are built in the task that matches them and never leave it.
+    """
+    columns, rows_of = _template_rows(templates)
+
     def run(batches):
-        for batch in pieces(batches, _ROW_LS):
-            t_row, t = _columns(batch["ls"])
+        for batch, t_row, t in rows_of(batches):
             starts = np.searchsorted(t_row, np.arange(batch.num_rows + 1))
             for block in probes.blocks():
                 yield from totals(batch, t_row, t, starts, *block)
@@ -276,7 +313,7 @@ def local_totals(templates: DataFrame, probes: ProbeSide) -> DataFrame:
                 [batch["fpid"].take(rows), batch["n_ls"].take(rows), i_fpid.take(pa.array(pair % len(i_fpid))),
                  pa.array(total)], names=["t_fpid", "n_t", "i_fpid", "total"])
 
-    return templates.select("fpid", "n_ls", "ls").mapInArrow(run, "t_fpid string, n_t bigint, i_fpid string, total bigint")
+    return columns.mapInArrow(run, "t_fpid string, n_t bigint, i_fpid string, total bigint")
 
 
 def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False, bound: int | None = None) -> DataFrame:
@@ -289,7 +326,8 @@ def jiang_matches(templates: DataFrame, inputs: DataFrame, best: bool = False, b
     set; only the best matches of a probe beyond the bound need an aggregate.
     """
     probes = ProbeSide(inputs, MAX_BROADCAST_LS["jiang"] if bound is None else bound, prepared)
-    found = templates.select("fpid", "n_ls", "ls").mapInArrow(_match_batches(probes, best), MATCH_SCHEMA)
+    columns, rows_of = _template_rows(templates)
+    found = columns.mapInArrow(_match_batches(probes, best, rows_of), MATCH_SCHEMA)
     return best_per_template(found) if best and probes.split else found
 
 

@@ -13,7 +13,9 @@ from ridgemark.sources.minutiae import flatten, group_minutiae, merge_records
 
 # Ids listed up to this count are broadcast when oversized prints are set apart.
 _BROADCAST_IDS = 100_000
-# Minutiae of a task that builds and matches cylinders: some seconds of work.
+# Scores of vectors whose match builds them.
+LATE = ("jiang_local",)
+# Minutiae of a task that builds and matches structures: some seconds of work.
 _TASK_MINUTIAE = 1 << 16
 
 
@@ -57,16 +59,18 @@ def enrol(flat: DataFrame, order_by: Sequence[str], kind: str, role: str = "temp
     return by_size(flat, order_by, ordinary, large, limit)
 
 
-def enrol_for_match(flat: DataFrame, order_by: Sequence[str], kind: str, limit: int = MAX_ROW_MINUTIAE) -> DataFrame:
-    """Templates that are matched once and not stored.
+def enrol_for_match(flat: DataFrame, order_by: Sequence[str], kind: str, limit: int = MAX_ROW_MINUTIAE,
+                    score: str | None = None) -> DataFrame:
+    """Templates that are matched once, for ``score`` or any other use of ``kind``, and not stored.
 
-    Cylinders stay unbuilt: the match takes print rows and builds them in its own
-    task, so that their cells, a hundred times the minutiae, never pass between
-    Python and Spark. With oversized fingerprints, and for other features, as ``enrol``.
+    Cylinders, and the vectors of the scores in LATE, stay unbuilt: the match takes
+    print rows and builds them in its own task, so that they (cells are a hundred
+    times the minutiae) never pass between Python and Spark, and a task needs
+    one Python worker. With oversized fingerprints, and for all else, as ``enrol``.
     """
     bounded_batches(flat.sparkSession)
     ordinary, large = _builders(kind, "template")
-    alone = (lambda prints: prints.filter("n > 0")) if kind == "cylinder" else None
+    alone = (lambda prints: prints.filter("n > 0")) if kind == "cylinder" or score in LATE else None
     return by_size(flat, order_by, ordinary, large, limit, alone)
 
 

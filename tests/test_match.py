@@ -1,5 +1,7 @@
 """Matches found in single precision and cylinders built where they are matched, against dense similarities."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
+from ridgemark.operators import jiang as J
 from ridgemark.operators import relax
 from ridgemark.plans import enrol as P
 from ridgemark.settings import LOCAL_THRESHOLD, RHO_ANGLE, RHO_DIST
@@ -89,6 +92,39 @@ def test_cells_of_templates_never_leave_the_match(spark, sf_dir, monkeypatch):
         assert rows(score(late, i)) == want and rows(score(large, i)) == want
 
 
+def test_vectors_of_templates_never_leave_the_match(spark, sf_dir, monkeypatch):
+    """One Python map from print rows to totals; equal scores for built and unbuilt templates."""
+    plain = X.template_minutiae(spark, sf_dir).filter(F.col("fpid") < "Finger000000000016").cache()
+    # Fingerprints of few, far and repeated minutiae: structures are missing, out of range, or none is left.
+    far = F.col("x") * F.when(F.col("fpid") == "Finger000000000009_1", 1_000_000).when(F.col("ln") == 1, 4000).otherwise(1)
+    flat = plain.withColumn("x", far.cast("int")).filter("fpid != 'Finger000000000008_1' or ln = 2").cache()
+    i = P.enrol(X.probe_minutiae(spark, sf_dir), X.ORDER, "jiang", "input").cache()
+    monkeypatch.setattr(P, "_TASK_MINUTIAE", 100)
+    late = P.enrol_for_match(flat, X.ORDER, "jiang", score="jiang_local")
+    assert "minutiae" in late.columns and "ls" in P.enrol_for_match(flat, X.ORDER, "jiang").columns
+    early = P.enrol(flat, X.ORDER, "jiang")
+    assert early.agg(F.sum("n_ls")).first()[0] < flat.count() and early.count() < flat.select("fpid").distinct().count()
+    assert "ls" in P.enrol_for_match(plain, X.ORDER, "jiang", 20, "jiang_local").columns    # oversized ones are built
+    scores = C.score_jiang_local(late, i)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = rows(C.score_jiang_local(early, i))
+    assert len(want) > 20 and rows(scores) == want
+    assert rows(J.jiang_matches(late, i)) == rows(J.jiang_matches(early, i))
+    monkeypatch.setitem(C.MAX_BROADCAST_LS, "jiang", 5)        # probes beyond the bound
+    assert rows(C.score_jiang_local(late, i)) == want
+
+
+def test_memory_of_the_neighbour_search_does_not_follow_the_batch():
+    r = np.random.default_rng(3)
+    offsets = np.arange(513) * 32
+    x, y = r.integers(0, 240, offsets[-1]), r.integers(0, 320, offsets[-1])
+    tracemalloc.start()
+    J.nearest(x, y, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6
+
+
 def _dense(m):
     """ρ of all matches of a pair from the definition."""
     def related(s):
