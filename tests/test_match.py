@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ridgemark import catalog
 from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
 from ridgemark.operators import jiang as J
@@ -114,6 +115,12 @@ def test_vectors_of_templates_never_leave_the_match(spark, sf_dir, monkeypatch):
     assert rows(C.score_jiang_local(late, i)) == want
 
 
+def test_queries_on_local_scores_need_one_python_worker_a_task(spark, sf_dir):
+    """The scores that scores_round_trip, evaluate_from_text and the others read come from one Python map."""
+    scores = catalog.local_scores(spark, sf_dir)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_memory_of_the_neighbour_search_does_not_follow_the_batch():
     r = np.random.default_rng(3)
     offsets = np.arange(513) * 32
