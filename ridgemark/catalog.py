@@ -13,8 +13,7 @@ from ridgemark.operators import consolidate as C
 from ridgemark.operators import cylinder as Y
 from ridgemark.operators import jiang as J
 from ridgemark.operators.align import box_matches, top_matches
-from ridgemark.operators.probes import probe_shape, shared_folder
-from ridgemark.operators.relax import rho_sums
+from ridgemark.operators.probes import shared_folder
 from ridgemark.plans import enrol as P
 from ridgemark.plans import evaluate as E
 from ridgemark.plans import store
@@ -114,8 +113,7 @@ def lssr_top_matches(spark, sf_dir):
 
 
 def lssr_rho(spark, sf_dir):
-    templates, inputs = sides(spark, sf_dir, "cylinder")
-    return rho_sums(C.lssr_pairs(templates, inputs), probe_shape(inputs)[1])
+    return C.lssr_rho(*sides(spark, sf_dir, "cylinder"))
 
 
 def genuine_impostor_split(spark, sf_dir):

@@ -13,7 +13,8 @@ from ridgemark.operators.align import PAIR, alignment_scores
 from ridgemark.operators.cylinder import cylinder_summaries, half
 from ridgemark.operators.jiang import jiang_matches, local_totals, prepared
 from ridgemark.operators.probes import ProbeSide, probe_shape
-from ridgemark.operators.relax import relaxation_scores
+from ridgemark.operators.relax import (RHO_BLOCK, SCORES_SCHEMA, SUMS_SCHEMA, all_retained, half_retained, relaxed,
+                                       rho_sums, summed)
 from ridgemark.settings import IMPROVED_TOP, MAX_BROADCAST_LS, NP_MIN
 
 MILLION = 1e6
@@ -57,25 +58,35 @@ def score_jiang(templates: DataFrame, inputs: DataFrame) -> DataFrame:
 
 # --- cylinder codes ----------------------------------------------------------
 
-def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False, sums: bool | str = False) -> DataFrame:
+def summaries(templates: DataFrame, inputs: DataFrame, top=0, distinct: bool = False, sums: bool | str = False,
+              finish=None, schema: str | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
     """One summary per pair; counts and sums of similarities only with ``sums`` ("over": of those above one half).
 
     Almost every fingerprint is one row, so its summary is final without a
     shuffle. Only fingerprints stored in several chunks, and sets with a probe
     beyond the bound, are merged, by an aggregate that sees at most ``top``
-    matches per chunk and pair.
+    matches per chunk and pair. ``finish``, a map of summaries to rows of ``schema``,
+    runs in the task that matches, for the merged ones after their merge.
     """
     columns = ("t_fpid", "i_fpid", "n_t", "n_i", *_COUNTS, "top")
-    shape = probe_shape(inputs)
+    shape = shape or probe_shape(inputs)
+
+    def found(rows, **last):
+        return cylinder_summaries(rows, inputs, top, distinct, shape=shape, sums=sums, **last)
+
+    def whole(rows):
+        return found(rows, finish=finish, schema=schema) if finish else found(rows).select(*columns)
+
+    def merged(rows, split):
+        out = merge_summaries(found(rows), top, distinct, split).select(*columns)
+        return out.mapInArrow(finish, schema) if finish else out
+
     if shape[1] > MAX_BROADCAST_LS["cylinder"]:
-        parts = cylinder_summaries(templates, inputs, top, distinct, shape=shape, sums=sums)
-        return merge_summaries(parts, top, distinct, split=True).select(*columns)
+        return merged(templates, True)
     chunked = None if "minutiae" in templates.columns else templates.filter("n_chunks > 1")
     if chunked is None or not chunked.limit(1).count():
-        return cylinder_summaries(templates, inputs, top, distinct, shape=shape, sums=sums).select(*columns)
-    whole = cylinder_summaries(templates.filter("n_chunks = 1"), inputs, top, distinct, shape=shape, sums=sums)
-    parts = cylinder_summaries(chunked, inputs, top, distinct, shape=shape, sums=sums)
-    return whole.select(*columns).unionByName(merge_summaries(parts, top, distinct).select(*columns))
+        return whole(templates)
+    return whole(templates.filter("n_chunks = 1")).unionByName(merged(chunked, False))
 
 
 def merge_summaries(parts: DataFrame, top, distinct: bool, split: bool = False) -> DataFrame:
@@ -142,19 +153,36 @@ def score_nb(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int |
     return _top_mean(df, _checked(np_expr(F.col("n_t"), F.col("n_i"), np_fn), most))
 
 
-def lssr_pairs(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+def lssr_pairs(templates: DataFrame, inputs: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """Summaries with the matches that relaxation retains."""
-    df = summaries(templates, inputs, half)
+    df = summaries(templates, inputs, half, shape=shape)
     nr = F.floor(F.least("n_i", "matched", 2 * F.size("top")) / 2)
     return df.withColumn("nr", nr.cast("int"))
 
 
+def lssr_rho(templates: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``t_fpid, i_fpid, nr, rho_sum``: summed compatibilities of the matches that ``score_lssr`` relaxes.
+
+    They are summed in the task that matches, or in blocks of matches if the
+    probes are too large for that.
+    """
+    shape = probe_shape(inputs)
+    if shape[1] > RHO_BLOCK:
+        return rho_sums(lssr_pairs(templates, inputs, shape))
+    sums = summaries(templates, inputs, half, finish=summed(half_retained), schema=SUMS_SCHEMA, shape=shape)
+    return sums.select(*PAIR, "nr", rounded(F.col("s"), 3).alias("rho_sum"))
+
+
+def _relaxation_scores(templates: DataFrame, inputs: DataFrame, retained) -> DataFrame:
+    df = summaries(templates, inputs, half, finish=relaxed(retained), schema=SCORES_SCHEMA)
+    return df.select(*PAIR, rounded(F.col("score"), 4).alias("score"))
+
+
 def score_lssr(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over half as many matches as the smaller side has."""
-    return relaxation_scores(lssr_pairs(templates, inputs))
+    return _relaxation_scores(templates, inputs, half_retained)
 
 
 def score_lssr_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over as many matches as the smaller side has."""
-    df = summaries(templates, inputs, half)
-    return relaxation_scores(df.withColumn("nr", F.least("n_i", "matched", F.size("top")).cast("int")))
+    return _relaxation_scores(templates, inputs, all_retained)

@@ -5,14 +5,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgemark.functions.numeric import np_expr, rounded
+from ridgemark.functions.numeric import rounded
 from ridgemark.operators.arrow import struct_fields
 from ridgemark.operators.cylinder import radians_of
-from ridgemark.settings import RELAX_ROUNDS, RELAX_WEIGHT, RHO_ANGLE, RHO_DIST
+from ridgemark.settings import NP_MIN, NP_MU, NP_TAU, RELAX_ROUNDS, RELAX_WEIGHT, RHO_ANGLE, RHO_DIST
 
 _FIELDS = ("sl", "t_x", "t_y", "t_th", "i_x", "i_y", "i_th")
 _BLOCK_VALUES = 1 << 20
 _TOGETHER_VALUES = 1 << 16      # of pairs of fingerprints that are relaxed together
+SCORES_SCHEMA = "t_fpid string, i_fpid string, score double"
+SUMS_SCHEMA = "t_fpid string, i_fpid string, nr int, s double"
 RHO_BLOCK = 512                 # matches; two blocks fill one square of _BLOCK_VALUES
 
 
@@ -31,50 +33,83 @@ _FAR = RHO_DIST[0] - np.log(1e17) / RHO_DIST[1]
 _WIDE = RHO_ANGLE[0] - np.log(1e17) / RHO_ANGLE[1]
 
 
-def _distances(x, y, rows: slice) -> np.ndarray:
-    dx, dy = (v[:, None, :] - v[:, rows, None] for v in (x, y))
-    return np.sqrt((dx * dx + dy * dy).astype(float))
+def _apart(m, side: str, rows: slice) -> np.ndarray:
+    """Distances of the ends of the matches of ``rows`` from those of all matches."""
+    dx, dy = (v[:, rows, None] - v[:, None, :] for v in (m[f"{side}_x"].astype(float), m[f"{side}_y"].astype(float)))
+    dx *= dx
+    dy *= dy
+    dx += dy
+    return np.sqrt(dx, out=dx)
 
 
-def _turned(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Absolute difference of a turn of the template and one of the probe."""
-    return np.abs(_turn(_turn(own) - _turn(other)))
+def _between(d: np.ndarray) -> np.ndarray:
+    """Absolute difference of two turns, from any difference of theirs in radians."""
+    return np.abs(d - 2 * np.pi * np.rint(d / (2 * np.pi)))
 
 
-def compatibility(m: dict[str, np.ndarray], rows: slice = slice(None)) -> np.ndarray:
-    """ρ of the matches of ``rows`` with all matches: do both sides relate the same way?
+def _related(m: dict[str, np.ndarray], rows: slice = slice(None), largest: np.ndarray | None = None):
+    """(pair, match, other match, ρ) where ρ is not 0; only the first ``largest`` matches of a pair, if given.
 
-    Arrays are (fingerprint pairs, matches). Distances are compared first, then
-    turns and directions of what is left.
+    Distances are compared first, then turns and directions of what is left. Distances and
+    turns do not depend on the order of two matches, so those of all matches are taken once.
     """
-    length = np.abs(_distances(m["t_x"], m["t_y"], rows) - _distances(m["i_x"], m["i_y"], rows))
-    shape = length.shape
-    rho = np.zeros(length.size)
-    at = np.flatnonzero(length < _FAR)
-    rest, k = np.divmod(at, shape[2])
-    p, j = np.divmod(rest, shape[1])
-    first = rows.indices(shape[2])[0]
-    j += first
-    t_rad, i_rad = radians_of(m["t_th"]), radians_of(m["i_th"])
-    turn = _turned(t_rad[p, j] - t_rad[p, k], i_rad[p, j] - i_rad[p, k])
+    length = _apart(m, "t", rows)
+    length -= _apart(m, "i", rows)
+    np.abs(length, out=length)
+    close = length < _FAR
+    width = length.shape[2]
+    if largest is not None:
+        used = np.arange(width) < largest[:, None]
+        close &= used[:, rows, None] & used[:, None, :]
+    if close.shape[1] == width:
+        close &= np.tri(width, dtype=bool).T
+    at = np.flatnonzero(close)
+    p, j, k = np.unravel_index(at, close.shape)
+    first = rows.indices(width)[0]
+    rad = {s: radians_of(m[f"{s}_th"]) for s in "ti"}
+    own, other = p * width + j + first, p * width + k
+
+    def of(v, place):
+        return v.ravel()[place]
+
+    turn = _between((of(rad["t"], own) - of(rad["t"], other)) - (of(rad["i"], own) - of(rad["i"], other)))
     near = turn < _WIDE
-    at, p, j, k, turn = at[near], p[near], j[near], k[near], turn[near]
-    t_way, i_way = (rad[p, j] - np.arctan2((y[p, j] - y[p, k]).astype(float), (x[p, k] - x[p, j]).astype(float))
-                    for rad, x, y in ((t_rad, m["t_x"], m["t_y"]), (i_rad, m["i_x"], m["i_y"])))
-    way = _turned(t_way, i_way)
+    own, other = own[near], other[near]
+    e = (1 + np.exp(RHO_DIST[1] * (RHO_DIST[0] - length.ravel()[at[near]]))) * (1 + np.exp(RHO_ANGLE[1] * (RHO_ANGLE[0] - turn[near])))
+    if close.shape[1] == width:
+        both = np.flatnonzero(own != other)
+        own, other, e = np.append(own, other[both]), np.append(other, own[both]), np.append(e, e[both])
+    way = []
+    for s in "ti":
+        x, y = m[f"{s}_x"], m[f"{s}_y"]
+        way.append(of(rad[s], own) - np.arctan2((of(y, own) - of(y, other)).astype(float), (of(x, other) - of(x, own)).astype(float)))
+    way = _between(way[0] - way[1])
     near = way < _WIDE
-    at = at[near]
-    rho[at] = (_sigmoid(length.ravel()[at], *RHO_DIST) * _sigmoid(turn[near], *RHO_ANGLE)
-               * _sigmoid(way[near], *RHO_ANGLE))
-    return rho.reshape(shape)
+    own, other = own[near], other[near]
+    rho = 1 / (e[near] * (1 + np.exp(RHO_ANGLE[1] * (RHO_ANGLE[0] - way[near]))))
+    return own // width, own % width, other % width, rho
+
+
+def compatibility(m: dict[str, np.ndarray], rows: slice = slice(None)) -> np.ndarray:
+    """ρ of the matches of ``rows`` with all matches: do both sides relate the same way?
+
+    Arrays are (fingerprint pairs, matches).
+    """
+    p, j, k, rho = _related(m, rows)
+    pairs, width = m["t_x"].shape
+    first, last, _ = rows.indices(width)
+    out = np.zeros((pairs, max(0, last - first), width))
+    out[p, j - first, k] = rho
+    return out
 
 
 def relax(m: dict[str, np.ndarray], nr: np.ndarray, n_p: np.ndarray) -> np.ndarray:
     """Score of each pair from its first ``nr`` matches (padded to one width)."""
     width = m["sl"].shape[1]
     used = np.arange(width) < nr[:, None]
-    rho = compatibility(m) * (used[:, :, None] & used[:, None, :])
-    rho[:, np.arange(width), np.arange(width)] = 0
+    p, j, k, related = _related(m, largest=nr)
+    rho = np.zeros((len(nr), width, width))
+    rho[p, j, k] = np.where(j == k, 0, related)
     start = np.where(used, m["sl"] / 1e6, 0.0)
     value = start
     weight = ((1 - RELAX_WEIGHT) / np.maximum(nr - 1, 1))[:, None]
@@ -105,52 +140,93 @@ def _relax_rows(m: dict[str, np.ndarray], nr: int, n_p: int) -> float:
     return float(value[order].sum() / len(order))
 
 
-def _batches(batches):
-    for batch in batches:
-        offsets, m = struct_fields(batch["top"], _FIELDS)
-        nr, n_p = batch["nr"].to_numpy(), batch["np"].to_numpy()
-        scores = np.empty(batch.num_rows)
-        order = np.argsort(nr, kind="stable")
-        lo = 0
-        while lo < len(order):
-            if int(nr[order[lo]]) ** 2 > _BLOCK_VALUES:
-                r = order[lo]
-                scores[r] = _relax_rows({n: v[offsets[r]:offsets[r + 1]] for n, v in m.items()}, int(nr[r]), int(n_p[r]))
-                lo += 1
-                continue
-            # Rows of similar width together, so that padding stays small.
-            hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * int(nr[order[hi]]) ** 2 <= _TOGETHER_VALUES:
-                hi += 1
-            rows = order[lo:hi]
-            width = int(nr[rows].max())
-            at = offsets[rows][:, None] + np.minimum(np.arange(width), nr[rows][:, None] - 1)
-            scores[rows] = relax({n: v[at] for n, v in m.items()}, nr[rows], n_p[rows])
-            lo = hi
-        yield pa.RecordBatch.from_arrays([batch["t_fpid"], batch["i_fpid"], pa.array(scores)],
-                                         names=["t_fpid", "i_fpid", "score"])
+def _together(sizes: np.ndarray):
+    """Rows to take as one array: of similar width, so that padding stays small, and with bounded squares."""
+    order, lo = np.argsort(sizes, kind="stable"), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo + 1) * int(sizes[order[hi]]) ** 2 <= _TOGETHER_VALUES:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+def _most(n_i, matched, kept):
+    return np.minimum(np.minimum(n_i, matched), kept)
+
+
+def half_retained(n_i, matched, kept):
+    """Matches that are relaxed: half as many as the smaller side has."""
+    return _most(n_i, matched, 2 * kept) // 2
+
+
+def all_retained(n_i, matched, kept):
+    """Matches that are relaxed: as many as the smaller side has."""
+    return _most(n_i, matched, kept)
+
+
+def _retained(batch, retained):
+    """(matches to relax of each pair, offsets and fields of its matches)."""
+    offsets, m = struct_fields(batch["top"], _FIELDS)
+    nr = retained(batch["n_i"].to_numpy(), batch["matched"].to_numpy(), np.diff(offsets))
+    return nr, offsets, m
+
+
+def _averaged(n_i, matched) -> np.ndarray:
+    """``np_expr`` of whole arrays."""
+    return NP_MIN + np.floor(_sigmoid(np.minimum(n_i, matched).astype(float), NP_MU, NP_TAU) + 0.5).astype(np.int64)
+
+
+def relaxed(retained):
+    """Map of summaries to unrounded scores; ``retained`` gives the matches that are relaxed, 0 gives no row."""
+    def run(batches):
+        for batch in batches:
+            nr, offsets, m = _retained(batch, retained)
+            n_p = _averaged(batch["n_i"].to_numpy(), batch["matched"].to_numpy())
+            scores, some = np.empty(batch.num_rows), np.flatnonzero(nr > 0)
+            for rows in _together(nr[some]):
+                rows = some[rows]
+                width = int(nr[rows].max())
+                if width ** 2 > _BLOCK_VALUES:
+                    for r in rows:
+                        scores[r] = _relax_rows({n: v[offsets[r]:offsets[r + 1]] for n, v in m.items()}, int(nr[r]), int(n_p[r]))
+                    continue
+                at = offsets[rows][:, None] + np.minimum(np.arange(width), nr[rows][:, None] - 1)
+                scores[rows] = relax({n: v[at] for n, v in m.items()}, nr[rows], n_p[rows])
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch["t_fpid"].take(at), batch["i_fpid"].take(at), pa.array(scores[some])],
+                                             names=["t_fpid", "i_fpid", "score"])
+    return run
+
+
+def summed(retained):
+    """Map of summaries to unrounded sums of ρ over the ordered pairs of different retained matches."""
+    def run(batches):
+        for batch in batches:
+            nr, offsets, m = _retained(batch, retained)
+            sums, some = np.zeros(batch.num_rows), np.flatnonzero(nr > 1)
+            for rows in _together(nr[some]):
+                rows = some[rows]
+                at = offsets[rows][:, None] + np.minimum(np.arange(int(nr[rows].max())), nr[rows][:, None] - 1)
+                p, j, k, rho = _related({n: v[at] for n, v in m.items()}, largest=nr[rows])
+                sums[rows] = np.bincount(p, np.where(j == k, 0, rho), len(rows))
+            at = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch["t_fpid"].take(at), batch["i_fpid"].take(at),
+                                              pa.array(nr[some].astype(np.int32)), pa.array(sums[some])],
+                                             names=["t_fpid", "i_fpid", "nr", "s"])
+    return run
 
 
 def _rho_batches(batches):
     """Summed ρ of rows ``m`` (matches), ``split``: of all ordered pairs of different matches or, with a split, of those across it."""
     for batch in batches:
         offsets, m = struct_fields(batch["m"], _FIELDS)
-        sizes, split = np.diff(offsets), batch["split"].to_numpy()
-        order, sums, lo = np.argsort(sizes, kind="stable"), np.zeros(batch.num_rows), 0
-        while lo < len(order):
-            # Rows of similar width together, so that padding stays small.
-            hi = lo + 1
-            while hi < len(order) and (hi - lo + 1) * int(sizes[order[hi]]) ** 2 <= _TOGETHER_VALUES:
-                hi += 1
-            rows = order[lo:hi]
-            place = np.arange(int(sizes[rows].max()))
-            at = offsets[rows][:, None] + np.minimum(place, sizes[rows][:, None] - 1)
-            used = place < sizes[rows][:, None]
-            second = place >= split[rows][:, None]
-            across = second[:, :, None] != second[:, None, :]
-            wanted = used[:, :, None] & used[:, None, :] & np.where((split[rows] > 0)[:, None, None], across, place[:, None] != place)
-            sums[rows] = (compatibility({n: v[at] for n, v in m.items()}) * wanted).sum(axis=(1, 2))
-            lo = hi
+        sizes, split, sums = np.diff(offsets), batch["split"].to_numpy(), np.zeros(batch.num_rows)
+        for rows in _together(sizes):
+            at = offsets[rows][:, None] + np.minimum(np.arange(int(sizes[rows].max())), sizes[rows][:, None] - 1)
+            p, j, k, rho = _related({n: v[at] for n, v in m.items()}, largest=sizes[rows])
+            cut = split[rows][p]
+            sums[rows] = np.bincount(p, np.where(np.where(cut > 0, (j >= cut) != (k >= cut), j != k), rho, 0), len(rows))
         yield pa.RecordBatch.from_arrays([batch["t_fpid"], batch["i_fpid"], batch["nr"], pa.array(sums)],
                                          names=["t_fpid", "i_fpid", "nr", "s"])
 
@@ -172,14 +248,6 @@ def rho_sums(pairs: DataFrame, largest: int | None = None, block: int = RHO_BLOC
                         F.when(F.col("p") == F.col("q"), 0).otherwise(F.size(a)).alias("split"))
     one = largest is not None and largest <= block
     parts = parts if one else parts.repartition("t_fpid", "i_fpid", "p", "q")
-    sums = parts.select(*key, "m", "split").mapInArrow(_rho_batches, "t_fpid string, i_fpid string, nr int, s double")
+    sums = parts.select(*key, "m", "split").mapInArrow(_rho_batches, SUMS_SCHEMA)
     sums = sums if one else sums.groupBy(*key).agg(F.sum("s").alias("s"))
     return sums.select(*key, rounded(F.col("s"), 3).alias("rho_sum"))
-
-
-def relaxation_scores(pairs: DataFrame) -> DataFrame:
-    """Scores of rows ``t_fpid, i_fpid, n_i, matched, nr, top``; nr = 0 gives none."""
-    ready = pairs.filter("nr > 0").select(
-        "t_fpid", "i_fpid", "nr", np_expr(F.col("n_i"), F.col("matched")).alias("np"), "top")
-    return (ready.mapInArrow(_batches, "t_fpid string, i_fpid string, score double")
-            .select("t_fpid", "i_fpid", rounded(F.col("score"), 4).alias("score")))
