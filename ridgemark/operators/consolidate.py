@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions.numeric import array_sum, np_expr, rounded
 from ridgemark.operators.align import PAIR, alignment_scores
-from ridgemark.operators.cylinder import cylinder_summaries, half
+from ridgemark.operators.cylinder import TOTALS_SCHEMA, cylinder_summaries, half, top_totals
 from ridgemark.operators.jiang import jiang_matches, local_totals, prepared
 from ridgemark.operators.probes import ProbeSide, probe_shape
 from ridgemark.operators.relax import (RHO_BLOCK, SCORES_SCHEMA, SUMS_SCHEMA, all_retained, half_retained, relaxed,
@@ -136,8 +136,9 @@ def score_lss(templates: DataFrame, inputs: DataFrame, np_fn=None, np_max: int |
 
 
 def score_lss_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Sum of the ten best distinct similarities over ten."""
-    return _top_mean(summaries(templates, inputs, IMPROVED_TOP, distinct=True), F.lit(IMPROVED_TOP))
+    """Sum of the ten best distinct similarities over ten; summed in the task that matches."""
+    df = summaries(templates, inputs, IMPROVED_TOP, distinct=True, finish=top_totals, schema=TOTALS_SCHEMA)
+    return df.select(*PAIR, rounded(F.col("total") / (F.lit(IMPROVED_TOP) * F.lit(MILLION))).alias("score"))
 
 
 def score_lss_threshold(templates: DataFrame, inputs: DataFrame) -> DataFrame:
