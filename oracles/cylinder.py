@@ -132,7 +132,7 @@ half as materialized (
   from cm m join sizes using (t_fpid, i_fpid) qualify r <= n_i // 2)"""
 
 
-def _relaxed(nr: str) -> str:
+def _relaxed(nr: str, kept: str = "n_i // 2") -> str:
     def bearing(p, q):
         return wrapped(rad(f"{p}th"), f"atan2(cast({p}y - {q}y as double), cast({q}x - {p}x as double))")
 
@@ -156,7 +156,7 @@ l{n} as materialized (
     left join rho p on p.t_fpid = k.t_fpid and p.i_fpid = k.i_fpid and p.ra = k.r
     left join l{n - 1} o on o.t_fpid = k.t_fpid and o.i_fpid = k.i_fpid and o.r = p.rb
   group by k.t_fpid, k.i_fpid, k.r)"""
-    return f"""{_HALF},
+    return f"""{_HALF.replace("n_i // 2", kept)},
 nrs as (
   select t_fpid, i_fpid, cast(floor({nr}) as int) as nr, any_value(n_i) as n_i, any_value(matched) as matched
   from half group by t_fpid, i_fpid),
@@ -213,5 +213,5 @@ select t_fpid, i_fpid, t_ls as t_lsid, i_ls as i_lsid, sl, r as rank from half""
 select t_fpid, i_fpid, any_value(nr) as nr, {rounded("sum(rho)", 3)} as rho_sum
 from rho join nrs using (t_fpid, i_fpid) group by t_fpid, i_fpid""",
     "score_lssr": f"with {_relaxed('least(any_value(n_i), any_value(matched), 2 * count(*)) / 2')} {_RELAXED_SCORE}",
-    "score_lssr_improved": f"with {_relaxed('least(any_value(n_i), any_value(matched), count(*))')} {_RELAXED_SCORE}",
+    "score_lssr_improved": f"with {_relaxed('least(any_value(n_i), any_value(matched), count(*))', 'n_i')} {_RELAXED_SCORE}",
 }

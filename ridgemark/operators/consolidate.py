@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgemark.functions.numeric import array_sum, np_expr, rounded
 from ridgemark.operators.align import PAIR, alignment_scores
-from ridgemark.operators.cylinder import TOTALS_SCHEMA, cylinder_summaries, half, top_totals
+from ridgemark.operators.cylinder import TOTALS_SCHEMA, cylinder_summaries, every, half, top_totals
 from ridgemark.operators.jiang import jiang_matches, local_totals, prepared
 from ridgemark.operators.probes import ProbeSide, probe_shape
 from ridgemark.operators.relax import (RHO_BLOCK, SCORES_SCHEMA, SUMS_SCHEMA, all_retained, half_retained, relaxed,
@@ -102,7 +102,7 @@ def merge_summaries(parts: DataFrame, top, distinct: bool, split: bool = False)
         repeat = Window.partitionBy(*PAIR, "sl").orderBy(F.desc("t_lsid"), F.desc("i_lsid"))
         each = each.withColumn("copy", F.row_number().over(repeat)).filter("copy = 1").drop("copy")
     order = rank.orderBy(F.desc("sl"), F.desc("t_lsid"), F.desc("i_lsid"))
-    limit = F.floor(F.col("n_i") / 2) if callable(top) else F.lit(top)
+    limit = top(F.col("n_i")) if callable(top) else F.lit(top)
     best = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     names = [c for c in each.columns if c not in (*PAIR, "n_i")]
     lists = best.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(*names)), asc=False).alias("top"))
@@ -174,16 +174,16 @@ def lssr_rho(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     return sums.select(*PAIR, "nr", rounded(F.col("s"), 3).alias("rho_sum"))
 
 
-def _relaxation_scores(templates: DataFrame, inputs: DataFrame, retained) -> DataFrame:
-    df = summaries(templates, inputs, half, finish=relaxed(retained), schema=SCORES_SCHEMA)
+def _relaxation_scores(templates: DataFrame, inputs: DataFrame, top, retained) -> DataFrame:
+    df = summaries(templates, inputs, top, finish=relaxed(retained), schema=SCORES_SCHEMA)
     return df.select(*PAIR, rounded(F.col("score"), 4).alias("score"))
 
 
 def score_lssr(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over half as many matches as the smaller side has."""
-    return _relaxation_scores(templates, inputs, half_retained)
+    return _relaxation_scores(templates, inputs, half, half_retained)
 
 
 def score_lssr_improved(templates: DataFrame, inputs: DataFrame) -> DataFrame:
     """Relaxation over as many matches as the smaller side has."""
-    return _relaxation_scores(templates, inputs, all_retained)
+    return _relaxation_scores(templates, inputs, every, all_retained)
