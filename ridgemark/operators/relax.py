@@ -33,61 +33,84 @@ _FAR = RHO_DIST[0] - np.log(1e17) / RHO_DIST[1]
 _WIDE = RHO_ANGLE[0] - np.log(1e17) / RHO_ANGLE[1]
 
 
-def _apart(m, side: str, rows: slice) -> np.ndarray:
-    """Distances of the ends of the matches of ``rows`` from those of all matches."""
-    dx, dy = (v[:, rows, None] - v[:, None, :] for v in (m[f"{side}_x"].astype(float), m[f"{side}_y"].astype(float)))
-    dx *= dx
-    dy *= dy
-    dx += dy
-    return np.sqrt(dx, out=dx)
-
-
 def _between(d: np.ndarray) -> np.ndarray:
     """Absolute difference of two turns, from any difference of theirs in radians."""
     return np.abs(d - 2 * np.pi * np.rint(d / (2 * np.pi)))
 
 
+def _lengths(ends, first, second) -> np.ndarray:
+    """Absolute differences of the distances of two matches on either side."""
+    apart = []
+    for x, y in ends:
+        dx, dy = x[first] - x[second], y[first] - y[second]
+        dx *= dx
+        dy *= dy
+        dx += dy
+        apart.append(np.sqrt(dx, out=dx))
+    return np.abs(apart[0] - apart[1], out=apart[0])
+
+
+def _close(m, rows: slice, largest: np.ndarray | None):
+    """(pair, match, other match, difference of distances) where distances agree; of all matches, in one order."""
+    pairs, width = m["t_x"].shape
+    lo, hi, _ = rows.indices(width)
+    ends = [[m[f"{side}_{c}"].astype(float).T.copy() for c in "xy"] for side in "ti"]
+    if (lo, hi) == (0, width):
+        # A pair of fingerprints to a column, so that even few matches make long rows.
+        first, second = np.triu_indices(width)
+        length = _lengths(ends, first, second)
+        close = length < _FAR
+        if largest is not None:
+            close &= second[:, None] < largest
+        at = np.flatnonzero(close)
+        line, p = np.divmod(at, pairs) if pairs > 1 else (at, np.zeros_like(at))
+        return p, first[line], second[line], length.ravel()[at]
+    found = []
+    for p in range(pairs):
+        own = [[v[:, p] for v in side] for side in ends]
+        length = _lengths(own, np.arange(lo, hi)[:, None], slice(None))
+        at = np.flatnonzero(length < _FAR)
+        j, k = np.divmod(at, width)
+        found.append((np.full(len(at), p), lo + j, k, length.ravel()[at]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
 def _related(m: dict[str, np.ndarray], rows: slice = slice(None), largest: np.ndarray | None = None):
     """(pair, match, other match, ρ) where ρ is not 0; only the first ``largest`` matches of a pair, if given.
 
-    Distances are compared first, then turns and directions of what is left. Distances and
-    turns do not depend on the order of two matches, so those of all matches are taken once.
+    Distances are compared first, then turns and directions of what is left. Only the
+    direction depends on the order of two matches: it is opposite on either side, which
+    changes nothing but where one side has both at one place. So all are taken once.
     """
-    length = _apart(m, "t", rows)
-    length -= _apart(m, "i", rows)
-    np.abs(length, out=length)
-    close = length < _FAR
-    width = length.shape[2]
-    if largest is not None:
-        used = np.arange(width) < largest[:, None]
-        close &= used[:, rows, None] & used[:, None, :]
-    if close.shape[1] == width:
-        close &= np.tri(width, dtype=bool).T
-    at = np.flatnonzero(close)
-    p, j, k = np.unravel_index(at, close.shape)
-    first = rows.indices(width)[0]
-    rad = {s: radians_of(m[f"{s}_th"]) for s in "ti"}
-    own, other = p * width + j + first, p * width + k
-
-    def of(v, place):
-        return v.ravel()[place]
-
-    turn = _between((of(rad["t"], own) - of(rad["t"], other)) - (of(rad["i"], own) - of(rad["i"], other)))
-    near = turn < _WIDE
-    own, other = own[near], other[near]
-    e = (1 + np.exp(RHO_DIST[1] * (RHO_DIST[0] - length.ravel()[at[near]]))) * (1 + np.exp(RHO_ANGLE[1] * (RHO_ANGLE[0] - turn[near])))
-    if close.shape[1] == width:
-        both = np.flatnonzero(own != other)
-        own, other, e = np.append(own, other[both]), np.append(other, own[both]), np.append(e, e[both])
-    way = []
+    width = m["t_x"].shape[1]
+    whole = rows.indices(width)[:2] == (0, width)
+    p, j, k, length = _close(m, rows, largest)
+    turned = (radians_of(m["t_th"]) - radians_of(m["i_th"])).ravel()
+    own, other = p * width + j, p * width + k
+    turn = _between(turned[own] - turned[other])
+    near = np.flatnonzero(turn < _WIDE)
+    p, own, other = p[near], own[near], other[near]
+    e = (1 + np.exp(RHO_DIST[1] * (RHO_DIST[0] - length[near]))) * (1 + np.exp(RHO_ANGLE[1] * (RHO_ANGLE[0] - turn[near])))
+    first, second = (own, other) if whole else (np.minimum(own, other), np.maximum(own, other))
+    ways, same = [], []
     for s in "ti":
-        x, y = m[f"{s}_x"], m[f"{s}_y"]
-        way.append(of(rad[s], own) - np.arctan2((of(y, own) - of(y, other)).astype(float), (of(x, other) - of(x, own)).astype(float)))
-    way = _between(way[0] - way[1])
-    near = way < _WIDE
-    own, other = own[near], other[near]
+        x, y = m[f"{s}_x"].ravel(), m[f"{s}_y"].ravel()
+        dy, dx = (y[first] - y[second]).astype(float), (x[second] - x[first]).astype(float)
+        ways.append(np.arctan2(dy, dx))
+        same.append((dx == 0) & (dy == 0))
+    way, back = ways[0] - ways[1], np.pi * (same[0] != same[1])
+    if whole:
+        both = np.flatnonzero(own != other)
+        way = np.append(turned[own] - way, turned[other[both]] - way[both] + back[both])
+        p, e = np.append(p, p[both]), np.append(e, e[both])
+        own, other = np.append(own, other[both]), np.append(other, own[both])
+    else:
+        way = turned[own] - way + back * (own > other)
+    way = _between(way)
+    near = np.flatnonzero(way < _WIDE)
     rho = 1 / (e[near] * (1 + np.exp(RHO_ANGLE[1] * (RHO_ANGLE[0] - way[near]))))
-    return own // width, own % width, other % width, rho
+    p = p[near]
+    return p, own[near] - p * width, other[near] - p * width, rho
 
 
 def compatibility(m: dict[str, np.ndarray], rows: slice = slice(None)) -> np.ndarray:
